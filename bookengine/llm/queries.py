@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bookengine.llm.exact_dedup import exact_dedup
 from bookengine.llm.mixing import mix_sources
+from bookengine.llm.ngram_join import ngram_components
 from bookengine.llm.packing import pack_documents
 from bookengine.llm.pii import KINDS, extract_pii
 from bookengine.llm.quality import score_quality
@@ -46,6 +47,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -61,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_exact_dedup, op3_quality, op4_pii, op6_packing, op8_secret_ledger, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_exact_dedup, op3_quality, op4_pii, op5_ngram_join, op6_packing, op8_secret_ledger, op10_mixing)}
 
 #: Fixed values of the contract: upper and lower ASCII letters, and what separates words.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
