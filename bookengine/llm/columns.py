@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bookengine.llm.store import materialize
+
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -23,12 +25,20 @@ def doc_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def with_row_ids(docs: DataFrame) -> DataFrame:
+    """row_id (long, unique), doc_id and text (null: empty). Where doc_id is unique it is the row id; else rows are numbered and written once, so that the numbers stay."""
+    seen = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if seen["rows"] == seen["ids"] and docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int"):
+        return doc_text(docs).select(F.col("doc_id").cast("long").alias("row_id"), "doc_id", "text")
+    return materialize(doc_text(docs).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text"), "rows")
+
+
 def hash_bits(col: Column) -> Column:
     """60 bits of the MD5 of a value's text, as a long: the same number in any SQL engine."""
     return F.conv(F.substring(F.md5(col.cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def byte_steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def byte_steps(batch: pa.RecordBatch, column: str = "text", step_bytes: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a batch into steps: first row, end row, UTF-8 bytes, offsets of the rows in these bytes."""
     col = batch.column(column)
     if pa.types.is_large_string(col.type):
@@ -41,7 +51,7 @@ def byte_steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[in
     data = np.frombuffer(col.buffers()[2], dtype=np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
     start = 0
     while start < len(col):
-        end = int(np.searchsorted(offsets, offsets[start] + STEP_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[start] + step_bytes, side="right")) - 1
         end = min(max(end, start + 1), len(col))
         yield start, end, data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
         start = end

@@ -15,6 +15,7 @@ from bookengine.llm.pii import KINDS, extract_pii
 from bookengine.llm.quality import score_quality
 from bookengine.llm.secret_ledger import findings_by_path
 from bookengine.llm.spans import count_kind, span_text
+from bookengine.llm.suffix_dedup import repeated_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,11 +63,15 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count_kind(F.col("findings"), kind).alias(f"n_{kind}") for kind in kinds), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_exact_dedup, op3_quality, op4_pii, op5_ngram_join, op6_packing, op8_secret_ledger, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_exact_dedup, op3_quality, op4_pii, op5_ngram_join, op6_packing, op8_secret_ledger, op9_suffix_dedup, op10_mixing)}
 
 #: Fixed values of the contract: upper and lower ASCII letters, and what separates words.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
