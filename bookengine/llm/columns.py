@@ -57,9 +57,9 @@ def byte_steps(batch: pa.RecordBatch, column: str = "text", step_bytes: int = ST
         start = end
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and the first word of each row (with a final end)."""
-    white = WHITE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes not in ``breaks``; ASCII white space by default) and the first word of each row (with a final end)."""
+    white = breaks[data]
     first = np.empty(len(data), dtype=bool)
     last = np.empty(len(data), dtype=bool)
     if len(data):

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookengine.llm.exact_dedup import exact_dedup
+from bookengine.llm.lattice_dedup import near_vectors
+from bookengine.llm.licenses import LEAST_DICE, TEMPLATES, scan_licenses
 from bookengine.llm.mixing import mix_sources
 from bookengine.llm.ngram_join import ngram_components
 from bookengine.llm.packing import pack_documents
@@ -30,6 +32,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +62,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ("assign", "access", "hex")
     found, _ = findings_by_path(_table(spark, sf_dir, "documents"))
@@ -71,7 +81,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_exact_dedup, op3_quality, op4_pii, op5_ngram_join, op6_packing, op8_secret_ledger, op9_suffix_dedup, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_quality, op4_pii, op5_ngram_join, op6_packing, op7_lattice_dedup, op8_secret_ledger, op9_suffix_dedup, op10_mixing)}
 
 #: Fixed values of the contract: upper and lower ASCII letters, and what separates words.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -132,4 +142,16 @@ SELECT d.doc_id, d.size, b.source_size::BIGINT AS source_size, b.target,
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN th ON d.source IS NOT DISTINCT FROM th.source
 """
 
-ORACLES: dict[str, str] = {"op2_exact_dedup": _OP2_SQL, "op8_secret_ledger": _OP8_SQL, "op10_mixing": _OP10_SQL}
+_OP1_SQL = f"""
+WITH templates(license, words) AS (SELECT license, regexp_extract_all(lower(body), '[0-9a-z]+') FROM (VALUES {", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES)}) v(license, body)),
+tg AS (SELECT license, list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) AS grams FROM templates),
+d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+seg AS (SELECT doc_id, 0 AS line_no, t AS s FROM d UNION ALL SELECT doc_id, unnest(range(1, len(string_split(t, chr(10))) + 1)), unnest(string_split(t, chr(10))) FROM d),
+sw AS (SELECT doc_id, line_no, regexp_extract_all(s, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM seg),
+sg AS (SELECT doc_id, line_no, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS g FROM sw WHERE len(w) > 1),
+m AS (SELECT doc_id, line_no, license, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM sg, tg
+      WHERE 2 * least(len(g), len(grams)) >= {LEAST_DICE} * (len(g) + len(grams)))
+SELECT doc_id, line_no::BIGINT AS line_no, license, dice::DOUBLE AS dice FROM m WHERE dice >= {LEAST_DICE}
+"""
+
+ORACLES: dict[str, str] = {"op1_license_scan": _OP1_SQL, "op2_exact_dedup": _OP2_SQL, "op8_secret_ledger": _OP8_SQL, "op10_mixing": _OP10_SQL}
