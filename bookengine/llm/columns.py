@@ -33,6 +33,34 @@ def with_row_ids(docs: DataFrame) -> DataFrame:
     return materialize(doc_text(docs).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text"), "rows")
 
 
+#: Name of the row number that ``numbered`` adds; no table is expected to have it.
+ROW = "__row_number"
+
+
+def numbered(docs: DataFrame, nulls_last: bool = True) -> DataFrame:
+    """``docs`` and a unique long ``ROW`` in the order of doc_id: doc_id itself where it is unique.
+
+    Else the rows are sorted, numbered and written once, so that the numbers stay; of rows that share an id
+    each then counts on its own.
+    """
+    seen = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if seen["rows"] == seen["ids"]:
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    order = F.col("doc_id").asc_nulls_last() if nulls_last else F.col("doc_id").asc_nulls_first()
+    return materialize(docs.orderBy(order).withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def as_docs(rows: DataFrame, *more: str) -> DataFrame:
+    """Numbered rows under their number as doc_id, with the text."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text", *more)
+
+
+def without(rows: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """Numbered rows less those whose number is a doc_id of ``dropped``."""
+    gone = dropped.select(F.col("doc_id").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*(F.col(f"`{c}`") for c in columns))
+
+
 def hash_bits(col: Column) -> Column:
     """60 bits of the MD5 of a value's text, as a long: the same number in any SQL engine."""
     return F.conv(F.substring(F.md5(col.cast("string").cast("binary")), 1, 15), 16, 10).cast("long")

@@ -21,7 +21,7 @@ from hashlib import sha256
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookengine.llm.columns import doc_text
+from bookengine.llm.columns import as_docs, doc_text, numbered, without
 from bookengine.llm.store import materialize
 
 #: Distinct digests that one shard holds on average: 20,000 x 48 bytes, about 1 MB.
@@ -138,11 +138,12 @@ def exact_dedup(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
     against it; any share gives the same result. Returns one row per input row: doc_id, keep_id
     (largest doc_id with this text), group_size, kept, text_sha256.
 
-    Null text counts as empty. Rows that repeat a doc_id and its text stay together. A null doc_id
+    Null text counts as empty. Of rows that repeat a doc_id and its text one is kept. A null doc_id
     never wins against another and is kept only where no row of the text has an id. Empty table: empty result. Other
     columns are ignored.
     """
-    digests = materialize(text_digests(docs), "digests")
+    # written, so that the row numbers, which settle ties, stay
+    digests = materialize(text_digests(docs).withColumn("row", F.monotonically_increasing_id()), "digests")
     shards = max(1, -(-digests.count() // SHARD_DIGESTS))
     old = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1000)), F.lit(0)) < int(1000 * history_share)
     index = materialize(build_index(digests.where(old), shards), "index")
@@ -154,9 +155,15 @@ def exact_dedup(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
     groups = slots.unionByName(fresh).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
     groups = groups.withColumn("keep_id", F.nullif("keep_id", F.lit(lowest)))
     groups = materialize(groups, "groups")
-    return digests.hint("merge").join(groups, "digest").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    found = digests.hint("merge").join(groups, "digest")
+    stays = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("row").alias("stays")), "stays")
+    return found.hint("merge").join(stays, "digest").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("stays")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """The documents, with their own columns, less all but one of each text: the row of largest doc_id stays."""
+    rows = numbered(docs, nulls_last=False)
+    return without(rows, exact_dedup(as_docs(rows)).where("not kept"), docs.columns)
 
 
 def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookengine.llm.columns import byte_steps, doc_text, hash_bits, word_bounds
+from bookengine.llm.columns import ROW, as_docs, byte_steps, doc_text, hash_bits, numbered, word_bounds
 from bookengine.llm.store import materialize
 
 HASH_BITS = 60
@@ -115,3 +115,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times:
     plan = _same_source(targets, budget_thresholds(sizes.where("size > 0"), budgets), "left")
     copies = F.least(F.col("times") + F.when(F.col("hash") < F.coalesce("threshold", F.lit(0)), 1).otherwise(0), F.lit(most_times))
     return _same_source(sizes, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
+    """The documents, with their own columns, as often as the mix takes them. Rows that share an id are mixed each on its own."""
+    rows = numbered(docs)
+    copies = mix_sources(as_docs(rows, "source"), weights, most_times).where("copies > 0")
+    copies = copies.select(F.col("doc_id").alias(ROW), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
+    return rows.join(copies, ROW).select(*(F.col(f"`{c}`") for c in docs.columns))

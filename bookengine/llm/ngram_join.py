@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookengine.llm.columns import doc_text
+from bookengine.llm.columns import as_docs, doc_text, numbered, without
 from bookengine.llm.components import connected_components
 from bookengine.llm.shingles import mix, shingle_sets
 from bookengine.llm.store import materialize
@@ -211,6 +211,10 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_component(docs: DataFrame) -> DataFrame:
-    """The documents, with their own columns, without those that link to a document of smaller id."""
-    dropped = ngram_components(docs).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The documents, with their own columns, less those that link to a document of smaller id.
+
+    Of rows that share an id one stays for each component, by their order in the table. Documents
+    without words all stay.
+    """
+    rows = numbered(docs)
+    return without(rows, ngram_components(as_docs(rows)).where("doc_id > component_id"), docs.columns)
