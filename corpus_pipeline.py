@@ -8,10 +8,9 @@ at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from bookengine.llm.exact_dedup import exact_dedup
-from bookengine.llm.mixing import mix_sources
+from bookengine.llm.exact_dedup import drop_repeats
+from bookengine.llm.mixing import mixed_documents
 from bookengine.llm.ngram_join import one_of_each_component
 from bookengine.llm.packing import pack_documents
 from bookengine.llm.quality import keep_quality
@@ -26,8 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text: the one of largest id."""
-    kept = exact_dedup(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_anti").select(*docs.columns)
+    return drop_repeats(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +35,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (0 to 3 times)."""
-    copies = mix_sources(docs).where("copies > 0").select("doc_id", "copies").distinct()
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
