@@ -1 +1,211 @@
-"""To come."""
+"""Queries of the token table, entities, encodings, segmentation and hyphenation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bookengine.functions import text as tx
+from bookengine.operators import segment as seg
+from bookengine.operators import tokens as tok
+from bookengine.plans.registry import query, table
+from bookengine.plans.scalar_queries import LINES, WS
+from bookengine.sources import books as src
+
+CLEAN_SQL = (
+    "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(?:script|style)\\b[^>]*>.*?</(?:script|style)>', '', 'g'), '(?s)<!\\[CDATA\\[(.*?)\\]\\]>', '\\1', 'g')"
+)
+TOKENS_SQL = f"""raws AS (SELECT page_id, unnest(range(1, len(t) + 1))::INT AS pos, unnest(t) AS raw FROM (SELECT page_id, regexp_extract_all({CLEAN_SQL}, '<[^>]+>|[^<]+') AS t FROM pages)),
+tok AS (SELECT page_id, pos, raw, CASE WHEN raw LIKE '</%' THEN 'close' WHEN raw LIKE '<!%' OR raw LIKE '<?%' THEN 'decl' WHEN raw LIKE '<%/>' THEN 'selfclose' WHEN raw LIKE '<%' THEN 'open' ELSE 'text' END AS kind,
+  lower(regexp_extract(raw, '^</?([A-Za-z][A-Za-z0-9:-]*)', 1)) AS tag FROM raws)"""
+_LISTED = "tag IN ('" + "', '".join(tok.CLOSED) + "')"
+DEPTH_SQL = f"""dep AS (SELECT *, (sum(CASE WHEN {_LISTED} AND kind = 'open' THEN 1 WHEN {_LISTED} AND kind = 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos)
+  + CASE WHEN {_LISTED} AND kind = 'close' THEN 1 ELSE 0 END)::INT AS depth FROM tok)"""
+
+
+def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tok.tokenize_markup(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query("SELECT page_id FROM pages WHERE starts_with(left(html, 512), '<!DOCTYPE html') AND contains(left(html, 512), '<html')")
+def s03_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.where(src.looks_like(F.col("html"), "<!DOCTYPE html", "<html")).select("page_id")
+
+
+_BOMS = ("0000FEFF", "FFFE0000", "EFBBBF", "FEFF", "FFFE", "")
+_BOM_SQL = "(['" + "', '".join(_BOMS) + "'])[doc_id % 6 + 1]"
+
+
+@query(f"SELECT doc_id, (['UTF-32BE', 'UTF-32LE', 'UTF-8', 'UTF-16BE', 'UTF-16LE', 'unknown'])[doc_id % 6 + 1] AS encoding FROM documents")  # noqa: F541
+def s04_detect_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bom = F.unhex(F.element_at(F.array(*map(F.lit, _BOMS)), (F.col("doc_id") % 6 + 1).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", src.detect_encoding(F.concat(bom, F.encode("text", "UTF-8"))).alias("encoding"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&') AS resolved FROM pages")
+def s06_resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tok.resolve_entities(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query(f"WITH {TOKENS_SQL} SELECT page_id, pos, kind, tag, CASE WHEN kind = 'text' THEN raw END AS text, nullif(regexp_extract(CASE WHEN kind = 'text' THEN '' ELSE raw END, 'href\\s*=\\s*\"([^\"]*)\"', 1), '') AS href FROM tok")
+def s08_tokenize_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_tokens(spark, sf_dir).select("page_id", "pos", "kind", "tag", "text", F.try_element_at("attrs", F.lit("href")).alias("href"))
+
+
+@query(
+    f"WITH {TOKENS_SQL}, nx AS (SELECT *, lead(CASE WHEN kind = 'text' THEN raw END) OVER (PARTITION BY page_id ORDER BY pos) AS nt FROM tok) "
+    "SELECT page_id, pos, 'href' AS what, regexp_extract(raw, 'href\\s*=\\s*\"([^\"]*)\"', 1) AS value FROM nx WHERE tag = 'a' AND kind = 'open' AND contains(raw, 'href') "
+    "UNION ALL SELECT page_id, pos, 'text', nt FROM nx WHERE tag = 'h1' AND kind = 'open' AND nt IS NOT NULL"
+)
+def s09_select_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = page_tokens(spark, sf_dir)
+    hrefs = tok.select_attribute(tokens, "page_id", "a", "href").select("page_id", "pos", F.lit("href").alias("what"), "value")
+    heads = tok.select_text(tokens, "page_id", "h1").where("text is not null").select("page_id", "pos", F.lit("text").alias("what"), F.col("text").alias("value"))
+    return hrefs.unionByName(heads)
+
+
+@query("SELECT doc_id, length(text)::INT AS n_chars, sha256(text) AS content_sha256 FROM documents WHERE doc_id % 7 <> 0")
+def s10_extract_binaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # base64 in lines of 76 as books carry it; every seventh is broken and must be dropped
+    coded = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "(.{76})", "$1\r\n ")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "@@@").otherwise(coded).alias("value"))
+    found = src.decode_binaries(docs, "value")
+    return found.select("doc_id", F.char_length(F.decode("content", "UTF-8")).alias("n_chars"), F.sha2("content", 256).alias("content_sha256"))
+
+
+_ARTICLE_SQL = """art AS (SELECT * FROM (SELECT *, sum((tag = 'article' AND kind = 'open')::INT) OVER w AS so, sum((tag = 'article' AND kind = 'close')::INT) OVER w AS sc,
+  lag(tag) OVER (PARTITION BY page_id ORDER BY pos) AS pt, lag(kind) OVER (PARTITION BY page_id ORDER BY pos) AS pk FROM tok WINDOW w AS (PARTITION BY page_id ORDER BY pos))
+  WHERE (so >= 1 AND sc = 0 AND NOT (tag = 'article' AND kind = 'open' AND so = 1)) OR (kind = 'text' AND sc = 1 AND pt = 'article' AND pk = 'close'))"""
+FRAGMENT_SQL = f"""{_ARTICLE_SQL},
+lnk AS (SELECT *, sum(CASE WHEN tag = 'a' AND kind = 'open' THEN 1 WHEN tag = 'a' AND kind = 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS links FROM art),
+frag AS (SELECT page_id, regexp_replace(string_agg(CASE WHEN kind = 'open' AND tag IN ('p', 'div') THEN chr(10) WHEN kind = 'text' AND links = 0 THEN raw END, '' ORDER BY pos), '^[{WS}]+|[{WS}]+$', '', 'g') AS fragment
+  FROM lnk WHERE kind = 'open' AND tag IN ('p', 'div') OR kind = 'text' AND links = 0 GROUP BY page_id)"""
+
+
+@query(f"WITH {TOKENS_SQL}, {FRAGMENT_SQL} SELECT page_id, fragment FROM frag")
+def t01_text_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tok.text_fragment(page_tokens(spark, sf_dir), "page_id", "article")
+
+
+@query(
+    f"WITH f AS (SELECT page_id, regexp_replace(replace(replace(replace(html, chr(13), ''), '<p>', chr(10)), '</p>', ''), '<[^(><)]+>', '', 'g') AS t FROM pages) "
+    f"SELECT page_id, array_to_string(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{WS}]')), chr(10)) AS fragment FROM f"
+)
+def t02_full_text_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", tok.full_text_fragment(F.col("html")).alias("fragment"))
+
+
+_HTML_CLASS = "CASE tag " + " ".join(f"WHEN '{t}' THEN '{c}'" for t, c in tok.HTML_CLASSES.items()) + " ELSE 'unknown' END"
+
+
+@query(
+    f"""WITH {TOKENS_SQL}, {DEPTH_SQL},
+ nest AS (SELECT page_id, pos, tag, CASE WHEN {_LISTED} AND kind = 'open' THEN depth - 1 ELSE depth END AS around, CASE WHEN {_LISTED} AND kind = 'open' THEN depth END AS own FROM dep WHERE kind IN ('open', 'selfclose')),
+ par AS (SELECT a.page_id, a.pos, a.tag, arg_max(b.tag, b.pos) AS parent FROM nest a LEFT JOIN nest b ON a.page_id = b.page_id AND b.own = a.around AND b.pos < a.pos GROUP BY ALL)
+ SELECT page_id, pos, tag, {_HTML_CLASS} AS class, parent FROM par WHERE NOT ({_HTML_CLASS} = 'unknown' AND coalesce(parent IN ('body', 'section'), FALSE))"""
+)
+def c01_classify_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tok.classify_elements(page_tokens(spark, sf_dir), tok.HTML_CLASSES, "page_id")
+
+
+@query(f"WITH {TOKENS_SQL}, {DEPTH_SQL} SELECT page_id, pos, tag, kind, depth, least(depth, 6) AS level FROM dep")
+def c02_section_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tok.element_depth(page_tokens(spark, sf_dir), "page_id").select("page_id", "pos", "tag", "kind", "depth", "level")
+
+
+# --- segmentation -----------------------------------------------------------------------------
+
+
+def _sentences_sql(text: str) -> str:
+    out = "CASE lang "
+    for lang, words in tx.ABBREVIATIONS.items():
+        marked = f"regexp_replace({text}, '([.!?…]+[{WS}]+)', '\\1' || chr(1), 'g')"
+        joined = f"regexp_replace({marked}, '((?:^|[^\\p{{L}}])(?:{'|'.join(words)})\\.[{WS}]+)\\x01', '\\1', 'g')"
+        out += f"WHEN '{lang}' THEN list_filter(string_split({joined}, chr(1)), lambda s: s <> '') "
+    return out + f"ELSE list_filter([{text}], lambda s: s <> '') END"
+
+
+SENTENCES_SQL = f"(SELECT doc_id, lang, para_ix, unnest(range(len(s)))::INT AS sent_ix, unnest(s) AS text FROM (SELECT doc_id, lang, para_ix, {_sentences_sql('text')} AS s FROM (SELECT doc_id, lang, unnest(range(len(p)))::INT AS para_ix, unnest(p) AS text FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS p FROM documents))))"
+
+
+def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paras = seg.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return seg.sentences(paras, "doc_id", "para_ix")
+
+
+def _with_abbreviations(column: str) -> str:
+    return f"replace({column}, ', ', ' Dr. ')"
+
+
+@query(f"SELECT doc_id, unnest(range(len(s)))::INT AS sent_ix, unnest(s) AS text FROM (SELECT doc_id, {_sentences_sql(_with_abbreviations('text'))} AS s FROM documents)")
+def e01_split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit(", "), F.lit(" Dr. ")))
+    return seg.sentences(docs, "doc_id")
+
+
+@query(f"SELECT doc_id, para_ix, sent_ix, unnest(range(len(w)))::INT AS word_ix, unnest(w) AS word FROM (SELECT *, regexp_split_to_array(text, '[{tx.WS_BREAKING}]') AS w FROM {SENTENCES_SQL})")
+def e02_split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seg.words(document_sentences(spark, sf_dir), "doc_id", "para_ix", "sent_ix")
+
+
+@query(
+    f"SELECT doc_id, para_ix, sent_ix, 'kobo.' || dense_rank() OVER (PARTITION BY doc_id ORDER BY para_ix) || '.' || row_number() OVER (PARTITION BY doc_id, para_ix ORDER BY sent_ix) AS address FROM {SENTENCES_SQL}"
+)
+def e03_segment_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seg.segment_addresses(document_sentences(spark, sf_dir), "doc_id").select("doc_id", "para_ix", "sent_ix", "address")
+
+
+_PATTERN_VALUES = ", ".join(f"('{p}', {k}, {v})" for p, k, v in seg.pattern_rows())
+_LONGEST = max(len(p) for p, _, _ in seg.pattern_rows())
+_EXCEPTIONS = "CASE word " + " ".join(f"WHEN '{w}' THEN replace('{h}', '-', '-')" for w, h in seg.EXCEPTIONS.items()) + " END"
+
+
+@query(
+    f"""WITH pat(piece, place, value) AS (VALUES {_PATTERN_VALUES}),
+ w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\n]+')) AS word FROM documents),
+ st AS (SELECT word, '.' || word || '.' AS dotted, unnest(range(1, length(word) + 3)) AS start FROM w WHERE length(word) > 2 AND {_EXCEPTIONS} IS NULL),
+ pc AS (SELECT word, start, substr(dotted, start, size) AS piece FROM (SELECT *, unnest(range(1, least({_LONGEST}, length(dotted) - start + 1) + 1)) AS size FROM st)),
+ v AS (SELECT word, start + place - 2 AS after, max(value) AS value FROM pc JOIN pat USING (piece) GROUP BY ALL),
+ ch AS (SELECT word, unnest(range(1, length(word) + 1)) AS i, unnest(string_split(word, '')) AS c FROM w WHERE length(word) > 2 AND {_EXCEPTIONS} IS NULL),
+ h AS (SELECT ch.word, string_agg(c || CASE WHEN v.value % 2 = 1 AND i >= 2 AND i <= length(ch.word) - 2 THEN '-' ELSE '' END, '' ORDER BY i) AS hyphenated FROM ch LEFT JOIN v ON v.word = ch.word AND v.after = ch.i GROUP BY ch.word)
+ SELECT w.word, coalesce({_EXCEPTIONS.replace('CASE word', 'CASE w.word')}, h.hyphenated, w.word) AS hyphenated FROM w LEFT JOIN h ON w.word = h.word"""
+)
+def e04_hyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"([^ \n]+)"), F.lit(1))).alias("word"))
+    return seg.hyphenate(words, hyphen="-")
+
+
+_AVAILABLE = ("en-us", "de-1901", "fr", "es", "de-1996")
+_LANGS = "(['EN', 'de-AT', 'de', 'fr-CA', 'es', 'it'])[doc_id % 6 + 1]"
+
+
+@query(
+    f"""WITH m(tag, dict) AS (VALUES {", ".join(f"('{t}', '{d}')" for t, d in seg.DICTIONARY_NAMES.items())}), l AS (SELECT DISTINCT {_LANGS} AS lang FROM documents),
+ c AS (SELECT lang, 0 AS rank, lower(lang) AS dict FROM l UNION ALL SELECT lang, 1, m.dict FROM l JOIN m ON m.tag = lower(lang) UNION ALL SELECT lang, 2, regexp_extract(lower(lang), '^([a-z]+)', 1) FROM l
+  UNION ALL SELECT lang, 3, m.dict FROM l JOIN m ON m.tag = regexp_extract(lower(lang), '^([a-z]+)', 1))
+ SELECT l.lang, arg_min(c.dict, c.rank) AS dictionary FROM l LEFT JOIN c ON c.lang = l.lang AND c.dict IN ('{"', '".join(_AVAILABLE)}') GROUP BY l.lang"""
+)
+def e05_hyphen_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs = table(spark, sf_dir, "documents").select(F.element_at(F.array(*map(F.lit, ("EN", "de-AT", "de", "fr-CA", "es", "it"))), (F.col("doc_id") % 6 + 1).cast("int")).alias("lang"))
+    return seg.hyphen_dictionary(langs, spark.createDataFrame([(d,) for d in _AVAILABLE], "dictionary string"))
+
+
+@query(
+    f"WITH f AS (SELECT doc_id, min(para_ix) AS para_ix FROM {LINES} WHERE text <> '' GROUP BY doc_id) "
+    f"SELECT doc_id, para_ix, regexp_extract(regexp_extract(CASE WHEN doc_id % 2 = 0 THEN '«' || text ELSE text END, '^[^{tx.WS_BREAKING}]*', 0), '^[«\"]*[^«\"{WS}]', 0) AS drop_cap FROM f JOIN {LINES} l USING (doc_id, para_ix)"
+)
+def e06_drop_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paras = seg.paragraphs(table(spark, sf_dir, "documents"), "doc_id")
+    quoted = paras.withColumn("text", F.when((F.col("doc_id") % 2 == 0) & (F.col("text") != ""), F.concat(F.lit("«"), "text")).otherwise(F.col("text")))
+    return seg.drop_caps(quoted, "doc_id", '«"')
+
+
+@query(f"SELECT doc_id, para_ix, sent_ix, length(text)::INT AS text_length FROM {SENTENCES_SQL}")
+def e07_text_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_sentences(spark, sf_dir).select("doc_id", "para_ix", "sent_ix", tx.text_length(tx.split_words(F.col("text"))).alias("text_length"))
+
+
+@query(f"SELECT doc_id, para_ix, sent_ix, regexp_replace(text, '[{tx.WS_BREAKING}]', ' ', 'g') AS joined FROM {SENTENCES_SQL}")
+def e08_join_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_sentences(spark, sf_dir).select("doc_id", "para_ix", "sent_ix", tx.join_words(tx.split_words(F.col("text"))).alias("joined"))
