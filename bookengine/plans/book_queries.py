@@ -1 +1,162 @@
-"""To come."""
+"""Queries of FB2 intake and of the rows that packages are made of.
+
+FB2 books are built inside the query from rows of documents and parsed back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from bookengine.functions import metadata as meta
+from bookengine.functions import text as tx
+from bookengine.operators import notes as nt
+from bookengine.operators import packaging as pk
+from bookengine.operators import tokens as tok
+from bookengine.plans.registry import query, table
+from bookengine.plans.scalar_queries import SQL_FIRST
+from bookengine.plans.structure_queries import KINDS_SQL, kinds, sections
+from bookengine.sources import books as src
+
+
+def _escape(column: str) -> Column:
+    return F.replace(F.replace(F.replace(F.col(column), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def fb2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A book for each document: title, two authors, notes body, cover, one binary; every ninth is damaged, every eleventh no book."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.regexp_replace(tx.first_line(F.col("text")), r"[\x00-\x1F]", " ").alias("line"))
+    n = F.col("doc_id").cast("string")
+    parts = [
+        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0" xmlns:l="http://www.w3.org/1999/xlink"><description><title-info>'),
+        F.lit("<genre> prose </genre><genre></genre><author><first-name>Ann</first-name><last-name>"), F.col("source"), F.lit("</last-name></author><author><first-name> </first-name></author><book-title>"),
+        _escape("line"), F.lit("</book-title><lang>"), F.col("lang"), F.lit("</lang><annotation><p>About "), F.col("source"), F.lit('</p><p>second</p></annotation><coverpage><image l:href="#c"/></coverpage><sequence name="S" number="'), n,
+        F.lit('"/></title-info><document-info><id>id-'), n, F.lit("</id></document-info></description><body><section><p>"), _escape("line"),
+        F.when(F.col("doc_id") % 9 == 0, "</section>").otherwise(F.lit('</p></section></body><body name="notes"><section id="n1"><title><p>1</p></title><p>Note of '), ), F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.concat(F.col("source"), F.lit("</p><p>more</p></section></body>"))),
+        F.lit('<binary id="c" content-type="image/png">iVBORw0KGgo=</binary></FictionBook>'),
+    ]
+    whole = F.when(F.col("doc_id") % 11 == 0, "plain text").otherwise(F.concat(*parts))
+    return docs.select(F.concat(F.lit("lib/"), n, F.lit(".fb2")).alias("path"), F.lit(None).cast("string").alias("member"), whole.alias("text"))
+
+
+GOOD = "doc_id % 11 <> 0 AND doc_id % 9 <> 0"
+
+
+@query(
+    f"SELECT 'lib/' || doc_id || '.fb2' AS path, trim({SQL_FIRST}) AS title, lang, 'id-' || doc_id AS id, 1::INT AS n_authors, source AS last_name, 'prose' AS genres, doc_id::INT AS seq_num, '#c' AS cover, 2::INT AS n_bodies, 1::INT AS n_binaries FROM documents WHERE {GOOD}"
+)
+def s07_read_fb2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books, _ = src.read_fb2(fb2_files(spark, sf_dir))
+    info = F.col("description.title-info")
+    authors = meta.authors(F.transform(info["author"], lambda a: F.struct(a["first-name"].alias("first"), a["middle-name"].alias("middle"), a["last-name"].alias("last"))))
+    return books.select(
+        "path",
+        F.trim(info["book-title"]).alias("title"),
+        info["lang"].alias("lang"),
+        F.col("description.document-info.id").alias("id"),
+        F.size(authors).alias("n_authors"),
+        authors[0]["last"].alias("last_name"),
+        F.array_join(meta.genres(info["genre"]), ",").alias("genres"),
+        meta.series_number(info["sequence"][0]["_number"]).alias("seq_num"),
+        info["coverpage"]["image"]["_l:href"].alias("cover"),
+        F.size("bodies").alias("n_bodies"),
+        F.size("binaries").alias("n_binaries"),
+    )
+
+
+@query("SELECT 'lib/' || doc_id || '.fb2' AS path, CASE WHEN doc_id % 11 = 0 THEN 'no book' ELSE 'damaged' END AS reason FROM documents WHERE NOT (" + GOOD + ")")
+def s11_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.read_fb2(fb2_files(spark, sf_dir))[1].select("path", "reason")
+
+
+@query("SELECT doc_id, text FROM documents")
+def s05_decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds_of = ("UTF-16BE", "UTF-16LE", "UTF-8")
+    docs = table(spark, sf_dir, "documents")
+    coded = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("FEFF")), F.encode("text", kinds_of[0]))).when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", kinds_of[1]))).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", kinds_of[2])))
+    return docs.select("doc_id", src.decode_text(coded).alias("text"))
+
+
+@query(f"SELECT 'lib/' || doc_id || '.fb2' AS path, 'About ' || source || chr(10) || 'second' AS annotation FROM documents WHERE {GOOD}")
+def p08_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books, _ = src.read_fb2(fb2_files(spark, sf_dir))
+    markup = books.select("path", F.concat(F.lit("<annotation>"), "annotation_markup", F.lit("</annotation>")).alias("markup"))
+    return tok.text_fragment(tok.tokenize_markup(markup, "path", "markup"), "path", "annotation").withColumnRenamed("fragment", "annotation")
+
+
+@query(f"SELECT 'lib/' || doc_id || '.fb2' AS path, 'Ann' AS first, '' AS middle, source AS last FROM documents WHERE {GOOD}")
+def p05_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books, _ = src.read_fb2(fb2_files(spark, sf_dir))
+    raw = F.transform(F.col("description.title-info.author"), lambda a: F.struct(a["first-name"].alias("first"), a["middle-name"].alias("middle"), a["last-name"].alias("last")))
+    return books.select("path", F.explode(meta.authors(raw)).alias("a")).select("path", "a.*")
+
+
+@query(f"SELECT 'lib/' || doc_id || '.fb2' AS path, 'n1' AS note_id, '1' AS title, 'Note of ' || source || chr(10) || 'more' AS body, 1 AS note_number, 0 AS body_number FROM documents WHERE {GOOD}")
+def m01_extract_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books, _ = src.read_fb2(fb2_files(spark, sf_dir))
+    bodies = books.select("path", F.posexplode("bodies").alias("body_ix", "markup")).where("body_ix > 0")
+    found = bodies.select("path", "body_ix", F.posexplode(F.regexp_extract_all("markup", F.lit(r"(?s)(<section\b.*?</section>)"), F.lit(1))).alias("pos", "section"))
+    children = F.regexp_extract_all(F.regexp_replace("section", r"(?s)<title>.*?</title>", ""), F.lit(r"(?s)(<p>.*?</p>)"), F.lit(1))
+    title = tok.full_text_fragment(F.regexp_extract("section", r"(?s)<title>(.*?)</title>", 1))
+    rows = found.select("path", F.concat(F.lit("body"), F.col("body_ix").cast("string")).alias("body_name"), "pos", F.regexp_extract("section", r'<section[^>]*\bid="([^"]*)"', 1).alias("note_id"), title.alias("title"), children.alias("children"))
+    # the body is joined by line, and each paragraph's markup starts one
+    notes = nt.extract_notes(rows, "path")
+    return notes.select("path", "note_id", "title", "body", "note_number", "body_number")
+
+
+# --- package rows -----------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {KINDS_SQL}, im AS (SELECT source AS book_id, doc_id AS ix, 'img' || doc_id AS fname, doc_id % 2 = 0 AS cov, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE doc_id % 50 < 20),
+ x AS (SELECT book_id, 'file' AS kind, file_ix::BIGINT AS ix, fname, 'application/xhtml+xml' AS media_type, FALSE AS cov FROM fk WHERE kind <> 'toc' UNION ALL SELECT book_id, 'image', ix, fname, 'image/png', n = 1 FROM im
+  UNION ALL SELECT book_id, 'vignette', 1, 'v1', 'image/png', FALSE FROM (SELECT DISTINCT book_id FROM fk) UNION ALL SELECT book_id, 'resource', 1, 'r1', 'text/css', FALSE FROM (SELECT DISTINCT book_id FROM fk))
+ SELECT book_id, CASE WHEN cov THEN 'book-cover-image' ELSE kind || row_number() OVER (PARTITION BY book_id, kind ORDER BY ix) END AS item_id, fname AS href, media_type, CASE WHEN cov THEN 'cover-image' END AS properties FROM x"""
+)
+def k03_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = kinds(spark, sf_dir).select("book_id", "file_ix", "fname", F.lit("application/xhtml+xml").alias("media_type"), (F.col("kind") != "toc").alias("in_manifest"))
+    docs = table(spark, sf_dir, "documents").where("doc_id % 50 < 20")
+    images = docs.select(F.col("source").alias("book_id"), F.col("doc_id").alias("image_ix"), F.concat(F.lit("img"), F.col("doc_id").cast("string")).alias("fname"), F.lit("image/png").alias("media_type"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) == 1).alias("is_cover"))
+    ids = files.select("book_id").distinct()
+    extra = lambda name, kind: ids.select("book_id", F.lit(1).alias("ix"), F.lit(name).alias("fname"), F.lit(kind).alias("media_type"))
+    return pk.manifest_rows("book_id", files, images, extra("v1", "image/png"), extra("r1", "text/css"))
+
+
+@query(f"WITH {KINDS_SQL} SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY file_ix) AS spine_ix, fname AS idref, CASE WHEN kind = 'cover' THEN 'no' ELSE 'yes' END AS linear FROM fk WHERE kind <> 'toc'")
+def k04_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = kinds(spark, sf_dir).select("book_id", "file_ix", "fname", (F.col("kind") != "toc").alias("in_spine"), (F.col("kind") == "cover").alias("is_cover_page"))
+    return pk.spine_rows(files, "book_id")
+
+
+@query(
+    f"WITH {KINDS_SQL}, s AS (SELECT book_id, arg_min(fname, file_ix) FILTER (kind = 'cover') AS c, arg_min(fname, file_ix) FILTER (kind = 'annotation') AS a, arg_min(fname, file_ix) AS i, arg_min(fname, file_ix) FILTER (kind = 'toc') AS t FROM fk GROUP BY book_id) "
+    "SELECT book_id, 'text' AS type, coalesce(CASE WHEN book_id LIKE '%1' THEN c END, CASE WHEN book_id LIKE '%2' THEN a END, i) AS href FROM s UNION ALL SELECT book_id, 'toc', t FROM s WHERE t IS NOT NULL"
+)
+def k05_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pk.guide_rows(kinds(spark, sf_dir), "book_id", F.col("book_id").like("%1"), F.col("book_id").like("%2"), toc_page=True)
+
+
+@query(
+    f"""WITH b AS (SELECT doc_id, {SQL_FIRST} AS title, lang, md5(text) AS book_id, source, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'S' END AS seq_name, (doc_id % 3)::INT AS seq_num FROM documents)
+ SELECT * FROM (SELECT doc_id, 'dc:title' AS name, 0 AS ix, title AS value FROM b UNION ALL SELECT doc_id, 'dc:language', 0, lang FROM b UNION ALL SELECT doc_id, 'dc:identifier', 0, 'urn:uuid:' || book_id FROM b
+ UNION ALL SELECT doc_id, 'cover', 0, CASE WHEN doc_id % 4 = 0 THEN 'c' ELSE '' END FROM b UNION ALL SELECT doc_id, 'series', 0, seq_name FROM b UNION ALL SELECT doc_id, 'series_index', 0, CASE WHEN seq_name <> '' AND seq_num > 0 THEN seq_num::VARCHAR END FROM b
+ UNION ALL SELECT doc_id, 'dc:creator', 0, 'Ann' FROM b UNION ALL SELECT doc_id, 'dc:creator', 1, source FROM b UNION ALL SELECT doc_id, 'dc:subject', 0, lang FROM b) WHERE value <> ''"""
+)
+def k06_package_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    books = table(spark, sf_dir, "documents").select(
+        "doc_id", tx.first_line(F.col("text")).alias("title"), "lang", F.md5(F.encode("text", "UTF-8")).alias("book_id"), F.array(F.lit("Ann"), "source").alias("authors"), F.array("lang").alias("genres"), F.lit("").alias("annotation"),
+        F.when(n % 4 == 0, "c").otherwise("").alias("cover_id"), F.when(n % 2 == 0, "").otherwise("S").alias("seq_name"), (n % 3).cast("int").alias("seq_num"),
+    )
+    return pk.package_metadata(books, "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'conflict' ELSE 'write' END AS outcome FROM documents")
+def k02_write_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    free, blocked = pk.write_conflicts(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    return free.withColumn("outcome", F.lit("write")).unionByName(blocked.withColumn("outcome", F.lit("conflict")))
+
+
+@query("SELECT source AS book_id, count(*) AS chapters FROM documents GROUP BY source")
+def k01_chapter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections(spark, sf_dir).groupBy("book_id").agg(F.count(F.lit(1)).alias("chapters"))
