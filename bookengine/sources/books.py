@@ -21,7 +21,7 @@ def looks_like(text: Column, start: str = "<?xml", holds: str = "<FictionBook",
 
 
 def scan_books(spark: SparkSession, root: str, extension: str = ".fb2") -> DataFrame:
-    """path, member, content, length of every book file under a folder; unreadable files are skipped."""
+    """path, member, content, length of every book file under a folder; unreadable files are skipped, and so are empty ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
     return files.where(F.endswith(F.lower("path"), F.lit(extension))).select("path", F.lit(None).cast("string").alias("member"), "content", "length")
 
