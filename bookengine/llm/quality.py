@@ -175,6 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.nd
     # at most fit_rows rows of two numbers: small enough to broadcast at any corpus size
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = doc_text(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(_features, f"doc_id {kind}, label int, features array<double>").toPandas()
+    if not len(rows):
+        return None
     rows = rows.sort_values("doc_id", kind="stable")
     x, y = np.array(rows["features"].tolist()).reshape(len(rows), -1), rows["label"].to_numpy()
     if not (y == 1).any():
