@@ -6,19 +6,19 @@
 3. In every tile each class is first paired with the tile's least class, so that copies of one page are joined
    into components by linearly many pairs.
 4. Only tiles that still hold several components are compared inside, cut by size band (a set can link
-   with its own and the next band alone) and into blocks of bounded size. Signatures are hashed bitmaps of
-   two bits a shingle, stored for each band at one width: a bit set on one side alone is a shingle missing on
-   the other, which bounds the overlap from above.
+   with its own and the next band alone) and into blocks of bounded size. Signatures are hashed bitmaps,
+   wider for larger sets: a bit set on one side alone is a shingle that the other lacks, which bounds the overlap
+   from above.
 5. Pairs that the bound admits are verified by intersecting sorted arrays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,9 @@ LEAST, PART = 80, 100
 KEYS, KEY_ROWS = 40, 3
 #: Classes of one block of a tile.
 BLOCK = 512
+#: Bits of a bitmap for each shingle, at least.
+BITS = 4
+TILE = ("key", "low", "high", "i", "j")
 
 
 def _seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,11 +56,6 @@ def tile_keys(shingles: np.ndarray, seeds: tuple[np.ndarray, np.ndarray]) -> np.
     return value.view(np.int64)
 
 
-def size_band(n: int) -> int:
-    """Bands grow by 1.25, so that sets of similarity 0.8 are in the same or in neighbouring bands."""
-    return int(np.floor(np.log(max(n, 1)) / np.log(PART / LEAST) + 1e-9))
-
-
 def bitmap(shingles: np.ndarray, bits: int) -> bytes:
     marks = np.zeros(bits, bool)
     marks[(shingles % np.uint64(bits)).astype(np.int64)] = True
@@ -65,16 +63,8 @@ def bitmap(shingles: np.ndarray, bits: int) -> bytes:
 
 
 def band_bits(n: int) -> int:
-    """Width of a set's bitmap: a power of two, of at least two bits a shingle. A wider one folds onto a narrower."""
-    return max(64, 1 << int(2 * n - 1).bit_length())
-
-
-def overlap_bound(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Largest possible intersections of all rows of ``a`` with all rows of ``b`` (bitmaps as words)."""
-    common = np.bitwise_count(a[:, None, :] & b[None, :, :]).sum(axis=2, dtype=np.int64)
-    only_a = np.bitwise_count(a).sum(axis=1, dtype=np.int64)[:, None] - common
-    only_b = np.bitwise_count(b).sum(axis=1, dtype=np.int64)[None, :] - common
-    return np.minimum(n_a[:, None] - only_a, n_b[None, :] - only_b)
+    """Width of a set's bitmap: a power of two, of at least BITS bits a shingle. A wider one folds onto a narrower."""
+    return max(64, 1 << int(BITS * n - 1).bit_length())
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,32 +98,110 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _tile_pairs(tile: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a tile's left and right block, of different components, that size and bitmaps admit."""
-    left, right = tile[tile["left"]], tile[tile["right"]]
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    bits = min(int(tile["marks"].map(len).min()) * 8, 1 << 14)
-
-    def words(rows: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(rows), bits // 64), np.uint64)
-        for k, marks in enumerate(rows["marks"]):
-            # position modulo a smaller power of two: the pieces lie over each other
-            out[k] = np.bitwise_or.reduce(np.frombuffer(marks, np.uint64).reshape(-1, bits // 64), axis=0)
+def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tile: the pairs of each tile's left and right side that may link. Tiles stay whole across batches."""
+    kept: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])]).combine_chunks()
+        starts = _tile_starts(rows)
+        last = int(starts[-1]) if len(starts) else 0
+        kept = rows.slice(last)
+        if last:
+            yield from _admitted(rows.slice(0, last), starts)
+    if kept is not None and len(kept):
+        yield from _admitted(kept, np.zeros(1, np.int64))
+
+
+def _tile_starts(rows: pa.Table) -> np.ndarray:
+    new = np.zeros(len(rows), bool)
+    if len(rows):
+        new[0] = True
+        for name in TILE:
+            column = rows.column(name).to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
+
+
+class _Signatures:
+    """Bitmaps of rows, as words, at their own width or folded onto a narrower one: pieces laid over each other."""
+
+    def __init__(self, marks: list[bytes]):
+        self.width = np.array([len(m) // 8 for m in marks], np.int64)
+        self.place = np.zeros(len(marks), np.int64)
+        self.full: dict[int, np.ndarray] = {}
+        for width in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width == width)
+            self.place[rows] = np.arange(len(rows))
+            self.full[width] = np.frombuffer(b"".join(marks[r] for r in rows), np.uint64).reshape(len(rows), width)
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def at(self, width: int, narrow: int) -> np.ndarray:
+        if (width, narrow) not in self.folded:
+            full = self.full[width]
+            self.folded[width, narrow] = np.bitwise_or.reduce(full.reshape(len(full), width // narrow, narrow), axis=1)
+        return self.folded[width, narrow]
+
+    def bound(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Largest possible intersections of rows ``a`` with rows ``b``."""
+        out = np.zeros(len(a), np.int64)
+        pair = self.width[a] * (1 << 32) + self.width[b]
+        for code in np.unique(pair).tolist():
+            rows = np.flatnonzero(pair == code)
+            wa, wb = code >> 32, code & 0xFFFFFFFF
+            narrow = min(wa, wb)
+            x, y = self.at(wa, narrow), self.at(wb, narrow)
+            step = max(1, (1 << 20) // narrow)
+            for k in range(0, len(rows), step):
+                part = rows[k : k + step]
+                s, t = x[self.place[a[part]]], y[self.place[b[part]]]
+                only_a = np.bitwise_count(s & ~t).sum(axis=1, dtype=np.int64)
+                only_b = np.bitwise_count(t & ~s).sum(axis=1, dtype=np.int64)
+                out[part] = np.minimum(n[a[part]] - only_a, n[b[part]] - only_b)
         return out
 
-    wr, nr, cr, ir = words(right), right["n"].to_numpy(), right["comp"].to_numpy(), right["cid"].to_numpy()
-    wl, nl, cl, il = words(left), left["n"].to_numpy(), left["comp"].to_numpy(), left["cid"].to_numpy()
-    found = []
-    step = max(1, (1 << 22) // max(1, wr.size))
-    for k in range(0, len(wl), step):
-        part = slice(k, k + step)
-        bound = overlap_bound(wl[part], wr, nl[part], nr)
-        ok = (PART * bound >= LEAST * (nl[part, None] + nr[None, :] - bound)) & (cl[part, None] != cr[None, :])
-        i, j = np.nonzero(ok)
-        found.append(np.stack([il[part][i], ir[j]]))
-    pairs = np.concatenate(found, axis=1)
-    return pd.DataFrame({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
+
+def _admitted(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    starts = starts[starts < len(rows)]
+    sizes = np.diff(np.append(starts, len(rows)))
+    left, right, comp, n, cid, key = (rows.column(k).to_numpy() for k in ("left", "right", "comp", "n", "cid", "key"))
+    kept = rows.column("kept").to_pylist()
+    signatures = _Signatures(rows.column("marks").to_pylist())
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
+
+    def judge() -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        ok = (comp[a] != comp[b]) & ((left[a] & right[b]) | (left[b] & right[a])) & (PART * np.minimum(n[a], n[b]) >= LEAST * np.maximum(n[a], n[b]))
+        a, b = a[ok], b[ok]
+        bound = signatures.bound(a, b, n)
+        ok = PART * bound >= LEAST * (n[a] + n[b] - bound)
+        a, b = a[ok], b[ok]
+        # a pair that meets in several tiles counts in the one of least key
+        first = [key[x] == min(set(kept[x]) & set(kept[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        a, b = a[first], b[first]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[a], cid[b])), pa.array(np.maximum(cid[a], cid[b]))], ["a", "b"])
+
+    for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+        # a block of at most BLOCK rows against another: the pairs of one row at a time where there are many
+        if size <= 256:
+            i, j = np.triu_indices(size, 1) if size > 64 else _triangle(size)
+            pieces = [(i + start, j + start)]
+        else:
+            pieces = [(np.full(size - k - 1, start + k), np.arange(start + k + 1, start + size)) for k in range(size - 1)]
+        for piece in pieces:
+            waiting.append(piece)
+            count += len(piece[0])
+            if count >= 1 << 18:
+                yield judge()
+                waiting.clear()
+                count = 0
+    if waiting:
+        yield judge()
+
+
+@lru_cache(maxsize=64)
+def _triangle(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(size, 1)
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -151,36 +219,34 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(_linked, "a long, b long").distinct()
 
 
-def _mixed_tiles(tiles: DataFrame, member: DataFrame) -> DataFrame:
-    """Rows (key, cid, comp) of the keys under which several components meet."""
-    rows = tiles.join(member.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
-    # written, so that the join below has plain exchanges, whose hot partitions Spark splits
-    mixed = materialize(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "mixed")
-    return rows.join(mixed, "key")
-
-
 def _rest_pairs(tiles: DataFrame, member: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs between different components of one tile that the bitmap bound admits."""
-    rows = materialize(_mixed_tiles(tiles, member), "mixed_tiles").join(classes.select("cid", "n", "marks"), "cid")
+    rows = tiles.join(member.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("comp"))
+    met = rows.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cid")).alias("one"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("two")
+    )
+    # small groups meet under many keys: of keys with the same members one is enough
+    mixed = met.where("lo < hi").groupBy("size", "one", "two").agg(F.min("key").alias("key")).select("key")
+    # written, so that the joins have plain exchanges, whose hot partitions Spark splits
+    mixed = materialize(mixed, "mixed")
+    members = rows.join(mixed, "key").groupBy("cid").agg(F.min("comp").alias("comp"), F.collect_list("key").alias("kept"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(PART / LEAST)) + 1e-9).cast("long")
-    rows = rows.withColumn("band", band)
-    # a band's rows take part as left side with their own and the next band, as right side with the last too
-    sizes = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("size"))
+    members = materialize(members.join(classes.select("cid", "n", "marks"), "cid").withColumn("band", band), "tile_members")
+    sizes = members.select(F.explode("kept").alias("key"), "band").groupBy("key", "band").agg(F.count(F.lit(1)).alias("size"))
     blocks = sizes.select("key", "band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    # a band's rows meet their own band, as left side the next one, as right side the last one
     after = blocks.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_after"))
     before = blocks.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_before"))
-    counts = blocks.join(after, ["key", "band"], "left").join(before, ["key", "band"], "left")
-    rows = rows.join(materialize(counts, "blocks"), ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    me = F.col("block")
+    counts = materialize(blocks.join(after, ["key", "band"], "left").join(before, ["key", "band"], "left"), "blocks")
+    dealt = members.withColumn("key", F.explode("kept")).join(counts, ["key", "band"])
+    me = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     tile = lambda low, high, i, j, left, right: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     own = F.transform(upto(F.col("blocks")), lambda o: tile(F.col("band"), F.col("band"), F.least(me, o), F.greatest(me, o), me <= o, me >= o))
     up = F.transform(upto(F.coalesce("blocks_after", F.lit(0))), lambda o: tile(F.col("band"), F.col("band") + 1, me, o, F.lit(True), F.lit(False)))
     down = F.transform(upto(F.coalesce("blocks_before", F.lit(0))), lambda o: tile(F.col("band") - 1, F.col("band"), o, me, F.lit(False), F.lit(True)))
-    dealt = rows.select("key", "cid", "comp", "n", "marks", F.explode(F.concat(own, up, down)).alias("t")).select("key", "cid", "comp", "n", "marks", "t.*")
-    keys = ["key", "low", "high", "i", "j"]
-    mixed = dealt.groupBy(*keys).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*keys)
-    return dealt.join(mixed, keys).groupBy(*keys).applyInPandas(_tile_pairs, "a long, b long").where("a <> b").distinct()
+    dealt = dealt.select("key", "cid", "comp", "n", "marks", "kept", F.explode(F.concat(own, up, down)).alias("t")).select("key", "t.*", "cid", "comp", "n", "marks", "kept")
+    return dealt.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(_tile_pairs, "a long, b long")
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
