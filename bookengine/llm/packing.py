@@ -151,11 +151,43 @@ def differencing(lengths: list[int], windows: int) -> list[list[int]]:
     return [items for _, items in heap[0][2]] if heap else []
 
 
+def _levelled(parts: list[list[int]], lengths: list[int], capacity: int) -> bool:
+    """Bring overfull parts under the capacity by exchanging one item (or none) with emptier parts; False if one stays over."""
+    sums = [sum(lengths[i] for i in part) for part in parts]
+    for k in sorted(range(len(parts)), key=lambda x: -sums[x]):
+        while sums[k] > capacity:
+            # the exchange that leaves the partner fullest keeps the most room for others
+            best = None
+            for m in sorted(range(len(parts)), key=lambda x: sums[x])[: len(parts) // 2 + 1]:
+                room, over = capacity - sums[m], sums[k] - capacity
+                if room < 1 or m == k:
+                    continue
+                for i in parts[k]:
+                    for j in (None, *parts[m]):
+                        moved = lengths[i] - (lengths[j] if j is not None else 0)
+                        if 0 < moved <= room and (best is None or (min(moved, over), -moved) > best[0]):
+                            best = ((min(moved, over), -moved), m, i, j, moved)
+                if best is not None and best[0][0] == over:
+                    break
+            if best is None:
+                return False
+            _, m, i, j, moved = best
+            parts[k].remove(i)
+            parts[m].append(i)
+            if j is not None:
+                parts[m].remove(j)
+                parts[k].append(j)
+            sums[k] -= moved
+            sums[m] += moved
+    return True
+
+
 def pack_group(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Parts of at most ``capacity``: largest differencing, then exchanges; the window count rises while a part is still over."""
     windows = max(1, -(-sum(lengths) // capacity)) if lengths else 0
     while windows:
         parts = differencing(lengths, windows)
-        if max(sum(lengths[i] for i in part) for part in parts) <= capacity:
+        if _levelled(parts, lengths, capacity):
             return parts
         windows += max(1, windows // 200)
     return []
