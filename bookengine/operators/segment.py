@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,12 +57,12 @@ def hyphenate(words: DataFrame, patterns: tuple[str, ...] = PATTERNS, exceptions
     No hyphen within the first two or the last two letters, none in words of two letters. Exceptions go first. Only
     distinct words are taken apart, into substrings no longer than the longest pattern, which meet the pattern table in a join.
     """
-    spark = words.sparkSession
     exceptions = EXCEPTIONS if exceptions is None else exceptions
     rows = pattern_rows(patterns)
     longest = max((len(r[0]) for r in rows), default=1)
     # the pattern table is a parameter of bounded size
-    table = F.broadcast(spark.createDataFrame(rows, "piece string, place int, value int"))
+    columns = {"piece": pa.array([r[0] for r in rows], pa.string()), "place": pa.array([r[1] for r in rows], pa.int32()), "value": pa.array([r[2] for r in rows], pa.int32())}
+    table = F.broadcast(words.sparkSession.createDataFrame(pa.table(columns)))
     distinct = words.select("word").distinct()
     known = F.create_map(*map(F.lit, chain.from_iterable(exceptions.items()))) if exceptions else F.create_map().cast("map<string,string>")
     fixed = F.try_element_at(known, F.col("word"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from html.entities import html5
 from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,8 +135,7 @@ def resolve_entities(docs: DataFrame, key: str, markup: str, entities: dict[str,
 
     The table of names is fixed and small, so it is broadcast; texts are taken apart at the references and joined again in order.
     """
-    spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(list(entities.items()), "name string, value string"))
+    table = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"name": list(entities), "value": list(entities.values())})))
     pattern = r"&([A-Za-z][A-Za-z0-9]*);"
     text = F.col(markup)
     between = F.split(text, pattern, -1)
