@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from bookengine.llm import suffix_dedup
+from bookengine.llm import ngram_join, suffix_dedup
 from bookengine.llm.components import connected_components
 from bookengine.llm.exact_dedup import build_levels, drop_repeats, exact_dedup, find_slots
 from bookengine.llm.ngram_join import ngram_components, one_of_each_component
@@ -91,7 +91,21 @@ def test_ngram_components(small, nothing):
     assert ngram_components(nothing).count() == 0
 
 
-def test_ngram_components_of_many_near_copies(spark):
+def test_bound_admits_every_overlap():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 3000, rng.integers(1, 400)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(60)]
+    n = np.array([len(s) for s in sets])
+    signatures = ngram_join._Signatures([ngram_join.bitmap(s, ngram_join.band_bits(len(s))) for s in sets])
+    a, b = np.triu_indices(60, 1)
+    true = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    bound = signatures.bound(a, b, n)
+    assert (bound >= true).all()
+    assert (bound <= np.minimum(n[a], n[b])).all()
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_ngram_components_of_many_near_copies(spark, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     # clusters of copies with few or many edits, passages shared by all, and pairs on both sides of the threshold
     rng = random.Random(3)
     word = lambda: f"w{rng.randrange(4000)}"
