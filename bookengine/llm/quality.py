@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookengine.llm.columns import LOWER, WHITE, byte_steps, doc_text, word_bounds
+from bookengine.llm.columns import byte_steps, doc_text, word_bounds
+from bookengine.llm.shingles import word_hashes
 
 #: Most labelled training rows that the fit looks at, those of smallest hash; beyond it the fit gains nothing visible.
 FIT_ROWS = 20_000
@@ -62,10 +63,7 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     word_row = np.repeat(np.arange(rows), words)
     n = np.maximum(words, 1)
     mean = np.bincount(word_row, width, rows) / n
-    # words as numbers: a running sum over mixed bytes is enough to count repeats
-    mixed = np.concatenate([[0], np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(7)) * _powers(len(data)))]).astype(np.uint64)
-    code = (mixed[ends] - mixed[starts]) * _inverse_powers(len(data))[starts]
-    code ^= code >> np.uint64(29)
+    code = word_hashes(data, starts, ends)
     order = np.lexsort((code, word_row))
     new = np.ones(len(code), bool)
     new[1:] = (code[order][1:] != code[order][:-1]) | (word_row[order][1:] != word_row[order][:-1])
@@ -92,25 +90,6 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-BASE = 0x9E3779B97F4A7C15
-_tables: dict[str, np.ndarray] = {}
-
-
-def _grown(name: str, base: int, size: int) -> np.ndarray:
-    if len(_tables.get(name, ())) < size:
-        with np.errstate(over="ignore"):
-            _tables[name] = np.concatenate([np.ones(1, np.uint64), np.full(max(size, 1 << 20), base, np.uint64)]).cumprod(dtype=np.uint64)
-    return _tables[name][:size]
-
-
-def _powers(size: int) -> np.ndarray:
-    return _grown("up", BASE, size)
-
-
-def _inverse_powers(size: int) -> np.ndarray:
-    return _grown("down", pow(BASE, -1, 1 << 64), size + 1)
-
-
 def expand(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, x * x])
 
