@@ -122,7 +122,7 @@ def k03_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pk.manifest_rows("book_id", files, images, extra("v1", "image/png"), extra("r1", "text/css"))
 
 
-@query(f"WITH {KINDS_SQL} SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY file_ix) AS spine_ix, fname AS idref, CASE WHEN kind = 'cover' THEN 'no' ELSE 'yes' END AS linear FROM fk WHERE kind <> 'toc'")
+@query(f"WITH {KINDS_SQL} SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY file_ix) AS spine_ix, fname AS idref, CASE WHEN kind = 'cover' THEN 'no' ELSE 'yes' END AS linear FROM fk WHERE kind <> 'toc'", spine_ix="INT")
 def k04_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = kinds(spark, sf_dir).select("book_id", "file_ix", "fname", (F.col("kind") != "toc").alias("in_spine"), (F.col("kind") == "cover").alias("is_cover_page"))
     return pk.spine_rows(files, "book_id")

@@ -12,8 +12,10 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its name, with the SQL that must give the same rows."""
+def query(sql: str | None = None, **types: str) -> Callable[[Query], Query]:
+    """Register a function under its name, with the SQL that must give the same rows; ``types`` are casts of its columns."""
+    if sql is not None and types:
+        sql = f"SELECT * REPLACE ({', '.join(f'{name}::{kind} AS {name}' for name, kind in types.items())}) FROM ({sql})"
 
     def register(function: Query) -> Query:
         QUERIES[function.__name__] = function

@@ -93,7 +93,8 @@ def chapter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {_FILES_SQL}, p AS (SELECT book_id, file_ix, fname, unnest(range(n_pages + 1)) AS page FROM files WHERE in_spine) "
-    "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY file_ix, page) AS number, CASE WHEN page = 0 THEN fname ELSE fname || '#page_' || (page - 1) END AS href FROM p"
+    "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY file_ix, page) AS number, CASE WHEN page = 0 THEN fname ELSE fname || '#page_' || (page - 1) END AS href FROM p",
+    number="INT"
 )
 def c08_page_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.page_map(chapter_files(spark, sf_dir), "book_id")
@@ -113,7 +114,7 @@ def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.toc_entries(titles(spark, sf_dir), "book_id", "doc_id")
 
 
-@query(f"WITH {TOC_SQL} SELECT book_id, toc_ix, ref, title, level, body_name, is_main FROM toc")
+@query(f"WITH {TOC_SQL} SELECT book_id, toc_ix, ref, title, level, body_name, is_main FROM toc", toc_ix="INT")
 def c09_toc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toc(spark, sf_dir)
 
@@ -135,18 +136,18 @@ def c11_untitled_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENDS = f"{SECTIONS_SQL}, e AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) AS end_pos FROM sec), f AS (SELECT *, lead(end_pos) OVER (PARTITION BY book_id ORDER BY end_pos) AS nx FROM e WHERE has_title AND text_length > 0)"
 
 
-@query(f"WITH {_ENDS} SELECT book_id, doc_id, end_pos FROM f WHERE nx IS NULL OR nx > end_pos + 1")
+@query(f"WITH {_ENDS} SELECT book_id, doc_id, end_pos FROM f WHERE nx IS NULL OR nx > end_pos + 1", end_pos="INT")
 def c12_chapter_end_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = sections(spark, sf_dir).withColumn("end_pos", F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id")))
     return st.chapter_end_marks(ends, "book_id", "doc_id")
 
 
-@query(f"WITH {TOC_SQL} SELECT book_id, toc_ix, ref, CASE WHEN level = 0 THEN 'Book ' || book_id ELSE replace(title, chr(10), ' ') END AS title, (CASE WHEN is_main THEN level ELSE 0 END)::INT AS indent FROM toc WHERE NOT is_main OR level <= 1")
+@query(f"WITH {TOC_SQL} SELECT book_id, toc_ix, ref, CASE WHEN level = 0 THEN 'Book ' || book_id ELSE replace(title, chr(10), ' ') END AS title, (CASE WHEN is_main THEN level ELSE 0 END)::INT AS indent FROM toc WHERE NOT is_main OR level <= 1", toc_ix="INT")
 def c13_toc_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.toc_page(toc(spark, sf_dir), "book_id", 1, F.concat(F.lit("Book "), F.col("book_id")))
 
 
-@query(f"WITH {TOC_SQL} SELECT book_id, toc_ix, NULL::INT AS parent_ix FROM toc")
+@query(f"WITH {TOC_SQL} SELECT book_id, toc_ix, NULL::INT AS parent_ix FROM toc", toc_ix="INT")
 def c14_toc_tree_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.toc_tree(toc(spark, sf_dir), "book_id", "flat")
 
@@ -161,7 +162,7 @@ def c14_toc_tree_kindle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.toc_tree(toc(spark, sf_dir), "book_id", "kindle")
 
 
-@query(f"WITH {TOC_SQL} SELECT book_id, toc_ix + 1 AS play_order, title, 'before' AS placement FROM toc UNION ALL SELECT DISTINCT book_id, 1, 'Contents', 'before' FROM toc UNION ALL SELECT book_id, toc_ix, title, 'after' FROM toc UNION ALL SELECT book_id, max(toc_ix) + 1, 'Contents', 'after' FROM toc GROUP BY book_id")
+@query(f"WITH {TOC_SQL} SELECT book_id, toc_ix + 1 AS play_order, title, 'before' AS placement FROM toc UNION ALL SELECT DISTINCT book_id, 1, 'Contents', 'before' FROM toc UNION ALL SELECT book_id, toc_ix, title, 'after' FROM toc UNION ALL SELECT book_id, max(toc_ix) + 1, 'Contents', 'after' FROM toc GROUP BY book_id", play_order="INT")
 def c15_play_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = toc(spark, sf_dir)
     return st.play_order(entries, "book_id", "before").withColumn("placement", F.lit("before")).unionByName(st.play_order(entries, "book_id", "after").withColumn("placement", F.lit("after")))
@@ -177,7 +178,8 @@ def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {KINDS_SQL} SELECT book_id, file_ix, kind, row_number() OVER (PARTITION BY book_id ORDER BY list_position(['cover', 'toc', 'annotation', 'text'], kind), file_ix) AS place, 'before' AS placement FROM fk "
-    "UNION ALL SELECT book_id, file_ix, kind, row_number() OVER (PARTITION BY book_id ORDER BY list_position(['cover', 'annotation', 'text', 'toc'], kind), file_ix), 'after' FROM fk"
+    "UNION ALL SELECT book_id, file_ix, kind, row_number() OVER (PARTITION BY book_id ORDER BY list_position(['cover', 'annotation', 'text', 'toc'], kind), file_ix), 'after' FROM fk",
+    place="INT"
 )
 def c16_file_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = kinds(spark, sf_dir)
@@ -239,7 +241,7 @@ def w01_first_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_of(rows, ["book_id", "image_id"], "doc_id")
 
 
-@query(f"WITH {SECTIONS_SQL} SELECT book_id, doc_id, row_number() OVER w AS section_no, sum(text_length) OVER w::BIGINT AS chars_so_far, last_value(CASE WHEN has_title THEN title END IGNORE NULLS) OVER w AS latest_title FROM sec WINDOW w AS (PARTITION BY book_id ORDER BY doc_id)".replace("OVER w::BIGINT", "OVER w"))
+@query(f"WITH {SECTIONS_SQL} SELECT book_id, doc_id, row_number() OVER w AS section_no, sum(text_length) OVER w::BIGINT AS chars_so_far, last_value(CASE WHEN has_title THEN title END IGNORE NULLS) OVER w AS latest_title FROM sec WINDOW w AS (PARTITION BY book_id ORDER BY doc_id)".replace("OVER w::BIGINT", "OVER w"), section_no="INT", chars_so_far="BIGINT")
 def w02_running_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("book_id").orderBy("doc_id")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -250,7 +252,7 @@ _NUMBERED_SQL = """numb AS (SELECT source AS book_id, 'body' || doc_id % 3 AS bo
 bods AS (SELECT book_id, body_name, CASE WHEN count(*) OVER (PARTITION BY book_id) > 1 THEN row_number() OVER (PARTITION BY book_id ORDER BY min(doc_id)) ELSE 0 END AS body_number FROM numb GROUP BY book_id, body_name)"""
 
 
-@query(f"WITH {_NUMBERED_SQL} SELECT book_id, body_name, doc_id, note_number, body_number FROM numb JOIN bods USING (book_id, body_name)")
+@query(f"WITH {_NUMBERED_SQL} SELECT book_id, body_name, doc_id, note_number, body_number FROM numb JOIN bods USING (book_id, body_name)", note_number="INT", body_number="INT")
 def w03_note_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bookengine.operators.notes import number_notes
 
@@ -258,7 +260,7 @@ def w03_note_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_notes(notes, "book_id", "body_name", "doc_id")
 
 
-@query(f"WITH {CHAPTERS_SQL} SELECT book_id, fname, row_number() OVER (PARTITION BY book_id ORDER BY length(fname) DESC, fname) AS place FROM (SELECT DISTINCT book_id, fname FROM chap)")
+@query(f"WITH {CHAPTERS_SQL} SELECT book_id, fname, row_number() OVER (PARTITION BY book_id ORDER BY length(fname) DESC, fname) AS place FROM (SELECT DISTINCT book_id, fname FROM chap)", place="INT")
 def o01_longest_key_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = chapters(spark, sf_dir).select("book_id", "fname").distinct()
     return files.withColumn("place", F.row_number().over(Window.partitionBy("book_id").orderBy(F.char_length("fname").desc(), "fname")))
