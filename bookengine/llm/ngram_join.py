@@ -5,8 +5,8 @@
    of Jaccard similarity 0.8 share none with probability (1 - 0.8^3)^40 < 4e-13.
 3. In every tile each class is first paired with the tile's least class, so that copies of one page are joined
    into components by linearly many pairs.
-4. Only tiles that still hold several components are compared inside, cut by size band (a set can link
-   with its own and the next band alone) and into blocks of bounded size. Signatures are hashed bitmaps,
+4. Only tiles that still hold several components are compared inside, cut, where they exceed a block,
+   by size band (a set can link with its own and the next band alone) and into blocks of bounded size. Signatures are hashed bitmaps,
    wider for larger sets: a bit set on one side alone is a shingle that the other lacks, which bounds the overlap
    from above.
 5. Pairs that the bound admits are verified by intersecting sorted arrays.
@@ -32,7 +32,7 @@ from bookengine.llm.store import materialize
 LEAST, PART = 80, 100
 KEYS, KEY_ROWS = 40, 3
 #: Classes of one block of a tile.
-BLOCK = 512
+BLOCK = 2048
 #: Bits of a bitmap for each shingle, at least.
 BITS = 4
 TILE = ("key", "low", "high", "i", "j")
@@ -233,19 +233,23 @@ def _rest_pairs(tiles: DataFrame, member: DataFrame, classes: DataFrame) -> Data
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(PART / LEAST)) + 1e-9).cast("long")
     members = materialize(members.join(classes.select("cid", "n", "marks"), "cid").withColumn("band", band), "tile_members")
     sizes = members.select(F.explode("kept").alias("key"), "band").groupBy("key", "band").agg(F.count(F.lit(1)).alias("size"))
+    total = sizes.groupBy("key").agg(F.sum("size").alias("total"))
     blocks = sizes.select("key", "band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     # a band's rows meet their own band, as left side the next one, as right side the last one
     after = blocks.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_after"))
     before = blocks.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_before"))
-    counts = materialize(blocks.join(after, ["key", "band"], "left").join(before, ["key", "band"], "left"), "blocks")
+    counts = materialize(blocks.join(after, ["key", "band"], "left").join(before, ["key", "band"], "left").join(total, "key"), "blocks")
     dealt = members.withColumn("key", F.explode("kept")).join(counts, ["key", "band"])
     me = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     tile = lambda low, high, i, j, left, right: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    # a group that fits one block is one tile
+    zero, yes = F.lit(0), F.lit(True)
+    whole = F.array(tile(F.lit(-1).cast("bigint"), F.lit(-1).cast("bigint"), zero, zero, yes, yes))
     own = F.transform(upto(F.col("blocks")), lambda o: tile(F.col("band"), F.col("band"), F.least(me, o), F.greatest(me, o), me <= o, me >= o))
     up = F.transform(upto(F.coalesce("blocks_after", F.lit(0))), lambda o: tile(F.col("band"), F.col("band") + 1, me, o, F.lit(True), F.lit(False)))
     down = F.transform(upto(F.coalesce("blocks_before", F.lit(0))), lambda o: tile(F.col("band") - 1, F.col("band"), o, me, F.lit(False), F.lit(True)))
-    dealt = dealt.select("key", "cid", "comp", "n", "marks", "kept", F.explode(F.concat(own, up, down)).alias("t")).select("key", "t.*", "cid", "comp", "n", "marks", "kept")
+    dealt = dealt.select("key", "cid", "comp", "n", "marks", "kept", F.explode(F.when(F.col("total") <= BLOCK, whole).otherwise(F.concat(own, up, down))).alias("t")).select("key", "t.*", "cid", "comp", "n", "marks", "kept")
     return dealt.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(_tile_pairs, "a long, b long")
 
 
