@@ -32,7 +32,7 @@ END_ID = 1
 #: Pieces a group holds on average.
 GROUP_PIECES = 600
 #: Encoded words that a Python worker remembers before it forgets all.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 
 
 class WordEncoder:
