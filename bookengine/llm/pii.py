@@ -38,7 +38,7 @@ def _is_card(found: Column) -> Column:
 # since a later start in the same run can't match when the first does not.
 RULES = (
     Rule("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", None, lambda t: F.contains(t, F.lit("@"))),
-    Rule("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(r"^(?:0*+(?:1?[0-9]?[0-9]|2[0-4][0-9]|25[0-5])(?:\.|$)){4}"), None),
+    Rule("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(r"^(?:(?:0++|0*+(?:1?[0-9]?[0-9]|2[0-4][0-9]|25[0-5]))(?:\.|$)){4}"), None),
     Rule("card", r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+", _is_card, lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}")),
     Rule("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(8, 15), lambda t: F.contains(t, F.lit("+"))),
 )

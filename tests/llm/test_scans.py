@@ -76,6 +76,16 @@ def test_base_spans(spark, small, nothing):
     assert extract_pii(nothing).count() == 0
 
 
+ZEROS = ["10.0.0.1 127.0.0.1 0.0.0.0", "at 000.1.2.3, 192.168.0.10; 255.255.255.0", "0.0.0.256 256.0.0.0 0255.00.0.000", "0" * 3000 + ".0.0." + "0" * 3000]
+
+
+def test_addresses_with_zero_parts(spark):
+    docs = spark.createDataFrame(list(enumerate(ZEROS)), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["base"]] for r in extract_pii(docs).collect()}
+    assert found == {k: base_spans(t) for k, t in enumerate(ZEROS)}
+    assert [sum(kind == "ip" for kind, _, _ in found[k]) for k in range(4)] == [3, 3, 1, 1]
+
+
 def test_patterns_discover_unseen_identifiers(spark):
     # 'write to' leads to e-mails often enough; an identifier of another form behind it is found
     texts = [f"Please write to user{k}@mail.example.org today." for k in range(8)] + ["Please write to user-0815/intern today.", "An order of 123456 pieces came.", "Please write to nobody."]
