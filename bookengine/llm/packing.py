@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -41,7 +42,8 @@ class WordEncoder:
     The split pattern always cuts between a non-space and a single space that a non-space follows, so
     the ids of a text are the ids of such chunks in order, and a chunk need be encoded only once.
     Chunks not yet known are encoded joined, by tiktoken, from the file's own vocabulary: in this kind
-    of file the ids are the merge ranks. Strings of special tokens are ordinary text.
+    of file the ids are the merge ranks. Strings of added tokens are ordinary text to ``encode`` and
+    one id each to ``encode_added``, which is the file's own setting.
     """
 
     def __init__(self, path: str):
@@ -50,7 +52,12 @@ class WordEncoder:
 
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        special = {x["content"] for x in model["added_tokens"]}
+        if any(x[flag] for x in model["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: an added token takes in what stands beside it")
+        special = {x["content"]: x["id"] for x in model["added_tokens"]}
+        self.added = {content: np.array([i], "<u4").tobytes() for content, i in special.items()}
+        # the longest of the tokens that start at a place
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         byte_of = {ord(char): byte for char, byte in zip(*_byte_letters(), strict=True)}
         ranks = {bytes(byte_of[ord(c)] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -84,6 +91,14 @@ class WordEncoder:
             else:
                 yield self._ids(words[0]).tobytes() + b"".join(map(self.known.__getitem__, words[1:]))
 
+    def encode_added(self, texts: list[str]) -> Iterator[bytes]:
+        """As ``encode``, but an added token is its id, and what stands between two is encoded on its own."""
+        # split by a group: texts at even places, added tokens at odd ones
+        parts = [self.cut.split(x) if self.cut and x else [x] for x in texts]
+        between = self.encode([x for part in parts for x in part[::2]])
+        for part in parts:
+            yield b"".join(self.added[x] if k % 2 else next(between) for k, x in enumerate(part))
+
 
 def _byte_letters() -> tuple[str, range]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
@@ -112,7 +127,7 @@ def _cutter(tokenizer_path: str, capacity: int, piece: int, end_id: int):
         for batch in batches:
             ids, rows = batch.column("doc_id"), []
             texts = batch.column("text").to_pylist()
-            for i, raw in enumerate(x + end for part in range(0, len(texts), 200) for x in encoder.encode(texts[part : part + 200])):
+            for i, raw in enumerate(x + end for part in range(0, len(texts), 200) for x in encoder.encode_added(texts[part : part + 200])):
                 for start, length in _cuts(len(raw) // 4, capacity, piece):
                     rows.append((i, start, length, crc32(raw[4 * start : 4 * (start + length)]), len(raw) // 4))
             at, start, length, crc, total = (np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else ([],) * 5))

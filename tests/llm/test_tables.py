@@ -29,6 +29,25 @@ def test_word_encoder():
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(ODD * 2)] == reference_ids(ODD) * 2
 
 
+ADDED = ["<|endoftext|>", "<|endoftext|>" * 3, "one <|endoftext|> two", "one<|endoftext|>two  three ", "<|endoftext|>\n\n x", "<|endoftext|", "a <|endoftext|><|endoftext|>", "<|<|endoftext|>|>", "é  <|endoftext|>  é"]
+
+
+def contract_ids(texts):
+    """Ids under the tokenizer file as it is, with nothing set on it."""
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(q.tokenizer_path())
+    return [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_added_tokens(spark):
+    texts = ADDED + ODD
+    expected = contract_ids(texts)
+    assert expected[0] == [50256]
+    assert [np.frombuffer(x, "<u4").tolist() for x in WordEncoder(q.tokenizer_path()).encode_added(texts * 2)] == expected * 2
+    rows = pack_documents(spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string"), q.tokenizer_path()).collect()
+    found = {(r["doc_id"], r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]) for r in rows}
+    assert found == {(k, 0, len(x) + 1, len(x) + 1, crc32(np.array([*x, END_ID], "<u4").tobytes())) for k, x in enumerate(expected[: len(ADDED)])}
+
+
 def test_differencing():
     assert differencing([], 3) == []
     for seed in range(5):
