@@ -3,11 +3,17 @@
 Each line of a text, and the text as a whole, is compared with every template whose size admits the
 threshold: with a and b distinct bigrams the coefficient is at most 2 min(a, b) / (a + b). Segments that
 share no hashed bigram with any template are passed over in vectorised steps; the rest are compared word by word.
+
+A notice that wraps over lines or stands beside other words is found by windows of as many words as the
+template has, which slide over the whole text across line breaks. A window counts only where no line or whole
+text has given the notice already, and of windows that overlap only the best.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,16 +55,42 @@ def bigrams(text: str) -> set[tuple[bytes, bytes]]:
     return set(zip(found, found[1:], strict=False))
 
 
-def _bigram_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word with the next, and where the first starts."""
+def _bigram_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word with the next, and where every word starts and ends."""
     starts, ends, _ = word_bounds(data, offsets, _BREAK)
     value = word_hashes(data, starts, ends)
-    return (mix(value[:-1] * np.uint64(BASE) + value[1:]), starts[:-1]) if len(value) > 1 else (np.zeros(0, np.uint64), starts[:0])
+    return (mix(value[:-1] * np.uint64(BASE) + value[1:]) if len(value) > 1 else np.zeros(0, np.uint64)), starts, ends
+
+
+def _ranges(places: np.ndarray, size: int, least_hits: int) -> list[tuple[int, int]]:
+    """First and last starts of windows of ``size`` words that hold the least number of bigrams at ``places``."""
+    if len(places) < least_hits:
+        return []
+    low, high = places[least_hits - 1 :] - (size - 2), places[: len(places) - least_hits + 1]
+    near = low <= high
+    low, high = low[near], high[near]
+    if len(low) == 0:
+        return []
+    apart = np.flatnonzero(low[1:] > high[:-1] + 1)
+    return list(zip(low[[0, *(apart + 1)]].tolist(), high[[*apart, len(high) - 1]].tolist(), strict=True))
+
+
+def best_apart(windows: list[tuple[float, int]], size: int) -> list[tuple[float, int]]:
+    """Of (dice, start) those that overlap none of higher dice, or of the same dice and an earlier start."""
+    taken: list[int] = []
+    kept = []
+    for dice, start in sorted(windows, key=lambda x: (-x[0], x[1])):
+        k = bisect_left(taken, start)
+        if (k == 0 or start - taken[k - 1] >= size) and (k == len(taken) or taken[k] - start >= size):
+            insort(taken, start)
+            kept.append((dice, start))
+    return kept
 
 
 def _scanner(templates: tuple[tuple[str, str], ...], least: float):
     sets = [(name, bigrams(text)) for name, text in templates]
     sets = [(name, x) for name, x in sets if x]
+    sizes = [(name, len(words(text)), bigrams(text), text) for name, text in templates if bigrams(text)]
 
     def compare(segment: str) -> Iterator[tuple[str, float]]:
         found = bigrams(segment)
@@ -68,23 +100,53 @@ def _scanner(templates: tuple[tuple[str, str], ...], least: float):
                 if dice >= least:
                     yield name, dice
 
+    def window_dice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: int, high: int, size: int, template: set) -> Iterator[tuple[float, int]]:
+        found = [data[a:b].tobytes().lower() for a, b in zip(starts[low : high + size].tolist(), ends[low : high + size].tolist(), strict=True)]
+        pairs = list(zip(found, found[1:], strict=False))
+        for k in range(high - low + 1):
+            g = set(pairs[k : k + size - 1])
+            dice = 2.0 * len(g & template) / (len(g) + len(template))
+            if dice >= least:
+                yield dice, low + k
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [np.frombuffer(text.encode(), np.uint8) for _, text in templates]
-        known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_bigram_hashes(x, np.array([0, len(x)]))[0] for x in known)]))
+        own = [np.unique(_bigram_hashes(x, np.array([0, len(x)]))[0]) for x in (np.frombuffer(text.encode(), np.uint8) for *_, text in sizes)]
+        known = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]))
         for batch in batches:
             rows, ids, texts = [], batch.column("doc_id"), batch.column("text")
             for start, _, data, offsets in byte_steps(batch):
-                hashes, at = _bigram_hashes(data, offsets)
+                hashes, begin, stop = _bigram_hashes(data, offsets)
                 place = np.searchsorted(known, hashes)
-                hit = at[(place < len(known)) & (known[np.minimum(place, len(known) - 1)] == hashes)] if len(known) else at[:0]
+                near = np.flatnonzero((place < len(known)) & (known[np.minimum(place, len(known) - 1)] == hashes)) if len(known) else np.zeros(0, np.int64)
+                hit = begin[near]
+                # windows of a row that hold enough of a template's bigrams: with s shared the coefficient is at most 2 s / (s + template)
+                windows: dict[int, list[tuple[str, int, float, int]]] = {}
+                for (name, size, template, _), grams in zip(sizes, own, strict=True):
+                    for low, high in _ranges(near[np.isin(hashes[near], grams)], size, max(1, math.ceil(least * len(template) / (2 - least) - 1e-9))):
+                        # windows stay in one row
+                        for row in range(np.searchsorted(offsets, begin[max(low, 0)], side="right") - 1, np.searchsorted(offsets, begin[min(high + size, len(begin)) - 1], side="right")):
+                            first, last = np.searchsorted(begin, offsets[row : row + 2]).tolist()
+                            if (a := max(low, first)) <= (b := min(high, last - size)):
+                                windows.setdefault(row, []).extend((name, size, dice, k) for dice, k in window_dice(data, begin, stop, a, b, size, template))
                 for row in np.unique(np.searchsorted(offsets, hit, side="right") - 1).tolist():
                     text = texts[start + row].as_py()
-                    rows += [(start + row, 0, name, dice) for name, dice in compare(text)]
+                    whole = list(compare(text))
+                    rows += [(start + row, 0, name, dice) for name, dice in whole]
                     newline = np.flatnonzero(data[offsets[row] : offsets[row + 1]] == 10) + offsets[row]
                     lines = text.split("\n")
                     inside = hit[(hit >= offsets[row]) & (hit < offsets[row + 1])]
+                    given: dict[int, set[str]] = {}
                     for line in np.unique(np.searchsorted(newline, inside)).tolist():
-                        rows += [(start + row, line + 1, name, dice) for name, dice in compare(lines[line])]
+                        for name, dice in compare(lines[line]):
+                            rows.append((start + row, line + 1, name, dice))
+                            given.setdefault(line, set()).add(name)
+                    if whole or row not in windows:
+                        continue
+                    for name, size in {(name, size): None for name, size, *_ in windows[row]}:
+                        for dice, k in best_apart([(d, k) for n, m, d, k in windows[row] if (n, m) == (name, size)], size):
+                            first, last = np.searchsorted(newline, begin[[k, k + size - 1]]).tolist()
+                            if not (first == last and first in given) and not any(name in given.get(x, ()) for x in range(first, last + 1)):
+                                rows.append((start + row, first + 1, name, dice))
             where, line, name, dice = zip(*rows, strict=True) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(where, pa.int64())), pa.array(line, pa.int64()), pa.array(name, pa.string()), pa.array(dice, pa.float64())], ["doc_id", "line_no", "license", "dice"])
 
@@ -94,6 +156,8 @@ def _scanner(templates: tuple[tuple[str, str], ...], least: float):
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST_DICE) -> DataFrame:
     """doc_id, line_no (from 1; 0 for the whole text), license and dice for every match from ``least`` on.
 
+    A window's line_no is the line of its first word; two notices on a line are two rows.
+
     Null and empty texts, and segments or templates of fewer than two words, match nothing. Rows that repeat an id give
     their matches each; a null id is allowed; ties are all returned. Empty table: empty result. Templates
     are a parameter of a few entries and travel with the function, not as a table.

@@ -1,7 +1,9 @@
 """Licenses, personal data, secrets and quality."""
 
 import hashlib
+import random
 import re
+from collections import Counter
 from zlib import crc32
 
 import pytest
@@ -33,6 +35,53 @@ def test_licenses(small, spark, nothing):
     assert scan_licenses(nothing).count() == 0
 
 
+def notices_by_hand(text):
+    """Windows of each template's word length over the whole text, that no line and not the whole text has given."""
+    segments = [bigrams(x) for x in [text, *text.split("\n")]]
+    placed = [(w, k) for k, line in enumerate(text.split("\n"), 1) for w in re.findall(rb"[0-9a-z\x80-\xff]+", line.encode().lower())]
+    dice = lambda g, t: 2 * len(g & t) / (len(g) + len(t)) if g else 0
+    given = {(k, name) for k, g in enumerate(segments) for name, template in TEMPLATES if dice(g, bigrams(template)) >= LEAST_DICE}
+    found = []
+    for name, template in TEMPLATES:
+        t, n = bigrams(template), len(re.findall("[0-9A-Za-z]+", template))
+        windows = [(-dice({(placed[i][0], placed[i + 1][0]) for i in range(at, at + n - 1)}, t), at) for at in range(len(placed) - n + 1)]
+        kept = []
+        for d, at in sorted(x for x in windows if -x[0] >= LEAST_DICE):
+            if all(abs(at - x) >= n for x in kept):
+                kept.append(at)
+                lines = {k for _, k in placed[at : at + n]}
+                if not any(k == 0 or (k in lines and (len(lines) == 1 or own == name)) for k, own in given):
+                    found.append((placed[at][1], name, round(-d, 12)))
+    return found
+
+
+MIT_PARAGRAPH = TEMPLATES[8][1][:-1] + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+NOTICES = [
+    "A longer document.\nThis work is licensed under the GNU\nGeneral Public License, version 3.\nMore text follows here.", "Copyright 2021 by the authors. Released under the MIT License.", MIT_PARAGRAPH,
+    "Ü one\n" + MIT_PARAGRAPH.replace(", ", ",\n") + "\nend", "one two " + TEMPLATES[7][1] * 2 + " three\n" + TEMPLATES[7][1] + "\nReleased under", "the MIT License. Permission is hereby", "", "Released under the MIT", "License",
+]
+
+
+def test_notices_in_running_text(spark):
+    rng = random.Random(3)
+    texts = list(NOTICES)
+    for _ in range(300):
+        parts = [w for _ in range(rng.randrange(1, 4)) for w in [*("the software of this license is free to all".split()[: rng.randrange(9)]), *rng.choice(TEMPLATES)[1].split()]]
+        texts.append("".join(w + rng.choice("\n      ") for w in parts if rng.random() > 0.03))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = Counter((r["doc_id"], r["line_no"], r["license"], round(r["dice"], 12)) for r in scan_licenses(docs).collect())
+    segments = Counter()
+    for k, text in enumerate(texts):
+        for line, segment in [(0, text), *enumerate(text.split("\n"), 1)]:
+            g = bigrams(segment)
+            segments.update((k, line, name, round(2 * len(g & t) / (len(g) + len(t)), 12)) for name, t in ((n, bigrams(x)) for n, x in TEMPLATES) if g and 2 * len(g & t) >= LEAST_DICE * (len(g) + len(t)))
+    windows = Counter((k, *x) for k, text in enumerate(texts) for x in notices_by_hand(text))
+    assert found - segments == windows
+    assert not segments - found
+    assert {(0, 2, "GPL-3.0", 1.0), (1, 1, "MIT", 1.0), (2, 1, "MIT-grant", 1.0), (3, 2, "MIT-grant", 1.0)} <= set(windows)
+    assert sum(windows.values()) > 200
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
