@@ -83,3 +83,18 @@ def test_write_conflicts(spark):
     assert [r[0] for r in free.collect()] == ["b"]
     assert [r[0] for r in blocked.collect()] == ["a"]
     assert pk.write_conflicts(planned, planned, "book_id", overwrite=True)[0].count() == 2
+
+
+def test_fb2_books_hold_whole_texts(spark, duck):
+    import html
+    import re
+
+    from bookengine.plans.book_queries import GOOD, fb2_files
+    from compare import DATA
+
+    books, _ = src.read_fb2(fb2_files(spark, DATA))
+    found = {r["path"]: r["body"] for r in books.selectExpr("path", "bodies[0] AS body").collect()}
+    texts = {f"lib/{k}.fb2": text for k, text in duck.execute(f"SELECT doc_id, text FROM documents WHERE {GOOD}").fetchall()}
+    words = lambda x: re.sub("[\\x00-\\x20]+", " ", x).strip()
+    assert {k: [words(html.unescape(x)) for x in re.findall("(?s)<p>(.*?)</p>", body)] for k, body in found.items()} == {k: [words(html.unescape(x)) for x in text.split("\n")] for k, text in texts.items()}
+    assert any(text.count("\n") > 2 for text in texts.values())
