@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +86,27 @@ def byte_steps(batch: pa.RecordBatch, column: str = "text", step_bytes: int = ST
         start = end
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in slices whose ``column`` (strings or bytes) has at most so many bytes, or of one row."""
+    for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most_bytes, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def binary_views(column: pa.Array | pa.ChunkedArray) -> Iterator[memoryview]:
+    """The values of a binary column without nulls, not copied."""
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].tolist() if len(chunk) else [0]
+        view = memoryview(data) if data is not None else memoryview(b"")
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield view[a:b]
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs of bytes not in ``breaks``; ASCII white space by default) and the first word of each row (with a final end)."""
     white = breaks[data]

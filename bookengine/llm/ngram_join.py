@@ -3,19 +3,20 @@
 1. Documents with equal shingle sets form a class; classes are compared, not copies.
 2. Tiles are the classes that share a key. A key is a triple of minimum hashes; with 40 keys two sets
    of Jaccard similarity 0.8 share none with probability (1 - 0.8^3)^40 < 4e-13.
-3. In every tile each class is first paired with the tile's least class, so that copies of one page are joined
-   into components by linearly many pairs.
-4. Only tiles that still hold several components are compared inside, cut, where they exceed a block,
-   by size band (a set can link with its own and the next band alone) and into blocks of bounded size. Signatures are hashed bitmaps,
-   wider for larger sets: a bit set on one side alone is a shingle that the other lacks, which bounds the overlap
-   from above.
-5. Pairs that the bound admits are verified by intersecting sorted arrays.
+3. Each class is first paired with the two pivots (least or largest class of a tile) that share most of its keys, so
+   that copies of one page are joined into components by linearly many pairs.
+4. Tiles that still hold several components are compared inside. Rows of a tile lie in order of size, and each meets
+   those of its size band alone (up to 1.25 times its size); a tile over a block's rows or bytes is cut by band and
+   into blocks. Only classes with a possible partner in another component go on to the exact step, where a
+   block's links are joined as they are found, so that a block gives at most a tree of links.
+5. In both places no pair is intersected before its bitmaps admit it. Signatures are hashed bitmaps, wider
+   for larger sets: a bit set on one side alone is a shingle that the other lacks, which bounds the overlap
+   from above. Pairs that the bound admits are verified by intersecting sorted arrays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookengine.llm.columns import as_docs, doc_text, numbered, without
+from bookengine.llm.columns import as_docs, binary_views, byte_slices, doc_text, numbered, without
 from bookengine.llm.components import connected_components
 from bookengine.llm.shingles import mix, shingle_sets
 from bookengine.llm.store import materialize
@@ -31,8 +32,12 @@ from bookengine.llm.store import materialize
 #: Link if PART * intersection >= LEAST * union.
 LEAST, PART = 80, 100
 KEYS, KEY_ROWS = 40, 3
-#: Classes of one block of a tile.
-BLOCK = 2048
+#: Pivots that a class is paired with, at most.
+PIVOTS = 2
+#: Classes of one block of a tile, and bytes of their shingles.
+BLOCK, BLOCK_BYTES = 2048, 1 << 25
+#: Pairs that are judged at a time.
+PORTION = 1 << 18
 #: Bits of a bitmap for each shingle, at least.
 BITS = 4
 TILE = ("key", "low", "high", "i", "j")
@@ -69,7 +74,7 @@ def band_bits(n: int) -> int:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seeds = _seeds(KEYS * KEY_ROWS)
-    for batch in batches:
+    for batch in byte_slices(batches, "text"):
         rows = []
         for s in shingle_sets(batch):
             keys = tile_keys(s, seeds) if len(s) else np.zeros(0, np.int64)
@@ -82,34 +87,52 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in byte_slices(batches, "text"):
         sets = [s.tobytes() for s in shingle_sets(batch)]
         same = [blake2b(s, digest_size=16).digest() == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.binary())], ["cid", "shingles"]).filter(pa.array(same, pa.bool_()))
 
 
+def _links(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets link."""
+    if PART * min(len(a), len(b)) < LEAST * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return PART * both >= LEAST * (len(a) + len(b) - both) > 0
+
+
+def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their bitmaps admit."""
+    for batch in batches:
+        size = batch.num_rows
+        n = np.concatenate([batch.column("na").to_numpy(), batch.column("nb").to_numpy()])
+        marks = _Signatures([*binary_views(batch.column("ma")), *binary_views(batch.column("mb"))])
+        bound = marks.bound(np.arange(size), np.arange(size, 2 * size), n)
+        keep = PART * bound >= LEAST * (n[:size] + n[size:] - bound)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sets link."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True)) if PART * min(len(a), len(b)) >= LEAST * max(len(a), len(b)) else 0
-            keep.append(both > 0 and PART * both >= LEAST * (len(a) + len(b) - both))
+        sets = zip(binary_views(batch.column("sa")), binary_views(batch.column("sb")), strict=True)
+        keep = [_links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sets]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile: the pairs of each tile's left and right side that may link. Tiles stay whole across batches."""
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by tile, tiles whole across batches, and where each tile starts (with a final end)."""
     kept: pa.Table | None = None
     for batch in batches:
-        rows = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])]).combine_chunks()
+        rows = pa.Table.from_batches([batch])
+        rows = (rows if kept is None else pa.concat_tables([kept, rows])).combine_chunks()
         starts = _tile_starts(rows)
         last = int(starts[-1]) if len(starts) else 0
         kept = rows.slice(last)
         if last:
-            yield from _admitted(rows.slice(0, last), starts)
+            yield rows.slice(0, last), starts
     if kept is not None and len(kept):
-        yield from _admitted(kept, np.zeros(1, np.int64))
+        yield kept, np.array([0, len(kept)])
 
 
 def _tile_starts(rows: pa.Table) -> np.ndarray:
@@ -160,67 +183,133 @@ class _Signatures:
         return out
 
 
-def _admitted(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    starts = starts[starts < len(rows)]
-    sizes = np.diff(np.append(starts, len(rows)))
-    left, right, comp, n, cid, key = (rows.column(k).to_numpy() for k in ("left", "right", "comp", "n", "cid", "key"))
-    kept = rows.column("kept").to_pylist()
-    signatures = _Signatures(rows.column("marks").to_pylist())
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
-    count = 0
-
-    def judge() -> pa.RecordBatch:
-        a, b = (np.concatenate(x) for x in zip(*waiting, strict=True))
-        ok = (comp[a] != comp[b]) & ((left[a] & right[b]) | (left[b] & right[a])) & (PART * np.minimum(n[a], n[b]) >= LEAST * np.maximum(n[a], n[b]))
-        a, b = a[ok], b[ok]
-        bound = signatures.bound(a, b, n)
-        ok = PART * bound >= LEAST * (n[a] + n[b] - bound)
+class _Tiles:
+    """The pairs of a table of whole tiles that may link: other component, same size band, left with right, admitted by the bitmaps."""
+
+    def __init__(self, rows: pa.Table):
+        self.left, self.right, self.comp, self.n, self.key = (rows.column(k).to_numpy() for k in ("left", "right", "comp", "n", "key"))
+        kept = rows.column("kept").combine_chunks()
+        self.kept, self.kept_by = kept.flatten().to_numpy(), np.cumsum([0, *kept.value_lengths().to_pylist()])
+        self.marks = _Signatures(list(binary_views(rows.column("marks"))))
+
+    def pairs(self, start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of one tile, in portions."""
+        order = start + np.argsort(self.n[start:end], kind="stable")
+        n = self.n[order]
+        # in order of size each row meets the rows behind it, up to the largest size that it can link with
+        count = np.searchsorted(n, n * PART // LEAST, side="right") - np.arange(len(n)) - 1
+        upto = np.cumsum(count)
+        lower, first = None, 0
+        while first < len(n):
+            before = int(upto[first] - count[first])
+            last = max(first + 1, int(np.searchsorted(upto, before + PORTION, side="right")))
+            i = np.repeat(np.arange(first, last), count[first:last])
+            j = np.arange(len(i)) - np.repeat(upto[first:last] - count[first:last] - before, count[first:last]) + i + 1
+            a, b = self._admitted(order[i], order[j])
+            if len(a):
+                lower = self._lower_keys(start, end) if lower is None else lower
+                alone = ~_meet(lower, a - start, b - start)
+                yield a[alone], b[alone]
+            first = last
+
+    def _admitted(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = (self.comp[a] != self.comp[b]) & ((self.left[a] & self.right[b]) | (self.left[b] & self.right[a]))
         a, b = a[ok], b[ok]
-        # a pair that meets in several tiles counts in the one of least key
-        first = [key[x] == min(set(kept[x]) & set(kept[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-        a, b = a[first], b[first]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[a], cid[b])), pa.array(np.maximum(cid[a], cid[b]))], ["a", "b"])
-
-    for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-        # a block of at most BLOCK rows against another: the pairs of one row at a time where there are many
-        if size <= 256:
-            i, j = np.triu_indices(size, 1) if size > 64 else _triangle(size)
-            pieces = [(i + start, j + start)]
-        else:
-            pieces = [(np.full(size - k - 1, start + k), np.arange(start + k + 1, start + size)) for k in range(size - 1)]
-        for piece in pieces:
-            waiting.append(piece)
-            count += len(piece[0])
-            if count >= 1 << 18:
-                yield judge()
-                waiting.clear()
-                count = 0
-    if waiting:
-        yield judge()
-
-
-@lru_cache(maxsize=64)
-def _triangle(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(size, 1)
-
-
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep", "digest"), "cid")
-    text = doc_text(docs)
-    wanted = text.join(wanted.withColumnRenamed("rep", "_rep"), F.col("doc_id").eqNullSafe(F.col("_rep"))).select("cid", "digest", "text")
+        bound = self.marks.bound(a, b, self.n)
+        ok = PART * bound >= LEAST * (self.n[a] + self.n[b] - bound)
+        return a[ok], b[ok]
+
+    def _lower_keys(self, start: int, end: int) -> np.ndarray:
+        """A bit for each key below the tile's own that several of its rows have: a pair that shares one counts in that tile."""
+        at = slice(self.kept_by[start], self.kept_by[end])
+        row = np.repeat(np.arange(end - start), np.diff(self.kept_by[start : end + 1]))
+        below = self.kept[at] < self.key[start]
+        _, code, seen = np.unique(self.kept[at][below], return_inverse=True, return_counts=True)
+        several = seen[code] > 1
+        place = (np.cumsum(seen > 1) - 1)[code[several]].astype(np.uint64)
+        bits = np.zeros((end - start, int((seen > 1).sum()) // 64 + 1), np.uint64)
+        np.bitwise_or.at(bits, (row[below][several], (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+        return bits
+
+
+def _meet(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows ``a`` and ``b`` have a bit in common."""
+    step = max(1, (1 << 20) // bits.shape[1])
+    return np.concatenate([np.zeros(0, bool), *((bits[a[k : k + step]] & bits[b[k : k + step]]).any(axis=1) for k in range(0, len(a), step))])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a tile that have a possible partner in it."""
+    for rows, starts in _whole_tiles(batches):
+        tiles, some = _Tiles(rows), np.zeros(len(rows), bool)
+        for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            for a, b in tiles.pairs(start, end):
+                some[a] = some[b] = True
+        yield from rows.filter(pa.array(some)).combine_chunks().to_batches()
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links inside each tile, as a forest over the components that it holds."""
+    for rows, starts in _whole_tiles(batches):
+        tiles, sets = _Tiles(rows), [np.frombuffer(x, np.uint64) for x in binary_views(rows.column("shingles"))]
+        root, found = tiles.comp.copy(), []
+        for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            tile = root[start:end]
+            for a, b in tiles.pairs(start, end):
+                while len(a := a[apart := root[a] != root[b]]):
+                    b = b[apart]
+                    # up to the first link, which joins two components: pairs between these need no test any more
+                    k = next((k for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if _links(sets[x], sets[y])), None)
+                    if k is None:
+                        break
+                    found.append((a[k], b[k]))
+                    tile[tile == root[a[k]]] = root[b[k]]
+                    a, b = a[k + 1 :], b[k + 1 :]
+        left, right = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
+        cid = rows.column("cid").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(cid[left]), pa.array(cid[right])], ["a", "b"])
+
+
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cid and sorted shingles of the wanted classes (cid), from the text of one document each; written."""
+    wanted = wanted.distinct().join(classes.select("cid", "rep", "digest"), "cid").withColumnRenamed("rep", "_rep")
+    texts = doc_text(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("cid", "digest", "text")
     # rows that repeat a doc_id with another text are told apart by the digest
-    sets = wanted.mapInArrow(_arrays, "cid long, shingles binary")
-    sets = materialize(sets, "shingles")
+    return materialize(texts.mapInArrow(_arrays, "cid long, shingles binary"), "shingles")
+
+
+def _shared_tiles(classes: DataFrame) -> DataFrame:
+    """cid, key and pivot of the tiles of several classes; written. Of some keys the least class is the pivot, of the others the largest."""
+    tiles = classes.select("cid", F.explode("keys").alias("key"))
+    ends = tiles.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
+    # written, so that the join has plain exchanges, whose hot partitions Spark splits
+    pivots = materialize(ends.select("key", F.when(F.col("key") % 2 == 0, F.col("low")).otherwise(F.col("high")).alias("pivot")), "pivots")
+    return materialize(tiles.join(pivots, "key"), "tiles")
+
+
+def _pivot_pairs(tiles: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a class and a pivot of its tiles, PIVOTS a class at most, that the bitmaps admit."""
+    shared = tiles.where("cid <> pivot").groupBy("cid", "pivot").agg(F.count(F.lit(1)).alias("keys"))
+    # a class has KEYS pivots at most
+    best = shared.groupBy("cid").agg(F.collect_list(F.struct("keys", "pivot")).alias("best")).select("cid", F.explode(F.slice(F.sort_array("best", asc=False), 1, PIVOTS)).alias("best"))
+    pairs = materialize(best.select(F.col("cid").alias("a"), F.col("best.pivot").alias("b")), "pivot_pairs")
+    left = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("marks").alias("ma"))
+    right = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("mb"))
+    admitted = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_within_bound, "a long, b long")
+    return materialize(admitted, "stars")
+
+
+def _pivot_links(stars: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    sets = _sets(stars.select(F.explode(F.array("a", "b")).alias("cid")), classes, docs)
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
     # b is the pivot of many pairs: it is joined first, to pairs that carry no array yet
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
+    joined = stars.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
     return joined.mapInArrow(_linked, "a long, b long").distinct()
 
 
-def _rest_pairs(tiles: DataFrame, member: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs between different components of one tile that the bitmap bound admits."""
+def _dealt(tiles: DataFrame, member: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of the tiles that hold several components, dealt to blocks: TILE, left, right, cid, comp, n, marks, kept."""
     rows = tiles.join(member.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("comp"))
     met = rows.groupBy("key").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cid")).alias("one"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("two")
@@ -232,9 +321,11 @@ def _rest_pairs(tiles: DataFrame, member: DataFrame, classes: DataFrame) -> Data
     members = rows.join(mixed, "key").groupBy("cid").agg(F.min("comp").alias("comp"), F.collect_list("key").alias("kept"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(PART / LEAST)) + 1e-9).cast("long")
     members = materialize(members.join(classes.select("cid", "n", "marks"), "cid").withColumn("band", band), "tile_members")
-    sizes = members.select(F.explode("kept").alias("key"), "band").groupBy("key", "band").agg(F.count(F.lit(1)).alias("size"))
-    total = sizes.groupBy("key").agg(F.sum("size").alias("total"))
-    blocks = sizes.select("key", "band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    sizes = members.select(F.explode("kept").alias("key"), "band", "n").groupBy("key", "band").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    # a block is bounded in rows and in bytes of shingles, of which a set of this band has eight for each of so many
+    fits = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), BLOCK_BYTES / (8 * F.pow(F.lit(PART / LEAST), F.col("band") + 1))))
+    total = sizes.groupBy("key").agg((F.sum("size") <= BLOCK).alias("few"), (8 * F.sum("shingles") <= BLOCK_BYTES).alias("light")).select("key", (F.col("few") & F.col("light")).alias("one_block"))
+    blocks = sizes.select("key", "band", F.ceil(F.col("size") / F.floor(fits)).cast("int").alias("blocks"))
     # a band's rows meet their own band, as left side the next one, as right side the last one
     after = blocks.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_after"))
     before = blocks.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_before"))
@@ -249,8 +340,12 @@ def _rest_pairs(tiles: DataFrame, member: DataFrame, classes: DataFrame) -> Data
     own = F.transform(upto(F.col("blocks")), lambda o: tile(F.col("band"), F.col("band"), F.least(me, o), F.greatest(me, o), me <= o, me >= o))
     up = F.transform(upto(F.coalesce("blocks_after", F.lit(0))), lambda o: tile(F.col("band"), F.col("band") + 1, me, o, F.lit(True), F.lit(False)))
     down = F.transform(upto(F.coalesce("blocks_before", F.lit(0))), lambda o: tile(F.col("band") - 1, F.col("band"), o, me, F.lit(False), F.lit(True)))
-    dealt = dealt.select("key", "cid", "comp", "n", "marks", "kept", F.explode(F.when(F.col("total") <= BLOCK, whole).otherwise(F.concat(own, up, down))).alias("t")).select("key", "t.*", "cid", "comp", "n", "marks", "kept")
-    return dealt.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(_tile_pairs, "a long, b long")
+    dealt = dealt.select("key", "cid", "comp", "n", "marks", "kept", F.explode(F.when(F.col("one_block"), whole).otherwise(F.concat(own, up, down))).alias("t"))
+    return dealt.select("key", "t.*", "cid", "comp", "n", "marks", "kept")
+
+
+def _by_tile(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*TILE).sortWithinPartitions(*TILE)
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -265,14 +360,15 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     classes = profile.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("marks").alias("marks"))
     # written, so that the numbers stay
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    tiles = classes.select("cid", F.explode("keys").alias("key"))
-    pivots = materialize(tiles.groupBy("key").agg(F.min("cid").alias("b"), F.max("cid").alias("top")).where("b < top").select("key", "b"), "pivots")
-    stars = materialize(tiles.withColumnRenamed("cid", "a").join(pivots, "key").where("a <> b").select("a", "b").distinct(), "stars")
-    links = materialize(_verify(stars, classes, docs), "links")
+    tiles = _shared_tiles(classes)
+    links = materialize(_pivot_links(_pivot_pairs(tiles, classes), classes, docs), "links")
     member = materialize(connected_components(links), "members")
-    rest = materialize(_rest_pairs(tiles, member, classes).join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(_verify(rest, classes, docs))
+    dealt = _dealt(tiles.select("cid", "key"), member, classes)
+    possible = materialize(_by_tile(dealt).mapInArrow(_possible, dealt.schema), "possible")
+    if not possible.isEmpty():
+        sets = _sets(possible.select("cid"), classes, docs)
+        more = _by_tile(possible.join(sets, "cid").select(*possible.columns, "shingles")).mapInArrow(_tile_links, "a long, b long")
+        links = materialize(links.unionByName(more), "links")
         member = materialize(connected_components(links), "members")
     roots = classes.select("cid", "digest", "rep").join(member.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = materialize(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
