@@ -23,30 +23,66 @@ class Rule:
 
 
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
-MATCH = "struct<kind:string,start:bigint,end:bigint,found:string,before:string>"
-#: Code points kept of what stands before a match.
-BEFORE = 64
+MATCH = "struct<kind:string,start:bigint,end:bigint,found:string,before:string,after:string>"
+#: Matches that one fold adds up; a fold copies its list for each of them.
+CHUNK = 256
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _chunks(array: Column) -> Column:
+    """An array cut into arrays of CHUNK values."""
+    count = F.greatest(F.ceil(F.size(array) / CHUNK).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(1), count), lambda k: F.slice(array, (k - 1) * CHUNK + 1, CHUNK))
+
+
+def _running(lengths: Column) -> Column:
+    """Sums of all values before each, and of all, by a fold."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    return F.aggregate(lengths, start, step)
+
+
+def _shifted(parts: Column, by: Column) -> Column:
+    return F.flatten(F.zip_with(parts, by, lambda p, base: F.transform(p["out"], lambda x: x + base)))
+
+
+def running_sums(lengths: Column) -> Column:
+    """Sum of the values before each value of an array, in time that grows with its length.
+
+    Chunks are added up each on its own, then the sums of the chunks, in chunks again; of those there are so few
+    that one fold is enough.
+    """
+    sums = lambda parts: F.transform(parts, lambda p: p["at"])
+    in_chunks = lambda array: F.transform(_chunks(array), _running)
+    whole = lambda parts: _bound(_bound(sums(parts), in_chunks), lambda above: _shifted(above, _running(sums(above))["out"]))
+    return _bound(_bound(lengths, in_chunks), lambda parts: _shifted(parts, whole(parts)))
 
 
 def rule_matches(text: Column, rule: Rule) -> Column:
-    """Leftmost non-overlapping matches of one rule that it accepts, with the text before each.
+    """Leftmost non-overlapping matches of one rule that it accepts, with the text before each (from the last match on)
+    and behind it (up to the next).
 
     ``split`` gives the text around the matches that ``regexp_extract_all`` gives; their lengths add up
     to positions.
     """
-    matches = F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(1))
-    between = F.transform(F.split(text, rule.pattern, -1), lambda x: F.struct(F.char_length(x).cast("bigint").alias("n"), F.right(x, F.lit(BEFORE)).alias("before")))
     # split has one piece more than there are matches
-    pairs = F.filter(F.zip_with(matches, between, lambda m, b: F.struct(m.alias("m"), b.alias("b"))), lambda x: x["m"].isNotNull())
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{MATCH}>").alias("out"))
+    both = F.struct(F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(1)).alias("found"), F.split(text, rule.pattern, -1).alias("between"))
+    sides = lambda x: F.zip_with(x["between"], F.slice(x["between"], F.lit(2), F.size(x["between"])), lambda b, a: F.struct(b.alias("before"), a.alias("after")))
+
+    def span(x: Column, at: Column) -> Column:
+        start = at + F.char_length(x["before"])
+        return F.struct(F.lit(rule.kind).alias("kind"), start.alias("start"), (start + F.char_length(x["found"])).alias("end"), x["found"].alias("found"), x["before"].alias("before"), x["after"].alias("after"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["b"]["n"]
-        end = begin + F.char_length(x["m"])
-        found = F.struct(F.lit(rule.kind).alias("kind"), begin.alias("start"), end.alias("end"), x["m"].alias("found"), x["b"]["before"].alias("before"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], found).alias("out"))
+    def placed(found: Column) -> Column:
+        lengths = F.transform(found, lambda x: (F.char_length(x["before"]) + F.char_length(x["found"])).cast("bigint"))
+        return F.zip_with(found, running_sums(lengths), span)
 
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    joined = lambda x: F.filter(F.zip_with(x["found"], sides(x), lambda m, y: F.struct(m.alias("found"), y["before"].alias("before"), y["after"].alias("after"))), lambda m: m["found"].isNotNull())
+    spans = _bound(_bound(both, joined), placed)
     if rule.accept is not None:
         accept = rule.accept
         spans = F.filter(spans, lambda x: accept(x["found"]))

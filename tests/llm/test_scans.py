@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from bookengine.llm.licenses import LEAST_DICE, TEMPLATES, bigrams, scan_licenses
-from bookengine.llm.pii import KINDS, extract_pii
+from bookengine.llm.pii import KINDS, RULES, confident_patterns, extract_pii
 from bookengine.llm.quality import keep_quality, score_quality
 from bookengine.llm.secret_ledger import findings_by_path, scan_unseen
-from bookengine.llm.spans import span_text
+from bookengine.llm.spans import find_spans, span_text
 
 
 def test_licenses(small, spark, nothing):
@@ -144,6 +144,69 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert all(not v for k, v in found.items() if k != 8)
 
 
+def graph_by_hand(edges, rounds=3, least=3, confident=0.6):
+    """Scores of patterns and instances of (pattern, instance, kind or None)."""
+    of = {}
+    for pattern, instance, _ in edges:
+        of.setdefault(pattern, set()).add(instance)
+    seeds = {(i, k): 1.0 for _, i, k in edges if k}
+    scores, patterns = dict(seeds), {}
+    for _ in range(rounds):
+        patterns = {}
+        for pattern, instances in of.items():
+            for kind in {k for _, k in scores}:
+                known = [scores[i, kind] for i in instances if scores.get((i, kind), 0) >= confident]
+                if len(known) >= least and sum(known) / len(instances) >= confident:
+                    patterns[pattern, kind] = sum(known) / len(instances)
+        scores = dict(seeds)
+        for (pattern, kind), c in patterns.items():
+            for i in of[pattern]:
+                scores[i, kind] = max(scores.get((i, kind), 0), c)
+    return patterns, scores
+
+
+def test_scores_of_the_graph(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        kinds = {f"i{k}": rng.choice(["email", "phone", None, None]) for k in range(40)}
+        edges = sorted({(f"p{rng.randrange(15)}", i := f"i{rng.randrange(10 * (k % 4), 10 * (k % 4) + 10)}", kinds[i]) for k in range(160)}, key=str)
+        for confident in (0.3, 0.6):
+            patterns, scores = confident_patterns(spark.createDataFrame(edges, "pattern string, instance string, kind string"), confident=confident)
+            expected = graph_by_hand(edges, confident=confident)
+            assert {(r["pattern"], r["kind"]): round(r["confidence"], 9) for r in patterns.collect()} == {k: round(v, 9) for k, v in expected[0].items()}
+            assert {(r["instance"], r["kind"]): round(r["score"], 9) for r in scores.collect()} == {k: round(v, 9) for k, v in expected[1].items()}
+
+
+def test_discovery_by_grains_of_context(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    # the word before decides, whatever stands before it; long contexts are not cut
+    texts = [f"{word()} {word()} Telefon +1 (555) 555-{1000 + k} {word()}" for k in range(9)]
+    texts += [f"{word()} Telefon 0171 5551234 {word()}", f"{'x' * 500} Telefon {' ' * 300}0171.5550000, {word()}", f"{word()} 0171 5551234 and 998877 {word()}"]
+    # the words on both sides do, where the one before alone does not
+    texts += [f"the user{k}@mail.example.org wrote {word()}" for k in range(9)] + [f"the {111111 * k} {word()}" for k in range(1, 9)] + ["the anna.berg@intranet wrote", "the anna.berg2@intranet said"]
+    # what the first round finds makes another pattern good enough in the second
+    texts += [f"Telefon 0199-555-{k}{k}{k}{k} x" for k in range(4)] + [f"Rufnummer 0199-555-{k}{k}{k}{k} y" for k in range(4)] + ["Rufnummer 0188-555-7777 y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: sorted((s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["added"]) for r in extract_pii(docs).collect()}
+    found = {k: v for k, v in found.items() if v}
+    assert found[9] == [("phone", "0171 5551234")]
+    assert found[10] == [("phone", "0171.5550000")]
+    assert 11 not in found
+    assert found[29] == [("email", "anna.berg@intranet")]
+    assert found[len(texts) - 1] == [("phone", "0188-555-7777")]
+    assert set(found) == {9, 10, 29, *range(31, len(texts))}
+
+
+def test_many_matches_in_one_text(spark):
+    n = 200_000
+    docs = spark.createDataFrame([(1, "token=abcdef12 " * n), (2, "1.2.3.4 " * n)], "doc_id long, text string")
+    found = findings_by_path(docs)[0].where("doc_id = 1").select(F.size("findings").alias("n"), F.element_at("findings", -1)["start"].alias("last")).first()
+    assert (found["n"], found["last"]) == (n, 15 * (n - 1))
+    base = docs.where("doc_id = 2").select(find_spans(F.col("text"), RULES).alias("s")).select(F.size("s").alias("n"), F.element_at("s", n)["end"].alias("last")).first()
+    assert (base["n"], base["last"]) == (n, 8 * n - 1)
+
+
 SECRETS = {"assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
 
 
