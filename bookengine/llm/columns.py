@@ -34,32 +34,41 @@ def with_row_ids(docs: DataFrame) -> DataFrame:
     return materialize(doc_text(docs).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text"), "rows")
 
 
-#: Name of the row number that ``numbered`` adds; no table is expected to have it.
-ROW = "__row_number"
+def free_name(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores in front until none of the tables has such a column (in any case of letters)."""
+    taken = {c.lower() for table in tables for c in table.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def numbered(docs: DataFrame, nulls_last: bool = True) -> DataFrame:
-    """``docs`` and a unique long ``ROW`` in the order of doc_id: doc_id itself where it is unique.
+def own_columns(docs: DataFrame) -> list[Column]:
+    """The columns of a table under their names, whatever characters these hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
+def numbered(docs: DataFrame, nulls_last: bool = True) -> tuple[DataFrame, str]:
+    """``docs`` with a unique long in the order of doc_id, and the name of that column: doc_id itself where it is unique.
 
     Else the rows are sorted, numbered and written once, so that the numbers stay; of rows that share an id
     each then counts on its own.
     """
+    row = free_name("row_number", docs)
     seen = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
     if seen["rows"] == seen["ids"]:
-        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+        return docs.withColumn(row, F.col("doc_id").cast("long")), row
     order = F.col("doc_id").asc_nulls_last() if nulls_last else F.col("doc_id").asc_nulls_first()
-    return materialize(docs.orderBy(order).withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    return materialize(docs.orderBy(order).withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
-def as_docs(rows: DataFrame, *more: str) -> DataFrame:
+def as_docs(rows: DataFrame, row: str, *more: str) -> DataFrame:
     """Numbered rows under their number as doc_id, with the text."""
-    return rows.select(F.col(ROW).alias("doc_id"), "text", *more)
+    return rows.select(F.col(row).alias("doc_id"), "text", *more)
 
 
-def without(rows: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
-    """Numbered rows less those whose number is a doc_id of ``dropped``."""
-    gone = dropped.select(F.col("doc_id").alias(ROW))
-    return rows.join(gone, ROW, "left_anti").select(*(F.col(f"`{c}`") for c in columns))
+def without(rows: DataFrame, row: str, dropped: DataFrame, docs: DataFrame) -> DataFrame:
+    """Numbered rows, with the columns of ``docs``, less those whose number is a doc_id of ``dropped``."""
+    return rows.join(dropped.select(F.col("doc_id").alias(row)), row, "left_anti").select(*own_columns(docs))
 
 
 def hash_bits(col: Column) -> Column:

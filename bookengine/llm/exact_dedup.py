@@ -4,7 +4,7 @@ The history is an index of shards. A shard covers the digests with one remainder
 * ``levels``: bit arrays of a layered perfect hash; a digest's slot is the rank of the first bit that
   it alone claimed,
 * ``digests``: the full 32-byte digests in slot order, compared byte by byte at every lookup,
-* ``winners`` and ``sizes``: the doc_id that stays and the number of rows of each digest.
+* ``winners``, ``places`` and ``sizes``: the doc_id that stays, the place of its row, and the number of rows of each digest.
 
 Rows are pre-aggregated to distinct digests before any lookup, so a text that fills a third of the
 table is one probe. Digests not in the history are grouped on their own.
@@ -21,17 +21,19 @@ from hashlib import sha256
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookengine.llm.columns import as_docs, doc_text, numbered, without
+from bookengine.llm.columns import as_docs, byte_slices, doc_text, numbered, without
 from bookengine.llm.store import materialize
 
 #: Distinct digests that one shard holds on average: 20,000 x 48 bytes, about 1 MB.
 SHARD_DIGESTS = 20_000
 GAMMA = 2.0
-INDEX = "shard long, levels array<binary>, digests binary, winners binary, sizes binary"
+#: Stands for a missing doc_id.
+LOWEST = -(1 << 63)
+INDEX = "shard long, levels array<binary>, digests binary, winners binary, places binary, sizes binary"
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in byte_slices(batches, "text"):
         texts = batch.column("text").to_pylist()
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([sha256(x.encode().lower()).digest() for x in texts], pa.binary())],
@@ -95,40 +97,44 @@ def _build_shard(group: pd.DataFrame) -> pd.DataFrame:
             "levels": [levels],
             "digests": [b"".join(group["digest"].iloc[order])],
             "winners": [group["winner"].to_numpy(np.int64)[order].tobytes()],
+            "places": [group["place"].to_numpy(np.int64)[order].tobytes()],
             "sizes": [group["n"].to_numpy(np.int64)[order].tobytes()],
         }
     )
 
 
 def _look_up(probes: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    out = probes[["digest", "winner", "n"]].copy()
-    out["old_winner"], out["old_n"], out["member"] = 0, 0, False
+    """The probes as they are or, for members, with the history's winner where it is the larger, and with both sizes."""
+    out = probes[["digest", "winner", "place", "n"]].copy()
     if len(index) and len(probes):
-        row = index.iloc[0]
-        slots = find_slots(_words(probes["digest"]), list(row["levels"]))
-        stored = np.frombuffer(row["digests"], dtype="<u8").reshape(-1, 4)
+        shard = index.iloc[0]
+        slots = find_slots(_words(probes["digest"]), list(shard["levels"]))
+        stored = np.frombuffer(shard["digests"], dtype="<u8").reshape(-1, 4)
         member = (slots >= 0) & (stored[slots] == _words(probes["digest"])).all(axis=1)
-        out["member"] = member
-        out["old_winner"] = np.where(member, np.frombuffer(row["winners"], np.int64)[slots], 0)
-        out["old_n"] = np.where(member, np.frombuffer(row["sizes"], np.int64)[slots], 0)
+        winners, places, sizes = (np.frombuffer(shard[k], np.int64)[slots] for k in ("winners", "places", "sizes"))
+        older = member & (winners > out["winner"].to_numpy(np.int64))
+        out["winner"], out["place"] = np.where(older, winners, out["winner"]), np.where(older, places, out["place"])
+        out["n"] += np.where(member, sizes, 0)
     return out
 
 
 def _per_digest(digests: DataFrame, shards: int) -> DataFrame:
+    """One row a digest: the winner (largest doc_id), the place of its row and the number of rows, from partial aggregates."""
     key = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
     # a row without doc_id counts, but can't stay while another row of its text has one
-    return digests.groupBy("digest").agg(F.coalesce(F.max("doc_id"), F.lit(-(1 << 63))).alias("winner"), F.count(F.lit(1)).alias("n")).withColumn("shard", key % shards)
+    id_ = F.coalesce("doc_id", F.lit(LOWEST))
+    return digests.groupBy("digest").agg(F.max(id_).alias("winner"), F.max_by("row", id_).alias("place"), F.count(F.lit(1)).alias("n")).withColumn("shard", key % shards)
 
 
 def build_index(history: DataFrame, shards: int) -> DataFrame:
-    """Index over ``history`` (doc_id, digest): one row per shard, each of bounded size."""
+    """Index over ``history`` (doc_id, digest, row): one row per shard, each of bounded size."""
     return _per_digest(history, shards).groupBy("shard").applyInPandas(_build_shard, INDEX)
 
 
 def look_up(incoming: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """Distinct digests of ``incoming`` with their own winner and size and, for members, the history's."""
+    """Distinct digests of ``incoming`` with winner, place and size; those of members take the history in."""
     probes = _per_digest(incoming, shards)
-    return probes.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_look_up, "digest binary, winner long, n long, old_winner long, old_n long, member boolean")
+    return probes.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_look_up, "digest binary, winner long, place long, n long")
 
 
 def exact_dedup(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
@@ -147,27 +153,22 @@ def exact_dedup(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
     shards = max(1, -(-digests.count() // SHARD_DIGESTS))
     old = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1000)), F.lit(0)) < int(1000 * history_share)
     index = materialize(build_index(digests.where(old), shards), "index")
-    found = look_up(digests.where(~old), index, shards)
-    lowest = -(1 << 63)
-    # members refresh their slot's winner; nonmembers are groups of their own; unvisited slots keep theirs
-    fresh = found.select("digest", F.greatest("winner", F.when(F.col("member"), F.col("old_winner")).otherwise(lowest)).alias("keep_id"), (F.col("n") + F.col("old_n")).alias("group_size"))
-    slots = index.mapInPandas(_slots, "digest binary, keep_id long, group_size long")
-    groups = slots.unionByName(fresh).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    groups = groups.withColumn("keep_id", F.nullif("keep_id", F.lit(lowest)))
-    groups = materialize(groups, "groups")
-    found = digests.hint("merge").join(groups, "digest")
-    stays = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("row").alias("stays")), "stays")
-    return found.hint("merge").join(stays, "digest").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("stays")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    fresh = look_up(digests.where(~old), index, shards)
+    # a member's row holds all of its digest, and so is the larger; unvisited slots have one row, nonmembers are groups of their own
+    slots = index.mapInPandas(_slots, "digest binary, winner long, place long, n long")
+    groups = slots.unionByName(fresh).groupBy("digest").agg(F.max("winner").alias("winner"), F.max_by("place", "n").alias("stays"), F.max("n").alias("group_size"))
+    groups = materialize(groups.select("digest", F.nullif("winner", F.lit(LOWEST)).alias("keep_id"), "stays", "group_size"), "groups")
+    return digests.hint("merge").join(groups, "digest").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("stays")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The documents, with their own columns, less all but one of each text: the row of largest doc_id stays."""
-    rows = numbered(docs, nulls_last=False)
-    return without(rows, exact_dedup(as_docs(rows)).where("not kept"), docs.columns)
+    rows, row = numbered(docs, nulls_last=False)
+    return without(rows, row, exact_dedup(as_docs(rows, row)).where("not kept"), docs)
 
 
 def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples():
             raw = row.digests
-            yield pd.DataFrame({"digest": [raw[i : i + 32] for i in range(0, len(raw), 32)], "keep_id": np.frombuffer(row.winners, np.int64), "group_size": np.frombuffer(row.sizes, np.int64)})
+            yield pd.DataFrame({"digest": [raw[i : i + 32] for i in range(0, len(raw), 32)], "winner": np.frombuffer(row.winners, np.int64), "place": np.frombuffer(row.places, np.int64), "n": np.frombuffer(row.sizes, np.int64)})

@@ -3,7 +3,8 @@
 A document's place is a hash of its id. A source's budget is a threshold on that hash: documents below
 it are in. The threshold is found from histograms (words by source and hash bucket): cumulative sums
 name the bucket that the budget ends in, and only that bucket is counted again, finer. Nothing is
-sorted; the mix itself is a filter. Thresholds are nested: a larger budget takes a superset.
+sorted; the mix itself is a filter. Thresholds are nested: a larger budget takes a superset. The document at the
+threshold gives as many words as the budget still lacks.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookengine.llm.columns import ROW, as_docs, byte_steps, doc_text, hash_bits, numbered, word_bounds
+from bookengine.llm.columns import as_docs, byte_steps, doc_text, free_name, hash_bits, numbered, own_columns, word_bounds
 from bookengine.llm.store import materialize
 
 HASH_BITS = 60
@@ -71,11 +72,11 @@ def _same_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
 
 
 def budget_thresholds(hashed: DataFrame, budgets: DataFrame) -> DataFrame:
-    """For each source the hash under which the words come nearest its budget.
+    """For each source the hash that its budget ends in: source, threshold, part (share of that hash's words that the budget still holds).
 
     ``hashed``: source, hash, size. ``budgets``: source, budget (double). Each round adds up the words
     by source and bucket inside the boundary bucket of the last round and narrows it by 12 bits, until
-    a boundary holds one hash value. Documents of equal hash go together; the nearer side wins, the lower on ties.
+    a boundary holds one hash value. Documents of equal hash share what is left in proportion to their sizes.
     """
     shift = HASH_BITS
     state = budgets.select("source", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("below"), "budget")
@@ -93,15 +94,19 @@ def budget_thresholds(hashed: DataFrame, budgets: DataFrame) -> DataFrame:
         edge = F.coalesce("hit", "end")
         state = reached.select("source", F.shiftleft(edge["bucket"], shift).alias("low"), (edge["upto"] - edge["words"]).alias("below"), "budget", edge["words"].alias("words"))
         state = materialize(state, "boundary")
-    nearer = (F.col("below") + F.col("words") - F.col("budget")) < (F.col("budget") - F.col("below"))
-    return state.select("source", F.when(nearer, F.col("low") + 1).otherwise(F.col("low")).alias("threshold"))
+    # at most the whole of it, where rounding leaves a budget just over all words
+    part = F.least(F.col("budget") - F.col("below"), F.col("words").cast("double"))
+    return state.select("source", F.col("low").alias("threshold"), part.alias("left"), "words")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
     """How many words of each document the mix takes.
 
     Returns one row per input row: doc_id, size, source_size, target, taken, copies. A source that must give ``r`` times its words
-    gives every document floor(r) times and once more the documents under its threshold.
+    gives every document floor(r) times and once more the documents under its threshold; the document at the
+    threshold gives a part of its words, so that a source takes its target but for less than a word (a word for each
+    document, where several have the hash of the threshold). ``copies`` counts whole documents: the one at the
+    threshold is in where at least half of it is.
 
     Null text has size 0; null sources form one source, last in order; a null doc_id is hashed as the
     empty string; rows that repeat a doc_id go together; empty table: empty result.
@@ -113,13 +118,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times:
     targets = targets.withColumn("times", F.least(times, F.lit(most_times)))
     budgets = targets.select("source", (F.col("target") - F.col("times") * F.col("source_size")).alias("budget"))
     plan = _same_source(targets, budget_thresholds(sizes.where("size > 0"), budgets), "left")
-    copies = F.least(F.col("times") + F.when(F.col("hash") < F.coalesce("threshold", F.lit(0)), 1).otherwise(0), F.lit(most_times))
-    return _same_source(sizes, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    once_more = F.when(F.col("hash") < F.col("threshold"), F.col("size")).when(F.col("hash") == F.col("threshold"), F.floor(F.col("size") * F.col("left") / F.col("words")))
+    taken = F.least(F.col("size") * F.col("times") + F.coalesce(once_more, F.lit(0)), F.col("size") * most_times)
+    whole = F.when(F.col("hash") < F.col("threshold"), 1).when((F.col("hash") == F.col("threshold")) & (2 * F.col("left") >= F.col("words")) & (F.col("left") > 0), 1).otherwise(0)
+    copies = F.least(F.col("times") + whole, F.lit(most_times))
+    return _same_source(sizes, plan).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
-    """The documents, with their own columns, as often as the mix takes them. Rows that share an id are mixed each on its own."""
-    rows = numbered(docs)
-    copies = mix_sources(as_docs(rows, "source"), weights, most_times).where("copies > 0")
-    copies = copies.select(F.col("doc_id").alias(ROW), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
-    return rows.join(copies, ROW).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The documents, with their own columns, as often as the mix takes them, whole. Rows that share an id are mixed each on its own."""
+    rows, row = numbered(docs)
+    copies = mix_sources(as_docs(rows, row, "source"), weights, most_times).where("copies > 0").select(F.col("doc_id").alias(row), "copies")
+    each = free_name("copies", rows)
+    joined = rows.join(copies.withColumnRenamed("copies", each), row)
+    times = F.explode(F.sequence(F.lit(1), F.col(each).cast("int")))
+    return joined.select(*own_columns(docs), times.alias(free_name("copy", docs))).select(*own_columns(docs))

@@ -382,5 +382,5 @@ def one_of_each_component(docs: DataFrame) -> DataFrame:
     Of rows that share an id one stays for each component, by their order in the table. Documents
     without words all stay.
     """
-    rows = numbered(docs)
-    return without(rows, ngram_components(as_docs(rows)).where("doc_id > component_id"), docs.columns)
+    rows, row = numbered(docs)
+    return without(rows, row, ngram_components(as_docs(rows, row)).where("doc_id > component_id"), docs)

@@ -136,9 +136,10 @@ b AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size)
 r AS (SELECT source, h, sum(size) AS words FROM d WHERE size > 0 GROUP BY source, h),
 c AS (SELECT r.source, h, words, sum(words) OVER (PARTITION BY r.source ORDER BY h) AS upto, target - times * source_size AS budget
       FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source),
-th AS (SELECT source, max(CASE WHEN upto - words < budget AND upto - budget < budget - (upto - words) THEN h + 1 END) AS threshold FROM c GROUP BY source)
+th AS (SELECT source, h AS threshold, words, least(budget - (upto - words), words)::DOUBLE AS remains FROM c
+       QUALIFY row_number() OVER (PARTITION BY source ORDER BY CASE WHEN upto >= budget THEN h END NULLS LAST, h DESC) = 1)
 SELECT d.doc_id, d.size, b.source_size::BIGINT AS source_size, b.target,
-  (d.size * least(b.times + CASE WHEN d.h < coalesce(th.threshold, 0) THEN 1 ELSE 0 END, 3))::BIGINT AS taken
+  least(d.size * b.times + CASE WHEN d.h < th.threshold THEN d.size WHEN d.h = th.threshold THEN floor(d.size::DOUBLE * th.remains / th.words::DOUBLE) ELSE 0 END, 3 * d.size)::BIGINT AS taken
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN th ON d.source IS NOT DISTINCT FROM th.source
 """
 

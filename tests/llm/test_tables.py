@@ -123,7 +123,7 @@ def test_mixing(small, unique, nothing):
         assert len(rows) == docs.count()
         sizes = Counter((r["doc_id"], len((r["text"] or "").encode().split())) for r in docs.collect())
         assert Counter((r["doc_id"], r["size"]) for r in rows) == sizes
-        assert all(0 <= r["taken"] <= 3 * r["size"] and r["taken"] == r["size"] * r["copies"] for r in rows)
+        assert all(0 <= r["taken"] <= 3 * r["size"] and abs(r["taken"] - r["size"] * r["copies"]) <= r["size"] / 2 + 1 for r in rows)
         again = mix_sources(docs).collect()
         assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
         kept = mixed_documents(docs)
@@ -132,8 +132,9 @@ def test_mixing(small, unique, nothing):
     for r in mix_sources(unique).join(unique.select("doc_id", "source"), "doc_id").collect():
         by_source[r["source"]].append(r)
     for rows in by_source.values():
-        # nearer to the target than half of the largest document
-        assert abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= max(r["size"] for r in rows) / 2 + 1e-6
+        # the document at the threshold makes the target good but for less than a word; whole copies come nearer than half of the largest document
+        assert 0 <= rows[0]["target"] - sum(r["taken"] for r in rows) + 1e-6 < 1 + 2e-6
+        assert abs(sum(r["size"] * r["copies"] for r in rows) - rows[0]["target"]) <= max(r["size"] for r in rows) / 2 + 1e-6
     assert mix_sources(nothing).count() == 0
     assert mixed_documents(nothing).count() == 0
 
