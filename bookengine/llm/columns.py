@@ -43,8 +43,8 @@ def free_name(name: str, *tables: DataFrame) -> str:
 
 
 def own_columns(docs: DataFrame) -> list[Column]:
-    """The columns of a table under their names, whatever characters these hold."""
-    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    """The columns of a table under their names, dots in these included."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def numbered(docs: DataFrame, nulls_last: bool = True) -> tuple[DataFrame, str]:

@@ -15,6 +15,7 @@ import math
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,34 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+_MIT_NOTICE = """The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+_MIT_DISCLAIMER = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+#: Whole licence texts, and notices of several sentences.
+TEMPLATES += (
+    ("Apache-2.0-notice", TEMPLATES[1][1] + """ You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("BSD-2-Clause-text", "\n".join((_BSD_HEAD, _BSD_DISCLAIMER))),
+    ("BSD-3-Clause-text", "\n".join((_BSD_HEAD, _BSD_NAMES, _BSD_DISCLAIMER))),
+    ("GPL-3.0-notice", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""),
+    ("ISC-text", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("MIT-text", "\n".join((TEMPLATES[8][1][:-1] + """, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:""", _MIT_NOTICE, _MIT_DISCLAIMER))),
+    ("MPL-2.0-notice", TEMPLATES[9][1] + " If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("zlib-text", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
+)
+
 #: Words are runs of ASCII letters and digits or other letters beyond ASCII; all else separates.
 _BREAK = np.ones(256, dtype=bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -88,37 +117,31 @@ def best_apart(windows: list[tuple[float, int]], size: int) -> list[tuple[float,
 
 
 def _scanner(templates: tuple[tuple[str, str], ...], least: float):
-    sets = [(name, bigrams(text)) for name, text in templates]
-    sets = [(name, x) for name, x in sets if x]
     sizes = [(name, len(words(text)), bigrams(text), text) for name, text in templates if bigrams(text)]
 
-    def compare(segment: str) -> Iterator[tuple[str, float]]:
-        found = bigrams(segment)
-        for name, template in sets:
-            if found and 2 * min(len(found), len(template)) >= least * (len(found) + len(template)):
-                dice = 2.0 * len(found & template) / (len(found) + len(template))
-                if dice >= least:
-                    yield name, dice
-
-    def window_dice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: int, high: int, size: int, template: set) -> Iterator[tuple[float, int]]:
-        found = [data[a:b].tobytes().lower() for a, b in zip(starts[low : high + size].tolist(), ends[low : high + size].tolist(), strict=True)]
-        pairs = list(zip(found, found[1:], strict=False))
-        for k in range(high - low + 1):
-            g = set(pairs[k : k + size - 1])
-            dice = 2.0 * len(g & template) / (len(g) + len(template))
-            if dice >= least:
-                yield dice, low + k
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [np.unique(_bigram_hashes(x, np.array([0, len(x)]))[0]) for x in (np.frombuffer(text.encode(), np.uint8) for *_, text in sizes)]
         known = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]))
         for batch in batches:
-            rows, ids, texts = [], batch.column("doc_id"), batch.column("text")
+            rows, ids = [], batch.column("doc_id")
             for start, _, data, offsets in byte_steps(batch):
                 hashes, begin, stop = _bigram_hashes(data, offsets)
                 place = np.searchsorted(known, hashes)
                 near = np.flatnonzero((place < len(known)) & (known[np.minimum(place, len(known) - 1)] == hashes)) if len(known) else np.zeros(0, np.int64)
                 hit = begin[near]
+                spell = lambda a, b: [data[x:y].tobytes().lower() for x, y in zip(begin[a:b].tolist(), stop[a:b].tolist(), strict=True)]  # noqa: B023, E731
+
+                def compare(a: int, b: int) -> Iterator[tuple[str, float]]:
+                    """Templates that the words from ``a`` to ``b`` are: sizes first, then hashed bigrams, then the words themselves."""
+                    n = len(h := np.unique(hashes[a : max(b - 1, a)]))  # noqa: B023
+                    found = None
+                    for (name, _, template, _), grams in zip(sizes, own, strict=True):
+                        if n and 2 * min(n, len(template)) >= least * (n + len(template)) and 2 * np.isin(grams, h, assume_unique=True).sum() >= least * (n + len(template)) - 1e-9:
+                            found = set(pairwise(spell(a, b))) if found is None else found
+                            dice = 2.0 * len(found & template) / (len(found) + len(template))
+                            if dice >= least:
+                                yield name, dice
+
                 # windows of a row that hold enough of a template's bigrams: with s shared the coefficient is at most 2 s / (s + template)
                 windows: dict[int, list[tuple[str, int, float, int]]] = {}
                 for (name, size, template, _), grams in zip(sizes, own, strict=True):
@@ -127,17 +150,22 @@ def _scanner(templates: tuple[tuple[str, str], ...], least: float):
                         for row in range(np.searchsorted(offsets, begin[max(low, 0)], side="right") - 1, np.searchsorted(offsets, begin[min(high + size, len(begin)) - 1], side="right")):
                             first, last = np.searchsorted(begin, offsets[row : row + 2]).tolist()
                             if (a := max(low, first)) <= (b := min(high, last - size)):
-                                windows.setdefault(row, []).extend((name, size, dice, k) for dice, k in window_dice(data, begin, stop, a, b, size, template))
+                                pairs = list(pairwise(spell(a, b + size)))
+                                for k in range(b - a + 1):
+                                    g = set(pairs[k : k + size - 1])
+                                    dice = 2.0 * len(g & template) / (len(g) + len(template))
+                                    if dice >= least:
+                                        windows.setdefault(row, []).append((name, size, dice, a + k))
                 for row in np.unique(np.searchsorted(offsets, hit, side="right") - 1).tolist():
-                    text = texts[start + row].as_py()
-                    whole = list(compare(text))
+                    whole = list(compare(*np.searchsorted(begin, offsets[row : row + 2]).tolist()))
                     rows += [(start + row, 0, name, dice) for name, dice in whole]
                     newline = np.flatnonzero(data[offsets[row] : offsets[row + 1]] == 10) + offsets[row]
-                    lines = text.split("\n")
+                    # where the words of each line begin, with a final end
+                    edges = np.searchsorted(begin, np.concatenate([[offsets[row]], newline, [offsets[row + 1]]]))
                     inside = hit[(hit >= offsets[row]) & (hit < offsets[row + 1])]
                     given: dict[int, set[str]] = {}
                     for line in np.unique(np.searchsorted(newline, inside)).tolist():
-                        for name, dice in compare(lines[line]):
+                        for name, dice in compare(*edges[line : line + 2].tolist()):
                             rows.append((start + row, line + 1, name, dice))
                             given.setdefault(line, set()).add(name)
                     if whole or row not in windows:

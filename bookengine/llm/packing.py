@@ -18,12 +18,12 @@ from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookengine.llm.columns import doc_text
+from bookengine.llm.columns import byte_slices, doc_text
 from bookengine.llm.store import materialize
 
 CAPACITY = 2048
@@ -31,7 +31,7 @@ CAPACITY = 2048
 PIECE = 512
 END_ID = 1
 #: Pieces a group holds on average.
-GROUP_PIECES = 600
+GROUP_PIECES = 1200
 #: Encoded words that a Python worker remembers before it forgets all.
 CACHE_WORDS = 400_000
 
@@ -42,8 +42,8 @@ class WordEncoder:
     The split pattern always cuts between a non-space and a single space that a non-space follows, so
     the ids of a text are the ids of such chunks in order, and a chunk need be encoded only once.
     Chunks not yet known are encoded joined, by tiktoken, from the file's own vocabulary: in this kind
-    of file the ids are the merge ranks. Strings of added tokens are ordinary text to ``encode`` and
-    one id each to ``encode_added``, which is the file's own setting.
+    of file the ids are the merge ranks. A string of an added token is its one id, as the file declares, and
+    what stands between two is encoded on its own.
     """
 
     def __init__(self, path: str):
@@ -80,6 +80,13 @@ class WordEncoder:
             start = end
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        # split by a group: texts at even places, added tokens at odd ones
+        parts = [self.cut.split(x) if self.cut and x else [x] for x in texts]
+        between = self._encode_plain([x for part in parts for x in part[::2]])
+        for part in parts:
+            yield b"".join(self.added[x] if k % 2 else next(between) for k, x in enumerate(part))
+
+    def _encode_plain(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         # around double spaces a chunk depends on its neighbours: such texts are encoded whole
@@ -91,14 +98,6 @@ class WordEncoder:
             else:
                 yield self._ids(words[0]).tobytes() + b"".join(map(self.known.__getitem__, words[1:]))
 
-    def encode_added(self, texts: list[str]) -> Iterator[bytes]:
-        """As ``encode``, but an added token is its id, and what stands between two is encoded on its own."""
-        # split by a group: texts at even places, added tokens at odd ones
-        parts = [self.cut.split(x) if self.cut and x else [x] for x in texts]
-        between = self.encode([x for part in parts for x in part[::2]])
-        for part in parts:
-            yield b"".join(self.added[x] if k % 2 else next(between) for k, x in enumerate(part))
-
 
 def _byte_letters() -> tuple[str, range]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
@@ -124,10 +123,10 @@ def _cutter(tokenizer_path: str, capacity: int, piece: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in byte_slices(batches, "text"):
             ids, rows = batch.column("doc_id"), []
             texts = batch.column("text").to_pylist()
-            for i, raw in enumerate(x + end for part in range(0, len(texts), 200) for x in encoder.encode_added(texts[part : part + 200])):
+            for i, raw in enumerate(x + end for part in range(0, len(texts), 200) for x in encoder.encode(texts[part : part + 200])):
                 for start, length in _cuts(len(raw) // 4, capacity, piece):
                     rows.append((i, start, length, crc32(raw[4 * start : 4 * (start + length)]), len(raw) // 4))
             at, start, length, crc, total = (np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else ([],) * 5))
@@ -166,61 +165,30 @@ def differencing(lengths: list[int], windows: int) -> list[list[int]]:
     return [items for _, items in heap[0][2]] if heap else []
 
 
-def _levelled(parts: list[list[int]], lengths: list[int], capacity: int) -> bool:
-    """Bring overfull parts under the capacity by exchanging one item (or none) with emptier parts; False if one stays over."""
-    sums = [sum(lengths[i] for i in part) for part in parts]
-    for k in sorted(range(len(parts)), key=lambda x: -sums[x]):
-        while sums[k] > capacity:
-            # the exchange that leaves the partner fullest keeps the most room for others
-            best = None
-            for m in sorted(range(len(parts)), key=lambda x: sums[x])[: len(parts) // 2 + 1]:
-                room, over = capacity - sums[m], sums[k] - capacity
-                if room < 1 or m == k:
-                    continue
-                for i in parts[k]:
-                    for j in (None, *parts[m]):
-                        moved = lengths[i] - (lengths[j] if j is not None else 0)
-                        if 0 < moved <= room and (best is None or (min(moved, over), -moved) > best[0]):
-                            best = ((min(moved, over), -moved), m, i, j, moved)
-                if best is not None and best[0][0] == over:
-                    break
-            if best is None:
-                return False
-            _, m, i, j, moved = best
-            parts[k].remove(i)
-            parts[m].append(i)
-            if j is not None:
-                parts[m].remove(j)
-                parts[k].append(j)
-            sums[k] -= moved
-            sums[m] += moved
-    return True
-
-
 def pack_group(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Parts of at most ``capacity``: largest differencing, then exchanges; the window count rises while a part is still over."""
+    """Parts of at most ``capacity`` by largest differencing; the window count rises while a part is over."""
     windows = max(1, -(-sum(lengths) // capacity)) if lengths else 0
     while windows:
         parts = differencing(lengths, windows)
-        if _levelled(parts, lengths, capacity):
+        if max(sum(lengths[i] for i in part) for part in parts) <= capacity:
             return parts
-        windows += max(1, windows // 200)
+        windows += 1
     return []
 
 
 def _packer(capacity: int):
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        lengths = group["length"].to_numpy()
+    def pack(group: pa.Table) -> pa.Table:
+        order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+        group = group.take(pc.sort_indices(group, sort_keys=order))
+        lengths = group.column("length").to_numpy()
         whole = int((lengths == capacity).sum())
         parts = [[i] for i in range(whole)] + [[whole + i for i in part] for part in pack_group(lengths[whole:].tolist(), capacity)]
         sequence, offset = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
         for k, part in enumerate(parts):
             sequence[part] = k
             offset[part] = np.cumsum([0, *lengths[part][:-1]])
-        group["sequence_id"] = (group["bucket"].to_numpy(np.int64) << 32) + sequence
-        group["offset"] = offset
-        return group.drop(columns="bucket")
+        sequence += group.column("bucket").to_numpy().astype(np.int64) << 32
+        return group.drop_columns("bucket").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     return pack
 
@@ -240,4 +208,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     # the row's place in the table takes part, so that rows repeating one document spread as well
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("bucket").applyInPandas(_packer(capacity), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.groupBy("bucket").applyInArrow(_packer(capacity), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

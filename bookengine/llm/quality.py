@@ -1,25 +1,30 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are rows labelled 1; the unlabelled web text is a sample of rows whose label is hidden.
-The classifier (a linear score on shape features of the text and their squares) minimises the non-negative
-unbiased risk ``p E_P[l(f)] + max(0, E_U[l(-f)] - p E_P[l(-f)])`` with the logistic loss; the class
-prior p is estimated from the labelled rows. Labels 0 take part in that estimate only.
+Trusted positives are rows labelled 1; the unlabelled web text is a sample of the documents, those without a label
+first. Labels 0 are never used. The class prior p of the unlabelled text is estimated from the two samples: with a
+score that tells positives from unlabelled rows, the share of unlabelled rows above a threshold over the share of
+positives above it is at least p and comes near it where only positives are left; the threshold is chosen by an upper
+confidence bound on one half of the rows, with a score fitted on the other. The classifier (a linear score on shape
+features of the text and their squares) minimises the non-negative unbiased risk
+``p E_P[l(f)] + max(0, E_U[l(-f)] - p E_P[l(-f)])`` with the logistic loss.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from bookengine.llm.columns import byte_steps, doc_text, word_bounds
+from bookengine.llm.columns import byte_slices, byte_steps, doc_text, word_bounds
 from bookengine.llm.shingles import word_hashes
+from bookengine.llm.store import materialize
 
-#: Most labelled training rows that the fit looks at, those of smallest hash; beyond it the fit gains nothing visible.
-FIT_ROWS = 20_000
+#: Most positives, and most unlabelled rows, that the fit looks at, those of smallest hash; beyond it the fit gains nothing visible.
+FIT_ROWS = 10_000
 STEPS = 600
 RATE = 0.05
 RIDGE = 1e-4
@@ -98,25 +103,71 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
-    """Weights over ``expand`` of raw features, by Adam on the non-negative risk; deterministic."""
-    both = np.vstack([positive, unlabelled])
+def _scaled(*samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Middle, spread and the samples on that scale with a last column of ones."""
+    both = np.vstack(samples)
     middle, spread = both.mean(0), both.std(0)
     spread[spread < 1e-9] = 1e9
-    p, u = ((x - middle) / spread for x in (positive, unlabelled))
-    p, u = np.clip(p, -8, 8), np.clip(u, -8, 8)
-    p, u = (np.hstack([x, np.ones((len(x), 1))]) for x in (p, u))
-    w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
-    w[-1] = np.log(prior / (1 - prior))
-    for t in range(1, STEPS + 1):
-        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
-        negative = np.mean(-np.log1p(-np.minimum(su, 1 - 1e-12))) - prior * np.mean(-np.log1p(-np.minimum(sp, 1 - 1e-12)))
-        pull = p.T @ (sp - 1) * (prior / len(p))
-        push = u.T @ su / len(u) - p.T @ sp * (prior / len(p))
-        grad = (pull + push if negative >= 0 else -push) + RIDGE * np.append(w[:-1], 0)
+    scaled = (np.clip((x - middle) / spread, -8, 8) for x in samples)
+    return middle, spread, [np.hstack([x, np.ones((len(x), 1))]) for x in scaled]
+
+
+def _descend(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Adam; deterministic."""
+    w, m, v = start.copy(), np.zeros(len(start)), np.zeros(len(start))
+    for t in range(1, steps + 1):
+        grad = gradient(w) + RIDGE * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return np.concatenate([middle, spread, w])
+    return w
+
+
+def _logistic(s: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, -s)
+
+
+def nnpu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """Positive part and (before it is cut at 0) negative part of the risk."""
+    return prior * float(np.mean(_logistic(p @ w))), float(np.mean(_logistic(-(u @ w))) - prior * np.mean(_logistic(-(p @ w))))
+
+
+def nnpu_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Of the risk where its negative part is not below 0; else the step that raises that part again."""
+    sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+    pull = p.T @ (sp - 1) * (prior / len(p))
+    push = u.T @ su / len(u) - p.T @ sp * (prior / len(p))
+    return pull + push if nnpu_risk(w, p, u, prior)[1] >= 0 else -push
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
+    """Weights over ``expand`` of raw features."""
+    middle, spread, (p, u) = _scaled(positive, unlabelled)
+    start = np.append(np.zeros(p.shape[1] - 1), np.log(prior / (1 - prior)))
+    return np.concatenate([middle, spread, _descend(lambda w: nnpu_gradient(w, p, u, prior), start)])
+
+
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """Class prior of the unlabelled scores: their share above a threshold over that of the positives, where its upper bound is least."""
+    p, u = np.sort(positive), np.sort(unlabelled)
+    above_p = 1 - np.arange(len(p)) / len(p)
+    above_u = 1 - np.searchsorted(u, p, side="left") / len(u)
+    slack = np.sqrt(np.log(4 / doubt) / 2) * (1 / np.sqrt(len(u)) + 1 / np.sqrt(len(p)))
+    k = int(np.argmin((above_u + slack) / above_p))
+    return float(above_u[k] / above_p[k])
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled rows (raw features): mean over two halves, each judged by a score fitted on the other."""
+    found = []
+    for half in (0, 1):
+        fit_p, fit_u, p, u = positive[half::2], unlabelled[half::2], positive[1 - half :: 2], unlabelled[1 - half :: 2]
+        if not all(map(len, (fit_p, fit_u, p, u))):
+            continue
+        middle, spread, (a, b) = _scaled(fit_p, fit_u)
+        w = _descend(lambda w: (a.T @ (_sigmoid(a @ w) - 1) / len(a) + b.T @ _sigmoid(b @ w) / len(b)) / 2, np.zeros(a.shape[1]))  # noqa: B023
+        model = np.concatenate([middle, spread, w])
+        found.append(best_bin(score_features(model, p), score_features(model, u)))
+    return float(np.clip(np.mean(found), 0.01, 0.99)) if found else 0.5
 
 
 def score_features(model: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -130,72 +181,72 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _batch_features(batch: pa.RecordBatch) -> np.ndarray:
-    steps = [text_features(data, offsets) for _, _, data, offsets in byte_steps(batch)]
-    return expand(np.vstack(steps)) if steps else np.zeros((0, 2 * N_FEATURES))
-
-
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(_batch_features(batch)), pa.list_(pa.float64()))], ["doc_id", "label", "features"])
+    for batch in byte_slices(batches, "text"):
+        found = np.vstack([text_features(data, offsets) for _, _, data, offsets in byte_steps(batch)])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), pa.array(list(found), pa.list_(pa.float64()))], ["doc_id", "positive", "features"])
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray | None:
-    """Fit on at most ``fit_rows`` labelled rows outside the held-out fold; None without any label.
+    """Fit on at most ``fit_rows`` positives and as many unlabelled rows, none of them of the held-out fold; None without either.
 
-    The prior is the share of label 1 over all labelled training rows. The driver receives the
-    features of the sample alone, so its memory does not grow with the corpus.
+    The driver receives the features of these rows alone, so its memory does not grow with the corpus. Where fewer
+    than ``fit_rows`` documents have no label, labelled ones join them with their labels hidden.
     """
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    prior = known.agg(F.avg("label")).first()[0]
-    if prior is None:
-        return None
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    # at most fit_rows rows of two numbers: small enough to broadcast at any corpus size
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label"))
+    ids = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").distinct().join(known, "doc_id", "left")
+    first = lambda rows, *order: rows.orderBy(*order, F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("doc_id")
+    positive = first(ids.where("label = 1")).withColumn("positive", F.lit(True))
+    unlabelled = first(ids, F.col("label").isNotNull()).withColumn("positive", F.lit(False))
+    # at most fit_rows ids on each side: small enough to broadcast at any corpus size
+    chosen = materialize(positive.unionByName(unlabelled), "fit_rows")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = doc_text(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(_features, f"doc_id {kind}, label int, features array<double>").toPandas()
-    if not len(rows):
-        return None
-    rows = rows.sort_values("doc_id", kind="stable")
-    x, y = np.array(rows["features"].tolist()).reshape(len(rows), -1), rows["label"].to_numpy()
-    if not (y == 1).any():
+    # rows that repeat an id count once
+    texts = doc_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    rows = texts.mapInArrow(_features, f"doc_id {kind}, positive boolean, features array<double>").toPandas().sort_values("doc_id", kind="stable")
+    p, u = (expand(np.array(rows["features"][rows["positive"] == side].tolist()).reshape(-1, N_FEATURES)) for side in (True, False))
+    if not len(p) or not len(u):
         return None
-    return fit_nnpu(x[y == 1], x, float(np.clip(prior, 0.01, 0.99)))
+    return fit_nnpu(p, u, estimate_prior(p, u))
 
 
-def _scorer(model: np.ndarray | None):
+def _scorer(model: np.ndarray | None, column: str):
+    """Adds ``score`` in place of the last column, the text."""
+
+    def scores(batch: pa.RecordBatch) -> np.ndarray:
+        if model is None:
+            return np.full(batch.num_rows, 0.5)
+        return np.concatenate([np.zeros(0), *(score_features(model, expand(text_features(data, offsets))) for _, _, data, offsets in byte_steps(batch, column))])
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = np.full(batch.num_rows, 0.5) if model is None else np.concatenate([np.zeros(0), *(score_features(model, expand(text_features(data, offsets))) for _, _, data, offsets in byte_steps(batch))])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(scores)], [*batch.schema.names[:-1], "score"])
+        for batch in byte_slices(batches, column):
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(scores(batch))], [*batch.schema.names[:-1], "score"])
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches, column):
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(scores(batch) >= 0.5))
 
-    return score
+    return score, accept
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 from 0.5 on).
 
     One row per input row. Null and empty texts score like any text without words. A null doc_id is
-    scored and never held out; labels that are null or lack a doc_id are ignored; of several labels for a document the lowest counts. With no label 1 to
-    learn from every score is 0.5. Empty table: empty result.
+    scored and never held out; labels that are null or lack a doc_id are ignored; of several labels for a document the lowest counts. With no
+    document of label 1 to learn from every score is 0.5. Empty table: empty result.
     """
     model = train(docs, labels, fit_rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    scored = text.mapInArrow(_scorer(model), f"doc_id {kind}, held_out boolean, score double")
+    scored = text.mapInArrow(_scorer(model, "text")[0], f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents, with their own columns, that the classifier accepts. Null texts count as empty."""
     model = train(docs, labels, fit_rows)
-    with_text = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce("text", F.lit("")).alias("_scored_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            steps = [expand(text_features(data, offsets)) for _, _, data, offsets in byte_steps(batch, "_scored_text")]
-            scores = np.full(batch.num_rows, 0.5) if model is None else np.concatenate([np.zeros(0), *(score_features(model, x) for x in steps)])
-            yield batch.select(batch.schema.names[:-1]).filter(pa.array(scores >= 0.5))
-
-    return with_text.mapInArrow(renamed, schema)
+    # under plain names meanwhile, which no text column's name can clash with
+    plain = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(docs.schema)])
+    with_text = docs.toDF(*plain.names).withColumn("text", F.coalesce(plain.names[docs.columns.index("text")], F.lit("")))
+    return with_text.mapInArrow(_scorer(model, "text")[1], plain).toDF(*docs.columns)

@@ -54,15 +54,24 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     return scanned.groupBy("blob").agg(F.any_value("findings").alias("findings")).select("blob", F.lit(rule_version).alias("rule_version"), "findings")
 
 
-def findings_by_path(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(doc_id and its findings for every row of ``docs``, the ledger with what this run added).
+def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION) -> DataFrame:
+    """The ledger with rows for what this run has scanned, which is written; an empty table changes nothing."""
+    fresh = materialize(scan_unseen(docs, ledger, rules, rule_version), "ledger")
+    return fresh if ledger is None else ledger.select("blob", "rule_version", "findings").unionByName(fresh)
+
+
+def findings(docs: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
+    """doc_id, blob and findings of every row of ``docs`` whose blob the ledger has.
 
-    A blob that a third of all rows share is one ledger row; the join back is a sort-merge join whose
-    hot partition Spark splits. Null text is the empty blob; null or repeated ids keep their rows;
-    empty table: empty result and an unchanged ledger.
+    A blob that a third of all rows share is one ledger row; the join is a sort-merge join whose
+    hot partition Spark splits. Null text is the empty blob; null or repeated ids keep their rows; empty
+    table: empty result.
     """
-    fresh = materialize(scan_unseen(docs, ledger, rules, rule_version), "ledger")
-    full = fresh if ledger is None else ledger.select("blob", "rule_version", "findings").unionByName(fresh)
-    now = full.where(F.col("rule_version") == rule_version).select("blob", "findings")
-    paths = versions(docs).select("doc_id", "blob")
-    return paths.hint("merge").join(now, "blob").select("doc_id", "blob", "findings"), full
+    now = ledger.where(F.col("rule_version") == rule_version).select("blob", "findings")
+    return versions(docs).select("doc_id", "blob").hint("merge").join(now, "blob").select("doc_id", "blob", "findings")
+
+
+def findings_by_path(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+    """``findings`` of every row of ``docs``, and the ledger with what this run added."""
+    full = update_ledger(docs, ledger, rules, rule_version)
+    return findings(docs, full, rule_version), full

@@ -1,8 +1,10 @@
 """Durable intermediate tables in the folder that the driver and all executors share.
 
-The folder is ``spark.checkpoint.dir``. Only where that setting is absent (tests on one machine)
-a temporary folder is made. Tables are Parquet, so a lost executor costs no recomputation of what
-stands before them, and later readers prune columns.
+The folder is ``spark.checkpoint.dir``. Where that setting is absent a temporary folder is made if Spark runs on one
+machine (local master), as in tests; on a cluster it is an error. Tables are Parquet, so a lost executor costs no
+recomputation of what stands before them, and later readers prune columns.
+
+Results read the last of these tables lazily. Once they are written elsewhere, ``discard_all`` removes the tables of a session.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: str | None = None
+#: Paths of the tables that each application has written and not discarded.
+_written: dict[str, set[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,6 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="bookengine-")
     return f"file://{_own_folder}"
@@ -33,11 +39,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def spill(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/bookengine/{uuid.uuid4().hex}/{name}"
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table that no live DataFrame reads any more."""
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
+    # the folder that the table has to itself
+    path = path.rpartition("/")[0]
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every table that this application has written, when all results have been written elsewhere."""
+    for path in sorted(_written.get(spark.sparkContext.applicationId, set())):
+        discard(spark, path)

@@ -1,17 +1,19 @@
 """Licenses, personal data, secrets and quality."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 from zlib import crc32
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from bookengine.llm.licenses import LEAST_DICE, TEMPLATES, bigrams, scan_licenses
 from bookengine.llm.pii import KINDS, RULES, confident_patterns, extract_pii
-from bookengine.llm.quality import keep_quality, score_quality
+from bookengine.llm.quality import estimate_prior, keep_quality, nnpu_gradient, nnpu_risk, score_quality, train
 from bookengine.llm.secret_ledger import findings_by_path, scan_unseen
 from bookengine.llm.spans import find_spans, span_text
 
@@ -270,6 +272,36 @@ def test_quality(labelled, small, nothing, spark):
     assert keep_quality(small, labels.limit(0)).count() == small.count()
 
 
+def test_risk_against_its_definition():
+    rng = np.random.default_rng(1)
+    p, u, w = rng.normal(size=(30, 4)) + 1, rng.normal(size=(50, 4)), rng.normal(size=4)
+    loss = lambda z: math.log1p(math.exp(-z))
+    for prior in (0.2, 0.9):
+        positive, negative = nnpu_risk(w, p, u, prior)
+        assert positive == pytest.approx(prior * sum(loss(x @ w) for x in p) / 30)
+        assert negative == pytest.approx(sum(loss(-x @ w) for x in u) / 50 - prior * sum(loss(-x @ w) for x in p) / 30)
+        # the gradient is that of the risk, or of the negative part turned round where that is below 0
+        risk = (lambda v: sum(nnpu_risk(v, p, u, prior))) if negative >= 0 else (lambda v: -nnpu_risk(v, p, u, prior)[1])  # noqa: B023
+        slope = [(risk(w + e) - risk(w - e)) / 2e-6 for e in 1e-6 * np.eye(4)]
+        assert nnpu_gradient(w, p, u, prior) == pytest.approx(np.array(slope), abs=1e-6)
+
+
+def test_prior_of_a_mixture():
+    rng = np.random.default_rng(2)
+    for prior in (0.3, 0.7):
+        sample = lambda n, centre: rng.normal(size=(n, 6)) + centre  # noqa: B023, E731
+        n = int(3000 * prior)
+        u = rng.permutation(np.vstack([sample(n, 1.5), sample(3000 - n, -1.5)]))
+        assert estimate_prior(sample(2000, 1.5), u) == pytest.approx(prior, abs=0.06)
+
+
+def test_labels_0_and_held_out_labels_teach_nothing(labelled):
+    docs, labels = labelled
+    learned = labels.where("quality = 1 and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
+    fit = train(docs, learned)
+    assert (train(docs, labels) == fit).all()
+
+
 def test_span_digest_of_nothing(spark):
     docs = spark.createDataFrame([(1, "clean")], "doc_id long, text string")
     row = findings_by_path(docs)[0].select(F.sha2(span_text(F.col("findings"), ("hex",), kind_first=False), 256).alias("s")).first()

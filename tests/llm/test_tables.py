@@ -7,28 +7,20 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bookengine.llm import queries as q
+from bookengine.llm.exact_dedup import drop_repeats
 from bookengine.llm.lattice_dedup import e8_roots, near_vectors, nearest_e8
 from bookengine.llm.mixing import mix_sources, mixed_documents, source_targets
+from bookengine.llm.ngram_join import one_of_each_component
 from bookengine.llm.packing import CAPACITY, END_ID, WordEncoder, differencing, pack_documents, pack_group
+from bookengine.llm.quality import keep_quality
 from compare import DATA, assert_same
 
 ODD = ["", " ", "a  b", "<|endoftext|> x\n y \n\nz", " x y　z it's we'll  ", "x \n y", "ab  cd \tef", "über 123 €", "x" * 3000, "\n", "a\n b"]
 
 
-def reference_ids(texts):
-    tokenizers = pytest.importorskip("tokenizers")
-    tokenizer = tokenizers.Tokenizer.from_file(q.tokenizer_path())
-    tokenizer.encode_special_tokens = True
-    return [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-
-def test_word_encoder():
-    encoder = WordEncoder(q.tokenizer_path())
-    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(ODD * 2)] == reference_ids(ODD) * 2
-
-
 ADDED = ["<|endoftext|>", "<|endoftext|>" * 3, "one <|endoftext|> two", "one<|endoftext|>two  three ", "<|endoftext|>\n\n x", "<|endoftext|", "a <|endoftext|><|endoftext|>", "<|<|endoftext|>|>", "é  <|endoftext|>  é"]
 
 
@@ -38,14 +30,38 @@ def contract_ids(texts):
     return [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_added_tokens(spark):
+def test_word_encoder():
     texts = ADDED + ODD
     expected = contract_ids(texts)
     assert expected[0] == [50256]
-    assert [np.frombuffer(x, "<u4").tolist() for x in WordEncoder(q.tokenizer_path()).encode_added(texts * 2)] == expected * 2
+    assert [np.frombuffer(x, "<u4").tolist() for x in WordEncoder(q.tokenizer_path()).encode(texts * 2)] == expected * 2
+
+
+def test_added_tokens(spark):
     rows = pack_documents(spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string"), q.tokenizer_path()).collect()
     found = {(r["doc_id"], r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]) for r in rows}
-    assert found == {(k, 0, len(x) + 1, len(x) + 1, crc32(np.array([*x, END_ID], "<u4").tobytes())) for k, x in enumerate(expected[: len(ADDED)])}
+    assert found == {(k, 0, len(x) + 1, len(x) + 1, crc32(np.array([*x, END_ID], "<u4").tobytes())) for k, x in enumerate(contract_ids(ADDED))}
+
+
+def test_large_ids_beside_a_null(spark):
+    ids = [2**60 + 1, 2**60 + 2, 2**53 + 1, -(2**63), 2**63 - 1, None]
+    rows = pack_documents(spark.createDataFrame([(i, "a b c") for i in ids], "doc_id long, text string"), q.tokenizer_path()).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(ids)
+
+
+def test_near_equal_windows():
+    # without a rise the windows differ by less than the least item; the count rises only as far as needed
+    for seed in range(5):
+        rng = random.Random(seed)
+        lengths = [rng.randrange(200, 512) for _ in range(600)]
+        parts = pack_group(lengths, CAPACITY)
+        sums = [sum(lengths[i] for i in p) for p in parts]
+        assert sorted(i for p in parts for i in p) == list(range(600))
+        assert max(sums) <= CAPACITY
+        assert max(sums) - min(sums) < min(lengths)
+        least = math.ceil(sum(lengths) / CAPACITY)
+        assert all(max(sum(lengths[i] for i in p) for p in differencing(lengths, w)) > CAPACITY for w in range(least, len(parts)))
+        assert len(parts) <= 1.03 * least + 1
 
 
 def test_differencing():
@@ -57,13 +73,13 @@ def test_differencing():
         assert sorted(i for p in parts for i in p) == list(range(200))
         sums = [sum(lengths[i] for i in p) for p in parts]
         assert max(sums) <= CAPACITY
-        assert len(parts) <= math.ceil(sum(lengths) / CAPACITY) + 2
+        assert len(parts) <= math.ceil(sum(lengths) / CAPACITY) + 2 or max(sum(lengths[i] for i in p) for p in differencing(lengths, len(parts) - 1)) > CAPACITY
     assert len(pack_group([CAPACITY] * 3, CAPACITY)) == 3
 
 
 def check_packing(rows, texts):
     """``texts``: (doc_id, text) of the packed rows."""
-    ids = [[*x, END_ID] for x in reference_ids([t or "" for _, t in texts])]
+    ids = [[*x, END_ID] for x in contract_ids([t or "" for _, t in texts])]
     expected = defaultdict(list)
     for (doc, _), x in zip(texts, ids, strict=True):
         expected[doc].append(x)
@@ -193,6 +209,21 @@ def test_near_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+NAMES = ["row_number", "_ROW_number", "__row_number", "copies", "copy", "__copy", "scored_text", "_scored_text", "score", "cid", "digest", "a.b"]
+
+
+def test_clashing_names(spark, unique):
+    """Stages return the columns that they got, whatever their names, with the values that they held."""
+    docs = unique.select("doc_id", "text", "lang", "source", "n_chars", *(F.concat(F.lit(f"{k} "), F.col("doc_id").cast("string")).alias(name) for k, name in enumerate(NAMES)))
+    labels = spark.createDataFrame([(k, 1) for k in range(9)], "doc_id long, quality int")
+    for stage in (drop_repeats, one_of_each_component, mixed_documents, lambda x: keep_quality(x, labels)):
+        kept = stage(docs)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows
+        assert all([r[name] for name in NAMES] == [f"{k} {r['doc_id']}" for k in range(len(NAMES))] for r in rows)
+
+
 @pytest.mark.parametrize("name", sorted(q.ORACLES))
 def test_query_against_sql(name, spark, duck):
     found = duck.execute(q.ORACLES[name])
