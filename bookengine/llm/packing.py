@@ -33,7 +33,7 @@ END_ID = 1
 #: Pieces a group holds on average.
 GROUP_PIECES = 1200
 #: Encoded words that a Python worker remembers before it forgets all.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 50_000
 
 
 class WordEncoder:
