@@ -1,21 +1,24 @@
-"""Repeated byte strings by prefix doubling over a sample of suffix positions.
+"""Repeated byte strings by distributed prefix doubling over a sample of suffix positions.
 
 A byte goes if a string of ``LENGTH`` bytes covers it that also starts elsewhere. Ranking every suffix would
 shuffle many times the corpus, so the suffixes ranked are those at content-chosen positions: in each window
 of LENGTH bytes, the position whose CORE bytes have the least hash. Equal windows choose the same place,
 so each window is judged at one ranked position, and no repeat is lost.
 
-Ranks double as in a suffix array, and unique positions leave after each step:
-1. rank by the CORE bytes behind the position: Spark counts equal ranks; unique ones are done (not repeated);
-2. rank by (rank, context): all bytes of all windows around the position. Positions of equal context are
-   past the threshold: all their windows repeat. One position of each context goes on as a witness;
-3. contexts that share a core but differ are ranked on the strings in between, the LENGTH-byte windows at
-   each offset, inside a sorted group of bounded size, or by a Spark aggregation where a group is larger.
+1. Positions are ranked by the CORE bytes behind them; unique ones are done (not repeated).
+2. Positions of equal context (the bytes of all windows around the position) are past the threshold: all their windows
+   repeat. One position of each context goes on as a witness.
+3. Witnesses whose core has several contexts are ranked again and again, each time by the pair of their rank and the hash of
+   the bytes at the next offset, up to LENGTH bytes from the position on, and in the same way backwards. Spark brings equal
+   pairs together by sorting; a position that is unique leaves, and so bounds how far a repeat can reach; the
+   others go on until they are unique or past the threshold. What the two bounds leave are the windows that can repeat.
+4. These windows are compared within each core, inside a sorted group of bounded size, or by a Spark aggregation where a group is larger.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
@@ -34,6 +37,8 @@ CORE = LENGTH - OFFSETS + 1
 #: Bytes of a context: before the position and from it on.
 BEFORE = OFFSETS - 1
 CONTEXT = BEFORE + LENGTH
+#: Bytes from the position on, and before it, by which positions are ranked in turn.
+AHEAD, BEHIND = (106, 146, LENGTH), (32, 64, BEFORE)
 #: Contexts of one core that a task ranks together.
 GROUP = 4096
 _STEP = 1 << 17
@@ -105,17 +110,74 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _rank_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each wanted position the hashes of the pieces between its offsets, ahead and behind; null beyond the text's ends."""
+    for batch in batches:
+        out: list[tuple] = []
+        for row, text, wanted in zip(batch.column("row_id").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            data = np.frombuffer(text.encode(), np.uint8)
+            sums, at = _sums(data), np.array([w["at"] for w in wanted], np.int64)
+            pieces = []
+            for edges in ([at + x for x in (CORE, *AHEAD)], [at - x for x in (0, *BEHIND)]):
+                for near, far in zip(edges, edges[1:], strict=False):
+                    there = (far >= 0) & (far <= len(data))
+                    low, high = (np.where(there, f(near, far), 0) for f in (np.minimum, np.maximum))
+                    pieces.append([h if ok else None for h, ok in zip(_hash(sums, low, high).view(np.int64).tolist(), there.tolist(), strict=True)])
+            ahead, behind = list(zip(*pieces[: len(AHEAD)], strict=True)), list(zip(*pieces[len(AHEAD) :], strict=True))
+            out += [(w["core"], w["context"], w["n"], row, w["at"], list(f), list(g)) for w, f, g in zip(wanted, ahead, behind, strict=True)]
+        columns = list(zip(*out, strict=True)) if out else [()] * 7
+        longs = pa.list_(pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), longs, longs)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["core", "context", "n", "row_id", "at", "ahead", "behind"])
+
+
+def _doubled(positions: DataFrame, pieces: str, steps: int) -> DataFrame:
+    """id and reached: after how many steps a position still shares its rank with another; positions that the first step tells apart are left out."""
+    state, reached = positions.select("id", F.col("core").alias("rank"), F.col(pieces).alias("pieces")), []
+    for k in range(steps):
+        piece = F.col("pieces")[k]
+        pairs = state.where(piece.isNotNull()).select("id", F.xxhash64("rank", piece).alias("rank"), "pieces")
+        # written, so that the join has plain exchanges, whose hot partitions Spark splits
+        again = materialize(pairs.groupBy("rank").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("rank"), "equal_ranks")
+        state = materialize(pairs.join(again, "rank").select("id", "rank", "pieces"), "ranks")
+        reached.append(state.select("id", F.lit(k + 1).alias("reached")))
+    return reduce(DataFrame.unionByName, reached).groupBy("id").agg(F.max("reached").alias("reached"))
+
+
+def _possible_windows(witnesses: DataFrame, rows: DataFrame) -> DataFrame:
+    """core, context, n, row_id, at and the offsets from ``low`` to ``high`` whose windows can repeat; witnesses without any are left out."""
+    wanted = witnesses.groupBy("row_id").agg(F.collect_list(F.struct("core", "context", "n", "at")).alias("wanted"))
+    texts = rows.select("row_id", "text").join(wanted, "row_id")
+    ranked = texts.mapInArrow(_rank_pieces, "core long, context long, n long, row_id long, at long, ahead array<long>, behind array<long>")
+    # written, so that the ids stay
+    ranked = materialize(ranked.withColumn("id", F.monotonically_increasing_id()), "rank_pieces")
+    ahead, behind = (_doubled(ranked, name, len(steps)).withColumnRenamed("reached", name) for name, steps in (("ahead", AHEAD), ("behind", BEHIND)))
+    found = ranked.drop("ahead", "behind").join(ahead, "id", "left").join(behind, "id", "left")
+    # unique with so many bytes ahead: only windows that end before can repeat; likewise behind
+    low = F.element_at(F.array(*(F.lit(LENGTH - x + 1) for x in AHEAD), F.lit(0)), F.coalesce("ahead", F.lit(0)) + 1)
+    high = F.element_at(F.array(*(F.lit(x - 1) for x in BEHIND), F.lit(BEFORE)), F.coalesce("behind", F.lit(0)) + 1)
+    return found.select("core", "context", "n", "row_id", "at", low.alias("low"), high.alias("high")).where("low <= high")
+
+
 def _context_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             raw = text.encode()
             for w in wanted:
-                low = max(w["at"] - BEFORE, 0)
-                out.append((w["core"], w["context"], w["n"], w["size"], w["at"] - low, raw[low : w["at"] + LENGTH]))
-        columns = list(zip(*out, strict=True)) if out else [()] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["core", "context", "n", "size", "before", "data"])
+                first = max(w["at"] - BEFORE, 0)
+                out.append((w["core"], w["context"], w["n"], w["low"], w["high"], w["at"] - first, raw[first : w["at"] + LENGTH]))
+        columns = list(zip(*out, strict=True)) if out else [()] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["core", "context", "n", "low", "high", "before", "data"])
+
+
+def _window_columns(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Window hashes and which windows exist and can repeat, for rows of ``_context_bytes``."""
+    value, inside = _window_hashes(rows.column("before").to_numpy(), rows.column("data").to_pylist())
+    low, high = (rows.column(k).to_numpy()[:, None] for k in ("low", "high"))
+    offset = np.arange(OFFSETS)
+    return value, inside & (offset >= low) & (offset <= high)
 
 
 def _window_hashes(before: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +211,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _judge(rows: pa.Table) -> pa.RecordBatch:
     core, context, n = (rows.column(k).to_numpy() for k in ("core", "context", "n"))
-    value, inside = _window_hashes(rows.column("before").to_numpy(), rows.column("data").to_pylist())
+    value, inside = _window_columns(rows)
     value = mix(value + core.view(np.uint64)[:, None])
     again = np.zeros(value.shape, bool)
     for k in range(OFFSETS):
@@ -166,7 +228,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
-            value, inside = _window_hashes(part.column("before").to_numpy(), part.column("data").to_pylist())
+            value, inside = _window_columns(part)
             row, offset = np.nonzero(inside)
             take = lambda name: pa.array(part.column(name).to_numpy()[row])  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([take("core"), take("context"), take("n"), pa.array(offset.astype(np.int32)), pa.array(value[row, offset].view(np.int64))], ["core", "context", "n", "offset", "window"])
@@ -184,15 +246,18 @@ def _pack_offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _partly_repeated(witnesses: DataFrame, rows: DataFrame, group: int) -> DataFrame:
     """(core, context, marks) of contexts seen once that share windows with another context of their core."""
-    wanted = witnesses.groupBy("row_id").agg(F.collect_list(F.struct("core", "context", "n", "size", "at")).alias("wanted"))
-    texts = rows.select(F.col("row_id"), "text").join(wanted, "row_id").select("text", "wanted")
-    contexts = materialize(texts.mapInArrow(_context_bytes, "core long, context long, n long, size long, before long, data binary"), "contexts")
+    possible = materialize(_possible_windows(witnesses, rows), "possible")
+    sizes = materialize(possible.groupBy("core").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "possible_cores")
+    wanted = possible.join(sizes.select("core"), "core").groupBy("row_id").agg(F.collect_list(F.struct("core", "context", "n", "low", "high", "at")).alias("wanted"))
+    texts = rows.select("row_id", "text").join(wanted, "row_id").select("text", "wanted")
+    contexts = materialize(texts.mapInArrow(_context_bytes, "core long, context long, n long, low int, high int, before long, data binary"), "contexts")
     marks = "core long, context long, marks binary"
-    small = contexts.where(F.col("size") <= group)
-    small = small.repartition("core").sortWithinPartitions("core").mapInArrow(_repeated, marks)
-    windows = contexts.where(F.col("size") > group).mapInArrow(_windows, "core long, context long, n long, offset int, window long")
-    if contexts.where(F.col("size") > group).isEmpty():
-        return small
+    together = lambda part: part.repartition("core").sortWithinPartitions("core").mapInArrow(_repeated, marks)
+    large_cores = sizes.where(F.col("size") > group).select("core")
+    if large_cores.isEmpty():
+        return together(contexts)
+    small = together(contexts.join(large_cores, "core", "left_anti"))
+    windows = contexts.join(large_cores, "core").mapInArrow(_windows, "core long, context long, n long, offset int, window long")
     windows = materialize(windows, "windows")
     twice = materialize(windows.groupBy("core", "offset", "window").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").drop("seen"), "repeated_windows")
     large = windows.where("n = 1").join(twice, ["core", "offset", "window"]).groupBy("core", "context").agg(F.collect_list("offset").alias("offsets"))
@@ -238,9 +303,9 @@ def repeated_bytes(docs: DataFrame, group: int = GROUP) -> DataFrame:
     positions = rows.select("row_id", "text").mapInArrow(_positions, "core long, context long, row_id long, at long")
     positions = materialize(positions.join(again, "core"), "positions")
     classes = positions.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id"), F.min_by("at", "row_id").alias("at"))
-    classes = materialize(classes, "contexts")
+    classes = materialize(classes, "context_classes")
     several = materialize(classes.groupBy("core").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "mixed_cores")
-    partly = _partly_repeated(classes.join(several, "core"), rows, group)
+    partly = _partly_repeated(classes.join(several.select("core"), "core"), rows, group)
     judged = classes.where("n > 1").select("core", "context", F.lit(None).cast("binary").alias("marks")).unionByName(partly)
     judged = materialize(judged, "judged")
     spots = positions.join(judged, ["core", "context"]).groupBy("row_id").agg(
