@@ -55,7 +55,8 @@ def hyphenate(words: DataFrame, patterns: tuple[str, ...] = PATTERNS, exceptions
     """word, hyphenated for each distinct word (Liang's patterns, case-sensitive).
 
     No hyphen within the first two or the last two letters, none in words of two letters. Exceptions go first. Only
-    distinct words are taken apart, into substrings no longer than the longest pattern, which meet the pattern table in a join.
+    distinct words are taken apart, into substrings no longer than the longest pattern, which meet the pattern table in
+    a join; a substring carries two hashes of its word, not the word, so that long tokens cost no more than their length.
     """
     exceptions = EXCEPTIONS if exceptions is None else exceptions
     rows = pattern_rows(patterns)
@@ -66,20 +67,24 @@ def hyphenate(words: DataFrame, patterns: tuple[str, ...] = PATTERNS, exceptions
     distinct = words.select("word").distinct()
     known = F.create_map(*map(F.lit, chain.from_iterable(exceptions.items()))) if exceptions else F.create_map().cast("map<string,string>")
     fixed = F.try_element_at(known, F.col("word"))
-    dotted = F.concat(F.lit("."), "word", F.lit("."))
-    open_words = distinct.where(fixed.isNull() & (F.char_length("word") > 2))
-    starts = open_words.select("word", dotted.alias("dotted"), F.explode(F.sequence(F.lit(1), F.char_length("word") + 2)).alias("start"))
-    pieces = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("dotted") - F.col("start") + 1))).alias("size"), "dotted")
-    pieces = pieces.select("word", "start", F.substring(F.col("dotted"), F.col("start"), F.col("size")).alias("piece"))
+    keys = (F.xxhash64("word"), F.xxhash64("word", F.lit(1)))
+    keyed = distinct.select("word", keys[0].alias("k"), keys[1].alias("l"), F.char_length("word").alias("n"))
+    dotted = F.filter(F.split(F.concat(F.lit("."), "word", F.lit(".")), ""), lambda c: c != "")
+    sizes = lambda s, n: F.sequence(F.lit(1), F.least(F.lit(longest), n - s + 1))
+    cut = lambda cs: F.flatten(F.transform(F.sequence(F.lit(1), F.size(cs)), lambda s: F.transform(sizes(s, F.size(cs)), lambda z: F.struct(s.alias("start"), F.array_join(F.slice(cs, s, z), "").alias("piece")))))
+    open_words = keyed.where(fixed.isNull() & (F.col("n") > 2))
+    pieces = open_words.select("k", "l", "n", F.explode(F.element_at(F.transform(F.array(dotted), cut), 1)).alias("p")).select("k", "l", "n", "p.start", "p.piece")
     # after how many letters of the word a value stands: the leading dot is no letter
     after = (F.col("start") - 1 + F.col("place") - 1).alias("after")
-    values = pieces.join(table, "piece").select("word", after, "value").groupBy("word", "after").agg(F.max("value").alias("value"))
-    good = values.where((F.col("value") % 2 == 1) & (F.col("after") >= 2) & (F.col("after") <= F.char_length("word") - 2))
-    cuts = good.groupBy("word").agg(F.array_sort(F.collect_list("after")).alias("cuts"))
-    edges = F.concat(F.array(F.lit(0)), "cuts", F.array(F.char_length("word")))
-    split = F.transform(F.sequence(F.lit(1), F.size("cuts") + 1), lambda i: F.substring(F.col("word"), F.element_at(edges, i) + 1, F.element_at(edges, i + 1) - F.element_at(edges, i)))
-    done = cuts.select("word", F.array_join(split, hyphen).alias("hyphenated"))
-    return distinct.join(done, "word", "left").select("word", F.coalesce(F.replace(fixed, F.lit("-"), F.lit(hyphen)), "hyphenated", "word").alias("hyphenated"))
+    values = pieces.join(table, "piece").select("k", "l", "n", after, "value").groupBy("k", "l", "n", "after").agg(F.max("value").alias("value"))
+    good = values.where((F.col("value") % 2 == 1) & (F.col("after") >= 2) & (F.col("after") <= F.col("n") - 2))
+    cuts = good.groupBy("k", "l").agg(F.array_sort(F.collect_list("after")).alias("cuts"))
+    edges = F.concat(F.array(F.lit(0)), "cuts", F.array("n"))
+    letters = F.struct(F.filter(F.split("word", ""), lambda c: c != "").alias("of"), edges.alias("edges"))
+    part = lambda x, i: F.array_join(F.slice(x["of"], F.element_at(x["edges"], i) + 1, F.element_at(x["edges"], i + 1) - F.element_at(x["edges"], i)), "")
+    split = F.element_at(F.transform(F.array(letters), lambda x: F.transform(F.sequence(F.lit(1), F.size(x["edges"]) - 1), lambda i: part(x, i))), 1)
+    hyphenated = F.when(F.col("cuts").isNotNull(), F.array_join(split, hyphen))
+    return keyed.join(cuts, ["k", "l"], "left").select("word", F.coalesce(F.replace(fixed, F.lit("-"), F.lit(hyphen)), hyphenated, "word").alias("hyphenated"))
 
 
 #: Languages whose dictionary has another name, and dictionaries that exist. Fixed values.

@@ -114,9 +114,16 @@ TREES = {"normal": (2, 1 << 30), "kindle": (2, 1), "flat": (1 << 30, 1)}
 
 
 def toc_tree(entries: DataFrame, key: str, kind: str = "normal") -> DataFrame:
-    """key, toc_ix, parent_ix (null at the top), by a fold with a stack over each book's entries."""
+    """key, toc_ix, parent_ix (null at the top), by a fold with a stack over the entries from one of the book's least level to the next.
+
+    An entry of the least level empties the stack, so that these runs are independent of each other.
+    """
     limit, most = TREES[kind]
-    rows = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("toc_ix", F.col("level").cast("int").alias("level")))).alias("toc"))
+    level = F.col("level").cast("int")
+    least = F.min(level).over(Window.partitionBy(key))
+    upto = Window.partitionBy(key).orderBy("toc_ix").rowsBetween(Window.unboundedPreceding, 0)
+    runs = entries.select(key, "toc_ix", "level", (level == least).cast("int").alias("_opens")).withColumn("_run", F.sum("_opens").over(upto))
+    rows = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct("toc_ix", F.col("level").cast("int").alias("level")))).alias("toc"))
     item = "struct<level:int,toc_ix:int>"
     out = "struct<toc_ix:int,parent_ix:int>"
     start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast(f"array<{item}>").alias("stack"), F.array().cast(f"array<{out}>").alias("out"))

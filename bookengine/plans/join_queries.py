@@ -48,17 +48,16 @@ def j02_resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     hrefs = tok.select_attribute(page_tokens(spark, sf_dir), "page_id", "a", "href")
     local = hrefs.select("page_id", "pos", F.concat(F.lit("#"), F.regexp_extract("value", "^/(.*)$", 1)).alias("href"))
     # ids of even length are anchors of the page
-    ids = local.select("page_id", F.substring("href", 2, 10_000).alias("anchor_id")).distinct().where(F.char_length("anchor_id") % 2 == 0)
+    ids = local.select("page_id", F.substring("href", F.lit(2), F.char_length("href")).alias("anchor_id")).distinct().where(F.char_length("anchor_id") % 2 == 0)
     anchors = ids.withColumn("file", F.concat(F.lit("file"), (F.col("page_id") % 4).cast("string")))
     return ln.resolve_links(local, anchors, ["page_id"]).select("page_id", "pos", "href", "resolved")
 
 
-_IMAGES_SQL = "images AS (SELECT source AS book_id, 'img' || doc_id % 10 AS image_id, doc_id AS image_ix, 'bin' || doc_id AS image_file FROM documents WHERE doc_id % 4 <> 1), uniq AS (SELECT book_id, image_id, arg_min(image_file, image_ix) AS image_file FROM images GROUP BY ALL)"
+_IMAGES_SQL = "images AS (SELECT source AS book_id, 'img' || doc_id % 10 AS image_id, doc_id AS image_ix, 'bin' || doc_id AS image_file FROM documents), uniq AS (SELECT book_id, image_id, arg_min(image_file, image_ix) AS image_file FROM images GROUP BY ALL)"
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 4 <> 1")
-    return docs.select(F.col("source").alias("book_id"), F.concat(F.lit("img"), (F.col("doc_id") % 10).cast("string")).alias("image_id"), F.col("doc_id").alias("image_ix"), F.concat(F.lit("bin"), F.col("doc_id").cast("string")).alias("image_file"))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.concat(F.lit("img"), (F.col("doc_id") % 10).cast("string")).alias("image_id"), F.col("doc_id").alias("image_ix"), F.concat(F.lit("bin"), F.col("doc_id").cast("string")).alias("image_file"))
 
 
 @query(f"WITH {_IMAGES_SQL} SELECT d.doc_id, u.image_id IS NOT NULL AS found, coalesce(u.image_file, '{ln.NOT_FOUND}') AS image_file FROM documents d LEFT JOIN uniq u ON u.book_id = d.source AND u.image_id = 'img' || d.doc_id % 13")

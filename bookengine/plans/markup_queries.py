@@ -163,13 +163,13 @@ _EXCEPTIONS = "CASE word " + " ".join(f"WHEN '{w}' THEN replace('{h}', '-', '-')
 
 @query(
     f"""WITH pat(piece, place, value) AS (VALUES {_PATTERN_VALUES}),
- w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\n]+')) AS word FROM documents),
- st AS (SELECT word, '.' || word || '.' AS dotted, unnest(range(1, length(word) + 3)) AS start FROM w WHERE length(word) > 2 AND {_EXCEPTIONS} IS NULL),
- pc AS (SELECT word, start, substr(dotted, start, size) AS piece FROM (SELECT *, unnest(range(1, least({_LONGEST}, length(dotted) - start + 1) + 1)) AS size FROM st)),
- v AS (SELECT word, start + place - 2 AS after, max(value) AS value FROM pc JOIN pat USING (piece) GROUP BY ALL),
- ch AS (SELECT word, unnest(range(1, length(word) + 1)) AS i, unnest(string_split(word, '')) AS c FROM w WHERE length(word) > 2 AND {_EXCEPTIONS} IS NULL),
- h AS (SELECT ch.word, string_agg(c || CASE WHEN v.value % 2 = 1 AND i >= 2 AND i <= length(ch.word) - 2 THEN '-' ELSE '' END, '' ORDER BY i) AS hyphenated FROM ch LEFT JOIN v ON v.word = ch.word AND v.after = ch.i GROUP BY ch.word)
- SELECT w.word, coalesce({_EXCEPTIONS.replace('CASE word', 'CASE w.word')}, h.hyphenated, w.word) AS hyphenated FROM w LEFT JOIN h ON w.word = h.word"""
+ w AS (SELECT word, {_EXCEPTIONS} AS fixed, row_number() OVER (ORDER BY word) AS wid FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\n]+')) AS word FROM documents)),
+ ch AS (SELECT wid, n, unnest(range(n + 2)) AS i, unnest(cs) AS c FROM (SELECT wid, length(word) AS n, list_filter(string_split('.' || word || '.', ''), lambda c: c <> '') AS cs FROM w WHERE length(word) > 2 AND fixed IS NULL)),
+ nx AS (SELECT wid, n, i, c, {", ".join(f"lead(c, {k}) OVER w AS c{k}" for k in range(1, _LONGEST))} FROM ch WINDOW w AS (PARTITION BY wid ORDER BY i)),
+ pc AS ({" UNION ALL ".join(f"SELECT wid, n, i, {' || '.join(['c', *(f'c{j}' for j in range(1, k + 1))])} AS piece FROM nx" for k in range(_LONGEST))}),
+ v AS (SELECT wid, i + place - 1 AS after FROM pc JOIN pat USING (piece) WHERE i + place - 1 BETWEEN 2 AND n - 2 GROUP BY wid, after HAVING max(value) % 2 = 1),
+ h AS (SELECT ch.wid, string_agg(c || CASE WHEN v.wid IS NOT NULL THEN '-' ELSE '' END, '' ORDER BY i) AS hyphenated FROM ch LEFT JOIN v ON v.wid = ch.wid AND v.after = ch.i WHERE ch.i BETWEEN 1 AND ch.n GROUP BY ch.wid)
+ SELECT word, coalesce(fixed, h.hyphenated, word) AS hyphenated FROM w LEFT JOIN h USING (wid)"""
 )
 def e04_hyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"([^ \n]+)"), F.lit(1))).alias("word"))

@@ -152,12 +152,24 @@ def c14_toc_tree_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.toc_tree(toc(spark, sf_dir), "book_id", "flat")
 
 
-@query()
+def _tree_sql(kind: str) -> str:
+    """The stack machine as a recursive query: one entry of every book at a time."""
+    limit, most = st.TREES[kind]
+    less, outer = "stack[1:len(stack) - 1]", "stack[1:coalesce(list_max(list_transform(range(1, len(stack) + 1), lambda i: CASE WHEN stack[i].level < e.level THEN i END)), 0)]"
+    return f"""WITH RECURSIVE {TOC_SQL}, e AS (SELECT book_id, toc_ix::INT AS toc_ix, level::INT AS level, row_number() OVER (PARTITION BY book_id ORDER BY toc_ix) AS n FROM toc),
+ r AS (SELECT book_id, 0::BIGINT AS n, NULL::INT AS last, []::STRUCT(level INT, toc_ix INT)[] AS stack, NULL::INT AS toc_ix, NULL::INT AS parent_ix FROM (SELECT DISTINCT book_id FROM e)
+  UNION ALL SELECT book_id, n, level, list_append(rest, {{'level': level, 'toc_ix': toc_ix}}), toc_ix, CASE WHEN len(rest) > 0 THEN rest[len(rest)].toc_ix END
+  FROM (SELECT e.*, CASE WHEN last IS NULL THEN stack WHEN last < e.level THEN CASE WHEN e.level < {limit} OR len(stack) > {most} THEN {less} ELSE stack END WHEN last = e.level THEN {less} ELSE {outer} END AS rest
+        FROM r JOIN e ON e.book_id = r.book_id AND e.n = r.n + 1))
+ SELECT book_id, toc_ix, parent_ix FROM r WHERE n > 0"""
+
+
+@query(_tree_sql("normal"))
 def c14_toc_tree_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.toc_tree(toc(spark, sf_dir), "book_id", "normal")
 
 
-@query()
+@query(_tree_sql("kindle"))
 def c14_toc_tree_kindle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.toc_tree(toc(spark, sf_dir), "book_id", "kindle")
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import zipfile
+import zlib
 from collections.abc import Iterator
 from io import BytesIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,33 +27,49 @@ def scan_books(spark: SparkSession, root: str, extension: str = ".fb2") -> DataF
     return files.where(F.endswith(F.lower("path"), F.lit(extension))).select("path", F.lit(None).cast("string").alias("member"), "content", "length")
 
 
-def _expander(prefix: str, extension: str, code_page: str | None):
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+def _expander(prefix: str, extension: str, code_page: str | None, most_bytes: int):
+    def members(path: str, content: bytes) -> Iterator[dict]:
+        try:
+            archive = zipfile.ZipFile(BytesIO(content), metadata_encoding=code_page)
+        except (zipfile.BadZipFile, UnicodeDecodeError):
+            yield {"path": path, "member": None, "content": None, "length": len(content), "reason": "damaged archive"}
+            return
+        for info in archive.infolist():
+            if info.is_dir() or not info.filename.startswith(prefix) or not info.filename.lower().endswith(extension):
+                continue
+            row = {"path": path, "member": info.filename, "content": None, "length": info.file_size, "reason": "too large"}
+            if info.file_size <= most_bytes:
                 try:
-                    archive = zipfile.ZipFile(BytesIO(content), metadata_encoding=code_page)
-                except zipfile.BadZipFile:
-                    continue
-                for info in archive.infolist():
-                    if info.is_dir() or not info.filename.startswith(prefix) or not info.filename.lower().endswith(extension) or info.file_size > MOST_MEMBER_BYTES:
-                        continue
-                    try:
-                        data = archive.read(info)
-                    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError):
-                        continue
-                    yield pd.DataFrame({"path": [path], "member": [info.filename], "content": [data], "length": [len(data)]})
+                    row |= {"content": archive.read(info), "reason": None}
+                except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, OSError):
+                    row["reason"] = "damaged member"
+            yield row
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                # a batch for each member, so that one is held at a time
+                yield from (pa.RecordBatch.from_pylist([row], EXPANDED) for row in members(path, content))
 
     return expand
 
 
-def scan_archives(spark: SparkSession, root: str, prefix: str = "", extension: str = ".fb2", code_page: str | None = None) -> DataFrame:
-    """path, member, content, length of the books in zip files under a folder; no archives in archives.
+EXPANDED = pa.schema({"path": pa.string(), "member": pa.string(), "content": pa.binary(), "length": pa.int64(), "reason": pa.string()})
+
 
-    ``code_page`` decodes member names that are not marked as UTF-8. Damaged archives and members are skipped.
+def expand_archives(archives: DataFrame, prefix: str = "", extension: str = ".fb2", code_page: str | None = None, most_bytes: int = MOST_MEMBER_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(books, quarantine) of zip archives (path, content): path, member, content, length of the books; no archives in archives.
+
+    ``code_page`` decodes member names that are not marked as UTF-8. Quarantine holds path, member (null for an archive)
+    and reason: damaged archive, damaged member, or too large, for members of over ``most_bytes``.
     """
-    archives = scan_books(spark, root, ".zip").select("path", "content")
-    return archives.mapInPandas(_expander(prefix, extension, code_page), "path string, member string, content binary, length long")
+    rows = archives.select("path", "content").mapInArrow(_expander(prefix, extension, code_page, most_bytes), "path string, member string, content binary, length long, reason string")
+    return rows.where("reason IS NULL").drop("reason"), rows.where("reason IS NOT NULL").select("path", "member", "reason")
+
+
+def scan_archives(spark: SparkSession, root: str, prefix: str = "", extension: str = ".fb2", code_page: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``expand_archives`` over the zip files under a folder."""
+    return expand_archives(scan_books(spark, root, ".zip"), prefix, extension, code_page)
 
 
 #: Byte order marks, longest first: the 32-bit little-endian mark begins with the 16-bit one. Fixed values.
@@ -74,6 +91,8 @@ CHARSETS = ("utf-8", "windows-1250", "windows-1251", "windows-1252", "koi8-r", "
 def decode_text(content: Column) -> Column:
     """Text of a file: by its byte order mark, else by the charset of the XML declaration, else UTF-8. The mark is left out.
 
+    A declaration is looked for in the first 200 bytes, where XML has it.
+
     Charsets beyond Spark's own need ``spark.sql.legacy.javaCharsets``.
     """
     encoding = detect_encoding(content)
@@ -109,7 +128,8 @@ def read_fb2(files: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame
     A damaged book never stops the batch. The annotation is taken from the markup, where its order of text and tags is kept.
     """
     sniffed = files.withColumn("_book", looks_like(F.ltrim(F.col(text))))
-    parsed = sniffed.where("_book").withColumn("fb2", F.from_xml(F.col(text), FB2_SCHEMA, {"mode": "PERMISSIVE", "rowTag": "FictionBook", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    # behind an explode, through which no filter is pushed, so that each text is parsed once
+    parsed = sniffed.where("_book").withColumn("fb2", F.explode(F.array(F.from_xml(F.col(text), FB2_SCHEMA, {"mode": "PERMISSIVE", "rowTag": "FictionBook", "columnNameOfCorruptRecord": "_corrupt_record"}))))
     bad = F.col("fb2").isNull() | F.col("fb2._corrupt_record").isNotNull() | F.col("fb2.body").isNull()
     annotation = F.regexp_extract(F.col(text), r"(?s)<annotation>(.*?)</annotation>", 1)
     books = parsed.where(~bad).select("path", "member", F.col("fb2.description").alias("description"), F.col("fb2.body").alias("bodies"), F.col("fb2.binary").alias("binaries"), annotation.alias("annotation_markup"))

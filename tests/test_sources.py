@@ -1,5 +1,6 @@
 """Book files, archives and encodings, on files written here."""
 
+import io
 import zipfile
 
 import pytest
@@ -43,9 +44,22 @@ def test_scan_books(spark, tree):
 
 
 def test_scan_archives(spark, tree):
-    rows = src.scan_archives(spark, str(tree), "in/", code_page="cp866").collect()
+    books, bad = src.scan_archives(spark, str(tree), "in/", code_page="cp866")
+    rows = books.collect()
     assert {r["member"] for r in rows} == {"in/one.fb2", "in/Ж.fb2"}
     assert all(bytes(r["content"]).startswith(b"<?xml") and r["length"] == len(r["content"]) for r in rows)
+    assert [(r["path"].rsplit("/", 1)[1], r["member"], r["reason"]) for r in bad.collect()] == [("bad.zip", None, "damaged archive")]
+
+
+def test_quarantine_of_archive_members(spark):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for name, size in (("good.fb2", 10), ("large.fb2", 3000), ("hurt.fb2", 50)):
+            z.writestr(name, name[0] * size)
+    content = buffer.getvalue().replace(b"h" * 50, b"H" * 50)
+    books, bad = src.expand_archives(spark.createDataFrame([("a.zip", content), ("b.zip", content[:100]), ("c.zip", b"")], "path string, content binary"), most_bytes=1000)
+    assert [(r["path"], r["member"], bytes(r["content"])) for r in books.collect()] == [("a.zip", "good.fb2", b"g" * 10)]
+    assert sorted(map(tuple, bad.collect()), key=str) == [("a.zip", "hurt.fb2", "damaged member"), ("a.zip", "large.fb2", "too large"), ("b.zip", None, "damaged archive"), ("c.zip", None, "damaged archive")]
 
 
 def test_encodings_and_quarantine(spark, tree):
