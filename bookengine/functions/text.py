@@ -178,7 +178,8 @@ def normalize_dialogue(text: Column, dashes: str, to: str) -> Column:
     single = F.regexp_replace(text, f"[{WS}](?=[{WS}])", "")
     dash = char_class(dashes)
     moved = F.regexp_replace(single, rf"[{WS}]([{dash}])|(?<=[\s\S])([{dash}])", quoted_replacement(to) + "$1$2")
-    return F.when(text.rlike(rf"^[{WS}]\z"), "").otherwise(moved)
+    # most text holds neither a dash nor a run of white space: one look leaves it as it is
+    return F.when(~text.rlike(f"[{WS}][{WS}]|[{dash}]|^[{WS}]$"), text).when(text.rlike(rf"^[{WS}]\z"), "").otherwise(moved)
 
 
 # --- sentences and words ----------------------------------------------------------------------

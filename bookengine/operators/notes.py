@@ -83,3 +83,8 @@ def extract_notes(sections: DataFrame, key: str) -> DataFrame:
     lines: Column = F.transform("children", lambda c: full_text_fragment(c))
     notes = sections.where(F.coalesce("note_id", F.lit("")) != "").select(key, "body_name", "pos", "note_id", tx.sanitize_title(F.trim(F.coalesce("title", F.lit("")))).alias("title"), F.array_join(F.filter(lines, lambda x: x != ""), "\n").alias("body"))
     return number_notes(notes, key, "body_name", "pos")
+
+
+def notes_per_body(notes: DataFrame, key: str, body: str, first: str) -> DataFrame:
+    """Notes and note bodies of each book, and the notes of its body named ``first``."""
+    return notes.groupBy(key).agg(F.count(F.lit(1)).alias("notes_per_book"), F.count_distinct(body).alias("note_bodies"), F.count_if(F.col(body) == first).alias("first_body"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +76,15 @@ def write_conflicts(planned: DataFrame, existing: DataFrame, on: str, overwrite:
     if overwrite:
         return planned, planned.limit(0)
     return planned.join(existing, on, "left_anti"), planned.join(existing, on, "left_semi")
+
+
+def run_counters(books: DataFrame, results: DataFrame, on: str) -> DataFrame:
+    """status, books: how many were skipped (no result), failed (result not ok) and processed. Results need ok."""
+    ok = F.col("ok")
+    status = F.when(ok.isNull(), "skipped").when(~ok, "failed").otherwise("processed")
+    return books.select(on).join(results.select(on, "ok"), on, "left").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("books"))
+
+
+def concat_lists(*lists: DataFrame) -> DataFrame:
+    """File lists of different columns as one table; what a list lacks is null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lists)

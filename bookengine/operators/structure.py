@@ -173,3 +173,32 @@ def body_kind(bodies: DataFrame, key: str, notes_names: tuple[str, ...] = ("note
     nth = F.row_number().over(_ordered(key, "body_ix"))
     is_notes = tx.is_one_of(F.coalesce("body_name", F.lit("")), F.array(*map(F.lit, notes_names)))
     return bodies.withColumn("kind", F.when(nth == 1, "main").when(is_notes, "notes").otherwise("named"))
+
+
+def running_counters(sections: DataFrame, key: str, by: str) -> DataFrame:
+    """Number of each section, characters up to its end, and the latest title so far. Needs text_length, has_title, title."""
+    run = _ordered(key, by).rowsBetween(Window.unboundedPreceding, 0)
+    title = F.last(F.when(F.col("has_title"), F.col("title")), ignorenulls=True)
+    return sections.select(key, by, F.row_number().over(_ordered(key, by)).alias("section_no"), F.sum("text_length").over(run).alias("chars_so_far"), title.over(run).alias("latest_title"))
+
+
+def section_lengths(sections: DataFrame, key: str) -> DataFrame:
+    """Text by book and level, and whether there is any: contents list only sections with text. Needs level, text_length."""
+    return sections.groupBy(key, "level").agg(F.sum("text_length").alias("text_length"), F.bool_or(F.col("text_length") > 0).alias("has_text"))
+
+
+def pages_per_book(pages: DataFrame, files: DataFrame, key: str, file: str) -> DataFrame:
+    """Pages and files of each book; pages are counted by file before files meet their books."""
+    per_file = pages.groupBy(file).agg(F.count(F.lit(1)).alias("n"))
+    return per_file.join(files, file).groupBy(key).agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("files"))
+
+
+def first_file(files: DataFrame, key: str, kind: str = "text", after: int = 0) -> DataFrame:
+    """The first file of a kind behind a place in the book. Needs kind, file_ix, fname."""
+    return files.where((F.col("kind") == kind) & (F.col("file_ix") > after)).groupBy(key).agg(F.min_by("fname", "file_ix").alias("first_text"))
+
+
+def longest_first(names: DataFrame, key: str, name: str) -> DataFrame:
+    """Distinct names of a book in the order in which replacements must go: the longest first, then by code point."""
+    order = Window.partitionBy(key).orderBy(F.char_length(name).desc(), name)
+    return names.select(key, name).distinct().withColumn("place", F.row_number().over(order))

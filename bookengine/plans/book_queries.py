@@ -5,6 +5,11 @@ FB2 books are built inside the query from rows of documents and parsed back.
 
 from __future__ import annotations
 
+import zipfile
+from collections.abc import Iterator
+from io import BytesIO
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +22,7 @@ from bookengine.plans.registry import query, table
 from bookengine.plans.scalar_queries import SQL_FIRST
 from bookengine.plans.structure_queries import KINDS_SQL, kinds, sections
 from bookengine.sources import books as src
+from bookengine.sources import sinks
 
 
 def _escape(column: str) -> Column:
@@ -160,3 +166,48 @@ def k02_write_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source AS book_id, count(*) AS chapters FROM documents GROUP BY source")
 def k01_chapter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections(spark, sf_dir).groupBy("book_id").agg(F.count(F.lit(1)).alias("chapters"))
+
+
+@query("SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS file_ix, doc_id, octet_length(encode(text)) AS length, md5(text) AS digest FROM documents", file_ix="INT", length="INT")
+def k01_write_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters written by book and read back."""
+    ix = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    chapters = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), ix.alias("file_ix"), "doc_id", "text")
+    path = sinks.output_folder(spark, "chapters")
+    sinks.write_chapters(chapters, path, "book_id")
+    written = sinks.read_chapters(spark, path, "file_ix int, doc_id long, text string, book_id string")
+    content = F.encode("text", "UTF-8")
+    return written.select("book_id", "file_ix", "doc_id", F.octet_length(content).alias("length"), F.md5(content).alias("digest"))
+
+
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An archive for each document: its text as a book under a name in code page 866, a file that is no book, and one outside the folder; every seventh is cut off."""
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            buffer = BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                for name in (f"in/\x7f{doc_id}.fb2", "in/readme.txt", "out/other.fb2"):
+                    archive.writestr(name, text)
+            content = buffer.getvalue().replace(b"in/\x7f", "in/Ж".encode("cp866"))
+            yield pa.RecordBatch.from_arrays([pa.array([f"lib/{doc_id}.zip"]), pa.array([content[: len(content) // 2] if doc_id % 7 == 0 else content], pa.binary())], ["path", "content"])
+
+
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_zipped, "path string, content binary")
+
+
+@query("SELECT 'lib/' || doc_id || '.zip' AS path, 'in/Ж' || doc_id || '.fb2' AS member, octet_length(encode(text))::BIGINT AS length, md5(text) AS digest FROM documents WHERE doc_id % 7 <> 0")
+def s02_scan_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = src.expand_archives(archives(spark, sf_dir), "in/", code_page="cp866")
+    return found.select("path", "member", "length", F.md5("content").alias("digest"))
+
+
+@query("SELECT 'lib/' || doc_id || '.zip' AS path, NULL::VARCHAR AS member, 'damaged archive' AS reason FROM documents WHERE doc_id % 7 = 0")
+def s02_archive_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.expand_archives(archives(spark, sf_dir), "in/", code_page="cp866")[1]
+
+
+@query("SELECT doc_id, 'in/Ж' || doc_id || '.fb2' AS member FROM documents WHERE doc_id % 7 <> 0")
+def s12_member_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = src.expand_archives(archives(spark, sf_dir), code_page="cp866")
+    return found.where(F.startswith("member", F.lit("in/"))).select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("doc_id"), "member")

@@ -120,13 +120,12 @@ def t15_normalize_href(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH n AS (SELECT doc_id, list_transform(string_split(left(text, 200), ''), lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z0-9$&+=:@_.~-]*$') THEN c ELSE regexp_replace(hex(encode(c)), '(..)', '%\\1', 'g') END) AS cs FROM documents), "
+    "WITH n AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z0-9$&+=:@_.~-]*$') THEN c ELSE regexp_replace(hex(encode(c)), '(..)', '%\\1', 'g') END) AS cs FROM documents), "
     "r AS (SELECT doc_id, list_reduce(cs, lambda a, c: CASE WHEN length(split_part(a, chr(1), -1)) + length(c) > 74 THEN a || chr(1) || c ELSE a || c END, 'UTF-8''''') AS parts FROM n) "
     "SELECT doc_id, unnest(range(1, len(string_split(parts, chr(1))) + 1)) AS part_no, unnest(string_split(parts, chr(1))) AS part FROM r"
 )
 def t16_percent_encode_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a file name is at most 200 characters here; the operator takes any length
-    names = docs(spark, sf_dir, parts=tx.percent_encode_parts(F.left(text_col(), F.lit(200))))
+    names = docs(spark, sf_dir, parts=tx.percent_encode_parts(text_col()))
     return names.select("doc_id", F.posexplode("parts").alias("pos", "part")).select("doc_id", (F.col("pos") + 1).cast("long").alias("part_no"), "part")
 
 

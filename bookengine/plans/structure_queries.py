@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bookengine.functions import text as tx
+from bookengine.operators import notes as nt
+from bookengine.operators import packaging as pk
 from bookengine.operators import segment as seg
 from bookengine.operators import structure as st
 from bookengine.operators import tokens as tok
@@ -214,26 +216,25 @@ def c03_body_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source AS book_id, count(*) AS notes_per_book, count(DISTINCT doc_id % 3) AS note_bodies, count(*) FILTER (doc_id % 3 = 0) AS first_body FROM documents GROUP BY source")
 def g01_notes_per_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy(F.col("source").alias("book_id")).agg(F.count(F.lit(1)).alias("notes_per_book"), F.count_distinct(F.col("doc_id") % 3).alias("note_bodies"), F.count_if(F.col("doc_id") % 3 == 0).alias("first_body"))
+    notes = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.concat(F.lit("body"), (F.col("doc_id") % 3).cast("string")).alias("body_name"))
+    return nt.notes_per_body(notes, "book_id", "body_name", "body0")
 
 
 @query(f"WITH {SECTIONS_SQL} SELECT book_id, level, sum(text_length)::BIGINT AS text_length, bool_or(text_length > 0) AS has_text FROM sec GROUP BY ALL")
 def g02_text_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections(spark, sf_dir).groupBy("book_id", "level").agg(F.sum("text_length").alias("text_length"), F.bool_or(F.col("text_length") > 0).alias("has_text"))
+    return st.section_lengths(sections(spark, sf_dir), "book_id")
 
 
 @query(f"WITH {PAGED_SQL} SELECT source AS book_id, count(*) AS pages, count(DISTINCT doc_id) AS files FROM paged JOIN documents USING (doc_id) GROUP BY source")
 def g03_pages_per_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_file = document_pages(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_file.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy(F.col("source").alias("book_id")).agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("files"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("book_id"))
+    return st.pages_per_book(document_pages(spark, sf_dir), files, "book_id", "doc_id")
 
 
 @query("SELECT CASE WHEN l.doc_id IS NULL THEN 'skipped' WHEN l.quality = 0 THEN 'failed' ELSE 'processed' END AS status, count(*) AS books FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
 def g04_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    status = F.when(F.col("quality").isNull(), "skipped").when(F.col("quality") == 0, "failed").otherwise("processed")
-    return joined.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("books"))
+    results = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") != 0).alias("ok"))
+    return pk.run_counters(table(spark, sf_dir, "documents"), results, "doc_id")
 
 
 @query("SELECT doc_id, 'Ann ' || source || CASE WHEN doc_id % 3 <> 0 THEN ', Carl Dee' ELSE '' END AS all_authors, 'Ann ' || source || CASE WHEN doc_id % 3 <> 0 THEN CASE lang WHEN 'de' THEN ' и др' ELSE ', et al' END ELSE '' END AS short FROM documents")
@@ -255,9 +256,7 @@ def w01_first_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SECTIONS_SQL} SELECT book_id, doc_id, row_number() OVER w AS section_no, sum(text_length) OVER w::BIGINT AS chars_so_far, last_value(CASE WHEN has_title THEN title END IGNORE NULLS) OVER w AS latest_title FROM sec WINDOW w AS (PARTITION BY book_id ORDER BY doc_id)".replace("OVER w::BIGINT", "OVER w"), section_no="INT", chars_so_far="BIGINT")
 def w02_running_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("book_id").orderBy("doc_id")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return sections(spark, sf_dir).select("book_id", "doc_id", F.row_number().over(w).alias("section_no"), F.sum("text_length").over(run).alias("chars_so_far"), F.last(F.when(F.col("has_title"), F.col("title")), ignorenulls=True).over(run).alias("latest_title"))
+    return st.running_counters(sections(spark, sf_dir), "book_id", "doc_id")
 
 
 _NUMBERED_SQL = """numb AS (SELECT source AS book_id, 'body' || doc_id % 3 AS body_name, doc_id, row_number() OVER (PARTITION BY source, doc_id % 3 ORDER BY doc_id) AS note_number FROM documents),
@@ -274,20 +273,19 @@ def w03_note_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CHAPTERS_SQL} SELECT book_id, fname, row_number() OVER (PARTITION BY book_id ORDER BY length(fname) DESC, fname) AS place FROM (SELECT DISTINCT book_id, fname FROM chap)", place="INT")
 def o01_longest_key_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = chapters(spark, sf_dir).select("book_id", "fname").distinct()
-    return files.withColumn("place", F.row_number().over(Window.partitionBy("book_id").orderBy(F.char_length("fname").desc(), "fname")))
+    return st.longest_first(chapters(spark, sf_dir), "book_id", "fname")
 
 
 @query(f"WITH {KINDS_SQL} SELECT book_id, arg_min(fname, file_ix) AS first_text FROM fk WHERE kind = 'text' AND file_ix > 1 GROUP BY book_id")
 def o02_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kinds(spark, sf_dir).where("kind = 'text' AND file_ix > 1").groupBy("book_id").agg(F.min_by("fname", "file_ix").alias("first_text"))
+    return st.first_file(kinds(spark, sf_dir), "book_id", "text", after=1)
 
 
 @query("SELECT source AS book_id, doc_id::VARCHAR AS name, lang, NULL::VARCHAR AS url FROM documents UNION ALL SELECT regexp_extract(url, '^https?://([^/]*)', 1), page_id::VARCHAR, NULL, url FROM pages")
 def u01_concat_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").cast("string").alias("name"), "lang")
     pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]*)", 1).alias("book_id"), F.col("page_id").cast("string").alias("name"), "url")
-    return docs.unionByName(pages, allowMissingColumns=True)
+    return pk.concat_lists(docs, pages)
 
 
 # --- one query end to end ---------------------------------------------------------------------

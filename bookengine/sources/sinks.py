@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Chapters that one output file holds at most, of one book.
+CHAPTERS_PER_FILE = 1000
 MODES = {False: "errorifexists", True: "overwrite"}
 
 
 def write_chapters(chapters: DataFrame, path: str, book: str, overwrite: bool = False) -> None:
     """A folder for each book with its chapters in order; existing output is an error unless it may be overwritten.
 
-    Rows are dealt by book and sorted inside tasks, so that a task holds one open file at a time.
+    Rows are dealt by book and run of chapters, so that a book of any size is many tasks, and sorted inside tasks, so
+    that a task holds one open file at a time.
     """
-    dealt = chapters.repartition(book).sortWithinPartitions(book, "file_ix")
+    run = F.floor(F.col("file_ix") / CHAPTERS_PER_FILE)
+    dealt = chapters.repartition(book, run).sortWithinPartitions(book, "file_ix")
     dealt.write.mode(MODES[overwrite]).partitionBy(book).parquet(path)
+
+
+def output_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the folder that all machines share (``spark.checkpoint.dir``); a temporary one where Spark runs on one machine without that setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = shared.rstrip("/") if shared else f"file://{tempfile.mkdtemp(prefix='bookengine-')}"
+    return f"{folder}/bookengine/{uuid.uuid4().hex}/{name}"
+
+
+def read_chapters(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_chapters`` has written; the schema holds the book's column as well."""
+    return spark.read.schema(schema).parquet(path)
