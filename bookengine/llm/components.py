@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from bookengine.llm.store import discard, materialize, spill
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, count: int) -> DataFrame:
     """Every larger neighbour of a node moves to the least of the node and its neighbours."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     # written, so that both sides of the join are plain exchanges: Spark splits a hot node's rows
-    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", 2 * count)
     return both.where("v > u").join(least, "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
 
 
@@ -41,8 +41,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = seen
         if seen[0] == 0:
             break
-        step = _small_star(_large_star(state)).distinct()
-        state, new_path = spill(step, "edges")
+        # a round never adds edges: each moves to another end or goes
+        step = _small_star(_large_star(state, seen[0])).distinct()
+        state, new_path = spill(step, "edges", 2 * seen[0])
         discard(spark, path)
         path = new_path
     roots = state.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()

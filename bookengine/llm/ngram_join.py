@@ -278,25 +278,25 @@ def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(texts.mapInArrow(_arrays, "cid long, shingles binary"), "shingles")
 
 
-def _shared_tiles(classes: DataFrame) -> DataFrame:
+def _shared_tiles(classes: DataFrame, count: int) -> DataFrame:
     """cid, key and pivot of the tiles of several classes; written. Of some keys the least class is the pivot, of the others the largest."""
     tiles = classes.select("cid", F.explode("keys").alias("key"))
     ends = tiles.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
     # written, so that the join has plain exchanges, whose hot partitions Spark splits
-    pivots = materialize(ends.select("key", F.when(F.col("key") % 2 == 0, F.col("low")).otherwise(F.col("high")).alias("pivot")), "pivots")
-    return materialize(tiles.join(pivots, "key"), "tiles")
+    pivots = materialize(ends.select("key", F.when(F.col("key") % 2 == 0, F.col("low")).otherwise(F.col("high")).alias("pivot")), "pivots", count * KEYS // 2)
+    return materialize(tiles.join(pivots, "key"), "tiles", count * KEYS)
 
 
-def _pivot_pairs(tiles: DataFrame, classes: DataFrame) -> DataFrame:
+def _pivot_pairs(tiles: DataFrame, classes: DataFrame, count: int) -> DataFrame:
     """Pairs (a, b) of a class and a pivot of its tiles, PIVOTS a class at most, that the bitmaps admit."""
     shared = tiles.where("cid <> pivot").groupBy("cid", "pivot").agg(F.count(F.lit(1)).alias("keys"))
     # a class has KEYS pivots at most
     best = shared.groupBy("cid").agg(F.collect_list(F.struct("keys", "pivot")).alias("best")).select("cid", F.explode(F.slice(F.sort_array("best", asc=False), 1, PIVOTS)).alias("best"))
-    pairs = materialize(best.select(F.col("cid").alias("a"), F.col("best.pivot").alias("b")), "pivot_pairs")
+    pairs = materialize(best.select(F.col("cid").alias("a"), F.col("best.pivot").alias("b")), "pivot_pairs", count * PIVOTS)
     left = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("marks").alias("ma"))
     right = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("mb"))
     admitted = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_within_bound, "a long, b long")
-    return materialize(admitted, "stars")
+    return materialize(admitted, "stars", count * PIVOTS)
 
 
 def _pivot_links(stars: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -308,7 +308,7 @@ def _pivot_links(stars: DataFrame, classes: DataFrame, docs: DataFrame) -> DataF
     return joined.mapInArrow(_linked, "a long, b long").distinct()
 
 
-def _dealt(tiles: DataFrame, member: DataFrame, classes: DataFrame) -> DataFrame:
+def _dealt(tiles: DataFrame, member: DataFrame, classes: DataFrame, count: int) -> DataFrame:
     """Rows of the tiles that hold several components, dealt to blocks: TILE, left, right, cid, comp, n, marks, kept."""
     rows = tiles.join(member.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("comp"))
     met = rows.groupBy("key").agg(
@@ -317,10 +317,10 @@ def _dealt(tiles: DataFrame, member: DataFrame, classes: DataFrame) -> DataFrame
     # small groups meet under many keys: of keys with the same members one is enough
     mixed = met.where("lo < hi").groupBy("size", "one", "two").agg(F.min("key").alias("key")).select("key")
     # written, so that the joins have plain exchanges, whose hot partitions Spark splits
-    mixed = materialize(mixed, "mixed")
+    mixed = materialize(mixed, "mixed", count * KEYS // 2)
     members = rows.join(mixed, "key").groupBy("cid").agg(F.min("comp").alias("comp"), F.collect_list("key").alias("kept"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(PART / LEAST)) + 1e-9).cast("long")
-    members = materialize(members.join(classes.select("cid", "n", "marks"), "cid").withColumn("band", band), "tile_members")
+    members = materialize(members.join(classes.select("cid", "n", "marks"), "cid").withColumn("band", band), "tile_members", count)
     sizes = members.select(F.explode("kept").alias("key"), "band", "n").groupBy("key", "band").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
     # a block is bounded in rows and in bytes of shingles, of which a set of this band has eight for each of so many
     fits = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), BLOCK_BYTES / (8 * F.pow(F.lit(PART / LEAST), F.col("band") + 1))))
@@ -329,7 +329,7 @@ def _dealt(tiles: DataFrame, member: DataFrame, classes: DataFrame) -> DataFrame
     # a band's rows meet their own band, as left side the next one, as right side the last one
     after = blocks.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_after"))
     before = blocks.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_before"))
-    counts = materialize(blocks.join(after, ["key", "band"], "left").join(before, ["key", "band"], "left").join(total, "key"), "blocks")
+    counts = materialize(blocks.join(after, ["key", "band"], "left").join(before, ["key", "band"], "left").join(total, "key"), "blocks", count * KEYS)
     dealt = members.withColumn("key", F.explode("kept")).join(counts, ["key", "band"])
     me = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     tile = lambda low, high, i, j, left, right: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
@@ -359,20 +359,21 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     profile = materialize(doc_text(docs).mapInArrow(_profile, f"doc_id {kind}, n long, digest binary, keys array<long>, marks binary"), "profile")
     classes = profile.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("marks").alias("marks"))
     # written, so that the numbers stay
-    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    tiles = _shared_tiles(classes)
-    links = materialize(_pivot_links(_pivot_pairs(tiles, classes), classes, docs), "links")
-    member = materialize(connected_components(links), "members")
-    dealt = _dealt(tiles.select("cid", "key"), member, classes)
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes", profile.count())
+    count = classes.count()
+    tiles = _shared_tiles(classes, count)
+    links = materialize(_pivot_links(_pivot_pairs(tiles, classes, count), classes, docs), "links", count * PIVOTS)
+    member = materialize(connected_components(links), "members", count)
+    dealt = _dealt(tiles.select("cid", "key"), member, classes, count)
     possible = materialize(_by_tile(dealt).mapInArrow(_possible, dealt.schema), "possible")
     if not possible.isEmpty():
         sets = _sets(possible.select("cid"), classes, docs)
         more = _by_tile(possible.join(sets, "cid").select(*possible.columns, "shingles")).mapInArrow(_tile_links, "a long, b long")
         links = materialize(links.unionByName(more), "links")
-        member = materialize(connected_components(links), "members")
+        member = materialize(connected_components(links), "members", count)
     roots = classes.select("cid", "digest", "rep").join(member.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = materialize(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    named = materialize(roots.join(least, "root").select("digest", "component_id"), "components")
+    least = materialize(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "least", count)
+    named = materialize(roots.join(least, "root").select("digest", "component_id"), "components", count)
     return profile.select("doc_id", "n", "digest").join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a partition of a table whose size is bounded.
+ROWS_A_FILE = 10_000
 _own_folder: str | None = None
 #: Paths of the tables that each application has written and not discarded.
 _written: dict[str, set[str]] = {}
@@ -31,13 +33,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a reader of what was written."""
-    return spill(df, name)[0]
+def materialize(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
+    """Write ``df`` once and return a reader of what was written. See ``spill``."""
+    return spill(df, name, most_rows)[0]
 
 
-def spill(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def spill(df: DataFrame, name: str, most_rows: int | None = None) -> tuple[DataFrame, str]:
+    """The reader of a written table, and its path.
+
+    ``most_rows`` is an upper bound of its rows, where one is known: the table then has a partition for each ROWS_A_FILE
+    of them at most, so that bookkeeping tables are not hundreds of tiny files, and grow in files as they grow in rows.
+    """
     spark = df.sparkSession
+    if most_rows is not None:
+        df = df.coalesce(max(1, -(-most_rows // ROWS_A_FILE)))
     path = f"{shared_folder(spark)}/bookengine/{uuid.uuid4().hex}/{name}"
     _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     df.write.option("compression", "zstd").parquet(path)

@@ -133,13 +133,14 @@ def _rank_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _doubled(positions: DataFrame, pieces: str, steps: int) -> DataFrame:
     """id and reached: after how many steps a position still shares its rank with another; positions that the first step tells apart are left out."""
-    state, reached = positions.select("id", F.col("core").alias("rank"), F.col(pieces).alias("pieces")), []
+    state, reached, count = positions.select("id", F.col("core").alias("rank"), F.col(pieces).alias("pieces")), [], positions.count()
     for k in range(steps):
         piece = F.col("pieces")[k]
         pairs = state.where(piece.isNotNull()).select("id", F.xxhash64("rank", piece).alias("rank"), "pieces")
         # written, so that the join has plain exchanges, whose hot partitions Spark splits
-        again = materialize(pairs.groupBy("rank").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("rank"), "equal_ranks")
-        state = materialize(pairs.join(again, "rank").select("id", "rank", "pieces"), "ranks")
+        again = materialize(pairs.groupBy("rank").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("rank"), "equal_ranks", count // 2)
+        state = materialize(pairs.join(again, "rank").select("id", "rank", "pieces"), "ranks", count)
+        count = state.count()
         reached.append(state.select("id", F.lit(k + 1).alias("reached")))
     return reduce(DataFrame.unionByName, reached).groupBy("id").agg(F.max("reached").alias("reached"))
 
@@ -247,7 +248,7 @@ def _pack_offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _partly_repeated(witnesses: DataFrame, rows: DataFrame, group: int) -> DataFrame:
     """(core, context, marks) of contexts seen once that share windows with another context of their core."""
     possible = materialize(_possible_windows(witnesses, rows), "possible")
-    sizes = materialize(possible.groupBy("core").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "possible_cores")
+    sizes = materialize(possible.groupBy("core").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "possible_cores", possible.count() // 2)
     wanted = possible.join(sizes.select("core"), "core").groupBy("row_id").agg(F.collect_list(F.struct("core", "context", "n", "low", "high", "at")).alias("wanted"))
     texts = rows.select("row_id", "text").join(wanted, "row_id").select("text", "wanted")
     contexts = materialize(texts.mapInArrow(_context_bytes, "core long, context long, n long, low int, high int, before long, data binary"), "contexts")
@@ -303,11 +304,12 @@ def repeated_bytes(docs: DataFrame, group: int = GROUP) -> DataFrame:
     positions = rows.select("row_id", "text").mapInArrow(_positions, "core long, context long, row_id long, at long")
     positions = materialize(positions.join(again, "core"), "positions")
     classes = positions.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id"), F.min_by("at", "row_id").alias("at"))
-    classes = materialize(classes, "context_classes")
-    several = materialize(classes.groupBy("core").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "mixed_cores")
+    classes = materialize(classes, "context_classes", positions.count())
+    count = classes.count()
+    several = materialize(classes.groupBy("core").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "mixed_cores", count // 2)
     partly = _partly_repeated(classes.join(several.select("core"), "core"), rows, group)
     judged = classes.where("n > 1").select("core", "context", F.lit(None).cast("binary").alias("marks")).unionByName(partly)
-    judged = materialize(judged, "judged")
+    judged = materialize(judged, "judged", 2 * count)
     spots = positions.join(judged, ["core", "context"]).groupBy("row_id").agg(
         # a collected list skips nulls: whole contexts go to one list, parts with their marks to the others
         F.collect_list(F.when(F.col("marks").isNull(), F.col("at"))).alias("whole"),
