@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookengine.llm.columns import as_docs, byte_slices, doc_text, numbered, without
-from bookengine.llm.store import materialize
+from bookengine.llm.store import materialize, scratch
 
 #: Distinct digests that one shard holds on average: 20,000 x 48 bytes, about 1 MB.
 SHARD_DIGESTS = 20_000
@@ -148,17 +148,19 @@ def exact_dedup(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
     never wins against another and is kept only where no row of the text has an id. Empty table: empty result. Other
     columns are ignored.
     """
-    # written, so that the row numbers, which settle ties, stay
-    digests = materialize(text_digests(docs).withColumn("row", F.monotonically_increasing_id()), "digests")
-    count = digests.count()
-    shards = max(1, -(-count // SHARD_DIGESTS))
-    old = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1000)), F.lit(0)) < int(1000 * history_share)
-    index = materialize(build_index(digests.where(old), shards), "index")
-    fresh = look_up(digests.where(~old), index, shards)
-    # a member's row holds all of its digest, and so is the larger; unvisited slots have one row, nonmembers are groups of their own
-    slots = index.mapInPandas(_slots, "digest binary, winner long, place long, n long")
-    groups = slots.unionByName(fresh).groupBy("digest").agg(F.max("winner").alias("winner"), F.max_by("place", "n").alias("stays"), F.max("n").alias("group_size"))
-    groups = materialize(groups.select("digest", F.nullif("winner", F.lit(LOWEST)).alias("keep_id"), "stays", "group_size"), "groups", count)
+    with scratch(docs.sparkSession) as keep:
+        # written, so that the row numbers, which settle ties, stay
+        digests = materialize(text_digests(docs).withColumn("row", F.monotonically_increasing_id()), "digests")
+        count = digests.count()
+        shards = max(1, -(-count // SHARD_DIGESTS))
+        old = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1000)), F.lit(0)) < int(1000 * history_share)
+        index = materialize(build_index(digests.where(old), shards), "index")
+        fresh = look_up(digests.where(~old), index, shards)
+        # a member's row holds all of its digest, and so is the larger; unvisited slots have one row, nonmembers are groups of their own
+        slots = index.mapInPandas(_slots, "digest binary, winner long, place long, n long")
+        groups = slots.unionByName(fresh).groupBy("digest").agg(F.max("winner").alias("winner"), F.max_by("place", "n").alias("stays"), F.max("n").alias("group_size"))
+        groups = materialize(groups.select("digest", F.nullif("winner", F.lit(LOWEST)).alias("keep_id"), "stays", "group_size"), "groups", count)
+        keep(digests, groups)
     return digests.hint("merge").join(groups, "digest").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("stays")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

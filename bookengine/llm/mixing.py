@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookengine.llm.columns import as_docs, byte_steps, doc_text, free_name, hash_bits, numbered, own_columns, word_bounds
-from bookengine.llm.store import materialize
+from bookengine.llm.store import materialize, scratch
 
 HASH_BITS = 60
 LEVEL_BITS = 12
@@ -111,13 +111,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_times:
     Null text has size 0; null sources form one source, last in order; a null doc_id is hashed as the
     empty string; rows that repeat a doc_id go together; empty table: empty result.
     """
-    sizes = word_counts(docs).withColumn("hash", hash_bits(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sizes = materialize(sizes, "sizes")
-    targets = materialize(source_targets(sizes, weights, most_times), "targets")
-    times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    targets = targets.withColumn("times", F.least(times, F.lit(most_times)))
-    budgets = targets.select("source", (F.col("target") - F.col("times") * F.col("source_size")).alias("budget"))
-    plan = _same_source(targets, budget_thresholds(sizes.where("size > 0"), budgets), "left")
+    with scratch(docs.sparkSession) as keep:
+        sizes = word_counts(docs).withColumn("hash", hash_bits(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        sizes = materialize(sizes, "sizes")
+        targets = materialize(source_targets(sizes, weights, most_times), "targets")
+        times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+        targets = targets.withColumn("times", F.least(times, F.lit(most_times)))
+        budgets = targets.select("source", (F.col("target") - F.col("times") * F.col("source_size")).alias("budget"))
+        plan = materialize(_same_source(targets, budget_thresholds(sizes.where("size > 0"), budgets), "left"), "plan")
+        keep(sizes, plan)
     once_more = F.when(F.col("hash") < F.col("threshold"), F.col("size")).when(F.col("hash") == F.col("threshold"), F.floor(F.col("size") * F.col("left") / F.col("words")))
     taken = F.least(F.col("size") * F.col("times") + F.coalesce(once_more, F.lit(0)), F.col("size") * most_times)
     whole = F.when(F.col("hash") < F.col("threshold"), 1).when((F.col("hash") == F.col("threshold")) & (2 * F.col("left") >= F.col("words")) & (F.col("left") > 0), 1).otherwise(0)

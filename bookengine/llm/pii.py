@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookengine.llm.spans import Rule, bare, find_matches
-from bookengine.llm.store import materialize
+from bookengine.llm.store import materialize, scratch
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -125,14 +125,16 @@ def extract_pii(docs: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_
     table: empty result. Positions are code points, end exclusive. A string that patterns of several kinds discover is
     a span of the kind of the highest confidence, by name on ties.
     """
-    rows = materialize(base_and_candidates(docs), "spans")
-    seen = lambda spans, seed: F.transform(spans, lambda x: F.struct((x["kind"] if seed else F.lit(None).cast("string")).alias("kind"), x["instance"].alias("instance"), x["patterns"].alias("patterns")))
-    node = rows.select(F.explode(F.concat(seen("seeds", True), seen("candidates", False))).alias("n"))
-    edges = materialize(node.select("n.kind", "n.instance", F.explode("n.patterns").alias("pattern")).distinct(), "edges")
-    patterns, scores = confident_patterns(edges, rounds, least_seeds, confident)
-    loose = rows.select("row_id", F.explode("candidates").alias("c")).select("row_id", "c.start", "c.end", "c.instance", F.explode("c.patterns").alias("pattern"))
-    hits = loose.join(patterns, "pattern").join(scores.where(F.col("score") >= confident).select("instance", "kind"), ["instance", "kind"])
-    best = hits.groupBy("row_id", "start", "end").agg(F.min(F.struct((-F.col("confidence")).alias("rank"), "kind")).alias("best"))
-    added = best.groupBy("row_id").agg(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "start", "end")).alias("added"))
+    with scratch(docs.sparkSession) as keep:
+        rows = materialize(base_and_candidates(docs), "spans")
+        seen = lambda spans, seed: F.transform(spans, lambda x: F.struct((x["kind"] if seed else F.lit(None).cast("string")).alias("kind"), x["instance"].alias("instance"), x["patterns"].alias("patterns")))
+        node = rows.select(F.explode(F.concat(seen("seeds", True), seen("candidates", False))).alias("n"))
+        edges = materialize(node.select("n.kind", "n.instance", F.explode("n.patterns").alias("pattern")).distinct(), "edges")
+        patterns, scores = confident_patterns(edges, rounds, least_seeds, confident)
+        loose = rows.select("row_id", F.explode("candidates").alias("c")).select("row_id", "c.start", "c.end", "c.instance", F.explode("c.patterns").alias("pattern"))
+        hits = loose.join(patterns, "pattern").join(scores.where(F.col("score") >= confident).select("instance", "kind"), ["instance", "kind"])
+        best = hits.groupBy("row_id", "start", "end").agg(F.min(F.struct((-F.col("confidence")).alias("rank"), "kind")).alias("best"))
+        added = materialize(best.groupBy("row_id").agg(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "start", "end")).alias("added")), "added")
+        keep(rows, added)
     # a document's own spans are the only rows gathered; they are bounded by its text
     return rows.join(added, "row_id", "left").select("doc_id", bare(F.col("seeds")).alias("base"), F.coalesce("added", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")).alias("added"))

@@ -21,7 +21,7 @@ from pyspark.sql.types import StructField, StructType
 
 from bookengine.llm.columns import byte_slices, byte_steps, doc_text, word_bounds
 from bookengine.llm.shingles import word_hashes
-from bookengine.llm.store import materialize
+from bookengine.llm.store import materialize, scratch
 
 #: Most positives, and most unlabelled rows, that the fit looks at, those of smallest hash; beyond it the fit gains nothing visible.
 FIT_ROWS = 10_000
@@ -199,11 +199,12 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.nd
     positive = first(ids.where("label = 1")).withColumn("positive", F.lit(True))
     unlabelled = first(ids, F.col("label").isNotNull()).withColumn("positive", F.lit(False))
     # at most fit_rows ids on each side: small enough to broadcast at any corpus size
-    chosen = materialize(positive.unionByName(unlabelled), "fit_rows")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    # rows that repeat an id count once
-    texts = doc_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
-    rows = texts.mapInArrow(_features, f"doc_id {kind}, positive boolean, features array<double>").toPandas().sort_values("doc_id", kind="stable")
+    with scratch(docs.sparkSession):
+        chosen = materialize(positive.unionByName(unlabelled), "fit_rows")
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        # rows that repeat an id count once
+        texts = doc_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+        rows = texts.mapInArrow(_features, f"doc_id {kind}, positive boolean, features array<double>").toPandas().sort_values("doc_id", kind="stable")
     p, u = (expand(np.array(rows["features"][rows["positive"] == side].tolist()).reshape(-1, N_FEATURES)) for side in (True, False))
     if not len(p) or not len(u):
         return None

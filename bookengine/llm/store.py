@@ -4,13 +4,17 @@ The folder is ``spark.checkpoint.dir``. Where that setting is absent a temporary
 machine (local master), as in tests; on a cluster it is an error. Tables are Parquet, so a lost executor costs no
 recomputation of what stands before them, and later readers prune columns.
 
-Results read the last of these tables lazily. Once they are written elsewhere, ``discard_all`` removes the tables of a session.
+Operators work inside ``scratch``, which deletes the tables that their result does not read. Results read the others
+lazily; once they are written elsewhere, ``discard_all`` removes the tables of a session.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +23,8 @@ ROWS_A_FILE = 10_000
 _own_folder: str | None = None
 #: Paths of the tables that each application has written and not discarded.
 _written: dict[str, set[str]] = {}
+#: Where the readers that ``spill`` has returned read from.
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,7 +56,19 @@ def spill(df: DataFrame, name: str, most_rows: int | None = None) -> tuple[DataF
     path = f"{shared_folder(spark)}/bookengine/{uuid.uuid4().hex}/{name}"
     _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out, path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Deletes at its end the tables that were written inside it, but for those given to the function that it yields."""
+    written = _written.setdefault(spark.sparkContext.applicationId, set())
+    before, kept = set(written), set()
+    yield lambda *tables: kept.update(_path_of[t] for t in tables)
+    for path in sorted(written - before - kept):
+        discard(spark, path)
 
 
 def discard(spark: SparkSession, path: str) -> None:

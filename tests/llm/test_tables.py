@@ -1,6 +1,7 @@
 """Packing, mixing, vectors, the pipeline, and the registered queries."""
 
 import math
+import os
 import random
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bookengine.llm import queries as q
+from bookengine.llm import store
 from bookengine.llm.exact_dedup import drop_repeats
 from bookengine.llm.lattice_dedup import e8_roots, near_vectors, nearest_e8
 from bookengine.llm.mixing import mix_sources, mixed_documents, source_targets
@@ -224,6 +226,21 @@ def test_clashing_names(spark, unique):
         assert all([r[name] for name in NAMES] == [f"{k} {r['doc_id']}" for k in range(len(NAMES))] for r in rows)
 
 
+def test_scratch_tables(spark):
+    folder = lambda path: os.path.isdir(path.removeprefix("file:"))
+    before, outer = store.spill(spark.range(5), "before")
+    with store.scratch(spark) as keep:
+        kept, _ = store.spill(spark.range(25), "kept", 25)
+        _, gone = store.spill(kept, "gone")
+        keep(kept)
+        assert folder(gone)
+    assert not folder(gone)
+    assert (kept.count(), before.count()) == (25, 5)
+    assert kept.rdd.getNumPartitions() == 1
+    store.discard_all(spark)
+    assert not folder(outer)
+
+
 @pytest.mark.parametrize("name", sorted(q.ORACLES))
 def test_query_against_sql(name, spark, duck):
     found = duck.execute(q.ORACLES[name])
