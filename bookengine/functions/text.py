@@ -107,20 +107,24 @@ def anchor_href(href: Column, text: Column) -> Column:
     return F.when(F.coalesce(href, F.lit("")) != "", slashes(href)).when(candidate.rlike(EMAIL) | candidate.rlike(URL), candidate)
 
 
-def percent_encode(char: Column) -> Column:
-    return F.when(~char.rlike(r"[^A-Za-z0-9$&+=:@_.~-]"), char).otherwise(F.regexp_replace(F.hex(F.encode(char, "UTF-8")), "(..)", "%$1"))
+#: Characters that stay as they are in parameter values, and what a form encoder makes of them. Fixed values.
+KEPT = {"$": "%24", "&": "%26", "+": "%2B", "=": "%3D", ":": "%3A", "@": "%40", "~": "%7E"}
 
 
-def percent_encode_parts(name: Column, prefix: str = "UTF-8''", width: int = 74) -> Column:
-    """Chunks of the percent-encoded name, cut at character borders; the prefix counts toward the first."""
-    start = F.struct(F.lit(prefix).alias("part"), F.array().cast("array<string>").alias("done"))
+def percent_encode(text: Column) -> Column:
+    """UTF-8 bytes as %XX, but for ASCII letters, digits and ``$&+=:@_.~-``."""
+    # a form encoder writes a blank as + and leaves *; a % of its output always begins an escape
+    out = F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+    for char, escape in KEPT.items():
+        out = F.replace(out, F.lit(escape), F.lit(char))
+    return out
 
-    def step(acc: Column, char: Column) -> Column:
-        full = F.length(acc["part"]) + F.length(char) > width
-        return F.struct(F.when(full, char).otherwise(F.concat(acc["part"], char)).alias("part"), F.when(full, F.array_append(acc["done"], acc["part"])).otherwise(acc["done"]).alias("done"))
 
-    chars = F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: percent_encode(c))
-    return F.aggregate(chars, start, step, lambda acc: F.array_append(acc["done"], acc["part"]))
+def percent_encode_parts(name: Column, prefix: str = "UTF-8''", width: int = 74) -> Column:
+    """Chunks of the percent-encoded name, cut at character borders; the prefix counts toward the first."""
+    # the longest run that ends neither inside an escape nor before a byte that continues a character
+    part = rf"(.{{1,{width}}}(?<!%)(?<!%.)(?!%[89AB]))"
+    return F.regexp_extract_all(F.concat(F.lit(prefix), percent_encode(name)), F.lit(part), F.lit(1))
 
 
 # --- names of files and books -----------------------------------------------------------------
