@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from bookengine.llm import queries as q
 from bookengine.llm import store
 from bookengine.llm.exact_dedup import drop_repeats
-from bookengine.llm.lattice_dedup import e8_roots, near_vectors, nearest_e8
+from bookengine.llm.lattice_dedup import e8_roots, most_differing, near_vectors, nearest_e8, sketches
 from bookengine.llm.mixing import mix_sources, mixed_documents, source_targets
 from bookengine.llm.ngram_join import one_of_each_component
 from bookengine.llm.packing import CAPACITY, END_ID, WordEncoder, differencing, pack_documents, pack_group
@@ -169,6 +169,24 @@ def test_e8():
     assert (distance <= 1 + 1e-9).all()
 
 
+def test_sketches_keep_near_pairs():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = rng.normal(size=x.shape)
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    differing = lambda a, b: np.bitwise_count((sketches(a) ^ sketches(b)).view(np.uint64)).sum(axis=1)
+    for cosine in (0.93, 0.97):
+        y = cosine * x + math.sqrt(1 - cosine**2) * aside
+        assert differing(x, y).max() <= most_differing(0.93)
+    # and leave out almost all others
+    assert (differing(x[::2], x[1::2]) <= most_differing(0.93)).mean() < 0.01
+    # the chance that a pair at the least cosine differs in more bits
+    p = math.acos(0.93) / math.pi
+    assert sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(most_differing(0.93) + 1, 129)) < 1e-7
+
+
 def vectors():
     rng = np.random.default_rng(4)
     rows = []
