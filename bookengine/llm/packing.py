@@ -1,7 +1,7 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
 A document (its token ids and one end id) is cut into pieces of at most ``piece`` tokens; whole windows
-of ``capacity`` tokens stand alone. The other pieces are dealt into bounded groups by a hash, and each
+of ``capacity`` tokens stand alone, and a document ends with one small piece. The other pieces are dealt into bounded groups by a hash, and each
 group is divided into as many windows as its tokens need: every piece starts as a partial partition
 with one filled part, and the two partitions of largest imbalance merge, the fullest part of one onto
 the emptiest of the other. If a part exceeds the capacity, the window count rises and the group is
@@ -31,7 +31,9 @@ CAPACITY = 2048
 PIECE = 512
 END_ID = 1
 #: Pieces a group holds on average.
-GROUP_PIECES = 1200
+GROUP_PIECES = 1600
+#: Small pieces that documents end with, one each, by their token count: the last ones to be placed, they level what is left.
+SLIVERS = (8, 16, 32, 64)
 #: Encoded words that a Python worker remembers before it forgets all.
 CACHE_WORDS = 50_000
 
@@ -113,9 +115,11 @@ def _encoder(path: str) -> WordEncoder:
 
 def _cuts(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]]:
     whole = tokens // capacity * capacity
-    rest = tokens - whole
+    sliver = SLIVERS[tokens % len(SLIVERS)]
+    end = [tokens] if tokens - whole > 4 * sliver else []
+    rest = tokens - whole - (sliver if end else 0)
     parts = -(-rest // piece)
-    edges = [whole + rest * i // parts for i in range(parts + 1)] if parts else []
+    edges = [whole + rest * i // parts for i in range(parts + 1)] + end if parts else []
     return [(s, capacity) for s in range(0, whole, capacity)] + [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
