@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bookengine.llm.conversations import damage, repair_report
 from bookengine.llm.exact_dedup import exact_dedup
+from bookengine.llm.fill_middle import fill_in_middle, restore
+from bookengine.llm.language import identify_language
 from bookengine.llm.lattice_dedup import near_vectors
 from bookengine.llm.licenses import LEAST_DICE, TEMPLATES, scan_licenses
 from bookengine.llm.mixing import mix_sources
@@ -85,7 +88,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_quality, op4_pii, op5_ngram_join, op6_packing, op7_lattice_dedup, op8_secret_ledger, op9_suffix_dedup, op10_mixing)}
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(_table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return repair_report(damage(rows), rows)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_quality, op4_pii, op5_ngram_join, op6_packing, op7_lattice_dedup, op8_secret_ledger, op9_suffix_dedup, op10_mixing, op11_language, op12_fill_middle, op13_conversations)}
 
 #: Fixed values of the contract: upper and lower ASCII letters, and what separates words.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -159,4 +177,68 @@ m AS (SELECT doc_id, line_no, license, 2.0 * len(list_intersect(g, grams)) / (le
 SELECT doc_id, line_no::BIGINT AS line_no, license, dice::DOUBLE AS dice FROM m WHERE dice >= {LEAST_DICE}
 """
 
-ORACLES: dict[str, str] = {"op1_license_scan": _OP1_SQL, "op2_exact_dedup": _OP2_SQL, "op8_secret_ledger": _OP8_SQL, "op10_mixing": _OP10_SQL}
+_OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS lines, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(lines) AS n, least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS a, greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS b FROM u),
+p AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+        array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle, array_to_string(lines[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, by the bits of its bytes."""
+    bit = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = "xor(c, b)"
+    for _ in range(8):
+        byte = f"list_transform([{byte}], lambda x: {bit})[1]"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT)), lambda c, b: {byte}))"
+
+
+def _op13_sql() -> str:
+    """The edits of each row extend the cheapest, then ASCII-least, way to each of the four states (cost, audit, rows)."""
+    longer = lambda s, cost, letter, line: f"CASE WHEN {s} IS NOT NULL THEN {{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 'o': list_append({s}.o, {line})}} END"
+    least = lambda *ways: f"list_min([{', '.join(ways)}])"
+    insert = lambda s, role: longer(s, 2, "I", f"'{role}:'")
+    # two rounds of inserts reach all that is useful
+    wide = "SELECT *, {u} AS u2, {a} AS a2 FROM ({rows})"
+    opened = wide.format(u=least("u", insert("b", "user"), insert("s", "user"), insert("a", "user")), a="a", rows="{rows}")
+    opened = opened.replace("u2, a AS a2", "u1")
+    opened = "SELECT * REPLACE (" + least("a", insert("u1", "assistant")) + " AS a) FROM (" + opened + ")"
+    opened = "SELECT * EXCLUDE (u1) REPLACE (" + least("u1", insert("a", "user")) + " AS u) FROM (" + opened + ")"
+    keep = lambda s: longer(s, "cut", "K", "role || ':' || text")
+    rerole = lambda s, role: longer(s, "cut + 2", "R", f"'{role}:' || text")
+    drop = lambda s: f"CASE WHEN {s} IS NOT NULL THEN {{'c': {s}.c + 3, 'a': {s}.a || 'D', 'o': {s}.o}} END"
+    when = lambda test, way: f"CASE WHEN NOT gone AND {test} THEN {way} END"
+    step = {
+        "b": drop("b"),
+        "s": least(drop("s"), when("initial = 's'", keep("b"))),
+        "u": least(drop("u"), *(when("initial = 'u'", keep(x)) for x in "bsa"), *(when("TRUE", rerole(x, "user")) for x in "bsa")),
+        "a": least(drop("a"), when("initial = 'a'", keep("u")), when("TRUE", rerole("u", "assistant"))),
+    }
+    rows = opened.replace("{rows}", "SELECT dp.*, f.role, f.text, f.initial, f.gone, f.cut FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.k = dp.k + 1")
+    end = opened.replace("{rows}", "SELECT * FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1")
+    way = "STRUCT(c BIGINT, a VARCHAR, o VARCHAR[])"
+    white = r"\x20\x09-\x0D"
+    return f"""
+WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h FROM conversations),
+m AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM r),
+n AS (SELECT *, row_number() OVER w AS k, left(role, 1) AS initial, NOT regexp_matches(text, '[^{white}]') AS is_blank FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+q AS (SELECT *, NOT is_blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS is_repeat FROM n),
+f AS (SELECT *, is_blank OR is_repeat AS gone, (NOT is_blank AND NOT is_repeat AND NOT regexp_matches(text, '[.!?][{white}]*$'))::BIGINT AS cut, lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial AS pair FROM q),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (is_blank) AS blank, count(*) FILTER (is_repeat) AS duplicate, sum(cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+dp AS (SELECT conv_id, 0::BIGINT AS k, {{'c': 0, 'a': '', 'o': []}}::{way} AS b, NULL::{way} AS s, NULL::{way} AS u, NULL::{way} AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, k + 1, {", ".join(f"({v})::{way}" for v in step.values())} FROM ({rows})),
+e AS (SELECT conv_id, list_min([b, a]) AS best FROM ({end}))
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  best.c::BIGINT AS cost, best.a AS audit, sha256(array_to_string(best.o, chr(10))) AS repaired_sha256
+FROM e LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+_OP13_SQL = _op13_sql()
+
+ORACLES: dict[str, str] = {"op1_license_scan": _OP1_SQL, "op2_exact_dedup": _OP2_SQL, "op8_secret_ledger": _OP8_SQL, "op10_mixing": _OP10_SQL, "op12_fill_middle": _OP12_SQL, "op13_conversations": _OP13_SQL}
