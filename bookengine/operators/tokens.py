@@ -126,24 +126,51 @@ def full_text_fragment(markup: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x.rlike(f"[^{tx.WS}]")), "\n")
 
 
+#: References by number, and those that XML names itself. Fixed values.
+NUMERIC = "#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}"
+XML_NAMES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def numbered_character(name: Column) -> Column:
+    """The character of ``#65`` or ``#x41``; null for other names and for numbers that are no character."""
+    code = F.when(F.lower(F.left(name, F.lit(2))) == "#x", F.conv(F.substring(name, 3, 6), 16, 10)).when(F.startswith(name, F.lit("#")), F.substring(name, 2, 7)).cast("int")
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    # rows without a character decode a blank
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(32).cast("long")), 8, "0")), "UTF-32"))
+
+
+def unescape(text: Column) -> Column:
+    """Text with XML's own references and those by number resolved; others stay."""
+    pattern = f"&({NUMERIC}|{'|'.join(XML_NAMES)});"
+
+    def character(name: Column) -> Column:
+        out = F.coalesce(numbered_character(name), F.concat(F.lit("&"), name, F.lit(";")))
+        for known, value in XML_NAMES.items():
+            out = F.when(name == known, value).otherwise(out)
+        return out
+
+    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda before, name: F.concat(before, F.when(name.isNull(), "").otherwise(character(name))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+
+
 #: Named character references that end in a semicolon.
 ENTITIES = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
 
 
 def resolve_entities(docs: DataFrame, key: str, markup: str, entities: dict[str, str] = ENTITIES) -> DataFrame:
-    """key, resolved: named and decimal references become characters; unknown names stay.
+    """key, resolved: references by name and by number become characters; unknown names and numbers stay.
 
     The table of names is fixed and small, so it is broadcast; texts are taken apart at the references and joined again in order.
     """
     table = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"name": list(entities), "value": list(entities.values())})))
-    pattern = r"&([A-Za-z][A-Za-z0-9]*);"
+    pattern = f"&([A-Za-z][A-Za-z0-9]*|{NUMERIC});"
     text = F.col(markup)
     between = F.split(text, pattern, -1)
     names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     plain = docs.where(~text.rlike(pattern)).select(key, text.alias("resolved"))
     parts = docs.where(text.rlike(pattern)).select(key, F.posexplode(F.zip_with(between, names, lambda b, n: F.struct(b.alias("before"), n.alias("name")))).alias("pos", "p")).select(key, "pos", "p.before", "p.name")
     found = parts.join(table, "name", "left")
-    value = F.coalesce("value", F.when(F.col("name").isNotNull(), F.concat(F.lit("&"), "name", F.lit(";"))), F.lit(""))
+    value = F.coalesce("value", numbered_character(F.col("name")), F.when(F.col("name").isNotNull(), F.concat(F.lit("&"), "name", F.lit(";"))), F.lit(""))
     joined = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.concat("before", value).alias("piece")))).alias("pieces"))
     return plain.unionByName(joined.select(key, F.array_join(F.transform("pieces", lambda x: x["piece"]), "").alias("resolved")))
 

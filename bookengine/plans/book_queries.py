@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from bookengine.functions import metadata as meta
 from bookengine.functions import text as tx
-from bookengine.operators import notes as nt
+from bookengine.operators import fb2
 from bookengine.operators import packaging as pk
 from bookengine.operators import tokens as tok
 from bookengine.plans.registry import query, table
@@ -99,14 +99,10 @@ def p05_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT 'lib/' || doc_id || '.fb2' AS path, 'n1' AS note_id, '1' AS title, 'Note of ' || source || chr(10) || 'more' AS body, 1 AS note_number, 0 AS body_number FROM documents WHERE {GOOD}")
 def m01_extract_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books, _ = src.read_fb2(fb2_files(spark, sf_dir))
-    bodies = books.select("path", F.posexplode("bodies").alias("body_ix", "markup")).where("body_ix > 0")
-    found = bodies.select("path", "body_ix", F.posexplode(F.regexp_extract_all("markup", F.lit(r"(?s)(<section\b.*?</section>)"), F.lit(1))).alias("pos", "section"))
-    children = F.regexp_extract_all(F.regexp_replace("section", r"(?s)<title>.*?</title>", ""), F.lit(r"(?s)(<p>.*?</p>)"), F.lit(1))
-    title = tok.full_text_fragment(F.regexp_extract("section", r"(?s)<title>(.*?)</title>", 1))
-    rows = found.select("path", F.concat(F.lit("body"), F.col("body_ix").cast("string")).alias("body_name"), "pos", F.regexp_extract("section", r'<section[^>]*\bid="([^"]*)"', 1).alias("note_id"), title.alias("title"), children.alias("children"))
-    # the body is joined by line, and each paragraph's markup starts one
-    notes = nt.extract_notes(rows, "path")
+    # damaged files have no elements to rely on; whole ones are parsed from their markup
+    files = fb2_files(spark, sf_dir)
+    whole = files.join(src.read_fb2(files)[0].select("path"), "path", "left_semi")
+    notes, _ = fb2.extract_notes(fb2.parse_books(whole, "path"))
     return notes.select("path", "note_id", "title", "body", "note_number", "body_number")
 
 
@@ -180,6 +176,28 @@ def k01_write_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.select("book_id", "file_ix", "doc_id", F.octet_length(content).alias("length"), F.md5(content).alias("digest"))
 
 
+_SECOND_SQL = """WITH o AS (SELECT source AS book_id, CASE WHEN source LIKE '%1' THEN 'replaced' WHEN source LIKE '%2' THEN 'conflict' ELSE 'written' END AS outcome FROM documents)
+SELECT DISTINCT 'outcome' AS what, book_id, outcome AS value, 0::BIGINT AS n FROM o WHERE book_id LIKE '%1' OR book_id LIKE '%2' UNION ALL SELECT DISTINCT 'outcome', book_id || 'b', 'written', 0 FROM o WHERE book_id LIKE '%2'
+UNION ALL SELECT 'chapter', source || CASE WHEN b THEN 'b' ELSE '' END, CASE WHEN b OR source LIKE '%1' THEN md5('again ' || text) ELSE md5(text) END, count(*) FROM (SELECT *, unnest([FALSE, TRUE]) AS b FROM documents)
+  WHERE NOT b OR source LIKE '%2' GROUP BY ALL"""
+
+
+@query(_SECOND_SQL)
+def k01_second_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All books are written; then some are replaced, some meet a conflict, new ones come beside them, and the others stay."""
+    ix = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), ix.alias("file_ix"), "text")
+    path = sinks.output_folder(spark, "chapters")
+    sinks.write_chapters(docs, path, "book_id")
+    again = docs.withColumn("text", F.concat(F.lit("again "), "text"))
+    replaced = sinks.write_chapters(again.where("book_id LIKE '%1'"), path, "book_id", overwrite=True)
+    seconds = again.where("book_id LIKE '%2'")
+    beside = sinks.write_chapters(seconds.unionByName(seconds.withColumn("book_id", F.concat("book_id", F.lit("b")))), path, "book_id")
+    written = sinks.read_chapters(spark, path, "file_ix int, text string, book_id string")
+    chapters = written.groupBy(F.lit("chapter").alias("what"), "book_id", F.md5(F.encode("text", "UTF-8")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return replaced.unionByName(beside).select(F.lit("outcome").alias("what"), "book_id", F.col("outcome").alias("value"), F.lit(0).cast("long").alias("n")).unionByName(chapters)
+
+
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """An archive for each document: its text as a book under a name in code page 866, a file that is no book, and one outside the folder; every seventh is cut off."""
     for batch in batches:

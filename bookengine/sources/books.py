@@ -125,13 +125,15 @@ _corrupt_record string"""
 def read_fb2(files: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(books, quarantine): description, inner markup of the bodies, binaries; and the files that can't be read, with the reason.
 
-    A damaged book never stops the batch. The annotation is taken from the markup, where its order of text and tags is kept.
+    A damaged book never stops the batch. The annotation is taken from the markup of title-info, where its order of text and tags is kept.
     """
     sniffed = files.withColumn("_book", looks_like(F.ltrim(F.col(text))))
     # behind an explode, through which no filter is pushed, so that each text is parsed once
     parsed = sniffed.where("_book").withColumn("fb2", F.explode(F.array(F.from_xml(F.col(text), FB2_SCHEMA, {"mode": "PERMISSIVE", "rowTag": "FictionBook", "columnNameOfCorruptRecord": "_corrupt_record"}))))
     bad = F.col("fb2").isNull() | F.col("fb2._corrupt_record").isNotNull() | F.col("fb2.body").isNull()
-    annotation = F.regexp_extract(F.col(text), r"(?s)<annotation>(.*?)</annotation>", 1)
+    # the book's own, which sections may have as well
+    info = F.regexp_extract(F.col(text), r"(?s)<title-info\b[^>]*>(.*?)</title-info>", 1)
+    annotation = F.regexp_extract(info, r"(?s)<annotation\b[^>]*>(.*?)</annotation>", 1)
     books = parsed.where(~bad).select("path", "member", F.col("fb2.description").alias("description"), F.col("fb2.body").alias("bodies"), F.col("fb2.binary").alias("binaries"), annotation.alias("annotation_markup"))
     skipped = sniffed.where("NOT _book OR _book IS NULL").select("path", "member", F.lit("no book").alias("reason"))
     return books, skipped.unionByName(parsed.where(bad).select("path", "member", F.lit("damaged").alias("reason")))

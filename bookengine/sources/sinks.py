@@ -10,18 +10,38 @@ from pyspark.sql import functions as F
 
 #: Chapters that one output file holds at most, of one book.
 CHAPTERS_PER_FILE = 1000
-MODES = {False: "errorifexists", True: "overwrite"}
 
 
-def write_chapters(chapters: DataFrame, path: str, book: str, overwrite: bool = False) -> None:
-    """A folder for each book with its chapters in order; existing output is an error unless it may be overwritten.
+def written_books(chapters: DataFrame, path: str, book: str) -> DataFrame:
+    """The books that an output folder holds; none where there is no folder yet. Only names of folders are read."""
+    spark = chapters.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = chapters.select(book)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return names.limit(0)
+    return spark.read.schema(chapters.schema).parquet(path).select(book).distinct()
 
-    Rows are dealt by book and run of chapters, so that a book of any size is many tasks, and sorted inside tasks, so
-    that a task holds one open file at a time.
+
+def write_chapters(chapters: DataFrame, path: str, book: str, overwrite: bool = False) -> DataFrame:
+    """Writes a folder for each book with its chapters in order, and returns book and outcome: written, replaced or conflict.
+
+    A book that the folder holds already is in conflict and stays as it is, unless it may be overwritten: then it is replaced
+    as a whole. Other books stay in any case, and a book that fails takes none with it. Rows are dealt by book and run of chapters, so that a book of any
+    size is many tasks, and sorted inside tasks, so that a task holds one open file at a time.
     """
+    there = written_books(chapters, path, book).select(F.col(book).alias("_there"), F.lit(True).alias("_held"))
+    planned = chapters.select(book).distinct()
+    held = F.coalesce("_held", F.lit(False))
+    outcome = F.when(~held, "written").otherwise("replaced" if overwrite else "conflict")
+    # written before the folder changes, so that it says what was found there
+    outcomes = staged(planned.join(there, planned[book].eqNullSafe(there["_there"]), "left").select(book, outcome.alias("outcome")), "outcomes")
+    blocked = outcomes.where("outcome = 'conflict'").select(F.col(book).alias("_blocked"))
+    free = chapters.join(blocked, chapters[book].eqNullSafe(blocked["_blocked"]), "left_anti") if not overwrite else chapters
     run = F.floor(F.col("file_ix") / CHAPTERS_PER_FILE)
-    dealt = chapters.repartition(book, run).sortWithinPartitions(book, "file_ix")
-    dealt.write.mode(MODES[overwrite]).partitionBy(book).parquet(path)
+    dealt = free.repartition(book, run).sortWithinPartitions(book, "file_ix")
+    # dynamic: only the folders of the books at hand are replaced, when all of them are written
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(book).parquet(path)
+    return outcomes
 
 
 def output_folder(spark: SparkSession, name: str) -> str:
@@ -33,6 +53,13 @@ def output_folder(spark: SparkSession, name: str) -> str:
     return f"{folder}/bookengine/{uuid.uuid4().hex}/{name}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """A table written once in the shared folder, and read again from there: what is read several times is worked out once, and a lost executor costs no more."""
+    path = output_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_chapters(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """What ``write_chapters`` has written; the schema holds the book's column as well."""
     return spark.read.schema(schema).parquet(path)

@@ -81,14 +81,22 @@ def test_binaries(spark):
 
 
 def test_write_chapters(spark, tmp_path):
-    df = spark.createDataFrame([("x", 2, "b"), ("x", 1, "a"), ("y", 1, "c")], "book_id string, file_ix int, body string")
+    df = spark.createDataFrame([("x", 2, "b"), ("x", 1, "a"), ("y", 1, "c"), (None, 1, "n")], "book_id string, file_ix int, body string")
     path = str(tmp_path / "out")
-    sinks.write_chapters(df, path, "book_id")
-    assert spark.read.parquet(path).count() == 3
-    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
-        sinks.write_chapters(df, path, "book_id")
-    sinks.write_chapters(df.where("book_id = 'x'"), path, "book_id", overwrite=True)
-    assert spark.read.parquet(path).count() == 2
+    kept = lambda: sorted(((r["book_id"], r["file_ix"], r["body"]) for r in sinks.read_chapters(spark, path, "file_ix int, body string, book_id string").collect()), key=repr)
+    said = lambda out: {r["book_id"]: r["outcome"] for r in out.collect()}
+    assert said(sinks.write_chapters(df, path, "book_id")) == {"x": "written", "y": "written", None: "written"}
+    first = kept()
+    assert len(first) == 4
+    # what is there stays, and what is new is written beside it
+    more = spark.createDataFrame([("x", 1, "other"), ("z", 1, "d"), (None, 7, "m")], "book_id string, file_ix int, body string")
+    assert said(sinks.write_chapters(more, path, "book_id")) == {"x": "conflict", "z": "written", None: "conflict"}
+    assert kept() == sorted([*first, ("z", 1, "d")], key=repr)
+    # overwriting a book replaces all of it and no other
+    assert said(sinks.write_chapters(more, path, "book_id", overwrite=True)) == {"x": "replaced", "z": "replaced", None: "replaced"}
+    assert kept() == sorted([("x", 1, "other"), ("y", 1, "c"), ("z", 1, "d"), (None, 7, "m")], key=repr)
+    assert said(sinks.write_chapters(more.limit(0), path, "book_id", overwrite=True)) == {}
+    assert len(kept()) == 4
 
 
 def test_write_conflicts(spark):
