@@ -80,7 +80,45 @@ def s05_decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds_of = ("UTF-16BE", "UTF-16LE", "UTF-8")
     docs = table(spark, sf_dir, "documents")
     coded = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("FEFF")), F.encode("text", kinds_of[0]))).when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", kinds_of[1]))).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", kinds_of[2])))
-    return docs.select("doc_id", src.decode_text(coded).alias("text"))
+    return src.decode_files(docs.select("doc_id", coded.alias("content")))[0]
+
+
+#: Declared labels of ``mixed_files``; what a charset lacks is a question mark there.
+_DECLARED = ("UTF-8", "windows-1252", "iso-8859-15", "x-mac-roman", "windows-1253", "gb18030", "UTF-16", "x-nobody", "utf8", "us-ascii")
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document with a declaration, in the charset that it names; one of an unknown charset, one with a byte that is no UTF-8."""
+    for batch in batches:
+        ids, out = batch.column("doc_id").to_pylist(), []
+        for doc_id, text in zip(ids, batch.column("text").to_pylist(), strict=True):
+            label = _DECLARED[doc_id % len(_DECLARED)]
+            codec = {"x-mac-roman": "mac_roman", "UTF-16": "utf-8", "x-nobody": "utf-8"}.get(label, label)
+            content = f'<?xml version="1.0" encoding="{label}"?>\n{text}'.encode(codec, "replace")
+            out.append(content + b"\xff" if label == "utf8" else content)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "content"])
+
+
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_coded, "doc_id long, content binary")
+
+
+_LABEL_SQL = "([" + ", ".join(f"'{x}'" for x in _DECLARED) + "])[doc_id % 10 + 1]"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, {_LABEL_SQL} AS label, CASE WHEN doc_id % 10 IN (4, 9) THEN regexp_replace(text, '[^\x00-\x7F]', '?', 'g') ELSE text END AS text FROM documents WHERE doc_id % 10 NOT IN (7, 8))
+ SELECT doc_id, md5('<?xml version="1.0" encoding="' || label || '"?>' || chr(10) || text) AS digest FROM l"""
+)
+def s05_mixed_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of ten declarations in one batch."""
+    return src.decode_files(mixed_files(spark, sf_dir))[0].select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 7 THEN 'unknown charset' ELSE 'malformed text' END AS reason FROM documents WHERE doc_id % 10 IN (7, 8)")
+def s11_undecodable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of that batch that can't be decoded."""
+    return src.decode_files(mixed_files(spark, sf_dir))[1]
 
 
 @query(f"SELECT 'lib/' || doc_id || '.fb2' AS path, 'About ' || source || chr(10) || 'second' AS annotation FROM documents WHERE {GOOD}")

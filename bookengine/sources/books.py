@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -10,6 +12,7 @@ from io import BytesIO
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Bytes of an archive member that is not read further.
 MOST_MEMBER_BYTES = 512 << 20
@@ -84,27 +87,77 @@ def detect_encoding(content: Column) -> Column:
     return out.otherwise("unknown")
 
 
-#: Charsets that XML declarations of books name. Fixed values.
-CHARSETS = ("utf-8", "windows-1250", "windows-1251", "windows-1252", "koi8-r", "iso-8859-1", "iso-8859-2", "iso-8859-5", "utf-16")
+#: Labels that declarations give beside those that Python's codecs know. Fixed values.
+LABELS = {
+    "win-1251": "cp1251", "win1251": "cp1251", "windows1251": "cp1251", "windows-1251u": "cp1251", "cp-1251": "cp1251", "x-cp1251": "cp1251", "x-cp1250": "cp1250", "x-cp1252": "cp1252",
+    "windows1252": "cp1252", "windows1250": "cp1250", "koi8": "koi8_r", "koi": "koi8_r", "koi8r": "koi8_r", "koi8u": "koi8_u", "dos-866": "cp866", "x-mac-cyrillic": "mac_cyrillic", "x-mac-roman": "mac_roman", "x-sjis": "shift_jis", "x-gbk": "gbk", "x-big5": "big5", "unicode": "utf_8",
+}
+#: Codecs that are no charset of files.
+_NO_CHARSET = {"idna", "punycode", "unicode-escape", "raw-unicode-escape", "undefined", "utf-7", "mbcs", "oem"}
+#: Bytes of content that are decoded before a batch goes on.
+_DECODED_BYTES = 4 << 20
 
 
-def decode_text(content: Column) -> Column:
-    """Text of a file: by its byte order mark, else by the charset of the XML declaration, else UTF-8. The mark is left out.
+def codec_of(label: str) -> str | None:
+    """Name of the codec for a declared label; None if there is none. A declaration that can be read byte by byte is in no wide charset, whatever it says."""
+    label = label.strip().lower()
+    try:
+        found = codecs.lookup(LABELS.get(label, label))
+    except (LookupError, ValueError):
+        return None
+    if not found._is_text_encoding or found.name.replace("_", "-") in _NO_CHARSET:
+        return None
+    return "utf-8" if found.name.startswith(("utf-16", "utf-32")) else found.name
 
-    A declaration is looked for in the first 200 bytes, where XML has it.
 
-    Charsets beyond Spark's own need ``spark.sql.legacy.javaCharsets``.
+def decode_content(content: bytes) -> tuple[str | None, str | None]:
+    """(text, reason): the text of a file by its byte order mark, else by the charset of the XML declaration, else UTF-8; or why there is none."""
+    for mark, name in MARKS:
+        if content.startswith(bytes.fromhex(mark)):
+            codec, content = name, content[len(mark) // 2 :]
+            break
+    else:
+        declared = re.search(rb"""^[^>]*\bencoding\s*=\s*["']([^"']*)["']""", content[:200])
+        codec = codec_of(declared[1].decode("latin-1")) if declared else "utf-8"
+    if codec is None:
+        return None, "unknown charset"
+    try:
+        return content.decode(codec), None
+    except (UnicodeDecodeError, UnicodeError):
+        return None, "malformed text"
+
+
+def _decoded(content: str):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others = [k for k, name in enumerate(batch.schema.names) if name != content]
+            values, start = batch.column(content), 0
+            found: list[tuple[str | None, str | None]] = []
+            held = 0
+            for k in range(batch.num_rows):
+                value = values[k].as_py()
+                found.append((None, "no content") if value is None else decode_content(value))
+                held += len(value or b"")
+                if held >= _DECODED_BYTES or k + 1 == batch.num_rows:
+                    part = batch.slice(start, k + 1 - start)
+                    texts, reasons = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in others), pa.array(texts, pa.string()), pa.array(reasons, pa.string())], [*(batch.schema.names[i] for i in others), "_text", "_reason"])
+                    start, found, held = k + 1, [], 0
+
+    return rows
+
+
+def decode_files(files: DataFrame, content: str = "content", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(decoded, quarantine): files with ``text`` in place of their content, and those that can't be decoded with ``reason``.
+
+    Reasons: unknown charset, malformed text, no content. A file that can't be decoded never stops the others; nothing is replaced
+    or left out in those that can. The byte order mark is no part of the text.
     """
-    encoding = detect_encoding(content)
-    declared = F.lower(F.regexp_extract(F.decode(F.substring(content, 1, 200), "ISO-8859-1"), """encoding=["']([A-Za-z0-9._-]+)["']""", 1))
-    out = F.when(encoding == "UTF-8", F.decode(F.substring(content, 4, 1 << 30), "UTF-8"))
-    for name in ("UTF-16BE", "UTF-16LE"):
-        out = out.when(encoding == name, F.decode(F.substring(content, 3, 1 << 30), name))
-    for name in ("UTF-32BE", "UTF-32LE"):
-        out = out.when(encoding == name, F.decode(F.substring(content, 5, 1 << 30), name))
-    for name in CHARSETS:
-        out = out.when(declared == name, F.decode(content, name))
-    return out.otherwise(F.decode(content, "UTF-8"))
+    others = [f for f in files.schema if f.name != content]
+    schema = StructType([*others, StructField("_text", StringType()), StructField("_reason", StringType())])
+    rows = files.mapInArrow(_decoded(content), schema)
+    names = [f"`{f.name}`" for f in others]
+    return rows.where("_reason IS NULL").select(*names, F.col("_text").alias(text)), rows.where("_reason IS NOT NULL").select(*names, F.col("_reason").alias("reason"))
 
 
 def decode_binaries(rows: DataFrame, value: str) -> DataFrame:

@@ -63,16 +63,37 @@ def test_quarantine_of_archive_members(spark):
 
 
 def test_encodings_and_quarantine(spark, tree):
-    before = spark.conf.get("spark.sql.legacy.javaCharsets", "false")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    try:
-        files = src.scan_books(spark, str(tree)).withColumn("text", src.decode_text(F.col("content")))
-        books, bad = src.read_fb2(files)
-        found = {r["path"].rsplit("/", 1)[1]: r["t"] for r in books.select("path", F.col("description.title-info.book-title").alias("t")).collect()}
-        assert found == {n: "Тень" for n in ("a.fb2", "B.FB2", "cp1251.fb2", "bom_u8.fb2", "bom_u16le.fb2", "bom_u16be.fb2", "bom_u32le.fb2", "bom_u32be.fb2")}
-        assert {r["path"].rsplit("/", 1)[1]: r["reason"] for r in bad.collect()} == {"broken.fb2": "damaged", "junk.fb2": "no book"}
-    finally:
-        spark.conf.set("spark.sql.legacy.javaCharsets", before)
+    (tree / "cp1253.fb2").write_bytes(BOOK.format("windows-1253").replace("Тень", "Σκιά").replace("Да", "Ναι").encode("cp1253"))
+    (tree / "nobody.fb2").write_text(BOOK.format("x-nobody"), "utf-8")
+    (tree / "bytes.fb2").write_bytes(BOOK.format("UTF-8").encode()[:-30] + b"\xff\xfe")
+    (tree / "win1251.fb2").write_bytes(BOOK.format("win-1251").encode("cp1251"))
+    (tree / "wide.fb2").write_text(BOOK.format("UTF-16"), "utf-8")
+    decoded, undecodable = src.decode_files(src.scan_books(spark, str(tree)))
+    books, bad = src.read_fb2(decoded)
+    name = lambda r: r["path"].rsplit("/", 1)[1]
+    found = {name(r): r["t"] for r in books.select("path", F.col("description.title-info.book-title").alias("t")).collect()}
+    assert found == {"cp1253.fb2": "Σκιά", **dict.fromkeys(("a.fb2", "B.FB2", "cp1251.fb2", "win1251.fb2", "wide.fb2", *(f"bom_{n}.fb2" for n in ("u8", "u16le", "u16be", "u32le", "u32be"))), "Тень")}
+    assert {name(r): r["reason"] for r in bad.collect()} == {"broken.fb2": "damaged", "junk.fb2": "no book"}
+    assert {name(r): r["reason"] for r in undecodable.collect()} == {"nobody.fb2": "unknown charset", "bytes.fb2": "malformed text"}
+
+
+def test_decode_content():
+    for label, codec in (("windows-1251", "cp1251"), ("KOI8-U", "koi8_u"), ("Shift_JIS", "shift_jis"), ("ISO-8859-5", "iso8859-5"), ("x-mac-cyrillic", "mac_cyrillic")):
+        text = f"<?xml version='1.0' encoding = '{label}'?>Ж" if codec != "shift_jis" else f"<?xml version='1.0' encoding='{label}'?>日本"
+        assert src.decode_content(text.encode(codec)) == (text, None)
+    assert src.decode_content(b"") == ("", None) and src.decode_content(b"\xef\xbb\xbf") == ("", None)
+    # text behind the declaration names no charset, and neither does what is no charset
+    assert src.decode_content("<a>é encoding='x-none'</a>".encode()) == ("<a>é encoding='x-none'</a>", None)
+    for label in ("rot13", "base64", "idna", "unicode_escape", "", "\0"):
+        assert src.decode_content(f"<?xml encoding='{label}'?>".encode()) == (None, "unknown charset")
+    assert src.decode_content(b"\xff\xfea") == (None, "malformed text") and src.decode_content(b"\xff\xfe\0\0\0") == (None, "malformed text")
+
+
+def test_decode_files_keeps_other_columns(spark):
+    files = spark.createDataFrame([("a", 1, b"x", "t"), ("b", 2, None, "t"), ("c", 3, b"\xff", None)], "path string, n int, content binary, reason string")
+    good, bad = src.decode_files(files.drop("reason"))
+    assert [tuple(r) for r in good.collect()] == [("a", 1, "x")]
+    assert sorted(map(tuple, bad.collect())) == [("b", 2, "no content"), ("c", 3, "malformed text")]
 
 
 def test_binaries(spark):
