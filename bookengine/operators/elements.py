@@ -15,27 +15,24 @@ from pyspark.sql import functions as F
 from bookengine.operators.blocks import BLOCK, first_after, last_before, running_sums
 
 #: The end of an element that nothing closes.
-NO_END = (1 << 31) - 1
-#: Elements that stand inside a line of text. Fixed values.
-INLINE = ("a", "emphasis", "i", "strong", "b", "strikethrough", "code", "sup", "sub", "style", "image", "em", "span")
+NO_END = (1 << 62) - 1
 
 
 def with_depth(tokens: DataFrame, key: str, nesting: tuple[str, ...] | None = None, size: int | None = BLOCK) -> DataFrame:
-    """Tokens with ``depth`` (open elements around, own included), ``links`` (open links around) and ``run`` (grows with every tag that is not inline).
+    """Tokens with ``depth`` (open elements around, own included) and ``nests`` (a tag that opens or closes an element which can hold others).
 
     ``nesting`` names the elements that tags open and close; by default all, as in well-formed markup. Others hold nothing.
     """
     nests = F.lit(True) if nesting is None else F.col("tag").isin(*nesting)
     opens, closes = nests & (F.col("kind") == "open"), nests & (F.col("kind") == "close")
-    step = lambda test: F.when(test & opens, 1).when(test & closes, -1).otherwise(0)
-    border = F.when((F.col("kind") != "text") & ~F.col("tag").isin(*INLINE), 1).otherwise(0)
-    summed = running_sums(tokens, [key], "pos", {"depth": step(F.lit(True)), "links": step(F.col("tag") == "a"), "run": border}, size)
+    step = F.when(opens, 1).when(closes, -1).otherwise(0)
+    summed = running_sums(tokens, [key], "pos", {"depth": step}, size)
     leaf = F.col("kind").isin("open", "selfclose") & ~opens
     return summed.withColumns({"depth": F.col("depth") + F.when(closes | leaf, 1).otherwise(0), "nests": opens | closes})
 
 
 def element_table(tokens: DataFrame, key: str, size: int | None = BLOCK) -> DataFrame:
-    """key, start, end, parent (start of the element around; 0 at the top), depth, tag, attrs, text (directly behind the opening tag) of tokens with depth.
+    """key, start, end, parent (start of the element around; 0 at the top), depth, tag, attrs of tokens with depth, or of their tags alone.
 
     A closing tag closes the element opened last at its depth, whatever its name. Without any, the element holds all that follows.
     """
@@ -45,27 +42,22 @@ def element_table(tokens: DataFrame, key: str, size: int | None = BLOCK) -> Data
     closing = F.when(F.col("kind") == "close", F.col("pos"))
     matched = first_after(tags.withColumn("_close", closing), [key, "depth"], "pos", "_close", "_end", size).where(opens)
     # an element asks, one level further out, for the element opened last before it; each offers itself to its own level
-    asks = matched.select(key, F.col("pos").alias("start"), F.when(F.col("nests"), F.coalesce("_end", F.lit(NO_END))).otherwise(F.col("pos")).alias("end"), "depth", "tag", "attrs", (F.col("depth") - 1).alias("_level"), F.lit(None).cast("int").alias("_offer"), F.when(F.col("kind") == "open", F.col("pos")).alias("_said"))
-    offers = tags.where((F.col("kind") == "open") & F.col("nests")).select(key, F.col("pos").alias("start"), F.col("depth").alias("_level"), F.col("pos").cast("int").alias("_offer"))
+    asks = matched.select(key, F.col("pos").alias("start"), F.when(F.col("nests"), F.coalesce("_end", F.lit(NO_END))).otherwise(F.col("pos")).alias("end"), "depth", "tag", "attrs", (F.col("depth") - 1).alias("_level"), F.lit(None).cast("long").alias("_offer"))
+    offers = tags.where((F.col("kind") == "open") & F.col("nests")).select(key, F.col("pos").alias("start"), F.col("depth").alias("_level"), F.col("pos").cast("long").alias("_offer"))
     nested = last_before(asks.unionByName(offers, allowMissingColumns=True), [key, "_level"], "start", "_offer", "parent", size).where("tag IS NOT NULL")
-    texts = tokens.where("kind = 'text'").select(F.col(key).alias("_key"), (F.col("pos") - 1).alias("_at"), F.col("text").alias("text"))
-    said = nested.join(texts, nested[key].eqNullSafe(texts["_key"]) & (nested["_said"] == texts["_at"]), "left")
-    return said.select(key, "start", "end", F.coalesce("parent", F.lit(0)).alias("parent"), "depth", "tag", "attrs", "text")
+    return nested.select(key, "start", "end", F.coalesce("parent", F.lit(0).cast("long")).alias("parent"), "depth", "tag", "attrs")
 
 
-def text_runs(tokens: DataFrame, key: str) -> DataFrame:
-    """key, pos, opens (the tag that a run opens with, else ''), text, unlinked (text outside links): runs of text between tags that are not inline. Far fewer rows than tokens; runs without text stay if a tag opens them."""
-    said = F.when(F.col("kind") == "text", F.struct("pos", F.replace("text", F.lit("\r"), F.lit("")).alias("text"), (F.col("links") == 0).alias("plain")))
-    runs = tokens.groupBy(key, "run").agg(F.min("pos").alias("pos"), F.min_by(F.when(F.col("kind") == "open", F.col("tag")).otherwise(""), "pos").alias("opens"), F.array_sort(F.collect_list(said)).alias("said"))
-    joined = lambda parts: F.array_join(F.transform(parts, lambda x: x["text"]), "")
-    out = runs.select(key, "pos", "opens", joined(F.col("said")).alias("text"), joined(F.filter("said", lambda x: x["plain"])).alias("unlinked"))
-    return out.where("text <> '' OR opens <> ''")
+def texts_behind(tokens: DataFrame, key: str) -> DataFrame:
+    """key, start, text: the text directly behind opening tags."""
+    texts = tokens.where("kind = 'text'").select(key, (F.col("pos") - 1).alias("start"), "text")
+    return _semi(texts, tokens.where("kind = 'open'"), key, "start", "pos")
 
 
 def open_count(rows: DataFrame, spans: DataFrame, key: str, at: str, size: int | None = BLOCK) -> DataFrame:
     """Rows with ``around``: how many spans (start, end) hold their position ``at`` strictly inside. A span does not hold its own start."""
     begin = spans.select(key, (2 * F.col("start") + 1).alias("_at"), F.lit(1).alias("_step"))
-    over = spans.select(key, (2 * F.col("end").cast("long") + 1).alias("_at"), F.lit(-1).alias("_step"))
+    over = spans.select(key, (2 * F.col("end") + 1).alias("_at"), F.lit(-1).alias("_step"))
     asked = rows.withColumns({"_at": 2 * F.col(at).cast("long"), "_step": F.lit(0), "_asks": F.lit(True)})
     every = asked.unionByName(begin.unionByName(over), allowMissingColumns=True)
     return running_sums(every, [key], "_at", {"around": F.col("_step")}, size).where("_asks").drop("_at", "_step", "_asks")
@@ -94,7 +86,7 @@ def _semi(rows: DataFrame, others: DataFrame, key: str, column: str, other: str)
     return rows.join(o, rows[key].eqNullSafe(o["_key"]) & (rows[column] == o["_other"]), "left_semi")
 
 
-def _tested(found: DataFrame, elements: DataFrame, key: str, test: str, size: int | None) -> DataFrame:
+def _tested(found: DataFrame, elements: DataFrame, key: str, test: str, size: int | None, texts: DataFrame | None) -> DataFrame:
     if re.fullmatch(r"-?[0-9]+", test):
         n = int(test)
         forward = F.col("start") if n > 0 else -F.col("start")
@@ -107,17 +99,19 @@ def _tested(found: DataFrame, elements: DataFrame, key: str, test: str, size: in
         attribute = F.try_element_at("attrs", F.lit(name[1:]))
         return found.where(attribute.isNotNull() if value is None else attribute == value)
     if name == "text()":
-        return found.where(held(F.coalesce("text", F.lit(""))))
+        return _semi(found, texts.where(held(F.col("text"))), key, "start", "start")
     children = elements.where(F.col("tag") == name)
-    return _semi(found, children if value is None else children.where(F.coalesce("text", F.lit("")) == value), key, "start", "parent")
+    if value is not None:
+        children = _semi(children, texts.where(F.col("text") == value), key, "start", "start")
+    return _semi(found, children, key, "start", "parent")
 
 
-def select_path(elements: DataFrame, key: str, path: str, within: DataFrame | None = None, size: int | None = BLOCK) -> DataFrame:
+def select_path(elements: DataFrame, key: str, path: str, within: DataFrame | None = None, size: int | None = BLOCK, texts: DataFrame | None = None) -> DataFrame:
     """The elements that a path leads to from the document's top, or from the elements ``within``; each once, as rows of ``elements``.
 
     ``/tag``, ``//tag`` (at any depth), ``*``, ``.``, ``..`` and the tests ``[n]`` (of the elements that share a parent; from the end if negative),
     ``[@name]``, ``[@name='value']``, ``[tag]``, ``[tag='value']``, ``[text()]``, ``[text()='value']``. A path that starts with
-    ``/`` starts at the top in any case.
+    ``/`` starts at the top in any case. Tests of texts need ``texts``: key, start, text.
     """
     context = None if path.startswith("/") else within
     for separator, selector, tests in path_steps(path):
@@ -134,16 +128,23 @@ def select_path(elements: DataFrame, key: str, path: str, within: DataFrame | No
                 found = _semi(elements, context, key, "parent", "start")
             found = found if selector == "*" else found.where(F.col("tag") == selector)
         for test in tests:
-            found = _tested(elements if found is None else found, elements, key, test, size)
+            found = _tested(elements if found is None else found, elements, key, test, size, texts)
         context = found
     return elements if context is None else context
 
 
-def texts_of(runs: DataFrame, units: DataFrame, key: str, pieces: Column, size: int | None = BLOCK) -> DataFrame:
-    """key, start, value: for units (start, end; none inside another) the pieces of their runs joined in order. Units without any have ''."""
-    offers = units.select(key, (2 * F.col("start")).alias("_at"), F.struct("start", "end").alias("_unit"))
-    asks = runs.select(key, "pos", (2 * F.col("pos") + 1).alias("_at"), pieces.alias("_piece")).where("_piece IS NOT NULL")
-    placed = last_before(asks.unionByName(offers, allowMissingColumns=True), [key], "_at", "_unit", "_in", size).where("_piece IS NOT NULL AND pos <= _in.end")
-    joined = placed.groupBy(F.col(key).alias("_key"), F.col("_in.start").alias("_start")).agg(F.array_sort(F.collect_list(F.struct("pos", "_piece"))).alias("pieces"))
-    every = units.select(key, "start").join(joined, units[key].eqNullSafe(F.col("_key")) & (F.col("start") == F.col("_start")), "left")
-    return every.select(key, "start", F.coalesce(F.array_join(F.transform("pieces", lambda x: x["_piece"]), ""), F.lit("")).alias("value"))
+def texts_of(pieces: DataFrame, units: DataFrame, key: str, value: Column, size: int | None = BLOCK, *more: str) -> DataFrame:
+    """key, start, value and the columns ``more`` of units (start, end; none inside another): ``value`` of the pieces (pos) inside them, joined in order; '' without any.
+
+    The pieces' texts are dealt out once, by document, and joined where they are.
+    """
+    unit = F.struct("start", "end", *more)
+    offers = units.select(key, (2 * F.col("start")).alias("_at"), unit.alias("_unit"))
+    asks = pieces.select(key, "pos", (2 * F.col("pos") + 1).alias("_at"), value.alias("_piece"))
+    placed = last_before(asks.unionByName(offers, allowMissingColumns=True), [key], "_at", "_unit", "_in", size)
+    # a unit stands for itself, so that those without pieces stay
+    own = F.coalesce(F.col("_unit"), F.col("_in"))
+    kept = placed.select(key, own.alias("_own"), "pos", "_piece").where("_own IS NOT NULL AND (pos IS NULL OR pos <= _own.end)")
+    said = F.when(F.col("_piece") != "", F.struct("pos", "_piece"))
+    joined = kept.groupBy(key, F.col("_own.start").alias("start")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["_piece"]), "").alias("value"), *(F.first(F.col("_own")[m]).alias(m) for m in more))
+    return joined.select(key, "start", "value", *more)

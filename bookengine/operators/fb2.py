@@ -1,6 +1,6 @@
 """A book from its markup to the rows of a package: notes, chapters, contents, links, manifest.
 
-Everything is read off two tables of all books, elements and runs of text, which are written once: positions order whatever
+Everything is read off two tables of all books, elements and pieces of markup, which are written once: positions order whatever
 a book has, and what belongs to a section, note or chapter is found by position or parent.
 """
 
@@ -16,7 +16,7 @@ from bookengine.operators import elements as el
 from bookengine.operators import notes as nt
 from bookengine.operators import structure as st
 from bookengine.operators import tokens as tok
-from bookengine.operators.blocks import block_size, row_numbers, running_sums
+from bookengine.operators.blocks import BLOCK, block_size, row_numbers, running_sums
 from bookengine.sources import sinks
 
 #: Names of bodies that hold notes.
@@ -26,41 +26,48 @@ TITLE_INFO = "/FictionBook/description/title-info"
 
 @dataclass(frozen=True)
 class Books:
-    """Runs of text and elements of all books, by ``key``."""
+    """Pieces of markup and elements of all books, by ``key``."""
 
     key: str
-    runs: DataFrame
+    pieces: DataFrame
     elements: DataFrame
     #: Of the blocks that windows work on; None if no book is over one block.
     size: int | None
 
     def find(self, path: str, within: DataFrame | None = None) -> DataFrame:
-        # tags of the token table are in lower case
-        return el.select_path(self.elements, self.key, path.replace("FictionBook", "fictionbook"), within, self.size)
+        # tags are in lower case
+        return el.select_path(self.elements, self.key, path.replace("FictionBook", "fictionbook"), within, self.size, self.texts_behind())
 
+    def texts_behind(self) -> DataFrame:
+        return tok.piece_texts_behind(self.pieces, self.key)
 
-def parse_books(files: DataFrame, key: str, text: str = "text") -> Books:
-    """Elements and runs of text of well-formed books, each written once in the shared folder."""
-    raw = tok.tokenize_markup(files, key, text)
-    tokens = sinks.staged(raw.withColumns({"text": tok.unescape(F.col("text")), "attrs": F.transform_values("attrs", lambda _, v: tok.unescape(v))}), "tokens")
-    size = block_size(tokens, "pos")
-    tokens = sinks.staged(el.with_depth(tokens, key, size=size), "nested")
-    return Books(key, sinks.staged(el.text_runs(tokens, key), "runs"), sinks.staged(el.element_table(tokens, key, size), "elements"), size)
+    def texts(self, units: DataFrame, value: Column, *more: str) -> DataFrame:
+        return el.texts_of(tok.piece_texts(self.pieces, self.key), units, self.key, value, self.size, *more)
+
+
+def parse_books(files: DataFrame, key: str, text: str = "text", block: int = BLOCK) -> Books:
+    """Pieces and elements of well-formed books, written once in the shared folder. Texts are in the pieces alone; windows run over tags."""
+    pieces = sinks.staged(tok.markup_pieces(files, key, text), "pieces")
+    size = block_size(pieces, "piece", block)
+    size = None if size is None else size * tok.STRIDE
+    tags = tok.piece_tags(pieces, key)
+    nested = sinks.staged(el.with_depth(tags.withColumn("attrs", F.transform_values("attrs", lambda _, v: tok.unescape(v))), key, size=size), "tags")
+    return Books(key, pieces, sinks.staged(el.element_table(nested, key, size), "elements"), size)
 
 
 def _lines(text: str, *breaks: str) -> Column:
     return F.concat(F.when(F.col("opens").isin(*breaks), "\n").otherwise(""), F.col(text))
 
 
-def fragments(books: Books, units: DataFrame) -> DataFrame:
-    """key, start, value of elements: their text, a line for each paragraph or div, without what is inside links, and without white space around."""
-    found = el.texts_of(books.runs, units, books.key, _lines("unlinked", "p", "div"), books.size)
+def fragments(books: Books, units: DataFrame, *more: str) -> DataFrame:
+    """key, start, value and the columns ``more`` of elements: their text, a line for each paragraph or div, without what is inside links, and without white space around."""
+    found = books.texts(units, _lines("unlinked", "p", "div"), *more)
     return found.withColumn("value", F.regexp_replace("value", rf"^[{tx.WS}]+|[{tx.WS}]+\z", ""))
 
 
-def full_fragments(books: Books, units: DataFrame) -> DataFrame:
-    """key, start, value of elements: all their text, a line for each paragraph, blank lines dropped."""
-    found = el.texts_of(books.runs, units, books.key, _lines("text", "p"), books.size)
+def full_fragments(books: Books, units: DataFrame, *more: str) -> DataFrame:
+    """key, start, value and the columns ``more`` of elements: all their text, a line for each paragraph, blank lines dropped."""
+    found = books.texts(units, _lines("text", "p"), *more)
     return found.withColumn("value", F.array_join(F.filter(F.split("value", "\n"), lambda x: x.rlike(f"[^{tx.WS}]")), "\n"))
 
 
@@ -88,22 +95,20 @@ def extract_notes(books: Books, names: tuple[str, ...] = NOTES_BODIES) -> tuple[
     tops = _outermost(books, candidates, candidates)
     named = bodies.select(key, F.col("start").alias("_body"), F.col("end").alias("_over"), F.element_at("attrs", "name").alias("body_name"))
     # bodies of a book are few, and a top lies in one
-    placed = sinks.staged(tops.join(named, key).where("start > _body AND start < _over").drop("_over", "text"), "note_parts")
+    placed = sinks.staged(tops.join(named, key).where("start > _body AND start < _over").drop("_over"), "note_parts")
     sections = placed.where("tag = 'section'").select(key, "body_name", F.col("start").alias("pos"), "end", note_id.alias("note_id"))
 
     titles = placed.where("tag = 'title'")
-    title_texts = fragments(books, titles)
-    title_texts = title_texts.withColumn("body_title", tx.sanitize_title(F.col("value"))).where("body_title <> ''")
-    ranked = titles.select(key, "start", "body_name").join(title_texts, [key, "start"])
+    ranked = fragments(books, titles, "body_name").withColumn("body_title", tx.sanitize_title(F.col("value"))).where("body_title <> ''")
     place = F.row_number().over(Window.partitionBy(key, "body_name").orderBy("pos"))
     body_titles = ranked.select(key, "body_name", F.col("start").alias("pos"), "body_title").withColumn("place", place)
 
     own = books.elements.join(sections.select(F.col(key).alias("_key"), F.col("pos").alias("_note")), F.col(key).eqNullSafe(F.col("_key")) & (F.col("parent") == F.col("_note"))).select(key, "start", "end", "tag", "_note")
     own = sinks.staged(own, "note_children")
     own_title = own.where("tag = 'title'")
-    last_title = fragments(books, own_title).join(own_title.select(key, "start", "_note"), [key, "start"]).groupBy(key, F.col("_note").alias("pos")).agg(F.max_by("value", "start").alias("title"))
+    last_title = fragments(books, own_title, "_note").groupBy(key, F.col("_note").alias("pos")).agg(F.max_by("value", "start").alias("title"))
     others = own.where("tag <> 'title'")
-    lines = full_fragments(books, others).join(others.select(key, "start", "_note"), [key, "start"]).groupBy(key, F.col("_note").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("parts"))
+    lines = full_fragments(books, others, "_note").groupBy(key, F.col("_note").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("parts"))
     # children without text count once something stands before them
     values = F.transform("parts", lambda x: x["value"])
     first = F.array_position(F.transform(values, lambda v: v != ""), True).cast("int")
@@ -127,7 +132,7 @@ def main_sections(books: Books) -> DataFrame:
     top = body.select(F.col(key).alias("_key"), F.col("depth").alias("_top"))
     leveled = sections.join(top, F.col(key).eqNullSafe(F.col("_key"))).withColumn("level", F.col("depth") - F.col("_top") - 1)
     titles = books.elements.where("tag = 'title'")
-    t = fragments(books, titles).join(titles.select(key, "start", "parent"), [key, "start"]).groupBy(F.col(key).alias("_owner"), F.col("parent").alias("_parent")).agg(F.min_by("value", "start").alias("title"))
+    t = fragments(books, titles, "parent").groupBy(F.col(key).alias("_owner"), F.col("parent").alias("_parent")).agg(F.min_by("value", "start").alias("title"))
     said = leveled.join(t, F.col(key).eqNullSafe(F.col("_owner")) & (F.col("start") == F.col("_parent")), "left")
     return said.select(key, "start", "end", F.try_element_at("attrs", F.lit("id")).alias("section_id"), F.col("level").cast("int").alias("level"), tx.sanitize_title(F.col("title")).alias("title"))
 
@@ -143,8 +148,8 @@ def chapter_paragraphs(books: Books, sections: DataFrame, chapter_level: int = 1
     asked = paragraphs.select(key, "start", "end", (2 * F.col("start") + 1).alias("_at"), F.lit(0).alias("_step"))
     filed = running_sums(asked.unionByName(starts, allowMissingColumns=True), [key], "_at", {"file_ix": F.col("_step")}, books.size).where("start IS NOT NULL")
     filed = row_numbers(filed.withColumn("file_ix", F.greatest("file_ix", F.lit(1)).cast("int")), [key, "file_ix"], "start", "para_ix", books.size)
-    text = el.texts_of(books.runs, filed, key, F.col("text"), books.size)
-    return filed.join(text, [key, "start"]).select(key, F.col("start").alias("pos"), "file_ix", F.concat(F.lit("index"), F.col("file_ix").cast("string")).alias("fname"), F.col("para_ix").cast("int").alias("para_ix"), F.col("value").alias("text"))
+    said = books.texts(filed, F.col("text"), "file_ix", "para_ix")
+    return said.select(key, F.col("start").alias("pos"), "file_ix", F.concat(F.lit("index"), F.col("file_ix").cast("string")).alias("fname"), F.col("para_ix").cast("int").alias("para_ix"), F.col("value").alias("text"))
 
 
 def contents(books: Books, sections: DataFrame, chapter_level: int = 1) -> DataFrame:

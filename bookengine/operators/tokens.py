@@ -33,10 +33,47 @@ def clean_markup(markup: Column) -> Column:
     return F.regexp_replace(out, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
 
 
+#: Elements that stand inside a line of text. Fixed values.
+INLINE = ("a", "emphasis", "i", "strong", "b", "strikethrough", "code", "sup", "sub", "style", "image", "em", "span")
+#: Tags of one piece have positions from its number times this on.
+STRIDE = 1 << 24
+
+
+def markup_pieces(docs: DataFrame, key: str, markup: str) -> DataFrame:
+    """key, piece, raw: the markup cut in front of every tag that is not inline. A paragraph with its inline tags is one piece, so that texts are cut without a shuffle."""
+    cut = rf"(?=<(?!/?(?:{'|'.join(INLINE)})[\s/>]))"
+    return docs.select(key, F.posexplode(F.split(clean_markup(F.col(markup)), cut, -1)).alias("piece", "raw")).where("raw <> ''")
+
+
+def piece_tags(pieces: DataFrame, key: str) -> DataFrame:
+    """The tags of pieces as token rows, without texts: key, pos (in the order of the document), kind, tag, attrs."""
+    tags = pieces.where(F.contains("raw", F.lit("<"))).select(key, "piece", F.posexplode(F.regexp_extract_all("raw", F.lit("(<[^>]+>)"), F.lit(1))).alias("k", "raw"))
+    return tags.select(key, ((F.col("piece") + 1).cast("long") * STRIDE + F.col("k")).alias("pos"), *token_columns(F.col("raw"))).drop("text")
+
+
+def piece_texts(pieces: DataFrame, key: str) -> DataFrame:
+    """key, pos (of the tag in front), opens (the tag that a piece opens with, else ''), text, unlinked (without what links hold)."""
+    raw = F.regexp_replace("raw", "\r", "")
+    said = lambda markup: unescape(F.regexp_replace(markup, "<[^>]*>", ""))
+    opens = F.lower(F.regexp_extract("raw", r"^<([A-Za-z][A-Za-z0-9:-]*)(?:[^>]*[^/>])?>", 1))
+    return pieces.select(key, ((F.col("piece") + 1).cast("long") * STRIDE).alias("pos"), opens.alias("opens"), said(raw).alias("text"), said(F.regexp_replace(raw, r"(?s)<a\b[^>]*(?<!/)>.*?</a\s*>", "")).alias("unlinked"))
+
+
+def piece_texts_behind(pieces: DataFrame, key: str) -> DataFrame:
+    """key, start, text: the text directly behind each opening tag, where there is any."""
+    found = pieces.select(key, "piece", F.posexplode(F.arrays_zip(F.regexp_extract_all("raw", F.lit("(<[^>]+>)[^<]*"), F.lit(1)).alias("tag"), F.regexp_extract_all("raw", F.lit("<[^>]+>([^<]*)"), F.lit(1)).alias("text"))).alias("k", "p"))
+    opening = ~F.startswith("p.tag", F.lit("</")) & ~F.endswith("p.tag", F.lit("/>"))
+    return found.where(opening & (F.col("p.text") != "")).select(key, ((F.col("piece") + 1).cast("long") * STRIDE + F.col("k")).alias("start"), unescape(F.col("p.text")).alias("text"))
+
+
 def tokenize_markup(docs: DataFrame, key: str, markup: str) -> DataFrame:
     """key, pos (from 1), kind (open, close, selfclose, decl, text), tag, attrs, text. A '<' without '>' is dropped."""
     raw = docs.select(key, F.posexplode(F.regexp_extract_all(clean_markup(F.col(markup)), F.lit(f"({TOKEN})"), F.lit(1))).alias("p", "raw"))
-    r = F.col("raw")
+    return raw.select(key, (F.col("p") + 1).alias("pos"), *token_columns(F.col("raw")))
+
+
+def token_columns(r: Column) -> list[Column]:
+    """kind, tag, attrs, text of a tag or a run of text."""
     kind = (
         F.when(F.startswith(r, F.lit("</")), "close")
         .when(F.startswith(r, F.lit("<!")) | F.startswith(r, F.lit("<?")), "decl")
@@ -48,7 +85,7 @@ def tokenize_markup(docs: DataFrame, key: str, markup: str) -> DataFrame:
     # of an attribute given twice the first counts
     pairs = F.filter(F.arrays_zip(names.alias("name"), values.alias("value")), lambda x, i: (F.array_position(names, x["name"]) == i + 1))
     attrs = F.when(F.contains(r, F.lit("=")) & F.startswith(r, F.lit("<")), F.map_from_entries(pairs)).otherwise(F.create_map().cast("map<string,string>"))
-    return raw.select(key, (F.col("p") + 1).alias("pos"), kind.alias("kind"), F.lower(F.regexp_extract(r, r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1)).alias("tag"), attrs.alias("attrs"), F.when(kind == "text", r).alias("text"))
+    return [kind.alias("kind"), F.lower(F.regexp_extract(r, r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1)).alias("tag"), attrs.alias("attrs"), F.when(kind == "text", r).alias("text")]
 
 
 def order(key: str) -> Window:

@@ -223,15 +223,14 @@ UNION ALL SELECT 'chapter', source || CASE WHEN b THEN 'b' ELSE '' END, CASE WHE
 @query(_SECOND_SQL)
 def k01_second_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All books are written; then some are replaced, some meet a conflict, new ones come beside them, and the others stay."""
-    ix = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), ix.alias("file_ix"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("file_ix"), "text")
     path = sinks.output_folder(spark, "chapters")
     sinks.write_chapters(docs, path, "book_id")
     again = docs.withColumn("text", F.concat(F.lit("again "), "text"))
     replaced = sinks.write_chapters(again.where("book_id LIKE '%1'"), path, "book_id", overwrite=True)
     seconds = again.where("book_id LIKE '%2'")
     beside = sinks.write_chapters(seconds.unionByName(seconds.withColumn("book_id", F.concat("book_id", F.lit("b")))), path, "book_id")
-    written = sinks.read_chapters(spark, path, "file_ix int, text string, book_id string")
+    written = sinks.read_chapters(spark, path, "file_ix long, text string, book_id string")
     chapters = written.groupBy(F.lit("chapter").alias("what"), "book_id", F.md5(F.encode("text", "UTF-8")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return replaced.unionByName(beside).select(F.lit("outcome").alias("what"), "book_id", F.col("outcome").alias("value"), F.lit(0).cast("long").alias("n")).unionByName(chapters)
 

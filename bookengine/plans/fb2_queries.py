@@ -73,9 +73,9 @@ def s09_select_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = books(spark, sf_dir)
     rows = None
     for path in PATHS:
-        part = found.find(path).select("path", F.lit(path).alias("query"), "text")
+        part = found.find(path).select("path", "start", F.lit(path).alias("query"))
         rows = part if rows is None else rows.unionByName(part)
-    return rows
+    return rows.join(found.texts_behind(), ["path", "start"], "left").select("path", "query", "text")
 
 
 _NOTES_SQL = """SELECT path, 'notes' AS body_name, 'n1' AS note_id, '' AS title, 'Note — of ' || source || chr(10) || 't' || chr(10) || 'inner' || chr(10) || 'after' AS body, 1 AS note_number, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS body_number, 'Notes ' AS body_title FROM d
@@ -120,7 +120,7 @@ def flagship_fb2(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = sinks.staged(fb2.titled_notes(found), "notes")
     target = sinks.output_folder(spark, "chapters")
     sinks.write_chapters(fb2.chapter_paragraphs(found, sections), target, "path")
-    paragraphs = sinks.read_chapters(spark, target, "pos int, file_ix int, fname string, para_ix int, text string, path string")
+    paragraphs = sinks.read_chapters(spark, target, "pos long, file_ix int, fname string, para_ix int, text string, path string")
     row = lambda df, kind, ix, name, value: df.select("path", F.lit(kind).alias("kind"), ix.cast("long").alias("ix"), name.alias("name"), value.alias("value"))
     parts = [
         row(paragraphs, "paragraph", F.col("para_ix"), F.col("fname"), F.md5(F.encode("text", "UTF-8"))),

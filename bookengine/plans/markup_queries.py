@@ -11,6 +11,7 @@ from bookengine.operators import tokens as tok
 from bookengine.plans.registry import query, table
 from bookengine.plans.scalar_queries import LINES, WS
 from bookengine.sources import books as src
+from bookengine.sources import sinks
 
 CLEAN_SQL = (
     "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(?:script|style)\\b[^>]*>.*?</(?:script|style)>', '', 'g'), '(?s)<!\\[CDATA\\[(.*?)\\]\\]>', '\\1', 'g')"
@@ -163,10 +164,10 @@ _EXCEPTIONS = "CASE word " + " ".join(f"WHEN '{w}' THEN replace('{h}', '-', '-')
 
 @query(
     f"""WITH pat(piece, place, value) AS (VALUES {_PATTERN_VALUES}),
- w AS (SELECT word, {_EXCEPTIONS} AS fixed, row_number() OVER (ORDER BY word) AS wid FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\n]+')) AS word FROM documents)),
- ch AS (SELECT wid, n, unnest(range(n + 2)) AS i, unnest(cs) AS c FROM (SELECT wid, length(word) AS n, list_filter(string_split('.' || word || '.', ''), lambda c: c <> '') AS cs FROM w WHERE length(word) > 2 AND fixed IS NULL)),
- nx AS (SELECT wid, n, i, c, {", ".join(f"lead(c, {k}) OVER w AS c{k}" for k in range(1, _LONGEST))} FROM ch WINDOW w AS (PARTITION BY wid ORDER BY i)),
- pc AS ({" UNION ALL ".join(f"SELECT wid, n, i, {' || '.join(['c', *(f'c{j}' for j in range(1, k + 1))])} AS piece FROM nx" for k in range(_LONGEST))}),
+ w AS MATERIALIZED (SELECT word, {_EXCEPTIONS} AS fixed, row_number() OVER (ORDER BY word) AS wid FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\n]+')) AS word FROM documents)),
+ ch AS MATERIALIZED (SELECT wid, n, unnest(range(n + 2)) AS i, unnest(cs) AS c FROM (SELECT wid, length(word) AS n, list_filter(string_split('.' || word || '.', ''), lambda c: c <> '') AS cs FROM w WHERE length(word) > 2 AND fixed IS NULL)),
+ nx AS MATERIALIZED (SELECT wid, n, i, c, {", ".join(f"lead(c, {k}) OVER w AS c{k}" for k in range(1, _LONGEST))} FROM ch WINDOW w AS (PARTITION BY wid ORDER BY i)),
+ pc AS MATERIALIZED (SELECT wid, n, i, unnest([{", ".join(" || ".join(["c", *(f"c{j}" for j in range(1, k + 1))]) for k in range(_LONGEST))}]) AS piece FROM nx),
  v AS (SELECT wid, i + place - 1 AS after FROM pc JOIN pat USING (piece) WHERE i + place - 1 BETWEEN 2 AND n - 2 GROUP BY wid, after HAVING max(value) % 2 = 1),
  h AS (SELECT ch.wid, string_agg(c || CASE WHEN v.wid IS NOT NULL THEN '-' ELSE '' END, '' ORDER BY i) AS hyphenated FROM ch LEFT JOIN v ON v.wid = ch.wid AND v.after = ch.i WHERE ch.i BETWEEN 1 AND ch.n GROUP BY ch.wid)
  SELECT word, coalesce(fixed, h.hyphenated, word) AS hyphenated FROM w LEFT JOIN h USING (wid)"""
@@ -176,6 +177,47 @@ def e04_hyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seg.hyphenate(words, hyphen="-")
 
 
+#: Patterns and exceptions of our own by dictionary, and the tags by which books ask for them.
+DICTIONARIES = {
+    "en-us": (("1t2h", "n1t", "t1i", "1er.", "er1e", "1tion", "s1t", "4ed.", ".re3", "n1d"), ("there", "wi-th")),
+    "de-1901": (("1sch", "ch1e", "s3t", "1ver", "ü1b", "n1g2", ".un3", "1keit."), ("schön", "ni-cht")),
+    "fr": (("é1r", "1tion", "o1u", "1ment.", "l1l", "n3t"), ("et-re",)),
+    "es": (("ó1n", "1ñ", "1ción", "l2l", "r1r", "e1s4."), ("que",)),
+}
+_TAGS = {"en": "EN", "de": "de-DE", "fr": "fr-CA", "es": "es"}
+_TAG_SQL = "CASE WHEN doc_id % 10 = 0 THEN 'it' ELSE CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TAGS.items()) + " END END"
+_DICTIONARY_OF = {"EN": "en-us", "de-DE": "de-1901", "fr-CA": "fr", "es": "es"}
+_BY_DICTIONARY = [(name, *row) for name, (patterns, _) in DICTIONARIES.items() for row in seg.pattern_rows(patterns)]
+_WIDEST = max(len(r[1]) for r in _BY_DICTIONARY)
+
+
+@query(
+    f"""WITH pat(dict, piece, place, value) AS (VALUES {", ".join(f"('{d}', '{p}', {k}, {v})" for d, p, k, v in _BY_DICTIONARY)}),
+ ex(dict, word, fixed) AS (VALUES {", ".join(f"('{d}', '{w.replace('-', '')}', '{w}')" for d, (_, words) in DICTIONARIES.items() for w in words)}),
+ di(lang, dict) AS (VALUES {", ".join(f"('{t}', '{d}')" for t, d in _DICTIONARY_OF.items())}),
+ dw AS MATERIALIZED (SELECT DISTINCT {_TAG_SQL} AS lang, unnest(regexp_extract_all(text, '[^ \n]+')) AS word FROM documents),
+ w AS MATERIALIZED (SELECT lang, word, di.dict, ex.fixed, row_number() OVER (ORDER BY lang, word) AS wid FROM dw LEFT JOIN di USING (lang) LEFT JOIN ex USING (dict, word)),
+ ch AS MATERIALIZED (SELECT wid, dict, n, unnest(range(n + 2)) AS i, unnest(cs) AS c FROM (SELECT wid, dict, length(word) AS n, list_filter(string_split('.' || word || '.', ''), lambda c: c <> '') AS cs FROM w WHERE length(word) > 2 AND fixed IS NULL AND dict IS NOT NULL)),
+ nx AS MATERIALIZED (SELECT wid, dict, n, i, c, {", ".join(f"lead(c, {k}) OVER w AS c{k}" for k in range(1, _WIDEST))} FROM ch WINDOW w AS (PARTITION BY wid ORDER BY i)),
+ pc AS MATERIALIZED (SELECT wid, dict, n, i, unnest([{", ".join(" || ".join(["c", *(f"c{j}" for j in range(1, k + 1))]) for k in range(_WIDEST))}]) AS piece FROM nx),
+ v AS (SELECT wid, i + place - 1 AS after FROM pc JOIN pat USING (dict, piece) WHERE i + place - 1 BETWEEN 2 AND n - 2 GROUP BY wid, after HAVING max(value) % 2 = 1),
+ h AS (SELECT ch.wid, string_agg(c || CASE WHEN v.wid IS NOT NULL THEN '-' ELSE '' END, '' ORDER BY i) AS hyphenated FROM ch LEFT JOIN v ON v.wid = ch.wid AND v.after = ch.i WHERE ch.i BETWEEN 1 AND ch.n GROUP BY ch.wid)
+ SELECT lang, word, coalesce(fixed, h.hyphenated, word) AS hyphenated FROM w LEFT JOIN h USING (wid)"""
+)
+def e04_hyphenate_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents in four languages, and one without a dictionary, each by its own; dictionaries are written as pattern files and read."""
+    root = sinks.output_folder(spark, "dictionaries")
+    for name, (patterns, exceptions) in DICTIONARIES.items():
+        for suffix, lines in (("pat", patterns), ("hyp", exceptions)):
+            sinks.write_text(spark, f"{root}/hyph-{name}.{suffix}.txt", "\n".join(lines))
+    patterns, exceptions = seg.read_dictionaries(spark, root)
+    tag = F.when(F.col("doc_id") % 10 == 0, "it")
+    for lang, name in _TAGS.items():
+        tag = tag.when(F.col("lang") == lang, name)
+    words = table(spark, sf_dir, "documents").select(tag.alias("lang"), F.explode(F.regexp_extract_all("text", F.lit(r"([^ \n]+)"), F.lit(1))).alias("word"))
+    return seg.hyphenate_books(words, patterns, exceptions, "-")
+
+
 _AVAILABLE = ("en-us", "de-1901", "fr", "es", "de-1996")
 _LANGS = "(['EN', 'de-AT', 'de', 'fr-CA', 'es', 'it'])[doc_id % 6 + 1]"
 

@@ -40,7 +40,7 @@ def write_chapters(chapters: DataFrame, path: str, book: str, overwrite: bool =
     run = F.floor(F.col("file_ix") / CHAPTERS_PER_FILE)
     dealt = free.repartition(book, run).sortWithinPartitions(book, "file_ix")
     # dynamic: only the folders of the books at hand are replaced, when all of them are written
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(book).parquet(path)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(book).parquet(path)
     return outcomes
 
 
@@ -53,6 +53,16 @@ def output_folder(spark: SparkSession, name: str) -> str:
     return f"{folder}/bookengine/{uuid.uuid4().hex}/{name}"
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file of text, by Spark's own file system, so that any store works."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """A table written once in the shared folder, and read again from there: what is read several times is worked out once, and a lost executor costs no more."""
     path = output_folder(df.sparkSession, name)

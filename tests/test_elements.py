@@ -72,19 +72,23 @@ def test_paths(spark, size):
     raw = tok.tokenize_markup(files, "key", "text")
     tokens = el.with_depth(raw.withColumn("text", tok.unescape(F.col("text"))), "key", size=size).cache()
     table = el.element_table(tokens, "key", size).cache()
+    texts = el.texts_behind(tokens, "key").cache()
     trees = {k: ET.fromstring(m) for k, m in markup.items()}
-    assert {k: table.where(f"key = {k}").count() for k in (0, 7)} == {k: sum(1 for _ in trees[k].iter()) for k in (0, 7)}
+    said = lambda found: found.join(texts, ["key", "start"], "left").collect()
     # parents and depths
     want = [(k, len(path), e.tag, e.text or None) for k, t in trees.items() for path, e in walk(t, ())]
-    assert sorted(((r["key"], r["depth"] - 1, r["tag"], r["text"]) for r in table.collect()), key=repr) == sorted(want, key=repr)
-    for path, other in PATHS:
-        found = sorted(((r["key"], r["tag"], r["text"]) for r in el.select_path(table, "key", path, size=size).collect()), key=repr)
+    assert sorted(((r["key"], r["depth"] - 1, r["tag"], r["text"]) for r in said(table)), key=repr) == sorted(want, key=repr)
+    # in blocks the steps that have windows
+    for path, other in PATHS if size is None else [PATHS[k] for k in (8, 9, 11)]:
+        found = sorted(((r["key"], r["tag"], r["text"]) for r in said(el.select_path(table, "key", path, size=size))), key=repr)
         expected = sorted(((k, e.tag, e.text or None) for k, t in trees.items() for e in ([t] if other is None else {id(x): x for x in t.findall(other)}.values())), key=repr)
         assert found == expected, path
-    text = el.select_path(table, "key", "//a[text()='one']", size=size).collect()
+    text = el.select_path(table, "key", "//a[text()='one']", size=size, texts=texts).collect()
     assert len(text) == sum(e.text == "one" for t in trees.values() for e in t.iter("a"))
-    child = el.select_path(table, "key", "//a[b='two & three']", size=size).collect()
+    child = el.select_path(table, "key", "//a[b='two & three']", size=size, texts=texts).collect()
     assert len(child) == sum(any(c.text == "two & three" for c in e.findall("b")) for t in trees.values() for e in t.iter("a"))
+    if size is not None:
+        return
     within = el.select_path(table, "key", "//a", size=size)
     assert sorted(map(repr, el.select_path(table, "key", "./b", within, size).collect())) == sorted(map(repr, el.select_path(table, "key", "//a/b", size=size).collect()))
 
@@ -111,6 +115,17 @@ def test_elements_without_an_end(spark):
     assert rows["c"]["end"] == el.NO_END and rows["c"]["parent"] == 0
 
 
+def test_pieces(spark):
+    markup = "<sec>x<emphasis>y</emphasis> z<image/><p>q &amp; <a href='#1'>1</a>r</p>tail<b/></sec>"
+    pieces = tok.markup_pieces(spark.createDataFrame([(1, markup), (2, ""), (3, "text"), (4, None)], "key int, text string"), "key", "text")
+    assert "".join(r["raw"] for r in pieces.where("key = 1").orderBy("piece").collect()) == markup
+    texts = [(r["opens"], r["text"], r["unlinked"]) for r in tok.piece_texts(pieces, "key").where("key = 1").orderBy("pos").collect()]
+    assert texts == [("sec", "xy z", "xy z"), ("p", "q & 1r", "q & r"), ("", "tail", "tail"), ("", "", "")]
+    tags = [(r["kind"], r["tag"]) for r in tok.piece_tags(pieces, "key").orderBy("pos").collect()]
+    assert tags == [("open", "sec"), ("open", "emphasis"), ("close", "emphasis"), ("selfclose", "image"), ("open", "p"), ("open", "a"), ("close", "a"), ("close", "p"), ("selfclose", "b"), ("close", "sec")]
+    assert [(r["text"]) for r in tok.piece_texts_behind(pieces, "key").orderBy("start").collect()] == ["x", "y", "q & ", "1"]
+
+
 def test_unescape(spark):
     cases = {"a &amp;lt; b": "a &lt; b", "&#65;&#x42;&#X43;": "ABC", "&#8212;|&#x1F600;": "—|😀", "&#xD800;&#0;&#1114112;": "&#xD800;&#0;&#1114112;", "&nbsp;&quot;&apos;&gt;&lt;": "&nbsp;\"'><", "no": "no", "&": "&", "": "", None: None}
     found = spark.createDataFrame([(k,) for k in cases], "t string").select("t", tok.unescape(F.col("t")).alias("u")).collect()
@@ -127,11 +142,10 @@ NOTES = """<FictionBook><description><title-info><annotation id="k"><p>own</p></
 <body name="comments"><section id="c"><p>c</p></section><section id=""><section id="d"/></section></body></FictionBook>"""
 
 
-@pytest.mark.parametrize("size", [blocks.BLOCK, 4])
-def test_notes_at_any_depth(spark, size, monkeypatch):
-    # a block of four positions makes every book many blocks
-    monkeypatch.setattr(fb2, "block_size", lambda tokens, by: None if size == blocks.BLOCK else size)
-    books = fb2.parse_books(spark.createDataFrame([("x", NOTES), ("y", NOTES.replace("own", "mine"))], "book string, text string"), "book")
+@pytest.mark.parametrize("block", [blocks.BLOCK, 4])
+def test_notes_at_any_depth(spark, block):
+    # a block of four pieces makes every book many blocks
+    books = fb2.parse_books(spark.createDataFrame([("x", NOTES), ("y", NOTES.replace("own", "mine"))], "book string, text string"), "book", block=block)
     notes = {(r["book"], r["note_id"]): (r["body_name"], r["note_number"], r["body_number"], r["title"], r["body"], r["body_title"]) for r in fb2.titled_notes(books).collect()}
     one = {
         "a": ("notes", 1, 1, "", "one\nno\ntwo\nthree", "Second "),

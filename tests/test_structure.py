@@ -87,6 +87,31 @@ def test_hyphenation(spark):
     assert all(h.replace("-", "") == w for w, h in found.items())
 
 
+def test_hyphenation_by_dictionary(spark, tmp_path):
+    patterns = {"en-us": ("1t2h", "n1t", "1tion", ".re3", "4ed."), "fr": ("é1r", "t1i", "o1n."), "de-1901": ("1sch", "s3t")}
+    exceptions = {"en-us": ["fat-her", "", "re-do"], "fr": []}
+    for name, found in patterns.items():
+        (tmp_path / f"hyph-{name}.pat.txt").write_text("% a remark\n" + "\n".join(found[:2]) + "  % more\n\n" + " ".join(found[2:]), "utf-8")
+    for name, found in exceptions.items():
+        (tmp_path / f"hyph-{name}.hyp.txt").write_text("\n".join(found), "utf-8")
+    (tmp_path / "readme.txt").write_text("n1o")
+    table, fixed = seg.read_dictionaries(spark, str(tmp_path))
+    rows = {(r["dictionary"], r["letters"], r["place"], r["value"]) for r in table.collect()}
+    assert rows == {(name, *row) for name, found in patterns.items() for row in seg.pattern_rows(found)}
+    assert {(r["dictionary"], r["word"], r["hyphenated"]) for r in fixed.collect()} == {("en-us", "father", "fat-her"), ("en-us", "redo", "re-do")}
+    words = ["nation", "father", "redo", "reited", "élérion", "Tischstation", "the", "on", "", "x" * 3000 + "nth"]
+    books = [(lang, w) for lang in ("en", "EN", "fr-CA", "de", "pl", None) for w in words] * 2
+    got = {(r["lang"], r["word"]): r["hyphenated"] for r in seg.hyphenate_books(spark.createDataFrame(books, "lang string, word string"), table, fixed, "-").collect()}
+    names = {"en": "en-us", "EN": "en-us", "fr-CA": "fr", "de": "de-1901"}
+
+    def by_hand(lang, word):
+        name = names.get(lang)
+        known = {x.replace("-", ""): x for x in exceptions.get(name, []) if x}
+        return known.get(word) or (hyphenate_by_hand(word, patterns[name]) if name else word)
+
+    assert got == {(lang, w): by_hand(lang, w) for lang, w in books}
+
+
 def test_overrides_prefer_the_longest_suffix(spark):
     books = spark.createDataFrame([(1, "a/b/c.fb2", "t", ""), (2, "x/c.fb2", "t", ""), (3, "x/y.fb2", "t", "B1")], "id int, path string, title string, asin string")
     rows = spark.createDataFrame([("*", "", "1234567890"), ("c.fb2", "short", "bad"), ("b/c.fb2", "long", "")], "name string, title string, asin string")
