@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookengine.functions import text as tx
+from bookengine.operators import breaks as br
 from bookengine.operators import segment as seg
 from bookengine.operators import tokens as tok
 from bookengine.plans.registry import query, table
@@ -145,6 +146,46 @@ def e01_split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seg.sentences(docs, "doc_id")
 
 
+_LEARNING = "replace(replace(text, ', ', ' Dr. '), ' de ', ' z.B. ')"
+_CORE = "regexp_replace({}, '^[^\\p{{L}}]+|[^\\p{{L}}.]+$', '', 'g')"
+_BREAKS_SQL = f"""src AS MATERIALIZED (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'xx' ELSE lang END AS lang, {_LEARNING} AS text FROM documents),
+wd AS (SELECT lang, unnest(ws) AS word, unnest(list_prepend('', ws)[1:len(ws)]) AS before FROM (SELECT lang, regexp_extract_all(text, '[^{WS}]+') AS ws FROM src WHERE lang <> 'xx')),
+co AS (SELECT lang, {_CORE.format("word")} AS core, before FROM wd),
+ty AS (SELECT lang, regexp_replace(lower(core), '\\.+$', '') AS type, core LIKE '%.' AND core NOT LIKE '%..' AS period, left(core, 1) <> lower(left(core, 1)) AS up, right(before, 1) IN ('.', '!', '?', '…') AS ended, before = '' AS first FROM co),
+ct AS MATERIALIZED (SELECT lang, type, count(*) FILTER (period) AS n_with, count(*) FILTER (NOT period) AS n_without, count(*) FILTER (NOT up) AS n_lower, count(*) FILTER (up AND NOT ended AND NOT first) AS n_inner FROM ty WHERE type <> '' GROUP BY ALL),
+tt AS (SELECT lang, sum(n_with + n_without)::DOUBLE AS n, sum(n_with)::DOUBLE AS p FROM ct GROUP BY lang),
+sc AS (SELECT ct.*, length(replace(type, '.', '')) AS letters, length(type) - length(replace(type, '.', '')) AS inside,
+  -2 * (n_with * ln(p / n) + CASE WHEN n_without > 0 THEN n_without * ln(1 - p / n) ELSE 0 END - n_with * ln({br.EXPECTED}) - n_without * ln(1 - {br.EXPECTED})) AS ratio FROM ct JOIN tt USING (lang) WHERE n_with > 0),
+ab AS MATERIALIZED (SELECT lang, type, n_with, n_without FROM sc WHERE ratio * exp(-letters) * (inside + 1) * pow(letters::DOUBLE, -n_without::DOUBLE) >= {br.LEAST_SCORE}),
+st AS MATERIALIZED (SELECT lang, type FROM ct WHERE n_lower > 0 AND n_inner = 0)"""
+
+
+def _learning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with two abbreviations put in; of every tenth the language has no model."""
+    lang = F.when(F.col("doc_id") % 10 == 0, "xx").otherwise(F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", lang.alias("lang"), F.replace(F.replace("text", F.lit(", "), F.lit(" Dr. ")), F.lit(" de "), F.lit(" z.B. ")).alias("text"))
+
+
+@query(f"WITH {_BREAKS_SQL} SELECT lang, type, n_with, n_without FROM ab")
+def e01_learned_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abbreviations of each language, learned from all documents."""
+    return br.train_breaks(_learning(spark, sf_dir).where("lang <> 'xx'")).abbreviations.select("lang", "type", "n_with", "n_without")
+
+
+@query(
+    f"""WITH {_BREAKS_SQL}, pa AS (SELECT doc_id, CASE WHEN lang = 'xx' THEN 'en' ELSE lang END AS lang, list_filter(string_split(regexp_replace(text, '([.!?…]+[{WS}]+)', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM src),
+ fr AS (SELECT doc_id, lang, unnest(parts) AS text, unnest(list_prepend('', parts)[1:len(parts)]) AS prev, unnest(range(len(parts))) AS ix FROM pa),
+ f2 AS (SELECT doc_id, lang, text, ix, {_CORE.format(f"regexp_extract(prev, '([^{WS}]+)[{WS}]+$', 1)")} AS before, {_CORE.format(f"regexp_extract(text, '^[{WS}]*([^{WS}]+)', 1)")} AS head FROM fr),
+ f3 AS (SELECT *, CASE WHEN before LIKE '%.' AND before NOT LIKE '%..' THEN regexp_replace(lower(before), '\\.+$', '') END AS a, CASE WHEN left(head, 1) <> lower(left(head, 1)) THEN regexp_replace(lower(head), '\\.+$', '') END AS s FROM f2),
+ f4 AS (SELECT doc_id, text, ix, sum((ix = 0 OR ab.type IS NULL OR st.type IS NOT NULL)::INT) OVER (PARTITION BY doc_id ORDER BY ix)::INT - 1 AS sent_ix FROM f3 LEFT JOIN ab ON ab.lang = f3.lang AND ab.type = a LEFT JOIN st ON st.lang = f3.lang AND st.type = s)
+ SELECT doc_id, sent_ix, string_agg(text, '' ORDER BY ix) AS text FROM f4 GROUP BY ALL"""
+)
+def e01_learned_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences by the learned model; a language without one takes English's."""
+    docs = _learning(spark, sf_dir)
+    return br.learned_sentences(docs, br.train_breaks(docs.where("lang <> 'xx'")), "doc_id")
+
+
 @query(f"SELECT doc_id, para_ix, sent_ix, unnest(range(len(w)))::INT AS word_ix, unnest(w) AS word FROM (SELECT *, regexp_split_to_array(text, '[{tx.WS_BREAKING}]') AS w FROM {SENTENCES_SQL})")
 def e02_split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seg.words(document_sentences(spark, sf_dir), "doc_id", "para_ix", "sent_ix")

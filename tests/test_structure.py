@@ -1,5 +1,6 @@
 """Folds and joins against plain Python."""
 
+import random
 import re
 
 import pytest
@@ -137,3 +138,44 @@ def test_entities(spark):
     df = spark.createDataFrame([(1, "a&lt;b&nope;c&copy;"), (2, "none"), (3, "&amp;amp;")], "id int, t string")
     found = {r["id"]: r["resolved"] for r in tok.resolve_entities(df, "id", "t").collect()}
     assert found == {1: "a<b&nope;c©", 2: "none", 3: "&amp;"}
+
+
+def test_learned_breaks(spark):
+    import math
+    from collections import Counter
+
+    from bookengine.operators import breaks as br
+
+    rng = random.Random(4)
+    plain = ["tree", "house", "walked", "green", "over", "lake"]
+    text = lambda: " ".join(rng.choice([f"He saw Dr. Brown {rng.choice(plain)}.", f"The {rng.choice(plain)} z.B. stood.", f"It was {rng.choice(plain)} etc. The {rng.choice(plain)} fell!", f"\"No ({rng.choice(plain)}).\" He said the {rng.choice(plain)}..."]) for _ in range(60))
+    docs = [(k, rng.choice(["en", "de"]), text()) for k in range(12)] + [(90, None, "A Dr. B."), (91, "fr", None), (92, "en", "")]
+    df = spark.createDataFrame(docs, "id int, lang string, text string").repartition(3)
+    model = br.train_breaks(df)
+    core = lambda w: re.sub(r"^[^A-Za-z]+|[^A-Za-z.]+$", "", w)
+    for lang in ("en", "de"):
+        words = [core(w) for _, name, t in docs if name == lang for w in t.split() if core(w)]
+        kind = lambda w: re.sub(r"\.+$", "", w.lower())
+        stop = lambda w: w.endswith(".") and not w.endswith("..")
+        n_with, n_without = Counter(kind(w) for w in words if stop(w)), Counter(kind(w) for w in words if not stop(w))
+        chance = sum(n_with.values()) / len(words)
+        expected = {}
+        for w, n in n_with.items():
+            m, inner = n_without[w], w.count(".")
+            null, other = n * math.log(chance) + m * math.log(1 - chance), n * math.log(0.99) + m * math.log(0.01)
+            score = -2 * (null - other) * math.exp(-(len(w) - inner)) * (inner + 1) * (len(w) - inner) ** -m
+            if score >= 0.3:
+                expected[w] = score
+        found = {r["type"]: r["score"] for r in model.abbreviations.where(f"lang = '{lang}'").collect()}
+        assert set(found) == set(expected) and all(math.isclose(found[w], expected[w], rel_tol=1e-9) for w in found)
+        assert {"dr", "z.b"} <= set(found) and not set(found) & set(plain)
+    texts = {k: t for k, _, t in docs} | {93: "Dr. Brown came. The Dr. Brown etc. The end", 94: "One. Two.", 95: "One. Two."}
+    paras = spark.createDataFrame([(k, lang, t) for k, lang, t in docs] + [(93, "en", texts[93]), (94, "pl", "One. Two."), (95, None, "One. Two.")], "id int, lang string, text string")
+    got = {}
+    for r in sorted(br.learned_sentences(paras, model, "id").collect(), key=lambda r: (r["id"], r["sent_ix"])):
+        got.setdefault(r["id"], []).append(r["text"])
+    assert all("".join(got.get(k, [])) == (t or "") for k, t in texts.items())
+    assert got[93] == ["Dr. Brown came. ", "The Dr. Brown etc. ", "The end"] and got[94] == ["One. ", "Two."] and got[95] == ["One. Two."]
+    assert not any(s.endswith("Dr. ") for k in range(12) for s in got[k])
+    other = br.BreakModel(model.abbreviations.where("lang = 'de'"), model.starters.where("lang = 'de'"))
+    assert [r["text"] for r in br.learned_sentences(paras.where("id = 94"), other, "id").collect()] == ["One. Two."]
