@@ -5,7 +5,7 @@ two words before it, the word before it, the words on both sides, and the word b
 entity. A graph links patterns with the instances that stand in them. Scores pass over this graph a few times: a
 pattern is as good as the share of its instances that are known as entities of one kind, an instance as good as the
 best of its patterns; what a round has learned counts as known in the next. Identifier-like strings in patterns of
-high confidence, which no fixed pattern covers, become spans of that kind.
+high confidence, which no fixed pattern covers and whose shape fits, become spans of that kind.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookengine.llm.spans import Rule, bare, find_matches
+from bookengine.llm.spans import Rule, apart, bare, find_matches
 from bookengine.llm.store import materialize, scratch
 
 KINDS = ("email", "ip", "card", "phone")
@@ -87,12 +87,23 @@ def base_and_candidates(docs: DataFrame) -> DataFrame:
     """row_id, doc_id, seeds (fixed patterns) and candidates that overlap no seed; without texts."""
     text = F.coalesce("text", F.lit(""))
     found = docs.select("doc_id", _nodes(find_matches(text, RULES)).alias("seeds"), _nodes(find_matches(text, (CANDIDATE,))).alias("others"))
-    return found.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "seeds", _apart("others", "seeds").alias("candidates"))
+    return found.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "seeds", apart(F.col("others"), F.col("seeds")).alias("candidates"))
 
 
-def _apart(others: str, seeds: str) -> Column:
-    """Spans that overlap no seed."""
-    return F.filter(others, lambda c: ~F.exists(seeds, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+def fits(instance: Column, kind: Column) -> Column:
+    """An identifier can be of a kind by its shape: an address has at least three dots or colons, a card 12 to 19 digits that pass Luhn's test,
+    a phone number 7 to 15 digits and no letter, an e-mail address a letter.
+
+    So what a fixed pattern has matched and its check dropped is no span of that kind; among a pattern's instances it counts against it.
+    """
+    digits = _digits(instance)
+    n = F.length(digits)
+    return (
+        F.when(kind == "ip", instance.rlike(r"^[0-9a-f]*(?:[.:][0-9a-f]*){3,}$") & ~instance.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"))
+        .when(kind == "card", F.when(n.between(12, 19), _luhn(digits)).otherwise(False))
+        .when(kind == "phone", n.between(7, 15) & ~instance.rlike(r"[\p{L}@]"))
+        .otherwise(instance.rlike(r"\p{L}"))
+    )
 
 
 def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, confident: float = CONFIDENT) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +112,7 @@ def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, least_seeds: int
     ``edges``: distinct (pattern, instance, kind), kind null where no fixed pattern knows the instance. An instance is
     known as a kind where its score is at least ``confident``; seeds have 1. A pattern's confidence in a kind is the sum
     of the scores of its known instances over the number of all; it counts from ``confident`` and ``least_seeds`` known
-    instances on. An instance's score is the confidence of its best pattern.
+    instances on. An instance's score is the confidence of its best pattern, in kinds whose shape it ``fits``.
     """
     seeds = edges.where(F.col("kind").isNotNull()).select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     pairs = edges.select("pattern", "instance").distinct()
@@ -113,7 +124,7 @@ def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, least_seeds: int
         known = links.join(scores.where(F.col("score") >= confident), "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("good"), F.count(F.lit(1)).alias("known"), F.first("total").alias("total"))
         patterns = known.select("pattern", "kind", "known", (F.col("good") / F.col("total")).alias("confidence")).where((F.col("known") >= least_seeds) & (F.col("confidence") >= confident))
         patterns = materialize(patterns.select("pattern", "kind", "confidence"), "pattern_scores")
-        raised = links.join(patterns, "pattern").groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
+        raised = links.join(patterns, "pattern").where(fits(F.col("instance"), F.col("kind"))).groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
         scores = materialize(seeds.unionByName(raised).groupBy("instance", "kind").agg(F.max("score").alias("score")), "instance_scores")
     return patterns, scores
 

@@ -39,27 +39,58 @@ def _chunks(array: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), count), lambda k: F.slice(array, (k - 1) * CHUNK + 1, CHUNK))
 
 
-def _running(lengths: Column) -> Column:
-    """Sums of all values before each, and of all, by a fold."""
+Op = Callable[[Column, Column], Column]
+
+
+def _running(values: Column, op: Op) -> Column:
+    """What all values before each give, and what all give, by a fold from 0."""
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
-    return F.aggregate(lengths, start, step)
+    step = lambda acc, n: F.struct(op(acc["at"], n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    return F.aggregate(values, start, step)
 
 
-def _shifted(parts: Column, by: Column) -> Column:
-    return F.flatten(F.zip_with(parts, by, lambda p, base: F.transform(p["out"], lambda x: x + base)))
+def _shifted(parts: Column, by: Column, op: Op) -> Column:
+    return F.flatten(F.zip_with(parts, by, lambda p, base: F.transform(p["out"], lambda x: op(base, x))))
 
 
-def running_sums(lengths: Column) -> Column:
-    """Sum of the values before each value of an array, in time that grows with its length.
+def running(values: Column, op: Op) -> Column:
+    """For each value (bigint) of an array what the values before it give by an associative ``op``, from 0, in time that grows with its length.
 
-    Chunks are added up each on its own, then the sums of the chunks, in chunks again; of those there are so few
+    Chunks are folded each on its own, then what the chunks give, in chunks again; of those there are so few
     that one fold is enough.
     """
-    sums = lambda parts: F.transform(parts, lambda p: p["at"])
-    in_chunks = lambda array: F.transform(_chunks(array), _running)
-    whole = lambda parts: _bound(_bound(sums(parts), in_chunks), lambda above: _shifted(above, _running(sums(above))["out"]))
-    return _bound(_bound(lengths, in_chunks), lambda parts: _shifted(parts, whole(parts)))
+    ends = lambda parts: F.transform(parts, lambda p: p["at"])
+    in_chunks = lambda array: F.transform(_chunks(array), lambda c: _running(c, op))
+    whole = lambda parts: _bound(_bound(ends(parts), in_chunks), lambda above: _shifted(above, _running(ends(above), op)["out"], op))
+    return _bound(_bound(values, in_chunks), lambda parts: _shifted(parts, whole(parts), op))
+
+
+def running_sums(lengths: Column) -> Column:
+    """Sum of the values before each value of an array."""
+    return running(lengths, lambda a, b: a + b)
+
+
+def apart(others: Column, taken: Column) -> Column:
+    """Spans of an array that overlap none of another (structs of the same fields, kind and start and end among them), in time that grows with both.
+
+    All are put in order of their starts. A span overlaps an earlier one if the farthest end so far is behind its start, and a later one
+    if the next start is before its end.
+    """
+    last = 1 << 60
+
+    def marked(spans: Column, own: bool) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x.alias("span")))
+
+    def kept(every: Column) -> Column:
+        ends = running(F.transform(every, lambda x: F.when(x["own"], 0).otherwise(x["span"]["end"]).cast("bigint")), F.greatest)
+        # looking back from the end, the least start so far is the greatest distance from a place behind all
+        starts = F.reverse(running(F.reverse(F.transform(every, lambda x: F.when(x["own"], 0).otherwise(last - x["start"]).cast("bigint"))), F.greatest))
+        free = lambda x, n: x["own"] & (n["before"] <= x["start"]) & (last - n["behind"] >= x["span"]["end"])
+        near = F.zip_with(ends, starts, lambda e, s: F.struct(e.alias("before"), s.alias("behind")))
+        judged = F.zip_with(every, near, lambda x, n: F.when(free(x, n), x["span"]))
+        return F.filter(judged, lambda x: x.isNotNull())
+
+    return F.when((F.size(others) == 0) | (F.size(taken) == 0), others).otherwise(_bound(F.array_sort(F.concat(marked(taken, False), marked(others, True))), kept))
 
 
 def rule_matches(text: Column, rule: Rule) -> Column:

@@ -63,12 +63,18 @@ def spill(df: DataFrame, name: str, most_rows: int | None = None) -> tuple[DataF
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
-    """Deletes at its end the tables that were written inside it, but for those given to the function that it yields."""
+    """Deletes at its end, or on an error, the tables that were written inside it, but for those given to the function that it yields."""
     written = _written.setdefault(spark.sparkContext.applicationId, set())
     before, kept = set(written), set()
-    yield lambda *tables: kept.update(_path_of[t] for t in tables)
-    for path in sorted(written - before - kept):
-        discard(spark, path)
+    try:
+        yield lambda *tables: kept.update(_path_of[t] for t in tables)
+    except BaseException:
+        # a failed run has no result that reads them
+        kept.clear()
+        raise
+    finally:
+        for path in sorted(written - before - kept):
+            discard(spark, path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
