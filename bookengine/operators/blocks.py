@@ -50,18 +50,25 @@ def row_numbers(rows: DataFrame, keys: list[str], by: str, name: str, size: int
     return running_sums(rows, keys, by, {name: F.lit(1)}, size)
 
 
-def last_before(rows: DataFrame, keys: list[str], by: str, value: str, name: str, size: int | None = BLOCK) -> DataFrame:
-    """Rows with the last value that is not null of the rows before them in the key; null where there is none."""
+def last_values_before(rows: DataFrame, keys: list[str], by: str, values: dict[str, str], size: int | None = BLOCK) -> DataFrame:
+    """Rows with, for each name, the last value of its column that is not null in the rows before them in the key; null where there is none."""
     if size is None:
         whole = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumn(name, F.last(value, ignorenulls=True).over(whole))
+        return rows.withColumns({name: F.last(value, ignorenulls=True).over(whole) for name, value in values.items()})
     valued = _with_block(rows, by, size)
     ahead = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = valued.groupBy(*keys, "_block").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(by))).alias("_value"))
-    before = blocks.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_block").alias("_before"), F.last("_value", ignorenulls=True).over(ahead).alias("_carried"))
+    blocks = valued.groupBy(*keys, "_block").agg(*(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(by))).alias(f"_value{k}") for k, value in enumerate(values.values())))
+    carried = [F.last(f"_value{k}", ignorenulls=True).over(ahead).alias(f"_carried{k}") for k in range(len(values))]
+    before = blocks.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_block").alias("_before"), *carried)
     inside = Window.partitionBy(*keys, "_block").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    local = valued.withColumn(name, F.last(value, ignorenulls=True).over(inside))
-    return _joined(local, before, keys).withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
+    local = valued.withColumns({name: F.last(value, ignorenulls=True).over(inside) for name, value in values.items()})
+    found = _joined(local, before, keys).withColumns({name: F.coalesce(name, f"_carried{k}") for k, name in enumerate(values)})
+    return found.drop(*(f"_carried{k}" for k in range(len(values))))
+
+
+def last_before(rows: DataFrame, keys: list[str], by: str, value: str, name: str, size: int | None = BLOCK) -> DataFrame:
+    """``last_values_before`` of one column."""
+    return last_values_before(rows, keys, by, {name: value}, size)
 
 
 def first_after(rows: DataFrame, keys: list[str], by: str, value: str, name: str, size: int | None = BLOCK) -> DataFrame:

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookengine.operators.blocks import BLOCK, first_after, last_before, running_sums
+from bookengine.operators.blocks import BLOCK, first_after, last_before, last_values_before, running_sums
 
 #: The end of an element that nothing closes.
 NO_END = (1 << 62) - 1
@@ -133,18 +133,20 @@ def select_path(elements: DataFrame, key: str, path: str, within: DataFrame | No
     return elements if context is None else context
 
 
-def texts_of(pieces: DataFrame, units: DataFrame, key: str, value: Column, size: int | None = BLOCK, *more: str) -> DataFrame:
-    """key, start, value and the columns ``more`` of units (start, end; none inside another): ``value`` of the pieces (pos) inside them, joined in order; '' without any.
+def texts_of(pieces: DataFrame, units: DataFrame, key: str, values: dict[str, Column], size: int | None = BLOCK, *more: str) -> DataFrame:
+    """key, kind, start, value and the columns ``more`` of units (kind, start, end; none inside another of its kind): by ``values[kind]``
+    what the pieces (pos) inside a unit say, joined in order; '' without any.
 
-    The pieces' texts are dealt out once, by document, and joined where they are.
+    All kinds go in one pass: the pieces' texts are dealt out once, by document, and joined where they are.
     """
     unit = F.struct("start", "end", *more)
-    offers = units.select(key, (2 * F.col("start")).alias("_at"), unit.alias("_unit"))
-    asks = pieces.select(key, "pos", (2 * F.col("pos") + 1).alias("_at"), value.alias("_piece"))
-    placed = last_before(asks.unionByName(offers, allowMissingColumns=True), [key], "_at", "_unit", "_in", size)
+    offers = units.select(key, (2 * F.col("start")).alias("_at"), "kind", *(F.when(F.col("kind") == k, unit).alias(f"_unit_{k}") for k in values))
+    asks = pieces.withColumn("_at", 2 * F.col("pos") + 1)
+    placed = last_values_before(asks.unionByName(offers, allowMissingColumns=True), [key], "_at", {f"_in_{k}": f"_unit_{k}" for k in values}, size)
     # a unit stands for itself, so that those without pieces stay
-    own = F.coalesce(F.col("_unit"), F.col("_in"))
-    kept = placed.select(key, own.alias("_own"), "pos", "_piece").where("_own IS NOT NULL AND (pos IS NULL OR pos <= _own.end)")
-    said = F.when(F.col("_piece") != "", F.struct("pos", "_piece"))
-    joined = kept.groupBy(key, F.col("_own.start").alias("start")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["_piece"]), "").alias("value"), *(F.first(F.col("_own")[m]).alias(m) for m in more))
-    return joined.select(key, "start", "value", *more)
+    parts = F.array(*(F.struct(F.lit(k).alias("kind"), F.coalesce(f"_unit_{k}", F.when(F.col("kind").isNull(), F.col(f"_in_{k}"))).alias("unit"), F.when(F.col("kind").isNull(), value).alias("piece")) for k, value in values.items()))
+    held = F.filter(parts, lambda x: x["unit"].isNotNull() & (F.col("pos").isNull() | (F.col("pos") <= x["unit"]["end"])))
+    kept = placed.select(key, "pos", F.explode(held).alias("p"))
+    said = F.when(F.col("p.piece") != "", F.struct("pos", F.col("p.piece").alias("piece")))
+    joined = kept.groupBy(key, F.col("p.kind").alias("kind"), F.col("p.unit.start").alias("start")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["piece"]), "").alias("value"), *(F.first(F.col("p.unit")[m]).alias(m) for m in more))
+    return joined.select(key, "kind", "start", "value", *more)

@@ -52,11 +52,11 @@ def piece_tags(pieces: DataFrame, key: str) -> DataFrame:
 
 
 def piece_texts(pieces: DataFrame, key: str) -> DataFrame:
-    """key, pos (of the tag in front), opens (the tag that a piece opens with, else ''), text, unlinked (without what links hold)."""
+    """key, pos (of the tag in front), opens (the tag that a piece opens with, else ''), text, unlinked (without what links hold; null if there are none)."""
     raw = F.regexp_replace("raw", "\r", "")
     said = lambda markup: unescape(F.regexp_replace(markup, "<[^>]*>", ""))
     opens = F.lower(F.regexp_extract("raw", r"^<([A-Za-z][A-Za-z0-9:-]*)(?:[^>]*[^/>])?>", 1))
-    return pieces.select(key, ((F.col("piece") + 1).cast("long") * STRIDE).alias("pos"), opens.alias("opens"), said(raw).alias("text"), said(F.regexp_replace(raw, r"(?s)<a\b[^>]*(?<!/)>.*?</a\s*>", "")).alias("unlinked"))
+    return pieces.select(key, ((F.col("piece") + 1).cast("long") * STRIDE).alias("pos"), opens.alias("opens"), said(raw).alias("text"), F.when(raw.rlike(r"<a\b"), said(F.regexp_replace(raw, r"(?s)<a\b[^>]*(?<!/)>.*?</a\s*>", ""))).alias("unlinked"))
 
 
 def piece_texts_behind(pieces: DataFrame, key: str) -> DataFrame:
