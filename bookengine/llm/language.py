@@ -24,7 +24,7 @@ from bookengine.llm.quality import held_out
 from bookengine.llm.store import materialize, scratch
 
 #: Documents that the fit looks at in all, dealt evenly over the languages, those of smallest hash; a language has LEAST_ROWS of them at least.
-FIT_ROWS = 6_000
+FIT_ROWS = 4_000
 LEAST_ROWS = 50
 BUCKETS = 2048
 SIZES = (1, 2, 3, 4)
@@ -104,23 +104,25 @@ def margins(weights: np.ndarray, bias: np.ndarray, data: np.ndarray, offsets: np
 
 def fit_svm(x: np.ndarray, sign: np.ndarray, steps: int = STEPS) -> np.ndarray:
     """Weights and, last, bias of the least mean squared hinge, both sides weighing alike, plus ridge. Accelerated descent; deterministic."""
-    x = np.hstack([x * SCALE, np.ones((len(x), 1))])
-    weight = np.where(sign > 0, 0.5 / max((sign > 0).sum(), 1), 0.5 / max((sign < 0).sum(), 1))
+    # single precision: the sample is the largest thing that the driver holds
+    x = np.hstack([x * np.float32(SCALE), np.ones((len(x), 1), np.float32)]).astype(np.float32, copy=False)
+    weight = np.where(sign > 0, 0.5 / max((sign > 0).sum(), 1), 0.5 / max((sign < 0).sum(), 1)).astype(np.float32)
+    sign = sign.astype(np.float32)
     # a step no longer than the curvature allows
-    v = np.full(x.shape[1], x.shape[1] ** -0.5)
+    v = np.full(x.shape[1], x.shape[1] ** -0.5, np.float32)
     for _ in range(20):
         v = x.T @ (weight * (x @ v))
         norm = float(np.linalg.norm(v))
-        v /= max(norm, 1e-12)
-    rate = 1 / (2 * norm * 1.1 + RIDGE)
-    w = ahead = np.zeros(x.shape[1])
+        v /= np.float32(max(norm, 1e-12))
+    rate = np.float32(1 / (2 * norm * 1.1 + RIDGE))
+    w = ahead = np.zeros(x.shape[1], np.float32)
     for t in range(steps):
         slack = np.maximum(0, 1 - sign * (x @ ahead))
-        gradient = -2 * x.T @ (weight * sign * slack) + RIDGE * np.append(ahead[:-1], 0)
+        gradient = -2 * (x.T @ (weight * sign * slack)) + np.float32(RIDGE) * np.append(ahead[:-1], np.float32(0))
         new = ahead - rate * gradient
-        ahead = new + t / (t + 3) * (new - w)
+        ahead = new + np.float32(t / (t + 3)) * (new - w)
         w = new
-    return w
+    return w.astype(np.float64)
 
 
 class Model:
@@ -213,7 +215,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
         return None
     rows = rows.sort_values(["doc_id", "lang", "features"], kind="stable")
     langs = sorted(set(rows["lang"]))
-    x = np.frombuffer(b"".join(rows["features"]), np.float32).reshape(-1, BUCKETS).astype(np.float64)
+    x = np.frombuffer(b"".join(rows["features"]), np.float32).reshape(-1, BUCKETS)
     return Model(langs, x, np.array([langs.index(v) for v in rows["lang"]]))
 
 
