@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bookengine.operators.blocks import row_numbers
+
 COVER_ID = "book-cover-image"
 
 
@@ -30,10 +32,10 @@ def manifest_rows(key: str, files: DataFrame, images: DataFrame, vignettes: Data
     return rows.select(key, item.alias("item_id"), F.col("fname").alias("href"), "media_type", F.when(cover, "cover-image").alias("properties"))
 
 
-def spine_rows(files: DataFrame, key: str) -> DataFrame:
-    """key, spine_ix, idref, linear: the reading order; a cover page is not linear. Needs file_ix, fname, in_spine, is_cover_page."""
-    number = F.row_number().over(Window.partitionBy(key).orderBy("file_ix"))
-    return files.where("in_spine").select(key, number.alias("spine_ix"), F.col("fname").alias("idref"), F.when(F.col("is_cover_page"), "no").otherwise("yes").alias("linear"))
+def spine_rows(files: DataFrame, key: str, size: int | None = None) -> DataFrame:
+    """key, spine_ix, idref, linear: the reading order; a cover page is not linear. Needs file_ix, fname, in_spine, is_cover_page. ``size``: windows in blocks."""
+    numbered = row_numbers(files.where("in_spine"), [key], "file_ix", "spine_ix", size)
+    return numbered.select(key, F.col("spine_ix").cast("int").alias("spine_ix"), F.col("fname").alias("idref"), F.when(F.col("is_cover_page"), "no").otherwise("yes").alias("linear"))
 
 
 def guide_rows(files: DataFrame, key: str, open_cover: Column, annotation_first: Column, toc_page: bool) -> DataFrame:

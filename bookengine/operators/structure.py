@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookengine.functions import text as tx
+from bookengine.operators.blocks import last_before, row_numbers, running_sums
 
 CHARS_PER_PAGE = 2300
 
@@ -18,14 +19,17 @@ def _ordered(key: str, by: str) -> Window:
     return Window.partitionBy(key).orderBy(by)
 
 
-def chapter_split(sections: DataFrame, key: str, by: str, chapter_level: int, dividers: tuple[str, ...] = ()) -> DataFrame:
-    """``file_ix`` and ``fname``: a file starts at the book's first section, at each section shallower than the level, and at each subtitle that is a divider."""
-    first = F.row_number().over(_ordered(key, by)) == 1
-    starts = first | (F.col("level") < chapter_level)
+def chapter_split(sections: DataFrame, key: str, by: str, chapter_level: int, dividers: tuple[str, ...] = (), size: int | None = None) -> DataFrame:
+    """``file_ix`` and ``fname``: a file starts at the book's first section, at each section shallower than the level, and at each subtitle that is a divider.
+
+    ``size``, here and below: windows in blocks of so many positions, where a book may be large (see ``blocks.block_size``).
+    """
+    starts = (F.col("_n") == 1) | (F.col("level") < chapter_level)
     if dividers:
         starts = starts | F.coalesce(F.col("subtitle").isin(*dividers), F.lit(False))
-    file_ix = F.sum(F.when(starts, 1).otherwise(0)).over(_ordered(key, by).rowsBetween(Window.unboundedPreceding, 0))
-    return sections.withColumn("file_ix", file_ix.cast("int")).withColumn("fname", F.concat(F.lit("index"), F.col("file_ix").cast("string")))
+    numbered = row_numbers(sections, [key], by, "_n", size)
+    filed = running_sums(numbered, [key], by, {"file_ix": F.when(starts, 1).otherwise(0)}, size).drop("_n")
+    return filed.withColumn("file_ix", F.col("file_ix").cast("int")).withColumn("fname", F.concat(F.lit("index"), F.col("file_ix").cast("string")))
 
 
 def page_starts(units: Column, limit: int = CHARS_PER_PAGE) -> Column:
@@ -73,12 +77,12 @@ def page_map(files: DataFrame, key: str) -> DataFrame:
     return pages.select(key, number.alias("number"), href.alias("href"))
 
 
-def toc_entries(titles: DataFrame, key: str, by: str) -> DataFrame:
+def toc_entries(titles: DataFrame, key: str, by: str, size: int | None = None) -> DataFrame:
     """One entry for each title of a main body, the first alone of a notes body; brackets leave the text. Needs title, is_main, body_name, level, fname."""
-    nth = F.row_number().over(Window.partitionBy(key, "body_name", "is_main").orderBy(by))
-    kept = titles.withColumn("_n", nth).where("is_main OR _n = 1")
+    kept = row_numbers(titles, [key, "body_name", "is_main"], by, "_n", size).where("is_main OR _n = 1")
+    numbered = row_numbers(kept, [key], by, "toc_ix", size)
     text = tx.sanitize_title(F.col("title"))
-    return kept.select(key, F.row_number().over(_ordered(key, by)).alias("toc_ix"), F.concat("fname", F.lit("#tocref"), F.col(by).cast("string")).alias("ref"), text.alias("title"), "level", "body_name", "is_main")
+    return numbered.select(key, F.col("toc_ix").cast("int").alias("toc_ix"), F.concat("fname", F.lit("#tocref"), F.col(by).cast("string")).alias("ref"), text.alias("title"), "level", "body_name", "is_main")
 
 
 def implied_body_title(books: DataFrame, entries: DataFrame, key: str, authors: Column, title: Column) -> DataFrame:
@@ -175,11 +179,11 @@ def body_kind(bodies: DataFrame, key: str, notes_names: tuple[str, ...] = ("note
     return bodies.withColumn("kind", F.when(nth == 1, "main").when(is_notes, "notes").otherwise("named"))
 
 
-def running_counters(sections: DataFrame, key: str, by: str) -> DataFrame:
+def running_counters(sections: DataFrame, key: str, by: str, size: int | None = None) -> DataFrame:
     """Number of each section, characters up to its end, and the latest title so far. Needs text_length, has_title, title."""
-    run = _ordered(key, by).rowsBetween(Window.unboundedPreceding, 0)
-    title = F.last(F.when(F.col("has_title"), F.col("title")), ignorenulls=True)
-    return sections.select(key, by, F.row_number().over(_ordered(key, by)).alias("section_no"), F.sum("text_length").over(run).alias("chars_so_far"), title.over(run).alias("latest_title"))
+    summed = running_sums(sections, [key], by, {"section_no": F.lit(1), "chars_so_far": F.col("text_length")}, size)
+    titled = last_before(summed.withColumn("_title", F.when(F.col("has_title"), F.col("title"))), [key], by, "_title", "_earlier", size)
+    return titled.select(key, by, F.col("section_no").cast("int").alias("section_no"), "chars_so_far", F.coalesce("_title", "_earlier").alias("latest_title"))
 
 
 def section_lengths(sections: DataFrame, key: str) -> DataFrame:

@@ -179,3 +179,22 @@ def test_learned_breaks(spark):
     assert not any(s.endswith("Dr. ") for k in range(12) for s in got[k])
     other = br.BreakModel(model.abbreviations.where("lang = 'de'"), model.starters.where("lang = 'de'"))
     assert [r["text"] for r in br.learned_sentences(paras.where("id = 94"), other, "id").collect()] == ["One. Two."]
+
+
+def test_numbering_of_one_book_in_blocks(spark):
+    from bookengine.operators import packaging as pk
+
+    rng = random.Random(6)
+    rows = [("hot", k, rng.randrange(4), rng.choice(["* * *", "t"]), f"T{k}", rng.random() < 0.5, rng.randrange(50), True, "", f"f{k}") for k in rng.sample(range(900), 400)]
+    rows += [("small", k, 1, "t", f"T{k}", True, 5, k < 3, "notes" if k > 2 else "", f"f{k}") for k in range(6)]
+    df = spark.createDataFrame(rows, "book string, ix int, level int, subtitle string, title string, has_title boolean, text_length int, is_main boolean, body_name string, fname string").repartition(3).cache()
+    files = df.select("book", F.col("ix").alias("file_ix"), "fname", F.col("has_title").alias("in_spine"), (F.col("ix") == 0).alias("is_cover_page"))
+    for made in (
+        lambda size: st.chapter_split(df, "book", "ix", 1, ("* * *",), size).select("book", "ix", "file_ix", "fname"),
+        lambda size: st.toc_entries(df, "book", "ix", size),
+        lambda size: st.running_counters(df, "book", "ix", size),
+        lambda size: pk.spine_rows(files, "book", size),
+    ):
+        whole, blocks = made(None), made(16)
+        assert whole.dtypes == blocks.dtypes
+        assert sorted(map(repr, whole.collect())) == sorted(map(repr, blocks.collect()))
