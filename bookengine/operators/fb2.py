@@ -68,14 +68,15 @@ def note_parts(books: Books, names: tuple[str, ...] = NOTES_BODIES) -> DataFrame
     """key, start, end, tag, note_id, body_name of what stands in notes bodies at any nesting: sections with an id, and titles, that no other of these is around."""
     key = books.key
     bodies = books.find("/FictionBook/body[@name]").where(F.element_at("attrs", "name").isin(*names))
-    inner = el.open_count(books.elements.where("tag IN ('section', 'title')"), bodies, key, "start", books.size).where("around > 0").drop("around")
     note_id = F.coalesce(F.try_element_at("attrs", F.lit("id")), F.lit(""))
-    candidates = inner.where((F.col("tag") == "title") | (note_id != ""))
+    slim = books.elements.where("tag IN ('section', 'title')").select(key, "start", "end", "tag", note_id.alias("note_id"))
+    inner = el.open_count(slim.where("tag = 'title' OR note_id <> ''"), bodies, key, "start", books.size)
+    candidates = sinks.staged(inner.where("around > 0").drop("around"), "note_candidates")
     tops = _outermost(books, candidates, candidates)
     named = bodies.select(key, F.col("start").alias("_body"), F.col("end").alias("_over"), F.element_at("attrs", "name").alias("body_name"))
     # bodies of a book are few, and a top lies in one
     placed = tops.join(named, key).where("start > _body AND start < _over")
-    return sinks.staged(placed.select(key, "start", "end", "tag", note_id.alias("note_id"), "body_name"), "note_parts")
+    return sinks.staged(placed.select(key, "start", "end", "tag", "note_id", "body_name"), "note_parts")
 
 
 def _note_children(books: Books, parts: DataFrame) -> DataFrame:
@@ -94,10 +95,11 @@ def section_rows(books: Books) -> DataFrame:
     """Sections of each book's first body: key, start, end, section_id, level (0 directly in the body)."""
     key = books.key
     body = books.find("/FictionBook/body[1]")
-    sections = el.open_count(books.elements.where("tag = 'section'"), body, key, "start", books.size).where("around > 0").drop("around")
+    slim = books.elements.where("tag = 'section'").select(key, "start", "end", "depth", F.try_element_at("attrs", F.lit("id")).alias("section_id"))
+    sections = el.open_count(slim, body, key, "start", books.size).where("around > 0").drop("around")
     top = body.select(F.col(key).alias("_key"), F.col("depth").alias("_top"))
     leveled = sections.join(top, F.col(key).eqNullSafe(F.col("_key")))
-    return leveled.select(key, "start", "end", F.try_element_at("attrs", F.lit("id")).alias("section_id"), (F.col("depth") - F.col("_top") - 1).cast("int").alias("level"))
+    return leveled.select(key, "start", "end", "section_id", (F.col("depth") - F.col("_top") - 1).cast("int").alias("level"))
 
 
 def paragraph_rows(books: Books, chapter_level: int = 1) -> DataFrame:
@@ -105,7 +107,7 @@ def paragraph_rows(books: Books, chapter_level: int = 1) -> DataFrame:
     key = books.key
     body = books.find("/FictionBook/body[1]")
     aside = books.elements.where("tag IN ('title', 'annotation')")
-    paragraphs = el.open_count(books.elements.where("tag IN ('p', 'v')"), body, key, "start", books.size).where("around > 0").drop("around")
+    paragraphs = el.open_count(books.elements.where("tag IN ('p', 'v')").select(key, "start", "end"), body, key, "start", books.size).where("around > 0").drop("around")
     paragraphs = _outermost(books, paragraphs, aside)
     starts = section_rows(books).where(F.col("level") < chapter_level).select(key, (2 * F.col("start")).alias("_at"), F.lit(1).alias("_step"))
     asked = paragraphs.select(key, "start", "end", (2 * F.col("start") + 1).alias("_at"), F.lit(0).alias("_step"))

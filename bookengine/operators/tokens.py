@@ -56,7 +56,9 @@ def piece_texts(pieces: DataFrame, key: str) -> DataFrame:
     raw = F.regexp_replace("raw", "\r", "")
     said = lambda markup: unescape(F.regexp_replace(markup, "<[^>]*>", ""))
     opens = F.lower(F.regexp_extract("raw", r"^<([A-Za-z][A-Za-z0-9:-]*)(?:[^>]*[^/>])?>", 1))
-    return pieces.select(key, ((F.col("piece") + 1).cast("long") * STRIDE).alias("pos"), opens.alias("opens"), said(raw).alias("text"), F.when(raw.rlike(r"<a\b"), said(F.regexp_replace(raw, r"(?s)<a\b[^>]*(?<!/)>.*?</a\s*>", ""))).alias("unlinked"))
+    # closing tags with nothing behind them are half of all pieces
+    spoken = pieces.where(~F.col("raw").rlike(r"^</[^>]*>\z"))
+    return spoken.select(key, ((F.col("piece") + 1).cast("long") * STRIDE).alias("pos"), opens.alias("opens"), said(raw).alias("text"), F.when(raw.rlike(r"<a\b"), said(F.regexp_replace(raw, r"(?s)<a\b[^>]*(?<!/)>.*?</a\s*>", ""))).alias("unlinked"))
 
 
 def piece_texts_behind(pieces: DataFrame, key: str) -> DataFrame:
