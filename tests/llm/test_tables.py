@@ -291,3 +291,19 @@ def test_pipeline(spark):
     for df in (kept, exact, near, mixed):
         assert df.columns == columns
     assert cp.run(spark, DATA).count() == len(packed)
+
+
+@pytest.mark.parametrize("kind", ["empty", "nulls", "repeated"])
+def test_pipeline_on_odd_tables(spark, tmp_path, kind):
+    """No rows give no pieces; null texts are empty, and one of them stays; of a row that repeats, id included, one stays."""
+    import corpus_pipeline
+
+    text = "One row of plain words that stands here many times, and nothing else beside it."
+    rows = {"empty": [], "nulls": [(k, None, None, None, None) for k in range(5)], "repeated": [(7, text, "en", "s", len(text))] * 40}[kind]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    store.discard_all(spark)
+    # a mix without words takes no row; the one row that stays is one piece of its sequence
+    assert len(found) == {"empty": 0, "nulls": 0, "repeated": 1}[kind]
+    assert all((r["doc_id"], r["start"], r["offset"], r["length"] == r["doc_tokens"]) == (7, 0, 0, True) for r in found)
