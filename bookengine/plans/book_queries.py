@@ -34,7 +34,7 @@ def fb2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.regexp_replace(tx.first_line(F.col("text")), r"[\x00-\x1F]", " ").alias("line"), F.regexp_replace("text", r"[\x00-\x09\x0B-\x1F]", " ").alias("lines"))
     n = F.col("doc_id").cast("string")
     parts = [
-        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0" xmlns:l="http://www.w3.org/1999/xlink"><description><title-info>'),
+        F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<FictionBook xmlns="{src.FB2_NAMESPACE}" xmlns:l="http://www.w3.org/1999/xlink"><description><title-info>'),
         F.lit("<genre> prose </genre><genre></genre><author><first-name>Ann</first-name><last-name>"), F.col("source"), F.lit("</last-name></author><author><first-name> </first-name></author><book-title>"),
         _escape("line"), F.lit("</book-title><lang>"), F.col("lang"), F.lit("</lang><annotation><p>About "), F.col("source"), F.lit('</p><p>second</p></annotation><coverpage><image l:href="#c"/></coverpage><sequence name="S" number="'), n,
         F.lit('"/></title-info><document-info><id>id-'), n, F.lit("</id></document-info></description><body><section><p>"), F.replace(_escape("lines"), F.lit("\n"), F.lit("</p><p>")),

@@ -15,8 +15,9 @@ from bookengine.plans.book_queries import _escape
 from bookengine.plans.registry import query, table
 from bookengine.plans.scalar_queries import SQL_FIRST
 from bookengine.sources import sinks
+from bookengine.sources.books import FB2_NAMESPACE
 
-_OPENING = '<?xml version="1.0" encoding="UTF-8"?>\n<FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0" xmlns:l="http://www.w3.org/1999/xlink"><description><title-info><genre>prose</genre><author><last-name>'
+_OPENING = f'<?xml version="1.0" encoding="UTF-8"?>\n<FictionBook xmlns="{FB2_NAMESPACE}" xmlns:l="http://www.w3.org/1999/xlink"><description><title-info><genre>prose</genre><author><last-name>'
 _NOTES = (
     '<body name="notes"><title><p>Notes [of]</p></title><section><title><p>Part</p></title><section id="n1"><title><p>[1]</p></title><empty-line/><p>Note &#8212; of ',
     '</p><section><title><p>t</p></title><p>inner</p></section><p>after</p></section></section><section id="n2"><title><p>first</p></title><title><p>2</p></title><p>x <a l:href="#s1">link</a></p></section></body>',

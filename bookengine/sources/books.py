@@ -165,6 +165,9 @@ def decode_binaries(rows: DataFrame, value: str) -> DataFrame:
     return rows.withColumn("content", F.try_to_binary(F.regexp_replace(value, r"[ \r\n\t]", ""), F.lit("base64"))).where("content is not null").drop(value)
 
 
+#: Namespace of FB2 documents. Fixed value.
+FB2_NAMESPACE = "http://www.gribuser.ru/xml/fictionbook/2.0"
+
 #: The part of a book that is read as a record.
 FB2_SCHEMA = """description struct<
   `title-info`: struct<genre: array<string>, author: array<struct<`first-name`: string, `middle-name`: string, `last-name`: string>>, `book-title`: string, lang: string, date: string,
