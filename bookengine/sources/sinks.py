@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Chapters that one output file holds at most, of one book.
 CHAPTERS_PER_FILE = 1000
+#: Folders of intermediate tables and outputs that each application has got and not discarded.
+_written: dict[str, set[str]] = {}
 
 
 def written_books(chapters: DataFrame, path: str, book: str) -> DataFrame:
@@ -50,7 +52,17 @@ def output_folder(spark: SparkSession, name: str) -> str:
     if not shared and not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = shared.rstrip("/") if shared else f"file://{tempfile.mkdtemp(prefix='bookengine-')}"
-    return f"{folder}/bookengine/{uuid.uuid4().hex}/{name}"
+    path = f"{folder}/bookengine/{uuid.uuid4().hex}/{name}"
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every folder that this application has got from ``output_folder``, once all results that read them are written elsewhere."""
+    for path in sorted(_written.pop(spark.sparkContext.applicationId, set())):
+        # the folder that a path has to itself
+        target = spark._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

@@ -141,3 +141,14 @@ def test_fb2_books_hold_whole_texts(spark, duck):
     words = lambda x: re.sub("[\\x00-\\x20]+", " ", x).strip()
     assert {k: [words(html.unescape(x)) for x in re.findall("(?s)<p>(.*?)</p>", body)] for k, body in found.items()} == {k: [words(html.unescape(x)) for x in text.split("\n")] for k, text in texts.items()}
     assert any(text.count("\n") > 2 for text in texts.values())
+
+
+def test_staged_tables_can_be_discarded(spark):
+    import os
+
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    read = sinks.staged(df, "kept")
+    folder = os.path.dirname(os.path.dirname(read.inputFiles()[0].removeprefix("file:").replace("///", "/")))
+    assert [tuple(r) for r in read.collect()] == [(1, "a")] and os.path.isdir(folder)
+    sinks.discard_all(spark)
+    assert not os.path.exists(folder)
