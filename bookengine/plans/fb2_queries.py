@@ -115,14 +115,14 @@ UNION ALL SELECT path, 'manifest', 0, 'file4', 'comments|application/xhtml+xml|'
 
 @query(_PACKAGE_SQL)
 def flagship_fb2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole books from file to package: chapters written by book and read back, notes, contents, links, manifest."""
+    """Whole books from file to package: chapters written in order of books and read back, notes, contents, links, manifest."""
     found = books(spark, sf_dir)
     inside = fb2.note_parts(found)
     texts = fb2.book_texts(found, parts=inside)
     sections = sinks.staged(fb2.main_sections(found, texts), "sections")
     notes = sinks.staged(fb2.titled_notes(found, inside, texts), "notes")
     target = sinks.output_folder(spark, "chapters")
-    sinks.write_chapters(fb2.chapter_paragraphs(found, texts), target, "path")
+    sinks.write_library(fb2.chapter_paragraphs(found, texts), target, "path")
     paragraphs = sinks.read_chapters(spark, target, "pos long, file_ix int, fname string, para_ix int, text string, path string")
     row = lambda df, kind, ix, name, value: df.select("path", F.lit(kind).alias("kind"), ix.cast("long").alias("ix"), name.alias("name"), value.alias("value"))
     parts = [

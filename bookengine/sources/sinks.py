@@ -46,6 +46,15 @@ def write_chapters(chapters: DataFrame, path: str, book: str, overwrite: bool =
     return outcomes
 
 
+def write_library(chapters: DataFrame, path: str, book: str) -> None:
+    """All books in one table whose files hold many books each, in order of book and chapter, so that a reader of one book skips most of them by their statistics.
+
+    For libraries of very many small books, where a folder for each is mostly overhead. Existing output is an error. Rows are dealt as in ``write_chapters``.
+    """
+    run = F.floor(F.col("file_ix") / CHAPTERS_PER_FILE)
+    chapters.repartition(book, run).sortWithinPartitions(book, "file_ix").write.option("compression", "zstd").parquet(path)
+
+
 def output_folder(spark: SparkSession, name: str) -> str:
     """A new path under the folder that all machines share (``spark.checkpoint.dir``); a temporary one where Spark runs on one machine without that setting."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

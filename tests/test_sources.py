@@ -143,6 +143,16 @@ def test_fb2_books_hold_whole_texts(spark, duck):
     assert any(text.count("\n") > 2 for text in texts.values())
 
 
+def test_write_library(spark, tmp_path):
+    rows = [(f"b{k % 7}", k // 7 + 1, str(k)) for k in range(70)] + [("hot", k, "x") for k in range(2500)]
+    df = spark.createDataFrame(rows, "book string, file_ix int, body string").repartition(5)
+    sinks.write_library(df, str(tmp_path / "all"), "book")
+    read = sinks.read_chapters(spark, str(tmp_path / "all"), "book string, file_ix int, body string")
+    assert sorted(map(tuple, read.collect())) == sorted(rows)
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        sinks.write_library(df, str(tmp_path / "all"), "book")
+
+
 def test_staged_tables_can_be_discarded(spark):
     import os
 
