@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookengine.functions import text as tx
-from bookengine.operators.blocks import last_before, row_numbers, running_sums
+from bookengine.operators.blocks import last_before, last_values_before, row_numbers, running_sums
 
 CHARS_PER_PAGE = 2300
 
@@ -113,43 +113,36 @@ def toc_page(entries: DataFrame, key: str, max_level: int, book_title: Column |
     return entries.where(~F.col("is_main") | (F.col("level") <= max_level)).select(key, "toc_ix", "ref", title.alias("title"), indent.alias("indent"))
 
 
-#: How deep entries nest: (level under which a first descent leaves the top entry, open entries beyond which a descent stays flat).
-TREES = {"normal": (2, 1 << 30), "kindle": (2, 1), "flat": (1 << 30, 1)}
+#: A descent to a level under this one leaves the entry above it childless: chapters do not hang under the title of their book.
+TOP_LEVELS = 2
+#: ``normal``: under the innermost entry that is open; ``kindle``: under the outermost, so that two ranks remain; ``flat``: no entry has a parent.
+TREES = ("normal", "kindle", "flat")
 
 
-def toc_tree(entries: DataFrame, key: str, kind: str = "normal") -> DataFrame:
-    """key, toc_ix, parent_ix (null at the top), by a fold with a stack over the entries from one of the book's least level to the next.
-
-    An entry of the least level empties the stack, so that these runs are independent of each other.
+def toc_tree(entries: DataFrame, key: str, kind: str = "normal", levels: tuple[int, ...] | None = None, size: int | None = None) -> DataFrame:
+    """key, toc_ix, parent_ix (null at the top). An entry stays open until one of its level or less follows, or until the very
+    next one is a descent that stays under ``TOP_LEVELS``. For each level that occurs one window carries the entry that is open at it,
+    so that a book of any number of entries is never one row; ``levels`` saves the job that looks which occur.
     """
-    limit, most = TREES[kind]
+    if kind not in TREES:
+        raise ValueError(f"no such kind of contents: {kind}")
     level = F.col("level").cast("int")
-    least = F.min(level).over(Window.partitionBy(key))
-    upto = Window.partitionBy(key).orderBy("toc_ix").rowsBetween(Window.unboundedPreceding, 0)
-    runs = entries.select(key, "toc_ix", "level", (level == least).cast("int").alias("_opens")).withColumn("_run", F.sum("_opens").over(upto))
-    rows = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct("toc_ix", F.col("level").cast("int").alias("level")))).alias("toc"))
-    item = "struct<level:int,toc_ix:int>"
-    out = "struct<toc_ix:int,parent_ix:int>"
-    start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast(f"array<{item}>").alias("stack"), F.array().cast(f"array<{out}>").alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        stack, level = acc["stack"], e["level"]
-        less = F.slice(stack, 1, F.size(stack) - 1)
-        outer = F.slice(stack, 1, F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(stack), F.lit(1))), F.lit(0), lambda best, i: F.when(F.try_element_at(stack, i)["level"] < level, i).otherwise(best)))
-        rest = (
-            F.when(acc["last"].isNull(), stack)
-            .when(acc["last"] < level, F.when((level < limit) | (F.size(stack) > most), less).otherwise(stack))
-            .when(acc["last"] == level, less)
-            .otherwise(outer)
-        )
-        parent = F.when(F.size(rest) > 0, F.try_element_at(rest, F.lit(-1))["toc_ix"])
-        return F.struct(
-            level.alias("last"),
-            F.array_append(rest, F.struct(level.alias("level"), e["toc_ix"].cast("int").alias("toc_ix"))).alias("stack"),
-            F.array_append(acc["out"], F.struct(e["toc_ix"].cast("int").alias("toc_ix"), parent.cast("int").alias("parent_ix"))).alias("out"),
-        )
-
-    return rows.select(key, F.explode(F.aggregate("toc", start, step, lambda acc: acc["out"])).alias("o")).select(key, "o.toc_ix", "o.parent_ix")
+    rows = entries.select(key, F.col("toc_ix").cast("int").alias("toc_ix"), level.alias("level"))
+    if kind == "flat":
+        return rows.select(key, "toc_ix", F.lit(None).cast("int").alias("parent_ix"))
+    if levels is None:
+        levels = tuple(entries.agg(F.array_sort(F.collect_set(level))).first()[0])
+    rows = last_before(rows, [key], "toc_ix", "level", "_last", size)
+    skips = (F.col("_last") < F.col("level")) & (F.col("level") < TOP_LEVELS)
+    # at each level: the entry that opens it, no entry where it closes, null where the row leaves it as it is
+    opens = F.struct(F.col("toc_ix").alias("ix"))
+    closes = F.struct(F.lit(None).cast("int").alias("ix"))
+    at = {f"_at{n}": F.when(F.col("level") == n, opens).when((F.col("level") < n) | (skips & (F.col("_last") <= n)), closes) for n in levels}
+    rows = last_values_before(rows.withColumns(at), [key], "toc_ix", {f"_open{n}": f"_at{n}" for n in levels}, size)
+    ranked = sorted(levels, reverse=kind == "normal")
+    is_above = {n: (F.col("level") > n) & ~F.coalesce(skips & (F.col("_last") <= n), F.lit(False)) for n in ranked}
+    parent = F.coalesce(*(F.when(is_above[n], F.col(f"_open{n}.ix")) for n in ranked), F.lit(None).cast("int"))
+    return rows.select(key, "toc_ix", parent.alias("parent_ix"))
 
 
 def play_order(entries: DataFrame, key: str, toc_placement: str = "none", toc_title: str = "Contents") -> DataFrame:

@@ -14,6 +14,7 @@ from bookengine.operators import packaging as pk
 from bookengine.operators import segment as seg
 from bookengine.operators import structure as st
 from bookengine.operators import tokens as tok
+from bookengine.operators.blocks import block_size
 from bookengine.plans.markup_queries import FRAGMENT_SQL, TOKENS_SQL, _sentences_sql, page_tokens
 from bookengine.plans.registry import query, table
 from bookengine.plans.scalar_queries import SQL_FIRST
@@ -154,11 +155,15 @@ def c14_toc_tree_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.toc_tree(toc(spark, sf_dir), "book_id", "flat")
 
 
-def _tree_sql(kind: str) -> str:
+#: (level under which a first descent leaves the top entry, open entries beyond which a descent stays flat) of the stack machine.
+_STACKS = {"normal": (2, 1 << 30), "kindle": (2, 1)}
+
+
+def _tree_sql(kind: str, rows: str = TOC_SQL) -> str:
     """The stack machine as a recursive query: one entry of every book at a time."""
-    limit, most = st.TREES[kind]
+    limit, most = _STACKS[kind]
     less, outer = "stack[1:len(stack) - 1]", "stack[1:coalesce(list_max(list_transform(range(1, len(stack) + 1), lambda i: CASE WHEN stack[i].level < e.level THEN i END)), 0)]"
-    return f"""WITH RECURSIVE {TOC_SQL}, e AS (SELECT book_id, toc_ix::INT AS toc_ix, level::INT AS level, row_number() OVER (PARTITION BY book_id ORDER BY toc_ix) AS n FROM toc),
+    return f"""WITH RECURSIVE {rows}, e AS (SELECT book_id, toc_ix::INT AS toc_ix, level::INT AS level, row_number() OVER (PARTITION BY book_id ORDER BY toc_ix) AS n FROM toc),
  r AS (SELECT book_id, 0::BIGINT AS n, NULL::INT AS last, []::STRUCT(level INT, toc_ix INT)[] AS stack, NULL::INT AS toc_ix, NULL::INT AS parent_ix FROM (SELECT DISTINCT book_id FROM e)
   UNION ALL SELECT book_id, n, level, list_append(rest, {{'level': level, 'toc_ix': toc_ix}}), toc_ix, CASE WHEN len(rest) > 0 THEN rest[len(rest)].toc_ix END
   FROM (SELECT e.*, CASE WHEN last IS NULL THEN stack WHEN last < e.level THEN CASE WHEN e.level < {limit} OR len(stack) > {most} THEN {less} ELSE stack END WHEN last = e.level THEN {less} ELSE {outer} END AS rest
@@ -168,12 +173,24 @@ def _tree_sql(kind: str) -> str:
 
 @query(_tree_sql("normal"))
 def c14_toc_tree_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.toc_tree(toc(spark, sf_dir), "book_id", "normal")
+    return st.toc_tree(toc(spark, sf_dir), "book_id", "normal", range(3))
 
 
 @query(_tree_sql("kindle"))
 def c14_toc_tree_kindle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.toc_tree(toc(spark, sf_dir), "book_id", "kindle")
+    return st.toc_tree(toc(spark, sf_dir), "book_id", "kindle", range(3))
+
+
+_ONE_TITLE = "toc AS (SELECT source AS book_id, doc_id AS toc_ix, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY source) THEN 0 ELSE 1 + length(text) % 5 END AS level FROM documents WHERE text IS NOT NULL)"
+
+
+@query(_tree_sql("normal", _ONE_TITLE))
+def c14_one_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books as they mostly are: the title is the only entry of level 0, and all documents of the source hang under it or beside it."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("source").alias("book_id"), F.col("doc_id").alias("toc_ix"), (1 + F.char_length("text") % 5).alias("level"))
+    titles = docs.groupBy("book_id").agg(F.min("toc_ix").alias("toc_ix")).select("toc_ix", F.lit(0).alias("_title"))
+    entries = docs.join(titles, "toc_ix", "left").select("book_id", "toc_ix", F.coalesce("_title", "level").alias("level"))
+    return st.toc_tree(entries, "book_id", "normal", range(6), block_size(docs, "toc_ix"))
 
 
 @query(f"WITH {TOC_SQL} SELECT book_id, toc_ix + 1 AS play_order, title, 'before' AS placement FROM toc UNION ALL SELECT DISTINCT book_id, 1, 'Contents', 'before' FROM toc UNION ALL SELECT book_id, toc_ix, title, 'after' FROM toc UNION ALL SELECT book_id, max(toc_ix) + 1, 'Contents', 'after' FROM toc GROUP BY book_id", play_order="INT")

@@ -36,7 +36,7 @@ def test_pages(spark, units):
 
 
 def tree_by_hand(levels, kind):
-    limit, most = st.TREES[kind]
+    limit, most = {"normal": (2, 1 << 30), "kindle": (2, 1), "flat": (1 << 30, 1)}[kind]
     stack, out, last = [], [], None
     for k, level in enumerate(levels):
         if last is not None:
@@ -62,6 +62,25 @@ def test_toc_tree(spark, kind, levels):
     assert found == tree_by_hand(levels, kind)
 
 
+def test_toc_tree_of_large_books_in_blocks(spark):
+    rng = random.Random(14)
+    books = {f"b{n}": [rng.randrange(lo, hi) for _ in range(n)] for n, lo, hi in ((1, 0, 1), (200, 0, 4), (400, 0, 7), (300, 1, 5), (250, -2, 3), (90, 3, 9))}
+    # one title, then chapters alone: the usual book
+    books["title"] = [0] + [rng.randrange(1, 5) for _ in range(500)]
+    rows = [(b, k, level) for b, levels in books.items() for k, level in enumerate(levels)] + [(None, k, level) for k, level in enumerate([0, 2, 1, 2])]
+    df = spark.createDataFrame(rows, "book_id string, toc_ix int, level int").repartition(3)
+    for kind in st.TREES:
+        for size in (None, 16):
+            found = {}
+            for r in st.toc_tree(df, "book_id", kind, size=size).collect():
+                found.setdefault(r["book_id"], []).append((r["toc_ix"], r["parent_ix"]))
+            assert {b: sorted(x) for b, x in found.items()} == {b: tree_by_hand(levels, kind) for b, levels in (books | {None: [0, 2, 1, 2]}).items()}
+    assert "collect_list" not in st.toc_tree(df, "book_id", "normal")._jdf.queryExecution().toString()
+    assert st.toc_tree(df.limit(0), "book_id", "normal").collect() == []
+    with pytest.raises(ValueError):
+        st.toc_tree(df, "book_id", "deep")
+
+
 def hyphenate_by_hand(word, patterns):
     dotted, values = f".{word}.", [0] * (len(word) + 3)
     for pattern in patterns:
