@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from bookengine.functions import text as tx
 from bookengine.operators.blocks import last_before, last_values_before, row_numbers, running_sums
-
-CHARS_PER_PAGE = 2300
+from bookengine.operators.pages import CHARS_PER_PAGE, page_of_runs
 
 
 def _ordered(key: str, by: str) -> Window:
@@ -55,18 +54,27 @@ def paginate(files: DataFrame, key: str, units: Column, limit: int = CHARS_PER_P
     return files.select(key, F.posexplode(page_starts(units, limit)).alias("page_no", "p")).select(key, "page_no", "p.start_word", "p.n_chars")
 
 
-def split_by_pages(paras: DataFrame, key: str, pages_per_file: int) -> DataFrame:
-    """key, para_ix, file_ix: a paragraph opens a new file when the current one has that many pages. Needs n_pages (markers in the paragraph)."""
+def split_by_pages(paras: DataFrame, key: str, pages_per_file: int, size: int | None = None) -> DataFrame:
+    """key, para_ix, file_ix: a paragraph opens a new file when the current one has that many pages. Needs n_pages (markers in the paragraph).
+
+    A file closes as a page does, with markers for characters: ``size`` gives blocks of so many paragraphs where a book may be large.
+    Without it, a fold over the paragraphs of a book notes where files begin.
+    """
+    if size is not None:
+        found = page_of_runs(paras, key, "para_ix", F.array("n_pages"), pages_per_file, size)
+        return found.select(key, "para_ix", F.col("page_no").cast("int").alias("file_ix"))
     rows = paras.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("para_ix", "n_pages"))).alias("paras"))
-    start = F.struct(F.lit(0).cast("bigint").alias("pages"), F.lit(0).alias("file"), F.array().cast("array<int>").alias("files"))
+    start = F.struct(F.lit(0).cast("bigint").alias("pages"), F.lit(0).alias("place"), F.array(F.lit(1)).alias("firsts"))
 
     def step(acc: Column, para: Column) -> Column:
-        new = acc["pages"] >= pages_per_file
-        file = acc["file"] + F.when(new, 1).otherwise(0)
-        return F.struct((F.when(new, 0).otherwise(acc["pages"]) + para["n_pages"]).cast("bigint").alias("pages"), file.alias("file"), F.array_append(acc["files"], file).alias("files"))
-
-    files = F.aggregate("paras", start, step, lambda acc: acc["files"])
-    return rows.select(key, F.explode(F.arrays_zip(F.transform("paras", lambda p: p["para_ix"]).alias("para_ix"), files.alias("file_ix"))).alias("z")).select(key, "z.para_ix", "z.file_ix")
+        new, place = acc["pages"] >= pages_per_file, acc["place"] + 1
+        pages = (F.when(new, 0).otherwise(acc["pages"]) + para["n_pages"]).cast("bigint")
+        return F.struct(pages.alias("pages"), place.alias("place"), F.when(new, F.array_append(acc["firsts"], place)).otherwise(acc["firsts"]).alias("firsts"))
+
+    begun = rows.select(key, F.transform("paras", lambda p: p["para_ix"]).alias("ixs"), F.aggregate("paras", start, step, lambda acc: acc["firsts"]).alias("firsts"))
+    upto = lambda k: F.coalesce(F.get(F.col("firsts"), k + 1), F.size("ixs") + 1)
+    files = begun.select(key, F.posexplode(F.transform("firsts", lambda first, k: F.slice("ixs", first, upto(k) - first))).alias("file_ix", "ixs"))
+    return files.select(key, F.explode("ixs").alias("para_ix"), "file_ix")
 
 
 def page_map(files: DataFrame, key: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from bookengine.functions import text as tx
 from bookengine.operators import notes as nt
 from bookengine.operators import packaging as pk
+from bookengine.operators import pages as pg
 from bookengine.operators import segment as seg
 from bookengine.operators import structure as st
 from bookengine.operators import tokens as tok
@@ -86,6 +87,35 @@ def c07_split_by_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.split_by_pages(paras, "doc_id", 2)
 
 
+def _greedy_sql(rows: str, limit: int) -> str:
+    """Pages of rows (book_id, w from 0, u), one page of every book at a time."""
+    return f"""cum AS (SELECT book_id, w, sum(u) OVER (PARTITION BY book_id ORDER BY w) AS upto FROM {rows}), whole AS (SELECT book_id, max(w) + 1 AS n, max(upto) AS total FROM cum GROUP BY book_id),
+r AS (SELECT book_id, 0::BIGINT AS page_no, 0::BIGINT AS start_word, 0::HUGEINT AS before FROM whole
+  UNION ALL SELECT r.book_id, r.page_no + 1, min(cum.w) + 1, min(cum.upto) FROM r JOIN cum ON cum.book_id IS NOT DISTINCT FROM r.book_id AND cum.upto >= r.before + {limit} GROUP BY r.book_id, r.page_no),
+greedy AS (SELECT r.book_id, page_no, start_word, (coalesce(lead(before) OVER (PARTITION BY r.book_id ORDER BY page_no), total) - before)::BIGINT AS n_chars FROM r JOIN whole ON whole.book_id IS NOT DISTINCT FROM r.book_id WHERE start_word < n)"""
+
+
+@query(
+    f"WITH RECURSIVE un AS (SELECT source AS book_id, doc_id, {_UNITS_SQL} AS u FROM documents), flat AS (SELECT book_id, doc_id, unnest(u) AS u, unnest(range(len(u))) AS i FROM un), "
+    f"words AS (SELECT book_id, u, row_number() OVER (PARTITION BY book_id ORDER BY doc_id, i) - 1 AS w FROM flat), {_greedy_sql('words', st.CHARS_PER_PAGE)} SELECT book_id, page_no, start_word, n_chars FROM greedy"
+)
+def c06_paginate_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of a source as one file, a run each: books with a third of all words."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), "doc_id", "text", "lang")
+    return pg.paginate_runs(docs, "book_id", "doc_id", seg.units(F.col("text"), F.col("lang")))
+
+
+@query(
+    "WITH RECURSIVE paras AS (SELECT source AS book_id, doc_id, coalesce(length(text) // 500, 0) AS u, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS w FROM documents), "
+    f"{_greedy_sql('paras', 20)} SELECT p.book_id, doc_id AS para_ix, max(page_no)::INT AS file_ix FROM paras p JOIN greedy g ON g.book_id IS NOT DISTINCT FROM p.book_id AND g.start_word <= p.w GROUP BY p.book_id, doc_id"
+)
+def c07_split_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as books, documents as their paragraphs, 20 pages a file."""
+    docs = table(spark, sf_dir, "documents")
+    n_pages = F.coalesce(F.floor(F.char_length("text") / 500), F.lit(0)).cast("int")
+    return st.split_by_pages(docs.select(F.col("source").alias("book_id"), F.col("doc_id").alias("para_ix"), n_pages.alias("n_pages")), "book_id", 20, 1 << 14)
+
+
 _FILES_SQL = f"{CHAPTERS_SQL}, files AS (SELECT book_id, file_ix, fname, (sum(text_length) // {st.CHARS_PER_PAGE})::INT AS n_pages, file_ix % 9 <> 0 AS in_spine FROM chap GROUP BY ALL)"
 
 

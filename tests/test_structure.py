@@ -9,6 +9,7 @@ from hypothesis import strategies as strats
 from pyspark.sql import functions as F
 
 from bookengine.operators import links as ln
+from bookengine.operators import pages as pg
 from bookengine.operators import segment as seg
 from bookengine.operators import structure as st
 from bookengine.operators import tokens as tok
@@ -35,6 +36,55 @@ def test_pages(spark, units):
     assert sum(p["n_chars"] for p in found) == sum(units)
 
 
+@pytest.mark.parametrize(("limit", "size", "most"), [(50, 3, 30), (7, 1, 9), (1, 4, 2), (2300, 2, 40), (20, 5, 60)])
+def test_pages_in_blocks(spark, limit, size, most):
+    rng = random.Random(limit)
+    books = {name: [[rng.choice([0, rng.randrange(most)]) for _ in range(rng.choice([0, 1, rng.randrange(40)]))] for _ in range(n)] for name, n in (("a", 60), ("b", 1), ("c", 7), (None, 9))}
+    books |= {"none": [[], []], "zeros": [[0, 0], [0], []], "exact": [[limit], [limit, limit]]}
+    rows = [(name, 3 * k + 1, units) for name, runs in books.items() for k, units in enumerate(runs)] + [("a", 10**6, None)]
+    df = spark.createDataFrame(rows, "book string, ix int, u array<int>").repartition(4)
+    expected = {name: [(k, *p) for k, p in enumerate(pages_by_hand([u for run in runs for u in run], limit))] for name, runs in books.items()}
+    found = {name: [] for name in books}
+    for r in pg.paginate_runs(df, "book", "ix", F.col("u"), limit, 3 * size).collect():
+        found[r["book"]].append((r["page_no"], r["start_word"], r["n_chars"]))
+    assert {name: sorted(x) for name, x in found.items()} == expected
+    at = {(r["book"], r["ix"]): r["page_no"] for r in pg.page_of_runs(df.where("u IS NOT NULL"), "book", "ix", F.col("u"), limit, 3 * size).collect()}
+    for name, runs in books.items():
+        words = 0
+        closes = [start for _, start, _ in expected[name][1:]]
+        flat = [u for run in runs for u in run]
+        if expected[name] and expected[name][-1][2] >= limit:
+            closes.append(len(flat))
+        for k, run in enumerate(runs):
+            assert at[name, 3 * k + 1] == sum(c <= words for c in closes)
+            words += len(run)
+    assert pg.paginate_runs(df.limit(0), "book", "ix", F.col("u"), limit).collect() == []
+
+
+def test_pages_of_one_file_of_ten_million_words(spark):
+    """The whole file as an array for the fold by hand, in runs for the blocks."""
+    runs = spark.range(20000).select(F.lit(1).alias("book"), F.col("id").alias("ix"), F.transform(F.sequence(F.lit(1), F.lit(500)), lambda k: F.pmod(F.hash(k, "id"), F.lit(17)).cast("int")).alias("u"))
+    found = [(r["start_word"], r["n_chars"]) for r in pg.paginate_runs(runs, "book", "ix", F.col("u")).orderBy("page_no").collect()]
+    assert found == pages_by_hand([u for r in runs.orderBy("ix").select("u").toLocalIterator() for u in r["u"]], st.CHARS_PER_PAGE)
+
+
+def test_split_by_pages(spark):
+    rng = random.Random(7)
+    paras = {name: [rng.choice([0, 0, 1, 2, 5]) for _ in range(n)] for name, n in (("a", 300), ("b", 1), ("c", 20))}
+    df = spark.createDataFrame([(name, 2 * k, n) for name, x in paras.items() for k, n in enumerate(x)], "book string, para_ix int, n_pages int").repartition(3)
+    expected = set()
+    for name, x in paras.items():
+        pages = file = 0
+        for k, n in enumerate(x):
+            if pages >= 4:
+                pages, file = 0, file + 1
+            pages += n
+            expected.add((name, 2 * k, file))
+    for size in (None, 32):
+        found = st.split_by_pages(df, "book", 4, size)
+        assert set(map(tuple, found.collect())) == expected and found.dtypes == [("book", "string"), ("para_ix", "int"), ("file_ix", "int")]
+
+
 def tree_by_hand(levels, kind):
     limit, most = {"normal": (2, 1 << 30), "kindle": (2, 1), "flat": (1 << 30, 1)}[kind]
     stack, out, last = [], [], None
