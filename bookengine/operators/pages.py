@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Runs of a block, and characters of a page.
-RUNS, CHARS_PER_PAGE = 256, 2300
+RUNS, CHARS_PER_PAGE = 1024, 2300
 _TABLE = "n_words long, total long, needs array<long>, closed array<long>, opens array<long>, left array<long>"
 _ENTRY = "chars long, pages long, first long, words long, is_last boolean"
 
@@ -44,7 +44,7 @@ def _block_table(limit: int) -> Callable[[tuple, pa.Table], pa.Table]:
         jump = np.where(jump > n, np.arange(n + 1), jump)
         closed = (jump != np.arange(n + 1)).astype(np.int64)
         # pointers double until each is at the last page that begins in the block
-        while (further := jump[jump]).tolist() != jump.tolist():
+        while not np.array_equal(further := jump[jump], jump):
             closed, jump = closed + closed[jump], further
         first = np.flatnonzero((before[:-1] < limit) & (before[1:] > before[:-1])) + 1
         columns = {"needs": before[first], "closed": 1 + closed[first], "opens": jump[first], "left": before[n] - before[jump[first]]}
