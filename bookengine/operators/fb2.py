@@ -180,7 +180,7 @@ def extract_notes(books: Books, parts: DataFrame | None = None, texts: DataFrame
     body = F.when(first > 0, F.array_join(F.slice(values, first, F.size(values)), "\n")).otherwise("")
     whole = sections.join(last_title, [key, "pos"], "left").join(lines, [key, "pos"], "left")
     notes = whole.select(key, "body_name", "pos", "note_id", tx.sanitize_title(F.coalesce("title", F.lit(""))).alias("title"), F.coalesce(body, F.lit("")).alias("body"))
-    return nt.number_notes(notes, key, "body_name", "pos"), body_titles
+    return nt.number_notes(notes, key, "body_name", "pos", books.size), body_titles
 
 
 def titled_notes(books: Books, parts: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:

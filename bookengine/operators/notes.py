@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bookengine.functions import formats as fmt
 from bookengine.functions import text as tx
+from bookengine.operators.blocks import row_numbers
 
 MODES = ("default", "inline", "block", "float", "float-old", "float-new", "float-new-more")
 
@@ -59,13 +60,14 @@ def floating_notes(notes: DataFrame, refs: DataFrame, on: list[str], mode: str =
     return linked.withColumn("text", text)
 
 
-def number_notes(notes: DataFrame, book: str, body: str, by: str) -> DataFrame:
-    """``note_number`` within each body in discovery order, and ``body_number`` of the bodies, 0 where a book has only one."""
+def number_notes(notes: DataFrame, book: str, body: str, by: str, size: int | None = None) -> DataFrame:
+    """``note_number`` within each body in discovery order, and ``body_number`` of the bodies, 0 where a book has only one. ``size``: windows over notes in blocks."""
     first = notes.groupBy(book, body).agg(F.min(by).alias("_first"))
     numbered = first.withColumn("body_number", F.row_number().over(Window.partitionBy(book).orderBy("_first")))
     several = F.count(F.lit(1)).over(Window.partitionBy(book)) > 1
     numbered = numbered.withColumn("body_number", F.when(several, F.col("body_number")).otherwise(0)).drop("_first")
-    return notes.withColumn("note_number", F.row_number().over(Window.partitionBy(book, body).orderBy(by))).join(numbered, [book, body])
+    counted = row_numbers(notes, [book, body], by, "note_number", size)
+    return counted.withColumn("note_number", F.col("note_number").cast("int")).join(numbered, [book, body])
 
 
 def renumber_notes(notes: DataFrame, pattern: str) -> DataFrame:

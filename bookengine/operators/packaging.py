@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookengine.operators.blocks import row_numbers
@@ -12,10 +12,11 @@ from bookengine.operators.blocks import row_numbers
 COVER_ID = "book-cover-image"
 
 
-def manifest_rows(key: str, files: DataFrame, images: DataFrame, vignettes: DataFrame, resources: DataFrame) -> DataFrame:
+def manifest_rows(key: str, files: DataFrame, images: DataFrame, vignettes: DataFrame, resources: DataFrame, size: int | None = None) -> DataFrame:
     """key, item_id, href, media_type, properties of everything in a book; the cover image has an id of its own.
 
     Files need file_ix, fname, media_type, in_manifest; images image_ix, fname, media_type, is_cover; the others ix, fname, media_type.
+    ``size``: windows in blocks.
     """
     parts = (
         files.where("in_manifest").select(key, F.lit("file").alias("kind"), F.col("file_ix").cast("long").alias("ix"), "fname", "media_type"),
@@ -27,9 +28,8 @@ def manifest_rows(key: str, files: DataFrame, images: DataFrame, vignettes: Data
     for part in parts[1:]:
         rows = rows.unionByName(part, allowMissingColumns=True)
     cover = F.coalesce("is_cover", F.lit(False))
-    number = F.row_number().over(Window.partitionBy(key, "kind").orderBy("ix"))
-    item = F.when(cover, COVER_ID).otherwise(F.concat("kind", number.cast("string")))
-    return rows.select(key, item.alias("item_id"), F.col("fname").alias("href"), "media_type", F.when(cover, "cover-image").alias("properties"))
+    item = F.when(cover, COVER_ID).otherwise(F.concat("kind", F.col("_number").cast("string")))
+    return row_numbers(rows, [key, "kind"], "ix", "_number", size).select(key, item.alias("item_id"), F.col("fname").alias("href"), "media_type", F.when(cover, "cover-image").alias("properties"))
 
 
 def spine_rows(files: DataFrame, key: str, size: int | None = None) -> DataFrame:

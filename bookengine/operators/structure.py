@@ -77,12 +77,16 @@ def split_by_pages(paras: DataFrame, key: str, pages_per_file: int, size: int |
     return files.select(key, F.explode("ixs").alias("para_ix"), "file_ix")
 
 
-def page_map(files: DataFrame, key: str) -> DataFrame:
-    """key, number, href: a page for each file of the reading order and one for each of its markers. Needs file_ix, fname, n_pages, in_spine."""
-    pages = files.where("in_spine").select(key, "file_ix", "fname", F.explode(F.sequence(F.lit(0), F.col("n_pages").cast("int"))).alias("page"))
-    number = F.row_number().over(Window.partitionBy(key).orderBy("file_ix", "page"))
+def page_map(files: DataFrame, key: str, size: int | None = None) -> DataFrame:
+    """key, number, href: a page for each file of the reading order and one for each of its markers. Needs file_ix, fname, n_pages, in_spine.
+
+    Sums over files tell where each one's numbers begin, so that no window holds the pages of a book.
+    """
+    n_pages = F.col("n_pages").cast("int")
+    counted = running_sums(files.where("in_spine"), [key], "file_ix", {"_upto": n_pages + 1}, size)
+    pages = counted.select(key, "_upto", n_pages.alias("_n"), "fname", F.explode(F.sequence(F.lit(0), n_pages)).alias("page"))
     href = F.when(F.col("page") == 0, F.col("fname")).otherwise(F.concat("fname", F.lit("#page_"), (F.col("page") - 1).cast("string")))
-    return pages.select(key, number.alias("number"), href.alias("href"))
+    return pages.select(key, (F.col("_upto") - F.col("_n") + F.col("page")).cast("int").alias("number"), href.alias("href"))
 
 
 def toc_entries(titles: DataFrame, key: str, by: str, size: int | None = None) -> DataFrame:
@@ -153,13 +157,15 @@ def toc_tree(entries: DataFrame, key: str, kind: str = "normal", levels: tuple[i
     return rows.select(key, "toc_ix", parent.alias("parent_ix"))
 
 
-def play_order(entries: DataFrame, key: str, toc_placement: str = "none", toc_title: str = "Contents") -> DataFrame:
+def play_order(entries: DataFrame, key: str, toc_placement: str = "none", toc_title: str = "Contents", size: int | None = None) -> DataFrame:
     """key, play_order, title: a contents page in front shifts all numbers by one, one behind comes last."""
-    rows = entries.select(key, F.col("toc_ix").cast("long").alias("at"), "title")
-    if toc_placement in ("before", "after"):
-        at = F.lit(-1 if toc_placement == "before" else (1 << 62)).cast("long")
-        rows = rows.unionByName(entries.select(key).distinct().select(key, at.alias("at"), F.lit(toc_title).alias("title")))
-    return rows.select(key, F.row_number().over(_ordered(key, "at")).alias("play_order"), "title")
+    shift = 1 if toc_placement == "before" else 0
+    rows = row_numbers(entries, [key], "toc_ix", "_n", size).select(key, (F.col("_n") + shift).cast("int").alias("play_order"), "title")
+    if toc_placement not in ("before", "after"):
+        return rows
+    place = F.lit(1) if toc_placement == "before" else F.count(F.lit(1)) + 1
+    contents = entries.groupBy(key).agg(place.cast("int").alias("play_order"))
+    return rows.unionByName(contents.select(key, "play_order", F.lit(toc_title).alias("title")))
 
 
 #: Order of kinds of files in a book, by where the contents page stands.

@@ -251,6 +251,7 @@ def test_learned_breaks(spark):
 
 
 def test_numbering_of_one_book_in_blocks(spark):
+    from bookengine.operators import notes as nt
     from bookengine.operators import packaging as pk
 
     rng = random.Random(6)
@@ -258,11 +259,18 @@ def test_numbering_of_one_book_in_blocks(spark):
     rows += [("small", k, 1, "t", f"T{k}", True, 5, k < 3, "notes" if k > 2 else "", f"f{k}") for k in range(6)]
     df = spark.createDataFrame(rows, "book string, ix int, level int, subtitle string, title string, has_title boolean, text_length int, is_main boolean, body_name string, fname string").repartition(3).cache()
     files = df.select("book", F.col("ix").alias("file_ix"), "fname", F.col("has_title").alias("in_spine"), (F.col("ix") == 0).alias("is_cover_page"))
+    manifest = files.select("book", "file_ix", "fname", F.lit("m").alias("media_type"), F.col("in_spine").alias("in_manifest"))
+    images = df.select("book", F.col("ix").alias("image_ix"), "fname", F.lit("i").alias("media_type"), (F.col("ix") == 3).alias("is_cover"))
     for made in (
         lambda size: st.chapter_split(df, "book", "ix", 1, ("* * *",), size).select("book", "ix", "file_ix", "fname"),
         lambda size: st.toc_entries(df, "book", "ix", size),
         lambda size: st.running_counters(df, "book", "ix", size),
         lambda size: pk.spine_rows(files, "book", size),
+        lambda size: st.page_map(files.select("book", "file_ix", "fname", (F.col("file_ix") % 4).alias("n_pages"), "in_spine"), "book", size),
+        lambda size: st.play_order(df.select("book", F.col("ix").alias("toc_ix"), "title"), "book", "before", size=size),
+        lambda size: st.play_order(df.select("book", F.col("ix").alias("toc_ix"), "title"), "book", "after", size=size),
+        lambda size: nt.number_notes(df.select("book", "ix", F.concat("body_name", F.col("level").cast("string")).alias("body")), "book", "body", "ix", size),
+        lambda size: pk.manifest_rows("book", manifest, images, *[manifest.select("book", F.col("file_ix").alias("ix"), "fname", "media_type").limit(k) for k in (30, 1)], size),
     ):
         whole, blocks = made(None), made(16)
         assert whole.dtypes == blocks.dtypes
