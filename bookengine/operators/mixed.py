@@ -34,7 +34,8 @@ class Normalization:
             text = tx.normalize_speech(text, *self.speech)
         if self.dashes and is_own:
             text = tx.normalize_dashes(text, *self.dashes)
-        return tx.normalize_dialogue(text, *self.dialogue) if self.dialogue else text
+        # bound to a name once: the change looks at its text several times
+        return F.get(F.transform(F.array(text), lambda t: tx.normalize_dialogue(t, *self.dialogue)), F.lit(0)) if self.dialogue else text
 
 
 def _tag(raw: Column) -> Column:
