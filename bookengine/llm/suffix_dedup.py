@@ -167,10 +167,10 @@ def _context_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             raw = text.encode()
             for w in wanted:
                 first = max(w["at"] - BEFORE, 0)
-                out.append((w["core"], w["context"], w["n"], w["low"], w["high"], w["at"] - first, raw[first : w["at"] + LENGTH]))
-        columns = list(zip(*out, strict=True)) if out else [()] * 7
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["core", "context", "n", "low", "high", "before", "data"])
+                out.append((w["core"], w["context"], w["n"], w["low"], w["high"], w["large"], w["at"] - first, raw[first : w["at"] + LENGTH]))
+        columns = list(zip(*out, strict=True)) if out else [()] * 8
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["core", "context", "n", "low", "high", "large", "before", "data"])
 
 
 def _window_columns(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -249,16 +249,18 @@ def _partly_repeated(witnesses: DataFrame, rows: DataFrame, group: int) -> DataF
     """(core, context, marks) of contexts seen once that share windows with another context of their core."""
     possible = materialize(_possible_windows(witnesses, rows), "possible")
     sizes = materialize(possible.groupBy("core").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "possible_cores", possible.count() // 2)
-    wanted = possible.join(sizes.select("core"), "core").groupBy("row_id").agg(F.collect_list(F.struct("core", "context", "n", "low", "high", "at")).alias("wanted"))
+    # each context is told whether its core is large: after a join by core Spark can leave out the exchange of ``together``, and then may
+    # read that join's input by mapper or split it, so that the contexts of one core no longer meet
+    shared = possible.join(sizes.select("core", (F.col("size") > group).alias("large")), "core")
+    wanted = shared.groupBy("row_id").agg(F.collect_list(F.struct("core", "context", "n", "low", "high", "large", "at")).alias("wanted"))
     texts = rows.select("row_id", "text").join(wanted, "row_id").select("text", "wanted")
-    contexts = materialize(texts.mapInArrow(_context_bytes, "core long, context long, n long, low int, high int, before long, data binary"), "contexts")
+    contexts = materialize(texts.mapInArrow(_context_bytes, "core long, context long, n long, low int, high int, large boolean, before long, data binary"), "contexts")
     marks = "core long, context long, marks binary"
     together = lambda part: part.repartition("core").sortWithinPartitions("core").mapInArrow(_repeated, marks)
-    large_cores = sizes.where(F.col("size") > group).select("core")
-    if large_cores.isEmpty():
-        return together(contexts)
-    small = together(contexts.join(large_cores, "core", "left_anti"))
-    windows = contexts.join(large_cores, "core").mapInArrow(_windows, "core long, context long, n long, offset int, window long")
+    small = together(contexts.where("not large"))
+    if sizes.where(F.col("size") > group).isEmpty():
+        return small
+    windows = contexts.where("large").mapInArrow(_windows, "core long, context long, n long, offset int, window long")
     windows = materialize(windows, "windows")
     twice = materialize(windows.groupBy("core", "offset", "window").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").drop("seen"), "repeated_windows")
     large = windows.where("n = 1").join(twice, ["core", "offset", "window"]).groupBy("core", "context").agg(F.collect_list("offset").alias("offsets"))

@@ -174,6 +174,27 @@ def test_repeated_bytes_at_the_edges(spark, group):
     assert [found[k] for k in range(len(texts))] == removed_by_hand(texts)
 
 
+def test_repeated_bytes_when_joins_change_while_running(spark):
+    # joins planned by sorting that turn out small enough to broadcast, as on large tables; contexts of a core must still meet in one task
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for copies in [2] * 40 + [12]:
+        passage = noise(260)
+        texts += [noise(rng.randrange(150, 200)) + passage[rng.randrange(20) :] + noise(rng.randrange(150, 200)) for _ in range(copies)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated_bytes(docs, 4).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [found[k] for k in range(len(texts))] == removed_by_hand(texts)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(5001, 5100)] + [(7, 7)]
