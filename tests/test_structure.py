@@ -250,6 +250,24 @@ def test_learned_breaks(spark):
     assert [r["text"] for r in br.learned_sentences(paras.where("id = 94"), other, "id").collect()] == ["One. Two."]
 
 
+def test_learned_breaks_read_texts_three_times(spark):
+    """Once to learn, once for the words at cuts, once to join; texts are never dealt by language or word."""
+    from bookengine.operators import breaks as br
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = [(k, "en", f"He saw Dr. Brown {k}. The z.B. tree! Dr. Green fell. ") for k in range(50)]
+    df = spark.createDataFrame(docs, "id int, lang string, text string").mapInArrow(noted, "id int, lang string, text string")
+    model = br.train_breaks(df)
+    found = br.learned_sentences(df, model, "id").collect()
+    assert len(found) == 150 and seen.value <= 3 * len(docs)
+
+
 def test_numbering_of_one_book_in_blocks(spark):
     from bookengine.operators import notes as nt
     from bookengine.operators import packaging as pk
