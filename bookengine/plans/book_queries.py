@@ -243,8 +243,11 @@ def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
                 for name in (f"in/\x7f{doc_id}.fb2", "in/readme.txt", "out/other.fb2"):
                     archive.writestr(name, text)
-            content = buffer.getvalue().replace(b"in/\x7f", "in/Ж".encode("cp866"))
-            yield pa.RecordBatch.from_arrays([pa.array([f"lib/{doc_id}.zip"]), pa.array([content[: len(content) // 2] if doc_id % 7 == 0 else content], pa.binary())], ["path", "content"])
+            content, coded = bytearray(buffer.getvalue()), "in/Ж".encode("cp866")
+            # the name stands in the first header and in the directory; the same bytes may occur in packed text, which stays
+            for at in (30, archive.start_dir + 46):
+                content[at : at + len(coded)] = coded
+            yield pa.RecordBatch.from_arrays([pa.array([f"lib/{doc_id}.zip"]), pa.array([bytes(content[: len(content) // 2] if doc_id % 7 == 0 else content)], pa.binary())], ["path", "content"])
 
 
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ TEXTS = (
     "a\x1cb. Dr.\x1dBrown x. The\x1f End.\x1e The",
     "Dr. \x01 Foo. \x01\x01 Dr. Bar Dr.\x01Baz \x01 ! Qux",
     "\nA first line that is empty",
+    # packed, this holds the bytes in/\x7f
+    "ĀāĂăĄąĆ\u40c7w…",
     "It, was (Dr.) Brown.) No, Brown. de de z.B. The Étude, étude. İx, Straße! «Dr.», »The« ",
 )
 
@@ -28,7 +30,7 @@ def odd(spark, duck, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["e01_learned_abbreviations", "e01_learned_sentences", "f01_format_keywords"])
+@pytest.mark.parametrize("name", ["e01_learned_abbreviations", "e01_learned_sentences", "f01_format_keywords", "s02_archive_quarantine", "s02_scan_archives", "s12_member_names"])
 def test_query_on_odd_texts(name, spark, odd):
     folder, con = odd
     found = con.execute(ORACLES[name])
