@@ -187,12 +187,13 @@ def learned_sentences(paras: DataFrame, model: BreakModel, *keys: str) -> DataFr
     kept = StructType([*fields, named.schema["_lang"]])
     seams = named.where("_lang IS NOT NULL").select(*kept.names, "text", F.lit(True).alias("_cut"))
     seams = seams.mapInArrow(_rows(_seams, len(kept), SEAMS), StructType([*kept, *from_arrow_schema(SEAMS)]))
-    core = _core(F.col("before"))
-    head = _core(F.col("head"))
+    # behind an explode, through which no filter is pushed, so that each word is taken apart once
+    cores = seams.select(*kept.names, "ix", "head", F.explode(F.array(F.struct(_core(F.col("before")).alias("before"), _core(F.col("head")).alias("head")))).alias("core"))
+    before, head = F.col("core.before"), F.col("core.head")
     upper = F.left(head, F.lit(1)) != F.lower(F.left(head, F.lit(1)))
-    ends_in_one = F.endswith(core, F.lit(".")) & ~F.endswith(core, F.lit(".."))
     # a head in lower case starts nothing: with the blank it is no type, and such heads are spread over the tasks
-    asked = seams.where(ends_in_one).select(*kept.names, "ix", _type(core).alias("_abbreviation"), F.when(upper, _type(head)).otherwise(F.concat(F.lit(" "), "head")).alias("_starter"))
+    starter = F.when(upper, _type(head)).otherwise(F.concat(F.lit(" "), "head"))
+    asked = cores.where(F.endswith(before, F.lit(".")) & ~F.endswith(before, F.lit(".."))).select(*kept.names, "ix", _type(before).alias("_abbreviation"), starter.alias("_starter"))
     a = model.abbreviations.select(F.col("lang").alias("_lang"), F.col("type").alias("_abbreviation"))
     s = model.starters.select(F.col("lang").alias("_lang"), F.col("type").alias("_starter"))
     joined = asked.join(a, ["_lang", "_abbreviation"], "left_semi").join(s, ["_lang", "_starter"], "left_anti").groupBy(*keys).agg(F.collect_list("ix").alias("_joined"))
